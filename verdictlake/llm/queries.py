@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, simhash_dedup
+from . import exact_dedup, langid, mixing, packing, simhash_dedup, suffix_dedup
 from .common import load
 
 
@@ -18,6 +18,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_classes(load(spark, sf_dir, "documents")).drop("fp")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op5_language_id, op8_source_mix, op9_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_suffix_dedup, op5_language_id, op8_source_mix, op9_packing)
 }
 
 ORACLES: dict[str, str] = {
