@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash_dedup, suffix_dedup
+from . import exact_dedup, langid, mixing, packing, simhash_dedup, suffix_dedup, toxicity
 from .common import load
 
 
@@ -22,6 +23,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", (F.size("offsets") / 2).cast("int").alias("n_toxic_tokens"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
@@ -35,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_suffix_dedup, op5_language_id, op8_source_mix, op9_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_suffix_dedup, op4_toxicity, op5_language_id, op8_source_mix, op9_packing)
 }
 
 ORACLES: dict[str, str] = {
