@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash_dedup, suffix_dedup, toxicity
+from . import doc_fingerprint, exact_dedup, langid, license_scan, mixing, packing, pii, simhash_dedup, suffix_dedup, toxicity
 from .common import load
 
 
@@ -32,6 +32,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
+def op6_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_fingerprint.fingerprint_pairs(load(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -40,8 +48,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_simhash_dedup, op3_suffix_dedup, op4_toxicity, op5_language_id, op8_source_mix, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_simhash_dedup,
+        op3_suffix_dedup,
+        op4_toxicity,
+        op5_language_id,
+        op6_doc_fingerprint,
+        op7_license_scan,
+        op8_source_mix,
+        op9_packing,
+        op10_pii,
+    )
 }
 
 ORACLES: dict[str, str] = {
