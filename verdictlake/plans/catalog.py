@@ -1,6 +1,502 @@
-"""Queries of the library over the driver's tables, and their SQL."""
+"""Queries of the library over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import agreement, bootstrap, guards, journal, reliability, score
+from ..operators.tally import majority_first_seen, stability, tally, tally_any
+from ..sources import readers
+from ..sources.fixtures import table, view, with_views
+from ..streaming import twins
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DIGITS = 6
+#: Resamples of the bootstrap query, and pairs it scores: the published calibration set's size.
+RESAMPLES, CALIBRATION_PAIRS = 200, 200
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c in cols})
+
+
+TALLY = """
+ counted as (select backend, pair_id, count(*) as n, count(*) filter (verdict = 'approve') as a, count(*) filter (verdict = 'reject') as r from votes group by all),
+ rc as (select backend, pair_id, reason, count(*) as c from votes group by all),
+ rt as (select backend, pair_id, max(c) as mx from rc group by all),
+ rw as (select rc.backend, rc.pair_id, count(*) as n_top, min(reason) as one from rc join rt on rc.backend = rt.backend and rc.pair_id = rt.pair_id and rc.c = rt.mx group by all),
+ tally as (select c.backend, c.pair_id, c.n as n_votes, case when a > r then 'approve' when r > a then 'reject' end as verdict, case when n_top = 1 then one end as reason,
+   1 - greatest(a, r) / c.n as vf, 1 - mx / c.n as rf, a, r from counted c join rt using (backend, pair_id) join rw using (backend, pair_id))
+"""
+
+
+def tallied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally(view(spark, sf_dir, "votes"))
+
+
+def with_tally(sql: str) -> str:
+    return f"with {TALLY.strip()} {sql.strip()}" if not sql.strip().startswith("with ") else f"with {TALLY.strip()}, {sql.strip()[5:]}"
+
+
+@query(with_tally("select backend, pair_id, n_votes, verdict, reason, round(vf, 6) as verdict_flip_rate, round(rf, 6) as reason_flip_rate from tally"))
+def tally_votes(spark, sf_dir):
+    return rounded(tallied(spark, sf_dir), "verdict_flip_rate", "reason_flip_rate").select("backend", "pair_id", "n_votes", "verdict", "reason", "verdict_flip_rate", "reason_flip_rate")
+
+
+@query("""with c as (select backend, pair_id, verdict, count(*) as c, sum(count(*)) over (partition by backend, pair_id) as n, max(count(*)) over (partition by backend, pair_id) as mx from line_votes group by backend, pair_id, verdict)
+ select backend, pair_id, cast(max(n) as bigint) as n, case when sum(case when c = mx then 1 else 0 end) = 1 then max(case when c = mx then verdict end) end as ruling, round(1 - max(mx) / max(n), 6) as flip_rate, cast(sum(case when c = mx then 1 else 0 end) as bigint) as n_top from c group by backend, pair_id""")
+def tally_uneven(spark, sf_dir):
+    return rounded(tally_any(view(spark, sf_dir, "line_votes"), "verdict"), "flip_rate")
+
+
+@query("""with c as (select backend, pair_id, reason, count(*) as c, min(run_index) as first from votes group by all),
+ k as (select *, row_number() over (partition by backend, pair_id order by c desc, first) as k from c)
+ select backend, pair_id, reason as ruling, c as votes from k where k = 1""")
+def majority_by_first_vote(spark, sf_dir):
+    return majority_first_seen(view(spark, sf_dir, "votes"), "reason", ["run_index"])
+
+
+STABILITY = with_tally("""select roster.backend, count(pair_id) as pairs, coalesce(max(n_votes), 0) as max_votes, round(avg(vf), 6) as verdict_flip, round(avg(rf), 6) as reason_flip,
+ count(*) filter (vf > 0 or rf > 0) as unstable_pairs from roster left join tally on tally.backend = roster.backend join (select count(*) from votes) on true group by roster.backend""")
+
+
+@query(STABILITY)
+def stability_by_backend(spark, sf_dir):
+    return rounded(stability(tallied(spark, sf_dir), view(spark, sf_dir, "roster")), "verdict_flip", "reason_flip")
+
+
+JUDGED = TALLY.strip() + ", judged as (select tally.*, pos, ground_truth, p.reason as true_reason from tally join pairs p on p.id = tally.pair_id)"
+
+
+@query(f"""with {JUDGED},
+ by_backend as (select backend, count(*) as judged, count(verdict) as n, count(*) filter (verdict is null) as unsettled_verdict, count(*) filter (reason is null) as unsettled_reason,
+  avg(case when verdict is not null then case when verdict = ground_truth then 1 else 0 end end) as accuracy,
+  coalesce(avg(case when ground_truth = 'reject' and verdict is not null then case when verdict = 'approve' then 1 else 0 end end), 0) as far,
+  avg(case when verdict is not null then vf end) as vflip, avg(case when verdict is not null then rf end) as rflip from judged group by backend)
+ select roster.backend, coalesce(judged, 0) as judged, n, unsettled_verdict, unsettled_reason, round(accuracy, 6) as accuracy, round(far, 6) as false_approve_rate, round(vflip, 6) as verdict_flip_rate, round(rflip, 6) as reason_flip_rate,
+  (select count(*) from pairs ) as total_pairs, round(coalesce(judged, 0) / (select count(*) from pairs ), 6) as coverage from roster left join by_backend on by_backend.backend = roster.backend join (select count(*) from votes ) on true""")
+def score_models(spark, sf_dir):
+    s = score.score_models(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs"), view(spark, sf_dir, "roster"))
+    return rounded(s, "accuracy", "false_approve_rate", "verdict_flip_rate", "reason_flip_rate", "coverage")
+
+
+def kappa_sql(source: str, keys: str, t: str, p: str) -> str:
+    on = " and ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(",") if k.strip()) or "true"
+    lead = f"{keys}, " if keys else ""
+    group = f"group by {keys}" if keys else ""
+    return f"""n as (select {lead}count(*) as n, sum(case when {t} = {p} then 1 else 0 end) as same from {source} {group}),
+ l as (select {lead}{t} as label, count(*) as x from {source} group by all), r as (select {lead}{p} as label, count(*) as y from {source} group by all),
+ e as (select {", ".join(f"a.{k.strip()}" for k in keys.split(",")) + ", " if keys else ""}sum(x * y) as chance from l a join r b on a.label = b.label and {on} group by all),
+ kappas as (select {", ".join(f"a.{k.strip()}" for k in keys.split(",")) + ", " if keys else ""}cast(n as bigint) as n, case when coalesce(chance, 0) = n * n then case when same = n then 1.0 else 0.0 end
+   else (same / n - coalesce(chance, 0) / (n * n)) / (1 - coalesce(chance, 0) / (n * n)) end as kappa from n a left join e b on {on})"""
+
+
+@query(f"""with {JUDGED}, settled as (select * from judged where verdict is not null and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0), {kappa_sql("settled", "backend", "ground_truth", "verdict")}
+ select backend, n, round(kappa, 6) as kappa from kappas""")
+def kappa_majority(spark, sf_dir):
+    rows = score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")).where("verdict is not null")
+    return rounded(score.cohens_kappa(rows, "ground_truth", "verdict", ("backend",)), "kappa")
+
+
+PER_RUN = f"known as (select votes.*, ground_truth from votes join pairs p on p.id = pair_id), {kappa_sql('known', 'backend, run_index', 'ground_truth', 'verdict')}"
+
+
+@query(f"with {PER_RUN} select backend, run_index, n, round(kappa, 6) as kappa from kappas where (select count(*) from pairs ) > 0")
+def kappa_per_run(spark, sf_dir):
+    return rounded(score.per_run_kappas(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")), "kappa")
+
+
+@query(f"with {PER_RUN} select backend, count(*) as n_runs, round(avg(kappa), 6) as mean, round(coalesce(stddev_samp(kappa), 0), 6) as sd from kappas where (select count(*) from pairs ) > 0 group by backend")
+def kappa_spread(spark, sf_dir):
+    return rounded(score.mean_sd(score.per_run_kappas(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")), "kappa"), "mean", "sd")
+
+
+@query(f"with x as (select quality, 1 - toxic as clean from labels), {kappa_sql('x', '', 'quality', 'clean')} select n, round(kappa, 6) as kappa from kappas")
+def kappa_labels(spark, sf_dir):
+    x = table(spark, sf_dir, "labels").select("quality", (1 - F.col("toxic")).alias("clean"))
+    return rounded(score.cohens_kappa(x, "quality", "clean"), "kappa")
+
+
+@query(f"with {JUDGED} select backend, true_reason, reason, count(*) as pairs from judged where reason is not null and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0 group by backend, true_reason, reason")
+def reason_confusion(spark, sf_dir):
+    return score.reason_confusion(score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")))
+
+
+@query(f"""with {JUDGED} select backend, count(*) as n, string_agg(pair_id, ',' order by pos) as pair_ids from judged where verdict is not null and (vf > 0 or rf > 0)
+ and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0 group by backend""")
+def unstable_pairs(spark, sf_dir):
+    return score.unstable_pairs(score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")))
+
+
+def items(spark, sf_dir):
+    rows = score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")).where(f"verdict is not null and pos < {CALIBRATION_PAIRS}")
+    return rows.select("backend", "pos", F.col("ground_truth").alias("truth"), F.col("verdict").alias("predicted"))
+
+
+LO, HI = bootstrap.ends(RESAMPLES)
+BOOT = f"""{JUDGED}, it as (select backend, row_number() over (partition by backend order by pos) - 1 as i, case when ground_truth = 'approve' then 1 else 0 end as t, case when verdict = 'approve' then 1 else 0 end as p
+   from judged where verdict is not null and pos < {CALIBRATION_PAIRS} and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0),
+ sz as (select backend, count(*) as n from it group by backend),
+ dr as (select backend, n, r, ('0x' || substr(md5('{bootstrap.SEED}|' || r || '|' || j), 1, 8))::bigint % n as i from sz, range({RESAMPLES}) a(r), range({CALIBRATION_PAIRS}) b(j) where j < n),
+ sm as (select d.backend, n, r, sum(t) as t, sum(p) as p, sum(case when t = p then 1 else 0 end) as same from dr d join it on it.backend = d.backend and it.i = d.i group by all),
+ ks as (select backend, case when t * p + (n - t) * (n - p) = n * n then case when same = n then 1.0 else 0.0 end else (same / n - (t * p + (n - t) * (n - p)) / (n * n)) / (1 - (t * p + (n - t) * (n - p)) / (n * n)) end as kappa from sm),
+ ci as (select backend, list_sort(list(kappa))[{LO + 1}] as lo, list_sort(list(kappa))[{HI + 1}] as hi from ks group by backend)"""
+
+
+@query(f"with {BOOT} select backend, round(lo, 6) as lo, round(hi, 6) as hi from ci")
+def bootstrap_kappa_ci(spark, sf_dir):
+    return rounded(bootstrap.bootstrap_kappa(items(spark, sf_dir), RESAMPLES), "lo", "hi")
+
+
+def scores(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    kappas = score.cohens_kappa(rows, "truth", "predicted", ("backend",)).drop("n")
+    return kappas.join(bootstrap.bootstrap_kappa(rows, RESAMPLES), "backend")
+
+
+KAPPA_IT = f"{BOOT}, {kappa_sql('it', 'backend', 't', 'p')}, sc as (select k.backend, kappa, lo, hi from kappas k join ci on ci.backend = k.backend)"
+
+
+@query(f"""with recursive {KAPPA_IT}, ov as (select a.backend as x, b.backend as y from sc a join sc b on a.lo <= b.hi and b.lo <= a.hi),
+ reach as (select x, y from ov union select r.x, o.y from reach r join ov o on o.x = r.y), comp as (select x as backend, min(y) as root from reach group by x),
+ best as (select root, max(kappa) as best from comp join sc using (backend) group by root)
+ select backend, round(kappa, 6) as kappa, round(lo, 6) as lo, round(hi, 6) as hi, dense_rank() over (order by best desc, root) as tier from sc join comp using (backend) join best using (root)""")
+def separability_tiers(spark, sf_dir):
+    return rounded(bootstrap.tiers(scores(spark, sf_dir)), "kappa", "lo", "hi")
+
+
+@query(f"with {KAPPA_IT} select a.backend, b.backend as other from sc a join sc b on a.backend < b.backend and a.lo <= b.hi and b.lo <= a.hi")
+def tiers_theta(spark, sf_dir):
+    return bootstrap.tiers_theta(scores(spark, sf_dir))
+
+
+@query()
+def bootstrap_exact_ci(spark, sf_dir):
+    """The seeded draw sequence, which SQL cannot repeat; tests hold it against a plain loop."""
+    return bootstrap.bootstrap_exact(items(spark, sf_dir), RESAMPLES)
+
+
+USED = "(select count(*) from votes ) > 0"
+
+
+@query(with_tally(f"""with s as (select backend, pair_id, verdict from tally where verdict is not null and {USED}),
+ f as (select a.backend, b.backend as other, count(*) as shared, avg(case when a.verdict = b.verdict then 1 else 0 end) as agreement from s a join s b using (pair_id) group by all)
+ select x.backend, y.backend as other, coalesce(shared, 0) as shared, round(agreement, 6) as agreement from roster x cross join roster y left join f on f.backend = x.backend and f.other = y.backend"""))
+def agreement_matrix(spark, sf_dir):
+    return rounded(agreement.agreement_matrix(tallied(spark, sf_dir), view(spark, sf_dir, "roster")), "agreement")
+
+
+@query(with_tally(f"""select a.backend as "left", b.backend as "right", a.reason as left_reason, b.reason as right_reason, count(*) as pairs from tally a join tally b on a.pair_id = b.pair_id and a.backend < b.backend and a.reason is not null and b.reason is not null and {USED} group by all"""))
+def reason_cross_tab(spark, sf_dir):
+    return agreement.reason_cross_tab(tallied(spark, sf_dir))
+
+
+@query(with_tally(f"select backend, reason, count(*) as pairs from tally where reason is not null and {USED} group by all"))
+def reason_distribution(spark, sf_dir):
+    return agreement.reason_distribution(tallied(spark, sf_dir))
+
+
+CONTENTION = with_tally(f"""with m as (select pair_id, count(*) as n_models, count(*) filter (verdict is null or reason is null) as n_unsettled, avg(vf) as mvf, avg(rf) as mrf, count(verdict) as nv, count(reason) as nr from tally where {USED} group by pair_id),
+ v as (select pair_id, max(c) as top from (select pair_id, verdict, count(*) as c from tally where verdict is not null group by all) group by pair_id),
+ w as (select pair_id, max(c) as top from (select pair_id, reason, count(*) as c from tally where reason is not null group by all) group by pair_id),
+ x as (select pair_id, n_models, n_unsettled, coalesce(1 - v.top / nullif(nv, 0), 0) as x_verdict, coalesce(1 - w.top / nullif(nr, 0), 0) as x_reason, mvf, mrf from m left join v using (pair_id) left join w using (pair_id))
+ select pair_id, n_models, n_unsettled, round(x_verdict, 6) as x_verdict, round(x_reason, 6) as x_reason, round(mvf, 6) as mean_verdict_flip, round(mrf, 6) as mean_reason_flip,
+  round(2 * x_verdict + x_reason + mvf + 0.5 * mrf + 2 * n_unsettled / n_models, 6) as contention from x""")
+CONTENTION_COLS = ("x_verdict", "x_reason", "mean_verdict_flip", "mean_reason_flip", "contention")
+
+
+@query(CONTENTION)
+def contention_ranking(spark, sf_dir):
+    return rounded(agreement.contention(tallied(spark, sf_dir)), *CONTENTION_COLS)
+
+
+@query()
+def contention_top40(spark, sf_dir):
+    return rounded(agreement.contention_top(tallied(spark, sf_dir)), *CONTENTION_COLS)
+
+
+ORACLES["contention_top40"] = f"select * from ({with_views(CONTENTION)}) where contention > 0 order by contention desc, pair_id limit 40"
+
+POOLED = """c as (select pair_id, count(*) as n_votes, count(*) filter (verdict = 'approve') as a, count(*) filter (verdict = 'reject') as r, string_agg(distinct model_id, ',' order by model_id) as models from votes group by pair_id),
+ q as (select pair_id, reason, count(*) as k from votes group by all), qt as (select pair_id, max(k) as mx from q group by all),
+ qw as (select q.pair_id, count(*) as n_top, min(reason) as one, max(mx) as mx from q join qt on q.pair_id = qt.pair_id and q.k = qt.mx group by all),
+ pooled as (select c.pair_id, n_votes, a, r, models, case when a > r then 'approve' when r > a then 'reject' end as verdict, case when n_top = 1 then one end as reason, 1 - greatest(a, r) / n_votes as vf, 1 - mx / n_votes as rf from c join qw using (pair_id))"""
+
+
+@query(f"with {POOLED} select pair_id, n_votes, a as n_verdict_approve, r as n_verdict_reject, models, verdict, reason, round(vf, 6) as verdict_flip_rate, round(rf, 6) as reason_flip_rate from pooled")
+def flip_stats_pooled(spark, sf_dir):
+    rows = agreement.pooled_flips(view(spark, sf_dir, "votes"))
+    return rounded(rows, "verdict_flip_rate", "reason_flip_rate").select("pair_id", "n_votes", "n_verdict_approve", "n_verdict_reject", "models", "verdict", "reason", "verdict_flip_rate", "reason_flip_rate")
+
+
+@query(f"""with {POOLED}, j as (select p.id as pair_id, pos, case when n_votes is null then 1 else 0 end as unjudged, case when n_votes is not null and (verdict is null or pooled.reason is null) then 1 else 0 end as undecided, coalesce(round(vf, 9), 0) as flip from pairs p left join pooled on pooled.pair_id = p.id)
+ select pair_id, row_number() over (order by unjudged, undecided desc, flip desc, pos) as place, undecided, flip from j where {USED}""")
+def operator_queue(spark, sf_dir):
+    return agreement.operator_queue(view(spark, sf_dir, "pairs"), agreement.pooled_flips(view(spark, sf_dir, "votes")))
+
+
+@query(with_tally(f"""with rs as (select backend, pair_id, string_agg(reason || '=' || c, ',' order by reason) as split from rc group by all)
+ select 's1' as leg, backend, pair_id, 0 as axis_order, 'verdict' as kind, n_votes, 'approve=' || a || ',reject=' || r as split from tally where verdict is null and n_votes >= 2 and {USED}
+ union all select 's1', backend, pair_id, 1, 'reason', n_votes, split from tally join rs using (backend, pair_id) where reason is null and n_votes >= 2"""))
+def backend_deadlocks(spark, sf_dir):
+    return agreement.deadlocks(tallied(spark, sf_dir), "s1")
+
+
+@query(with_tally(f"select backend, count(*) as n, string_agg(pair_id, ',' order by pair_id) as pair_ids from tally where reason is null and {USED} group by backend"))
+def unsettled_reason_pairs(spark, sf_dir):
+    return agreement.unsettled_reason_pairs(tallied(spark, sf_dir))
+
+
+@query(with_tally("""with b as (select backend, max(n_votes) as max_votes, count(*) filter (n_votes >= 2) as repeated_pairs, coalesce(avg(case when n_votes >= 2 then vf end), 0) as vflip, coalesce(avg(case when n_votes >= 2 then rf end), 0) as rflip from tally group by backend),
+ k as (select backend, count(cached_tokens) as measuring, count(*) filter (cached_tokens > 0) as hits, count(*) as total_calls from votes group by backend)
+ select backend, max_votes, repeated_pairs, round(vflip, 6) as verdict_flip, round(rflip, 6) as reason_flip, measuring, hits, total_calls,
+  case when repeated_pairs = 0 or vflip > 0 or rflip > 0 then 'ok' when measuring = 0 then 'unverifiable' when hits > 0 then 'collapse_suspected' else 'ok' end as status from b join k using (backend)"""))
+def cache_findings(spark, sf_dir):
+    return rounded(agreement.cache_findings(view(spark, sf_dir, "votes"), tallied(spark, sf_dir)), "verdict_flip", "reason_flip")
+
+
+SHAPE = """case when d >= u then 'complete' when s < u and s <= d * 1.1 then 'prefix' when s < u then 'spread, stopped early' else 'scattered gaps' end"""
+
+
+@query(f"""with o as (select id, row_number() over (order by pos) - 1 as rk from pairs ), b as (select backend, count(distinct pair_id) as d, max(rk) + 1 as s from votes join o on o.id = pair_id group by backend), u as (select count(*) as u from o)
+ select backend, d as distinct_pairs, s as span, u as total_pairs, d < u and s < u and s <= d * 1.1 as is_prefix, {SHAPE} as shape, 'pairs-file' as order_source from b, u""")
+def coverage_shapes(spark, sf_dir):
+    pairs = view(spark, sf_dir, "pairs")
+    first = pairs.agg(F.min("pos").alias("first"))  # positions of this file have no gaps
+    order = pairs.join(F.broadcast(first)).select(F.col("id").alias("pair_id"), (F.col("pos") - F.col("first")).alias("rank"))
+    return reliability.coverage_shapes(view(spark, sf_dir, "votes"), order)
+
+
+@query("""with f as (select backend, pair_id, min(run_index * 1000000 + cast(substr(pair_id, 2) as bigint)) as first from votes group by all), z as (select backend, count(*) as n from f group by backend),
+ ref as (select backend from z order by n desc, backend limit 1), m as (select pair_id, 0 as part, '' as b, first from f join ref using (backend)),
+ r as (select pair_id, 1 as part, min(backend) as b, 0 as first from f where pair_id not in (select pair_id from m) group by pair_id)
+ select pair_id, row_number() over (order by part, b, first, pair_id) - 1 as "rank" from (select * from m union all select * from r)""")
+def reconstructed_order(spark, sf_dir):
+    votes = view(spark, sf_dir, "votes").withColumn("pos", F.col("run_index") * 1000000 + F.substring("pair_id", 2, 20).cast("long"))
+    return reliability.reconstructed_order(votes)
+
+
+HEALTH_SQL = """select {keys}, count(*) filter (ok = 1) as calls_ok, count(*) filter (ok = 0) as calls_failed, round(min(latency_s) filter (ok = 1), 6) as latency_min, round(quantile_cont(latency_s, 0.5) filter (ok = 1), 6) as latency_median,
+ round(quantile_disc(latency_s, 0.95) filter (ok = 1), 6) as latency_p95, round(max(latency_s) filter (ok = 1), 6) as latency_max, round(quantile_cont(latency_s, 0.5) filter (ok = 0), 6) as failed_latency_median, round(max(latency_s) filter (ok = 0), 6) as failed_latency_max from calls group by {keys}"""
+KIND_SQL = "select {keys}, error_kind, count(*) as calls from calls where ok = 0 group by {keys}, error_kind"
+LATENCIES = ("latency_min", "latency_median", "latency_p95", "latency_max", "failed_latency_median", "failed_latency_max")
+
+
+@query(f"""with h as ({HEALTH_SQL.format(keys="backend")}), k as (select backend, string_agg(error_kind || '=' || calls, ',' order by error_kind) as error_kinds from ({KIND_SQL.format(keys="backend").replace("as calls from calls", "as calls from calls ")}) group by backend)
+ select h.*, coalesce(error_kinds, '') as error_kinds from h left join k on k.backend = h.backend""")
+def health_summary(spark, sf_dir):
+    return rounded(reliability.health_summary(view(spark, sf_dir, "calls"), "backend"), *LATENCIES)
+
+
+@query(KIND_SQL.format(keys="backend"))
+def error_kinds(spark, sf_dir):
+    return reliability.error_kinds(view(spark, sf_dir, "calls"), "backend")
+
+
+@query("select backend, count(cached_tokens) as calls_measured, count(*) - count(cached_tokens) as calls_unmeasured, cast(sum(cached_tokens) as bigint) as cached_tokens, count(*) filter (cached_tokens > 0) as calls_with_cache_hit from votes group by backend")
+def usage_summary(spark, sf_dir):
+    return reliability.usage_summary(view(spark, sf_dir, "votes"), "backend", ("cached_tokens",), F.col("cached_tokens").isNotNull())
+
+
+@query("""with t as (select backend, count(distinct launch) as launches, count(*) filter (ok = 1) as calls_ok, count(*) filter (ok = 0) as calls_failed, max(launch) as last from calls group by backend),
+ k as (select backend, string_agg(error_kind || '=' || n, ',' order by error_kind) as error_kinds from (select backend, error_kind, count(*) as n from calls where ok = 0 group by all) group by backend),
+ m as (select c.backend, quantile_cont(latency_s, 0.5) as med, quantile_disc(latency_s, 0.95) as p95 from calls c join t on t.backend = c.backend and c.launch = t.last where ok = 1 group by c.backend)
+ select t.backend, launches, calls_ok, calls_failed, coalesce(error_kinds, '') as error_kinds, round(med, 6) as latency_median, round(p95, 6) as latency_p95 from t left join k on k.backend = t.backend left join m on m.backend = t.backend""")
+def launch_accumulation(spark, sf_dir):
+    return rounded(reliability.launch_accumulation(view(spark, sf_dir, "calls")), "latency_median", "latency_p95")
+
+
+@query("""with v as (select backend, count(*) as rows_on_disk, count(distinct pair_id) as distinct_pairs from votes group by backend),
+ c as (select backend, count(*) filter (ok = 1) as ok, count(*) filter (ok = 0) as bad, count(*) filter (error_kind like '%Timeout') as t, count(*) filter (error_kind = 'JudgeResponseError') as j, count(*) filter (error_kind = 'QuotaExhausted') as q from calls group by backend)
+ select coalesce(v.backend, c.backend) as backend, coalesce(rows_on_disk, 0) as rows_on_disk, coalesce(distinct_pairs, 0) as distinct_pairs, ok + bad as attempted, ok as succeeded, bad as failed, case when c.backend is null then 'none' else 'cumulative' end as scope,
+  coalesce(t, 0) as timeouts, coalesce(j, 0) as contract_failures, coalesce(q, 0) as quota_failures, round(bad / nullif(ok + bad, 0), 6) as failure_rate, round((ok + bad) / nullif(ok, 0), 6) as attempts_per_vote,
+  case when c.backend is null then null when q > 0 and q = bad then null when ok = 0 then true else (ok + bad) / nullif(ok, 0) >= 2 end as unusable_at_scale from v full join c on c.backend = v.backend""")
+def reliability_rows(spark, sf_dir):
+    r = reliability.reliability(view(spark, sf_dir, "votes"), view(spark, sf_dir, "calls"))
+    r = rounded(r, "failure_rate", "attempts_per_vote")
+    return r.select("backend", "rows_on_disk", "distinct_pairs", "attempted", "succeeded", "failed", "scope", "timeouts", "contract_failures", "quota_failures", "failure_rate", "attempts_per_vote", "unusable_at_scale")
+
+
+@query("with u as (select distinct backend, base_url from votes ) select regexp_extract(base_url, '://([^/?#]*)', 1) as host, count(*) as backends, string_agg(backend, ',' order by backend) as names from u group by 1")
+def host_concentration(spark, sf_dir):
+    return reliability.host_concentration(view(spark, sf_dir, "votes"))
+
+
+@query("select case when contains(url, '://') then regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) else split_part(url, '/', 1) end as host, count(*) as n_pages from pages group by 1")
+def pages_by_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(reliability.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+@query("select roster.backend, count(pair_id) as n_rows, count(distinct pair_id) as n_pairs, 3 * (select count(*) from pairs ) as expected_rows from roster left join votes on votes.backend = roster.backend group by roster.backend")
+def completion(spark, sf_dir):
+    return reliability.completion(view(spark, sf_dir, "votes"), view(spark, sf_dir, "roster"), 3, view(spark, sf_dir, "pairs"))
+
+
+@query("""with one as (select case when backend in ('m0', 'm1', 'm2') then 'alpha' else backend end as file, base_url, model_id, prompt_version from votes )
+ select file, string_agg(distinct base_url, ',' order by base_url) as base_url, 0 as unknown_rows, 0 as malformed_rows, count(*) as total_rows, count(distinct base_url) > 1 as is_mixed from one group by file""")
+def provenance_audit(spark, sf_dir):
+    files = view(spark, sf_dir, "votes").withColumn("file", F.when(F.col("backend").isin("m0", "m1", "m2"), "alpha").otherwise(F.col("backend")))
+    return guards.provenance_audit(files, "file")
+
+
+@query("""with one as (select case when backend in ('m0', 'm1', 'm2') then 'alpha' else backend end as file, base_url, model_id, prompt_version from votes )
+ select file, string_agg(distinct model_id, ',' order by model_id) as model_id, string_agg(distinct prompt_version, ',' order by prompt_version) as prompt_version, 'None' as temperature, string_agg(distinct base_url, ',' order by base_url) as base_url,
+  concat_ws(',', case when count(distinct model_id) > 1 then 'model_id' end, case when count(distinct base_url) > 1 then 'base_url' end) as mixed_fields from one group by file""")
+def config_guard(spark, sf_dir):
+    files = view(spark, sf_dir, "votes").withColumn("file", F.when(F.col("backend").isin("m0", "m1", "m2"), "alpha").otherwise(F.col("backend")))
+    return guards.config_guard(files, "file")
+
+
+@query("select p.id as pair_id, pos, cast(r as integer) as run_index from pairs p, range(3) a(r) where not exists (select 1 from votes where backend = 'm3' and votes.pair_id = p.id and votes.run_index = r)")
+def pending_votes(spark, sf_dir):
+    done = guards.resume_keys(view(spark, sf_dir, "votes").where("backend = 'm3'").withColumn("reasoning_effort", F.lit(None).cast("string")).withColumns({"config_digest": F.lit(None).cast("string"), "code_version": F.lit(None).cast("string")}), {"model_id": "model-m3", "prompt_version": "v3", "temperature": None})
+    return guards.pending_votes(view(spark, sf_dir, "pairs"), done, 3)
+
+
+@query("select id as pair_id, 'e10-' || substr(sha256(original || chr(0) || enriched), 1, 12) as row_id from pairs ")
+def row_id_hash(spark, sf_dir):
+    return view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), text.row_id(F.col("original"), F.col("enriched")).alias("row_id"))
+
+
+@query("select coalesce(nullif(concat_ws('+', case when brand <> '' then 'brand' end, case when mpn <> '' then 'mpn' end), ''), 'none') as variant, count(*) as pairs from pairs group by 1")
+def prompt_variant_counts(spark, sf_dir):
+    return view(spark, sf_dir, "pairs").groupBy(text.prompt_variant(F.col("brand"), F.col("mpn")).alias("variant")).agg(F.count("*").alias("pairs"))
+
+
+@query("""select id as pair_id, 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched || case when brand <> '' then chr(10) || 'BRAND: ' || brand else '' end || case when mpn <> '' then chr(10) || 'MPN: ' || mpn else '' end as content, original is not distinct from enriched as unchanged from pairs """)
+def build_messages(spark, sf_dir):
+    p = view(spark, sf_dir, "pairs")
+    said = text.messages(F.col("original"), F.col("enriched"), F.col("brand"), F.col("mpn"))
+    return p.select(F.col("id").alias("pair_id"), said[1]["content"].alias("content"), guards.unchanged(F.col("original"), F.col("enriched")).alias("unchanged"))
+
+
+REPLY = """case event_id % 6 when 0 then concat('Sure. {"verdict": "', case when event_id % 4 < 2 then 'approve' else 'reject' end, '", "reason": "', case when event_id % 4 < 2 then 'ok' else 'casing_error' end, '"} Done.')
+ when 1 then '{"verdict": "reject", "reason": "truncation_worse"}' when 2 then 'no json here' when 3 then '{"verdict": "maybe", "reason": "ok"}' when 4 then '{"verdict": "approve"}' else concat('{"verdict": {"a": ', props, '}}') end"""
+
+
+@query(f"""with r as (select event_id, {REPLY} as reply from events), j as (select event_id, regexp_extract(reply, '(?s)\\{{.*?\\}}') as body from r),
+ k as (select event_id, case when body <> '' and json_valid(body) then body end as body from j),
+ p as (select event_id, coalesce(json_extract_string(body, '$.verdict') in ('approve', 'reject') and json_extract_string(body, '$.reason') in ('ok', 'casing_error', 'overcorrection', 'meaning_change'), false) as good, body from k)
+ select event_id, case when good then json_extract_string(body, '$.verdict') end as verdict, case when good then json_extract_string(body, '$.reason') end as reason, case when not good then 'JudgeResponseError' end as error from p""")
+def parse_judge_response(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("reply", F.expr(REPLY))
+    return e.select("event_id", text.parse_reply(F.col("reply")).alias("p")).select("event_id", "p.*")
+
+
+PAYLOAD = """case event_id % 5 when 0 then concat('{"usage": {"prompt_tokens": ', event_id % 900, ', "completion_tokens": 7, "prompt_tokens_details": {"cached_tokens": ', event_id % 3, '}}}')
+ when 1 then concat('{"usage": {"input_tokens": ', event_id % 800, ', "output_tokens": 0, "cache_read_input_tokens": 5}}') when 2 then '{"usage": {"prompt_tokens": true, "completion_tokens": 3.5}}' when 3 then '{"usage": {}}' else '{"usage": {"total_tokens": 12, "completion_tokens_details": {"reasoning_tokens": 0}}}' end"""
+
+
+@query("""select event_id, case event_id % 5 when 0 then event_id % 900 when 1 then event_id % 800 end as prompt_tokens, case event_id % 5 when 0 then 7 when 1 then 0 end as completion_tokens,
+ case event_id % 5 when 0 then event_id % 900 + 7 when 1 then event_id % 800 when 4 then 12 end as total_tokens, case event_id % 5 when 0 then event_id % 3 when 1 then 5 end as cached_tokens, case when event_id % 5 = 4 then 0 end as reasoning_tokens from events""")
+def usage_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("payload", F.expr(PAYLOAD))
+    u = e.select("event_id", text.usage(F.col("payload")).alias("u"))
+    return u.select("event_id", *[F.col(f"u.{f}").cast("long").alias(f) for f in ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens", "reasoning_tokens")])
+
+
+PACK_LINE = "case p_partkey % 7 when 0 then '| --- | :-- | --- | --- | --- |' when 1 then concat('prose about ', p_name) when 2 then concat('| casing | file | ', p_name, ' | with | pipe | x |') else concat('|  casing | part ', p_brand, '|', p_name, ' | ', upper(p_name), ' | ', case when p_partkey % 2 = 0 then '—' else 'clean , brand' end, ' |') end"
+
+
+@query("select cast(p_partkey as bigint) as pos, 'casing' as cohort, 'part ' || p_brand as source, p_name as \"before\", upper(p_name) as \"after\", case when p_partkey % 2 = 0 then '' else 'clean;brand' end as stages, 'e10-' || substr(sha256(p_name || chr(0) || upper(p_name)), 1, 12) as id from part where p_partkey % 7 > 2")
+def qa_pack_parse(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("pos"), F.expr(PACK_LINE).alias("value"))
+    rows = readers.qa_pack(lines)
+    return rows.select("pos", "cohort", "source", "before", "after", F.array_join("stages", ";").alias("stages"), text.row_id(F.col("before"), F.col("after")).alias("id"))
+
+
+@query("select p.id, p.ground_truth, p.reason, original from pairs p")
+def merge_rulings(spark, sf_dir):
+    pairs = view(spark, sf_dir, "pairs")
+    blank = pairs.select("id", "original", F.lit(None).cast("string").alias("ground_truth"), F.lit(None).cast("string").alias("reason"))
+    return journal.merge_rulings(blank, pairs.select("id", "ground_truth", "reason")).select("id", "ground_truth", "reason", "original")
+
+
+@query("select distinct cast(l_partkey as bigint) as l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 4 > 0)")
+def unknown_rulings(spark, sf_dir):
+    known = table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_partkey").distinct().join(known, "l_partkey", "left_anti").select(F.col("l_partkey").cast("long").alias("l_partkey"))
+
+
+def records(spark, sf_dir):
+    """conversations as journals: a user rules, an assistant notes, a system line undoes; every fifth turn undoes too."""
+    c = table(spark, sf_dir, "conversations")
+    undo = (F.col("role") == "system") | (F.col("turn") % 5 == 4)
+    action = F.when(undo, "undo").when(F.col("role") == "user", "rule").otherwise("note")
+    key = F.concat(F.lit("p"), (F.length("text") % 3).cast("string"))
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), key.alias("pair_id"), F.when(F.length("text") % 2 == 0, "approve").otherwise("reject").alias("ground_truth"), F.when(F.length("text") % 2 == 0, "ok").otherwise("casing_error").alias("reason"), F.substring("text", 1, 20).alias("notes"), (F.length("text") * 10).cast("long").alias("elapsed_ms"))
+
+
+@query()
+def journal_replay(spark, sf_dir):
+    """A fold that SQL cannot express; tests hold it against a plain replay."""
+    return journal.replay(records(spark, sf_dir))
+
+
+RECORDS = """rec as (select conv_id as session, turn as seq, case when role = 'system' or turn % 5 = 4 then 'undo' when role = 'user' then 'rule' else 'note' end as action, 'p' || (length(text) % 3) as pair_id, length(text) * 10 as elapsed_ms, substr(text, 1, 20) as notes from conversations)"""
+
+
+@query(f"""with {RECORDS}, s as (select session, count(*) filter (action = 'rule') as ruled, 0 as skipped, count(*) filter (action = 'undo') as undone, count(*) filter (action = 'note') as noted, cast(sum(elapsed_ms) as bigint) as elapsed_ms from rec group by session)
+ select *, greatest(ruled - undone, 0) as decisions, round(coalesce(greatest(ruled - undone, 0) / nullif(elapsed_ms / 60000.0, 0), 0), 6) as decisions_per_minute from s""")
+def session_tallies(spark, sf_dir):
+    return rounded(journal.session_tallies(records(spark, sf_dir)), "decisions_per_minute")
+
+
+@query(f"with {RECORDS} select session, pair_id, max_by(notes, seq) as notes from rec where action in ('rule', 'note') and notes <> '' group by session, pair_id")
+def journal_notes(spark, sf_dir):
+    return journal.notes(records(spark, sf_dir))
+
+
+@query("select id, pos from pairs p where pos % 3 <> 1")
+def pending_rows(spark, sf_dir):
+    pairs = view(spark, sf_dir, "pairs")
+    return journal.pending_rows(pairs.select("id", "pos"), pairs.where("pos % 3 = 1").select(F.col("id").alias("pair_id")))
+
+
+@query()
+def word_diff(spark, sf_dir):
+    """Alignment heuristics that SQL cannot express; tests hold it against plain calls."""
+    return view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), text.word_diff("original", "enriched").alias("diff"))
+
+
+def _files(df: DataFrame, parts: int) -> tuple[str, str]:
+    """The rows as several JSON files, to be streamed."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    df.repartition(parts).write.json(path)
+    return path, df._jdf.schema().toDDL()
+
+
+@query()
+def stream_tally(spark, sf_dir):
+    path, schema = _files(view(spark, sf_dir, "votes"), 4)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(path)
+    out = twins.run_to_end(spark, twins.stream_tally(stream))
+    return rounded(out, "verdict_flip_rate", "reason_flip_rate").select("backend", "pair_id", "n_votes", "verdict", "reason", "verdict_flip_rate", "reason_flip_rate")
+
+
+@query("select backend, count(*) filter (ok = 1) as calls_ok, count(*) filter (ok = 0) as calls_failed, round(min(latency_s) filter (ok = 1), 6) as latency_min, round(max(latency_s) filter (ok = 1), 6) as latency_max from calls group by backend")
+def stream_health(spark, sf_dir):
+    path, schema = _files(view(spark, sf_dir, "calls"), 4)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(path)
+    return rounded(twins.run_to_end(spark, twins.stream_health(stream)), "latency_min", "latency_max")
+
+
+ORACLES["stream_tally"] = ORACLES["tally_votes"]

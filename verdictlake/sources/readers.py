@@ -1,0 +1,129 @@
+"""Readers of judge data: JSON lines, manifests, markdown tables, journals, slates."""
+
+from __future__ import annotations
+
+import tomllib
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import strip
+from ..operators.guards import GuardError
+from ..schema import JOURNAL, MANIFEST, PAIR, VERDICT
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def roster(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
+    """Backends by file stem, from a listing: files without rows count, and readers skip them."""
+    fs, p = _fs(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName().endswith(suffix))
+    return spark.createDataFrame([(n.removesuffix(suffix),) for n in names], "backend string")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) of a file that one task can read, such as a pairs file or a journal."""
+    whole = spark.read.text(path, wholetext=True)
+    parts = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("seq", "value"))
+    return parts.where(strip(F.col("value")) != "")
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs with their file position; blank lines are skipped, half rulings refused."""
+    rows = _lines(spark, path).select(F.col("seq").cast("long").alias("pos"), F.from_json("value", PAIR, {"mode": "FAILFAST"}).alias("p")).select("p.*", "pos")
+    half = F.assert_true(F.col("ground_truth").isNull() == F.col("reason").isNull(), F.lit("ground_truth and reason go together"))
+    return rows.where(half.isNull())
+
+
+def pair_order(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_id, rank): nothing but ids is parsed."""
+    ids = _lines(spark, path).select("seq", F.get_json_object("value", "$.id").alias("pair_id"))
+    return ids.select("pair_id", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("rank"))
+
+
+def read_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """All results files of a folder, strictly; backend is the file's stem. Keys that are not known are ignored."""
+    if not any(r for r in roster(spark, folder).take(1)):
+        return spark.createDataFrame([], T.StructType([*VERDICT.fields, T.StructField("backend", T.StringType())]))
+    rows = spark.read.schema(VERDICT).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(folder)
+    rows = rows.withColumn("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""))
+    return rows.withColumns({"run_index": F.coalesce("run_index", F.lit(0).cast("long")), "cached_tokens": F.col("usage.cached_tokens")})
+
+
+TOLERANT = "pair_id string, verdict string, reason string, model_id string"
+
+
+def read_votes_tolerant(spark: SparkSession, folder: str) -> DataFrame:
+    """Four fields of whatever parses, in all folders below; a missing folder is empty."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], TOLERANT)
+    rows = spark.read.schema(TOLERANT).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
+    return rows.dropna()
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Provenance fields, with unreadable lines kept in `_corrupt`."""
+    schema = "base_url string, config_digest string, code_version string, _corrupt string"
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""))
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per `*.manifest.json`; what cannot be read is all null."""
+    if not roster(spark, folder, ".manifest.json").take(1):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.manifest.json").json(folder)
+    return rows.withColumn("backend", F.coalesce("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.manifest\.json$", "")))
+
+
+def qa_pack(lines: DataFrame) -> DataFrame:
+    """(value) lines of markdown -> cohort, source, before, after, stages. A table row has pipes at both ends and five cells."""
+    line = strip(F.col("value"))
+    cells = F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|", -1), strip)
+    rows = lines.select("*", line.alias("_line"), cells.alias("_cells")).where(F.col("_line").rlike(r"^\|.*\|$") & (F.length("_line") > 1) & (F.size("_cells") == 5))
+    rule = F.forall("_cells", lambda c: c.rlike("^[-:]+$"))
+    rows = rows.where(~rule & (F.lower(F.col("_cells")[0]) != "cohort"))
+    names = ("cohort", "source", "before", "after")
+    dash = F.col("_cells")[4].isin("—", "")
+    stages = F.when(dash, F.array().cast("array<string>")).otherwise(F.transform(F.split(F.col("_cells")[4], ","), strip))
+    kept = [c for c in lines.columns if c != "value"]
+    return rows.select(*kept, *[F.col("_cells")[i].alias(n) for i, n in enumerate(names)], stages.alias("stages"))
+
+
+def read_qa_pack(spark: SparkSession, path: str) -> DataFrame:
+    return qa_pack(_lines(spark, path).withColumnRenamed("seq", "pos"))
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Journal records in line order. A torn last line is dropped, a bad line before it is an error, no file is empty."""
+    schema = T.StructType([T.StructField("seq", T.IntegerType()), *JOURNAL.fields])
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    lines = _lines(spark, path).withColumn("good", F.try_parse_json("value").isNotNull()).withColumn("last", F.max("seq").over(Window.partitionBy()))
+    bad = lines.where("not good and seq < last").limit(1).collect()
+    if bad:
+        raise GuardError(f"journal line {bad[0]['seq'] + 1} cannot be read: {bad[0]['value'][:80]}")
+    return lines.where("good").select("seq", F.from_json("value", JOURNAL).alias("r")).select("seq", "r.*")
+
+
+def read_slate(spark: SparkSession, path: str) -> DataFrame:
+    """Backends of a TOML slate, with defaults; a handful of rows."""
+    _, p = _fs(spark, path)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    rows = []
+    for b in tomllib.loads(text).get("backend", tomllib.loads(text).get("backends", [])):
+        url = b["base_url"].rstrip("/")
+        if not url.startswith("https://"):
+            raise GuardError(f"{b['name']}: base_url must be https")
+        key = b.get("api_key_env") or b["name"].upper().replace("-", "_").replace(".", "_") + "_API_KEY"
+        rows.append((b["name"], url, b["model_id"], int(b["rpm"]), bool(b.get("eval_only", False)), key, b.get("api", "openai"), b.get("role", "judge"), float(b.get("timeout_s", 180)), b.get("temperature"), b.get("reasoning_effort"), b.get("structured_output")))
+    schema = "name string, base_url string, model_id string, rpm int, eval_only boolean, api_key_env string, api string, role string, timeout_s double, temperature double, reasoning_effort string, structured_output string"
+    return spark.createDataFrame(rows, schema)
