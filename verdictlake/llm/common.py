@@ -47,6 +47,20 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with smaller batches than by default (in bytes), unless the session sets a size itself.
+
+    Several batches and what is derived from them are in memory at a time.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_or_empty
+from .common import in_arrow, save, text_or_empty
 
 BLOCK_BITS = 10
 
@@ -133,8 +133,8 @@ def _merge(block_bits: int, least: int):
 
 def repeated_fingerprints(fps: DataFrame, block_bits: int = BLOCK_BITS, least: int = 2) -> DataFrame:
     """`fps` (one column, long) -> (fp, n) of the fingerprints that the merged filter counts `least` times or more."""
-    parts = fps.mapInArrow(_build(block_bits), "block int, filter binary")
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(block_bits, least), "fp long, n long")
+    parts = in_arrow(fps, _build(block_bits), "block int, filter binary")
+    return in_arrow(parts.repartition("block").sortWithinPartitions("block"), _merge(block_bits, least), "fp long, n long")
 
 
 def exact_dedup(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, in_arrow
 
 # Language families.
 FAMILIES = {
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, sample_rows: i
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = model or fit(docs, sample_rows)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
-    return d.mapInArrow(_score(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_arrow(d, _score(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, **how) -> DataFrame:
@@ -210,4 +210,4 @@ def known_language(docs: DataFrame, **how) -> DataFrame:
             if any(mask):
                 yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return in_arrow(docs, keep, schema)

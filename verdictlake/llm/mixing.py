@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, save
+from .common import NOT_SPACE, in_arrow, save
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -92,7 +92,7 @@ def schedule(targets: DataFrame, slots_of_smallest: int = SLOTS_OF_SMALLEST, max
     for r in rows:
         at += r["target"] / total if total else 0
         edges.append(at)
-    slots = spark.range(n).mapInArrow(_points([float(e) for e in edges[:-1]]), "slot long, rank int")
+    slots = in_arrow(spark.range(n), _points([float(e) for e in edges[:-1]]), "slot long, rank int")
     counts = slots.groupBy("rank").agg(F.count("*").alias("slots"))
     out = targets.join(counts, "rank", "left").withColumns({"slots": F.coalesce("slots", F.lit(0).cast("long")), "block": F.lit(block).cast("long")})
     return slots, out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_arrow, text_or_empty
 
 END_ID = 0
 SEQUENCE = 1024
@@ -100,7 +100,8 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, longest: int = S
     bucket is log2 of the length: all sequences of a bucket have the same length.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_pack(files or tokenizer_files(), longest, with_ids), schema)
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    pieces = in_arrow(texts, _pack(files or tokenizer_files(), longest, with_ids), schema)
     return pieces.withColumns(
         {
             "sequence_id": F.monotonically_increasing_id(),

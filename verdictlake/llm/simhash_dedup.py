@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import in_arrow, save
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -66,7 +66,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprints, "doc_id long, fp long")
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -150,7 +150,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Data
     twos = buckets.where("n = 2").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
     more = buckets.where(f"n > 2 and n <= {dense}").select("t", "key")
     met = rows.select("t", "key", "fp").join(more, ["t", "key"], "left_semi")
-    some = met.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_forest(radius), "u long, v long")
+    some = in_arrow(met.repartition("t", "key").sortWithinPartitions("t", "key"), _forest(radius), "u long, v long")
     found = twos.union(some)
     if buckets.where(f"n > {dense}").limit(1).count():
         large = rows.join(buckets.where(f"n > {dense}").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()

@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_or_empty
+from .common import in_arrow, save, text_or_empty
 from .exact_dedup import repeated_fingerprints
 
 MATCH, GRAM, RUN = 400, 16, 128
 #: Bytes hashed at once; longer texts are cut into pieces that overlap.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Keys, about 16 bytes each, up to which a semi-join broadcasts them; beyond it both sides are shuffled.
 BROADCAST_KEYS = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
@@ -233,8 +233,8 @@ def among(rows: DataFrame, keys: DataFrame, on: list[str], broadcast_keys: int =
 def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, broadcast_keys: int) -> DataFrame:
     """(k, h, text) -> (k, h, spans): start * 2^16 + length of spans that cover all repeated strings."""
     how = (match, gram, run, chunk)
-    cores = save(repeated_fingerprints(d.select("text").mapInArrow(_cores(*how), "core long")).select(F.col("fp").alias("core")), "pfp-cores")
-    rows = d.mapInArrow(_triggers(*how), "core long, context long, k long, h long, first long, n int")
+    cores = save(repeated_fingerprints(in_arrow(d.select("text"), _cores(*how), "core long")).select(F.col("fp").alias("core")), "pfp-cores")
+    rows = in_arrow(d, _triggers(*how), "core long, context long, k long, h long, first long, n int")
     rows = save(among(rows, cores, ["core"], broadcast_keys), "pfp-rows")
     classes = rows.groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("k", "h", "first", "n")).alias("one"))
     classes = save(classes, "pfp-contexts")
@@ -246,7 +246,7 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, br
     listed = ones.groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "times")).alias("of"))
     texts = among(d, save(ones.select("k").distinct(), "pfp-open"), ["k"], broadcast_keys)
     strings = texts.join(listed, ["k", "h"]).select("k", "h", "text", "of")
-    strings = save(strings.mapInArrow(_strings(match, chunk), "core long, string long, k long, h long, first long, single boolean"), "pfp-strings")
+    strings = save(in_arrow(strings, _strings(match, chunk), "core long, string long, k long, h long, first long, single boolean"), "pfp-strings")
     again = strings.groupBy("core", "string").agg(F.count("*").alias("times")).where("times > 1").select("core", "string")
     hits = strings.where("single").join(again, ["core", "string"], "left_semi")
     spans = spans.union(hits.select("k", "h", (F.col("first") * _PACK + match).alias("span")))
@@ -263,7 +263,7 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int
     spans = save(repeated_spans(keyed, match, gram, run, chunk, broadcast_keys), "pfp-spans")
     texts = among(keyed, save(spans.select("k").distinct(), "pfp-cut"), ["k"], broadcast_keys).dropDuplicates(["k", "h"])
     cut = texts.join(spans, ["k", "h"]).select("k", "h", "text", "spans")
-    cut = save(cut.mapInArrow(_cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
+    cut = save(in_arrow(cut, _cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
     rows = d.select("doc_id", "k", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return rows.join(cut, ["k", "h"], "left").select(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_or_empty
+from .common import fold_of, in_arrow, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -276,4 +276,4 @@ def score(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None
     """One row per document: doc_id, held_out, score, predicted, offsets (begin and end of each toxic token, in characters)."""
     model = model or fit(docs, labels, sample_rows)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), text_or_empty().alias("text"))
-    return d.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, offsets array<int>")
+    return in_arrow(d, _score(model), "doc_id long, held_out boolean, score double, predicted int, offsets array<int>")
