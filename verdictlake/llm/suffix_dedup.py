@@ -7,20 +7,26 @@ Every string of `match` bytes belongs to one trigger: the first one that lies a
 run or more behind its start, which the string itself decides. The strings of one
 trigger start within one phrase, and all contain the same core around it.
 
-Corpus order is needed to the depth of `match` bytes only, so suffixes are ranked
-by classes instead of by one global array, from the parse down to the dictionary:
-
-1. parse: classes of cores, counted over the corpus in counting quotient filters;
-   a core that occurs once ends the search for all strings of its trigger.
-2. phrases with their context: all strings of a trigger, from the first to the end
-   of the last, are one class when the phrase, its place and its context are equal.
-   A class with two members settles all its strings at once.
-3. suffixes of phrases: only where a core has several contexts and some of them
-   occur once, one representative of each context lists its strings one by one, and
-   equal ones are found among these.
-
-Classes are compared by core and a second 64-bit hash, 128 bits together. Rows
-move as hashes and offsets; texts move only to where their spans are cut out.
+Corpus order is needed to the depth of `match` bytes only, and only where strings
+repeat, so the parse is first reduced to that:
+
+1. cores are counted over the corpus in counting quotient filters; one that occurs
+   once ends the search for all strings of its trigger.
+2. the dictionary: triggers with equal context (all bytes of all their strings, at
+   equal places) are one entry. An entry that occurs twice settles all its strings.
+3. where a core has several entries and some of them occur once, one text each
+   stands for the entry. The suffix array of the dictionary (what stands before the
+   trigger, read towards it) and that of the parse (what follows it) are built for
+   the entries of a shard, and combine into corpus order for every length x before
+   the trigger: by class of the last x bytes, then by rank of what follows. Strings
+   are equal exactly if neighbours in that order are, by the smallest LCP between.
+
+Entries of one core meet in one shard, up to `entries` of them; a core with more
+lists the strings of each entry by hash instead, dealt string by string.
+
+Entries and listed strings are compared by core and a second 64-bit hash, 128 bits
+together. Rows move as hashes and offsets; texts move only where entries are taken
+or spans are cut out of them.
 
 Defined results: a null text is empty; texts shorter than `match` bytes lose
 nothing; rows that repeat a text lose it all if it is long enough; rows are told
@@ -43,6 +49,8 @@ from .exact_dedup import repeated_fingerprints
 MATCH, GRAM, RUN = 400, 16, 128
 #: Bytes hashed at once; longer texts are cut into pieces that overlap.
 CHUNK = 1 << 18
+#: Dictionary entries of one core that meet in one place, and entries whose arrays are built together.
+ENTRIES, SHARD = 8192, 16384
 #: Keys, about 16 bytes each, up to which a semi-join broadcasts them; beyond it both sides are shuffled.
 BROADCAST_KEYS = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
@@ -98,7 +106,7 @@ def triggers(rolling: Rolling, prefix: np.ndarray, gram: int, run: int) -> np.nd
 
 
 def parse(texts: list[bytes], match: int, gram: int, run: int, rolling: Rolling | None, chunk: int) -> tuple[Rolling | None, tuple[np.ndarray, ...]]:
-    """(text number, first start, number of starts, core, context) of each trigger that strings belong to."""
+    """(text number, first start, number of starts, core, context, bytes before the trigger) of each trigger that strings belong to."""
     found: list[tuple[np.ndarray, ...]] = []
     group: list[tuple[int, int, bytes, int]] = []  # text, offset, bytes, number of starts
 
@@ -123,7 +131,7 @@ def parse(texts: list[bytes], match: int, gram: int, run: int, rolling: Rolling
         context = rolling.of(prefix, first, last - first + match)
         context = mixed(context ^ mixed(((t - first) * _PACK + (last - first)).astype(np.uint64)))
         number, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        found.append((number[part], first - at[part] + offset[part], last - first + 1, core.view(np.int64), context.view(np.int64)))
+        found.append((number[part], first - at[part] + offset[part], last - first + 1, core.view(np.int64), context.view(np.int64), t - first))
         group.clear()
 
     held = 0
@@ -137,7 +145,7 @@ def parse(texts: list[bytes], match: int, gram: int, run: int, rolling: Rolling
                 held = 0
     flush()
     if not found:
-        return rolling, tuple(np.zeros(0, np.int64) for _ in range(5))
+        return rolling, tuple(np.zeros(0, np.int64) for _ in range(6))
     return rolling, tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -162,16 +170,114 @@ def _triggers(match: int, gram: int, run: int, chunk: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                rolling, (i, first, n, core, context) = parse(_utf8(part.column(2)), match, gram, run, rolling, chunk)
+                rolling, (i, first, n, core, context, lead) = parse(_utf8(part.column(2)), match, gram, run, rolling, chunk)
                 doc, h = (part.column(c).to_numpy(zero_copy_only=False)[i] if i.size else i for c in (0, 1))
-                cols = [core, context, doc, h, first.astype(np.int64), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "context", "k", "h", "first", "n"])
+                cols = [core, context, doc, h, first.astype(np.int64), n.astype(np.int32), lead.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "context", "k", "h", "first", "n", "lead"])
+
+    return go
+
+
+def _entries(match: int):
+    """(k, h, text, list of core, first, n, lead, times) -> a row for each dictionary entry, with its bytes."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                text = batch.column(2).slice(r, 1).cast(pa.binary())[0].as_py()
+                flat = batch.column(3).slice(r, 1).flatten()
+                core, first, n, lead, times = flat.flatten()
+                size = len(flat)
+                part = [text[a : a + b + match - 1] for a, b in zip(first.to_pylist(), n.to_pylist(), strict=True)]
+                k, h = (pa.array(np.full(size, batch.column(c)[r].as_py(), np.int64)) for c in (0, 1))
+                single = pa.array(times.to_numpy(zero_copy_only=False) == 1)
+                yield pa.RecordBatch.from_arrays([core, k, h, first, n, lead, single, pa.array(part, pa.binary())], ["core", "k", "h", "first", "n", "lead", "single", "part"])
+
+    return go
+
+
+def _sorted_common(core: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the parts (by core, then by bytes) and common lengths of neighbours; -1 between cores."""
+    cores = core.tolist()
+    order = np.array(sorted(range(len(parts)), key=lambda i: (cores[i], parts[i])), np.int64)
+    width = max(1, max(map(len, parts)))
+    rows = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in order.tolist()), np.uint8).reshape(-1, width)
+    unlike = rows[1:] != rows[:-1]
+    length = np.array([len(p) for p in parts])[order]
+    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
+    common = np.minimum(common, np.minimum(length[1:], length[:-1]))
+    return order, np.where(core[order[1:]] == core[order[:-1]], common, -1)
+
+
+class RangeLeast:
+    """Least value of any stretch of an array."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while (half := 1 << len(self.levels) - 1) * 2 <= values.size:
+            self.levels.append(np.minimum(self.levels[-1][:-half], self.levels[-1][half:]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Over [start, end), start < end."""
+        level = np.frexp((end - start).astype(float))[1] - 1
+        out = np.empty(start.size, np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][start[at]], self.levels[k][end[at] - (1 << k)])
+        return out
+
+
+def equal_strings(core: np.ndarray, parts: list[bytes], lead: np.ndarray, n: np.ndarray, match: int) -> np.ndarray:
+    """Entries x lengths before the trigger (from the least of all): whether that string of the entry is one of another entry too."""
+    by_left, left_common = _sorted_common(core, [p[:a][::-1] for p, a in zip(parts, lead.tolist(), strict=True)])
+    by_right, right_common = _sorted_common(core, [p[a:] for p, a in zip(parts, lead.tolist(), strict=True)])
+    rank = np.empty(core.size, np.int64)
+    rank[by_right] = np.arange(core.size)
+    least = RangeLeast(right_common)
+    low = int((lead - n + 1).min())
+    out = np.zeros((core.size, int(lead.max()) - low + 1), bool)
+    for x in range(low, low + out.shape[1]):
+        kind = np.empty(core.size, np.int64)
+        kind[by_left] = np.r_[0, np.cumsum(left_common < x)]
+        i = np.flatnonzero((x <= lead) & (x > lead - n))
+        i = i[np.lexsort((rank[i], kind[i]))]  # corpus order of the strings with x bytes before the trigger
+        a, b = i[:-1], i[1:]
+        same = np.flatnonzero(kind[a] == kind[b])
+        a, b = a[same], b[same]
+        equal = least.of(rank[a], rank[b]) >= match - x if a.size else np.zeros(0, bool)
+        out[a[equal], x - low] = out[b[equal], x - low] = True
+    return out
+
+
+def _corpus_order(match: int, shard: int):
+    """Entries sorted by core -> packed spans of the strings of single entries that another entry has too."""
+
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        core, k, h, first, n, lead, single, parts = (list(c) for c in zip(*rows, strict=True))
+        core, k, h, first, n, lead = (np.array(c, np.int64) for c in (core, k, h, first, n, lead))
+        hit = equal_strings(core, parts, lead, n, match) & np.array(single)[:, None]
+        low = int((lead - n + 1).min())
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # lengths low + a .. low + b - 1
+        start = first[i] + lead[i] - (low + b - 1)
+        return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(h[i]), pa.array(start * _PACK + (b - a - 1) + match)], ["k", "h", "span"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= shard and row[0] != rows[-1][0]:
+                    yield spans(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield spans(rows)
 
     return go
 
 
 def _strings(match: int, chunk: int):
-    """(k, h, text, list of core, first, n, times) -> a row for each string: core, hash, k, h, start, single."""
+    """(k, h, text, list of core, first, n, lead, times) -> a row for each string: core, hash, k, h, start, single."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = None
@@ -180,7 +286,7 @@ def _strings(match: int, chunk: int):
                 text = batch.column(2).slice(r, 1).cast(pa.binary())[0].as_buffer()
                 data = np.frombuffer(text, np.uint8)
                 flat = batch.column(3).slice(r, 1).flatten()
-                core, first, n, times = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
+                core, first, n, _, times = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
                 order = np.argsort(first)
                 core, first, n, times = core[order], first[order], n[order], times[order]
                 a = 0
@@ -230,37 +336,44 @@ def among(rows: DataFrame, keys: DataFrame, on: list[str], broadcast_keys: int =
     return rows.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, on, "left_semi")
 
 
-def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, broadcast_keys: int) -> DataFrame:
+def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, broadcast_keys: int, entries: int) -> DataFrame:
     """(k, h, text) -> (k, h, spans): start * 2^16 + length of spans that cover all repeated strings."""
     how = (match, gram, run, chunk)
     cores = save(repeated_fingerprints(in_arrow(d.select("text"), _cores(*how), "core long")).select(F.col("fp").alias("core")), "pfp-cores")
-    rows = in_arrow(d, _triggers(*how), "core long, context long, k long, h long, first long, n int")
+    rows = in_arrow(d, _triggers(*how), "core long, context long, k long, h long, first long, n int, lead int")
     rows = save(among(rows, cores, ["core"], broadcast_keys), "pfp-rows")
-    classes = rows.groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("k", "h", "first", "n")).alias("one"))
-    classes = save(classes, "pfp-contexts")
+    classes = rows.groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("k", "h", "first", "n", "lead")).alias("one"))
+    classes = save(classes, "pfp-dictionary")
     settled = rows.join(classes.where("times > 1").select("core", "context"), ["core", "context"], "left_semi")
     spans = settled.select("k", "h", (F.col("first") * _PACK + F.col("n") + (match - 1)).alias("span"))
-    # cores with a context that occurs once beside others
-    unsure = classes.groupBy("core").agg(F.count("*").alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1").select("core")
-    ones = save(classes.join(unsure, "core").select("core", "times", "one.*"), "pfp-representatives")
-    listed = ones.groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "times")).alias("of"))
-    texts = among(d, save(ones.select("k").distinct(), "pfp-open"), ["k"], broadcast_keys)
-    strings = texts.join(listed, ["k", "h"]).select("k", "h", "text", "of")
-    strings = save(in_arrow(strings, _strings(match, chunk), "core long, string long, k long, h long, first long, single boolean"), "pfp-strings")
-    again = strings.groupBy("core", "string").agg(F.count("*").alias("times")).where("times > 1").select("core", "string")
-    hits = strings.where("single").join(again, ["core", "string"], "left_semi")
-    spans = spans.union(hits.select("k", "h", (F.col("first") * _PACK + match).alias("span")))
+    # cores with an entry that occurs once beside others
+    unsure = classes.groupBy("core").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("size > 1 and least = 1").select("core", "size")
+    ones = save(classes.join(unsure, "core").select("core", "size", "times", "one.*"), "pfp-open")
+    texts = save(ones.groupBy("k").agg(F.max("size").alias("size")), "pfp-texts")
+
+    def taken(of: str, function, schema: str) -> DataFrame:
+        listed = ones.where(of).groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "lead", "times")).alias("of"))
+        return in_arrow(among(d, texts.select("k"), ["k"], broadcast_keys).join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
+
+    found = taken(f"size <= {entries}", _entries(match), "core long, k long, h long, first long, n int, lead int, single boolean, part binary")
+    found = in_arrow(found.repartition("core").sortWithinPartitions("core"), _corpus_order(match, SHARD), "k long, h long, span long")
+    spans = spans.union(found)
+    if texts.where(f"size > {entries}").limit(1).count():
+        strings = save(taken(f"size > {entries}", _strings(match, chunk), "core long, string long, k long, h long, first long, single boolean"), "pfp-strings")
+        again = strings.groupBy("core", "string").agg(F.count("*").alias("times")).where("times > 1").select("core", "string")
+        hits = strings.where("single").join(again, ["core", "string"], "left_semi")
+        spans = spans.union(hits.select("k", "h", (F.col("first") * _PACK + match).alias("span")))
     return spans.groupBy("k", "h").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, broadcast_keys: int = BROADCAST_KEYS, entries: int = ENTRIES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if 3 * run > match - gram + 3:
         raise ValueError("run is too long for match: a string might hold no trigger of its own")
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "h": F.xxhash64("text")})
     keyed = d.where(F.octet_length("text") >= match).select("k", "h", "text")
-    spans = save(repeated_spans(keyed, match, gram, run, chunk, broadcast_keys), "pfp-spans")
+    spans = save(repeated_spans(keyed, match, gram, run, chunk, broadcast_keys, entries), "pfp-spans")
     texts = among(keyed, save(spans.select("k").distinct(), "pfp-cut"), ["k"], broadcast_keys).dropDuplicates(["k", "h"])
     cut = texts.join(spans, ["k", "h"]).select("k", "h", "text", "spans")
     cut = save(in_arrow(cut, _cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
