@@ -61,6 +61,11 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of `docs` in the column `row`, beside the keys: names inside and outside cannot clash. Undo: select("row.*")."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in keys.items()])
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

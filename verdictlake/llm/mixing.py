@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, in_arrow, save
+from .common import NOT_SPACE, in_arrow, save, whole_rows
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Only documents at the end of a source's last block are taken in part; empty
     texts, of which nothing can be taken, stay once.
     """
-    took = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
-    took = took.groupBy("_id").agg(F.max("_n").alias("_n"))
-    out = docs.join(took, docs["doc_id"].eqNullSafe(took["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))).where("_n > 0")
-    return out.select(*docs.columns)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    took = mix(docs, **how).select(F.col("doc_id").alias("taken_id"), times.alias("times")).groupBy("taken_id").agg(F.max("times").alias("times"))
+    out = whole_rows(docs, id=F.col("doc_id")).join(took.where("times > 0"), F.col("id").eqNullSafe(F.col("taken_id")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
