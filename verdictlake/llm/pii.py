@@ -28,10 +28,12 @@ ROUNDS = 6
 DEMO_KEY = "set a secret key in production"
 
 # What the kinds look like. Runs are bounded, so that matching is linear in the text.
-NAMED = r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)"
+NAMED = r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+#: No finding is without one of these; a look for them is all that most texts cost.
+SIGNS = "[0-9@=:]"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<=" + NAMED + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{12,256})|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:" + NAMED + r"[A-Za-z0-9_+/-]{12,256}|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9]))",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
@@ -186,9 +188,9 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
     true = F.lit(True)
     at = F.instr(hit, "@")
     mail = F.concat(permuted(F.substring(hit, F.lit(1), at - 1), key, "email", DIGITS, LOWER, UPPER), F.substring(hit, at, F.length(hit)))
-    hexed = hit.rlike("^[0-9a-f]+$")
-    lead = F.when(hit.rlike("^A[KS]IA[A-Z0-9]{16}$"), F.lit(4)).otherwise(F.lit(0))
-    secret = F.when(hexed, permuted(hit, key, "secret", HEX)).otherwise(F.concat(F.substring(hit, F.lit(1), lead), permuted(F.substring(hit, lead + 1, F.length(hit)), key, "secret", DIGITS, LOWER, UPPER)))
+    lead = F.when(hit.rlike("^A[KS]IA[A-Z0-9]{16}$"), F.lit(4)).otherwise(F.length(F.regexp_extract(hit, "^" + NAMED, 0)))
+    told = F.substring(hit, lead + 1, F.length(hit))
+    secret = F.concat(F.substring(hit, F.lit(1), lead), F.when(told.rlike("^[0-9a-f]+$"), permuted(told, key, "secret", HEX)).otherwise(permuted(told, key, "secret", DIGITS, LOWER, UPPER)))
     country = F.when(hit.startswith("+"), F.length(F.regexp_extract(hit, r"^\+[0-9]+", 0))).otherwise(F.lit(0))
     rest = F.substring(hit, country + 1, F.length(hit))
     phone = F.when(F.length(_bare(rest)) > 6, F.concat(F.substring(hit, F.lit(1), country), refill(rest, permuted(_bare(rest), key, "phone", DIGITS)))).otherwise(refill(hit, permuted(_bare(hit), key, "phone", DIGITS)))
@@ -201,7 +203,7 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
         ("ssn", hit.rlike("^(?:" + PATTERNS["ssn"] + ")$"), true, refill(hit, permuted(_bare(hit), key, "ssn", DIGITS))),
         ("card", hit.rlike("^(?:" + PATTERNS["card"] + ")$"), *_card(hit, key)),
     ]
-    return [*rows, ("secret", true, true, secret)]  # what a name announces has no form of its own
+    return [("secret", hit.rlike("^(?:" + PATTERNS["secret"] + ")$"), true, secret), *rows]
 
 
 KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "card", "secret")
@@ -223,7 +225,7 @@ def found(text: Column, key: str = DEMO_KEY) -> Column:
 def pseudonymize(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """`docs` with the text replaced, and: found (see above), n_found, n_<kind>."""
     text = F.col("text").cast("string")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    has = F.coalesce(text.rlike(SIGNS) & text.rlike(ANY), F.lit(False))
     d = docs.drop("found", "n_found", *[f"n_{k}" for k in KINDS]).withColumn("found", F.when(has, found(text, key)))
     gaps = F.split(text, ANY, -1)
     whole = F.array_join(F.zip_with(gaps, F.transform("found", lambda x: x["pseudonym"]), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
