@@ -20,6 +20,8 @@ as next; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .common import save, text_or_empty
 
 LONGS = 2  # of 64 bits
 VOTES = 127
-RANGE_ROWS, MAX_RANGES = 512, 4095
+RANGE_ROWS, MAX_RANGES = 512, 65_535
 _BYTE = 0x0101010101010101
 
 
@@ -65,7 +67,7 @@ def simhash(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def _range_of(bounds: list[int]) -> Column:
     """Number of bounds (sorted) at or below doc_id, by binary search."""
     steps = F.array(*[F.lit(1 << k) for k in range(max(1, len(bounds)).bit_length() - 1, -1, -1)])
-    held = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # one literal, however many
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= F.col("doc_id"), F.lit(False)), at + step).otherwise(at))
 
 

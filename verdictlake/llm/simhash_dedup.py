@@ -122,27 +122,30 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def ball(bits: int, radius: int) -> list[int]:
-    """Signed flips of at most `radius` bits."""
-    from itertools import combinations
-
-    flips = [sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(bits), k)]
-    return [x - (1 << bits) if x >> (bits - 1) else x for x in flips]
+def _points(fps: DataFrame, radius: int) -> DataFrame:
+    """Every point within half the radius, of one bit or two: a fixed number for each fingerprint."""
+    one = lambda c: F.expr(f"shiftleft(1L, {c})")
+    places = F.sequence(F.lit(0), F.lit(BITS - 1))
+    out = fps.select("fp", F.explode(places).alias("i"))
+    if radius == 2:
+        flipped = out.select("fp", F.col("fp").bitwiseXOR(one("i")).alias("point"))
+    elif radius == 4:  # i = j flips one bit
+        out = out.select("fp", "i", F.explode(F.sequence(F.col("i"), F.lit(BITS - 1))).alias("j"))
+        flipped = out.select("fp", F.col("fp").bitwiseXOR(one("i").bitwiseOR(one("j"))).alias("point"))
+    else:
+        raise ValueError("points are made for radius 2 and 4")
+    return flipped.union(fps.select("fp", F.col("fp").alias("point")))
 
 
 def _near_points(fps: DataFrame, radius: int) -> DataFrame:
     """Links through shared points within half the radius: (fp, least fp at that point)."""
-    spark = fps.sparkSession
-    flips = spark.createDataFrame([(x,) for x in ball(BITS, radius // 2)], "flip long")  # a fixed number of rows
-    points = fps.join(F.broadcast(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    points = _points(fps, radius)
     least = points.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
     return points.join(least, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_edges(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """Distinct fingerprints -> edges whose components are those of all links within the radius."""
-    if radius % 2:
-        raise ValueError("radius must be even")
     masks = covering_masks(BITS, radius)
     rows = _tables(fps, masks)
     # of fingerprints in a bucket of two, only those are linked that are near
