@@ -524,3 +524,22 @@ def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from verdictlake.llm import common
+
+    common.save(spark.range(3), "x")
+    folder = common.run_dir(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.clear(spark)
+    assert not os.path.exists(folder)
+
+
+def test_stages_keep_rows_with_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e", "s"), (None, "a b c d e", "s"), (1, "x y z", "s"), (1, "x y z", "s")], "doc_id long, text string, source string")
+    assert sorted(str(r.doc_id) for r in exact_dedup.drop_copies(df).collect()) == ["1", "None"]
+    assert sorted(str(r.doc_id) for r in simhash_dedup.drop_near_copies(df).collect()) == ["1", "None"]
+    assert mixing.mixed_documents(df).where("doc_id is null").count() >= 2

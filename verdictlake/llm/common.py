@@ -26,6 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/verdictlake-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that `save` made in this application, once no result that reads them is needed any more."""
+    _delete(spark, run_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -33,7 +47,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     optimizer the true size, so that it broadcasts only what is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
@@ -42,9 +56,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by `save` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._saved_at)
 
 
 BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
@@ -62,8 +74,16 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
 
 
 def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
-    """Rows of `docs` in the column `row`, beside the keys: names inside and outside cannot clash. Undo: select("row.*")."""
-    return docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in keys.items()])
+    """Rows of `docs` in the column `row`, beside their id and other keys: names inside and outside cannot clash.
+
+    Undo it by select("row.*").
+    """
+    return docs.select(F.struct(*docs.columns).alias("row"), *id_keys(), *[c.alias(n) for n, c in keys.items()])
+
+
+def id_keys(doc_id: str = "doc_id") -> list[Column]:
+    """`id` and `none`: a key that joins and deals nulls like values."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(doc_id).isNull().alias("none")]
 
 
 def text_or_empty(col: str = "text") -> Column:

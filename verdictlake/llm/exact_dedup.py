@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, save, text_or_empty, whole_rows
+from .common import id_keys, in_arrow, save, text_or_empty, whole_rows
 
 BLOCK_BITS = 10
 
@@ -163,7 +163,6 @@ def exact_dedup(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that repeat a kept doc_id and text, one stays."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    keyed = whole_rows(docs, id=F.col("doc_id"), sha=F.sha2(text_or_empty(), 256))
-    kept = keyed.join(verdict, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    return kept.dropDuplicates(["id"]).select("row.*")
+    keys = ["id", "none", "sha"]
+    kept = exact_dedup(docs).where("kept").select(*id_keys(), F.col("text_sha256").alias("sha"))
+    return whole_rows(docs, sha=F.sha2(text_or_empty(), 256)).join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, in_arrow, save, whole_rows
+from .common import NOT_SPACE, id_keys, in_arrow, save, whole_rows
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -130,6 +130,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     texts, of which nothing can be taken, stay once.
     """
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    took = mix(docs, **how).select(F.col("doc_id").alias("taken_id"), times.alias("times")).groupBy("taken_id").agg(F.max("times").alias("times"))
-    out = whole_rows(docs, id=F.col("doc_id")).join(took.where("times > 0"), F.col("id").eqNullSafe(F.col("taken_id")))
+    took = mix(docs, **how).select(*id_keys(), times.alias("times")).groupBy("id", "none").agg(F.max("times").alias("times"))
+    out = whole_rows(docs).join(took.where("times > 0"), ["id", "none"])
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -68,6 +68,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"('{label}', {quoted(dict.fromkeys(t.split()))})" for label, t in license_scan.TEMPLATES.items())
+    upper, lower = (f"'{''.join(map(chr, range(a, a + 26)))}'" for a in (65, 97))
+    block, step = license_scan.BLOCK, license_scan.BLOCK // 2
+    return f"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+        p as (select * from (values {phrases}) p(phrase, label)), t as (select * from (values {templates}) t(label, tokens)),
+        place as (select doc_id, label, i from (select doc_id, w, unnest(range(len(w))) as i from w) w, p where w[i + 1 : i + len(phrase)] = phrase),
+        base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_distinct(list(label)) as labels from place group by doc_id),
+        b as (select doc_id, w[s + 1 : s + {block}] as b from (select doc_id, w, unnest(range(0, greatest(1, len(w) - {step}), {step})) as s from w)),
+        hit as (select doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) as c from b, t where len(list_intersect(list_distinct(b), tokens)) >= {license_scan.THRESHOLD} * len(tokens) - 1e-9),
+        more as (select doc_id, list_distinct(list(label)) as labels, max(c) as best from hit group by doc_id)
+        select w.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+          coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') as labels,
+          case when n_base > 0 then 1.0 else coalesce(best, 0.0) end::double as score
+        from w left join base on base.doc_id = w.doc_id left join more on more.doc_id = w.doc_id
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as text from documents)
@@ -75,4 +96,24 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) over (partition by text) as kept, sha256(text) as text_sha256
         from d
     """,
+    "op7_license_scan": _license_sql(),
+    "op8_source_mix": f"""
+        with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+            ('0x' || substr(md5(cast(doc_id as varchar)), 1, 12))::bigint as place from documents),
+        s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as r from d group by source),
+        c as (select *, {list(mixing.WEIGHTS)}[(r - 1) % {len(mixing.WEIGHTS)} + 1] as weight, {mixing.CAP} * source_size as cap from s),
+        o as (select *, sum(source_size) over () as total, coalesce(sum(cap) over (order by cap / weight, r rows between unbounded preceding and 1 preceding), 0) as filled,
+            sum(weight) over (order by cap / weight, r rows between current row and unbounded following) as unfilled from c),
+        l as (select *, (total * {mixing.SHARE} - filled) / unfilled as level from o),
+        k as (select min_by(level, cap / weight) as level from l where level <= cap / weight),
+        t as (select source, source_size, r, least(cast(cap as double), coalesce(k.level * weight, cap)) as target from l left join k on true),
+        g as (select cast(greatest(1, least({mixing.MAX_BLOCK}, floor(min(target) filter (target > 0) / {mixing.SLOTS_OF_SMALLEST}))) as bigint) as block, sum(target) as total from t),
+        e as (select t.*, block, sum(target / total) over (order by r) as hi, sum(target / total) over (order by r) - target / total as lo, row_number() over (order by r desc) = 1 as last from t, g),
+        p as (select i * {mixing.GOLDEN} - floor(i * {mixing.GOLDEN}) as p from (select unnest(range(cast(round(total / block) as bigint))) as i from g)),
+        n as (select r, count(*) as slots from p join e on p >= coalesce((select max(f.hi) from e f where f.r < e.r), 0) and (p < hi or last) group by r),
+        b as (select e.*, greatest(1, ceil(source_size / block)) as blocks, least(coalesce(slots, 0), 2 * greatest(1, ceil(source_size / block))) as slots from e left join n on n.r = e.r),
+        a as (select d.*, coalesce(sum(size) over (partition by source order by place % greatest(64, (select count(*) from d) // {mixing.RANGE_ROWS}), place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d)
+        select doc_id, size, source_size, target, cast(size * floor(slots / blocks) + greatest(0, least(size, (slots % blocks) * block - start)) as bigint) as taken
+        from a join b on a.source is not distinct from b.source
+    """,
 }

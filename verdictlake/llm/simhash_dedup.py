@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, save, whole_rows
+from .common import id_keys, in_arrow, save, whole_rows
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -178,6 +178,6 @@ def near_classes(docs: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> D
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, all columns, of which each class keeps the document with its least doc_id."""
-    keep = near_classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    keyed = whole_rows(docs, id=F.col("doc_id"))
-    return keyed.join(keep, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["id"]).select("row.*")
+    keys = ["id", "none"]
+    keep = near_classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*id_keys())
+    return whole_rows(docs).join(keep, keys, "left_semi").dropDuplicates(keys).select("row.*")
