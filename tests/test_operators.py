@@ -393,3 +393,29 @@ def test_reports(spark, sf):
     row = agreement.pooled_flips(v).first().asDict()
     assert "of" in report.flip_pane(row) and report.flip_pane(None) == "not judged yet"
     assert report.number(0.0625) == "0.062" and report.number(None) == "-"
+
+
+def test_places_over_ranges(spark):
+    from verdictlake.operators.ranking import placed
+
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.floor(F.col("id") / 100).alias("r"))
+    got = [r.id for r in placed(rows, [("g", True), ("r", False)], ["id"]).orderBy("place").collect()]
+    assert got == sorted(range(1000), key=lambda i: (-(i % 3), i))
+
+
+def test_run_manifest(spark, tmp_path):
+    from verdictlake.operators import manifest
+
+    (tmp_path / "slate.toml").write_text(SLATE)
+    s = readers.read_slate(spark, str(tmp_path / "slate.toml"))
+    calls = spark.createDataFrame([("x-1", 1, 1.0, None), ("x-1", 1, 3.0, None), ("x-1", 0, 9.0, "ReadTimeout"), ("y", 0, 1.0, "X")], "backend string, ok int, latency_s double, error_kind string")
+    pairs = spark.createDataFrame([("B", None), (None, None)], "brand string, mpn string")
+    now = manifest.health(calls)
+    health_type = now.schema["health"].dataType.simpleString()
+    before = spark.createDataFrame([], f"backend string, identity struct<model_id:string>, launches array<{health_type}>")
+    before = before.union(now.where("backend = 'x-1'").select("backend", F.struct(F.lit("m").alias("model_id")), F.array("health")))
+    got = {r.backend: r for r in manifest.run_manifest(s, calls, pairs, before, {"code_version": "c"}).collect()}
+    x = got["x-1"]
+    assert (x.health.latency_median, x.health.latency_p95, x.cumulative.launches, x.cumulative.calls_ok, x.cumulative.error_kinds) == (2.0, 3.0, 2, 4, {"ReadTimeout": 2})
+    assert got["y"].health.latency_median is None and x.prompt_variants == {"brand": 1, "none": 1} and x.n_pairs == 2
+    json.loads(sinks.manifest_line(manifest.run_manifest(s, calls, pairs, before, {})).first().value)

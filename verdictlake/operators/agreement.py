@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import placed, ranges
 from .tally import tally
 
 
@@ -73,18 +74,11 @@ def pooled_flips(votes: DataFrame) -> DataFrame:
 
 def operator_queue(pairs: DataFrame, flips: DataFrame) -> DataFrame:
     """Rows in the order a person should see them, as a rank column: judged first, undecided before decided, most flips, file order."""
-    from pyspark.sql import Window
-
     undecided = (F.col("verdict").isNull() | F.col("reason").isNull()).cast("int")
     rows = pairs.select(F.col("id").alias("pair_id"), "pos").join(flips.select("pair_id", "n_votes", F.round("verdict_flip_rate", 9).alias("flip"), undecided.alias("undecided")), "pair_id", "left")
     rows = rows.select("pair_id", "pos", F.col("n_votes").isNull().cast("int").alias("unjudged"), F.coalesce("undecided", F.lit(0)).alias("undecided"), F.coalesce("flip", F.lit(0.0)).alias("flip"))
-    keys = [F.col("unjudged"), F.col("undecided").desc(), F.col("flip").desc()]
-    # ranks without one global window: sizes of the few distinct key groups, then places within a group and range of pos
-    groups = rows.groupBy("unjudged", "undecided", "flip").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.withColumn("before", before).drop("size")
-    within = F.row_number().over(Window.partitionBy("unjudged", "undecided", "flip").orderBy("pos"))
-    return rows.join(F.broadcast(groups), ["unjudged", "undecided", "flip"]).select("pair_id", (F.col("before") + within).alias("place"), "undecided", "flip")
+    rows = placed(rows.withColumn("range", ranges("pos")), [("unjudged", False), ("undecided", True), ("flip", True), ("range", False)], ["pos"])
+    return rows.select("pair_id", "place", "undecided", "flip")
 
 
 def deadlocks(tallied: DataFrame, leg: str) -> DataFrame:

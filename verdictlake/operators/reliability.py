@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import placed, ranges
+
 PREFIX_SLACK, UNUSABLE = 1.1, 2.0
 TIMEOUT_SUFFIX, CONTRACT, QUOTA = "Timeout", "JudgeResponseError", "QuotaExhausted"
 IDENTITY = ("model_id", "base_url", "api", "temperature", "reasoning_effort", "config_digest", "code_version")
@@ -71,7 +73,7 @@ def accumulate(previous: DataFrame, launches: DataFrame) -> DataFrame:
     identity, health. A history of another identity is dropped, and counted.
     """
     joined = launches.alias("l").join(previous.alias("p"), "backend", "left").select("backend", F.col("l.identity").alias("now"), F.col("p.identity").alias("before"), "health", F.col("p.launches").alias("old"))
-    fields = tuple(f for f in IDENTITY if f in joined.schema["now"].dataType.names)
+    fields = tuple(f for f in IDENTITY if all(f in joined.schema[side].dataType.names for side in ("now", "before")))
     keep = F.col("before").isNull() | same_run("before", "now", fields)
     none = F.slice(F.array("health"), 1, 0)
     old = F.coalesce("old", none)
@@ -133,7 +135,7 @@ def coverage_shapes(votes: DataFrame, order: DataFrame | None = None, total_pair
     order = reconstructed_order(votes) if order is None else order
     known = order.agg(F.count("*").alias("n_order"))
     extra = seen.join(order, "pair_id", "left_anti").groupBy("pair_id").agg(F.min("backend").alias("b"))
-    tail = extra.join(F.broadcast(known)).select("pair_id", (F.row_number().over(Window.orderBy("b", "pair_id")) - 1 + F.col("n_order")).alias("rank"))
+    tail = placed(extra, [("b", False)], ["pair_id"]).join(F.broadcast(known)).select("pair_id", (F.col("place") - 1 + F.col("n_order")).alias("rank"))
     ranked = order.select("pair_id", F.col("rank").cast("long").alias("rank")).unionByName(tail)
     size = ranked.agg(F.greatest(F.count("*"), F.lit(total_pairs or 0)).alias("total_pairs"))
     by = seen.join(ranked, "pair_id").groupBy("backend").agg(F.count("*").alias("distinct_pairs"), (F.max("rank") + 1).alias("span")).join(F.broadcast(size))
@@ -150,8 +152,9 @@ def reconstructed_order(votes: DataFrame) -> DataFrame:
     ref = sizes.agg(F.min(F.struct((-F.col("n")).alias("n"), "backend"))["backend"].alias("backend"))
     main = seen.join(F.broadcast(ref), "backend").select("pair_id", F.lit(0).alias("part"), F.lit("").alias("b"), "first")
     rest = seen.join(main, "pair_id", "left_anti").groupBy("pair_id").agg(F.min("backend").alias("b")).select("pair_id", F.lit(1).alias("part"), "b", F.lit(0).cast("long").alias("first"))
-    both = main.withColumn("first", F.col("first").cast("long")).unionByName(rest)
-    return both.select("pair_id", (F.row_number().over(Window.orderBy("part", "b", "first", "pair_id")) - 1).cast("long").alias("rank"))
+    both = main.withColumn("first", F.col("first").cast("long")).unionByName(rest).withColumn("range", ranges("first"))
+    out = placed(both, [("part", False), ("b", False), ("range", False)], ["first", "pair_id"])
+    return out.select("pair_id", (F.col("place") - 1).alias("rank"))
 
 
 def host_of(url: Column) -> Column:
