@@ -73,7 +73,7 @@ def tiers(scores: DataFrame) -> DataFrame:
     islands = scores.withColumn("_new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
     islands = islands.withColumn("_island", F.sum("_new").over(order))
     best = islands.withColumn("_best", F.max("kappa").over(Window.partitionBy("_island")))
-    return best.withColumn("tier", F.dense_rank().over(Window.orderBy(F.col("_best").desc(), "_island"))).drop("_new", "_island", "_best")
+    return best.withColumn("tier", F.dense_rank().over(Window.orderBy(F.col("_best").desc(), "_island")).cast("long")).drop("_new", "_island", "_best")
 
 
 def tiers_theta(scores: DataFrame) -> DataFrame:

@@ -350,7 +350,7 @@ def completion(spark, sf_dir):
 
 
 @query("""with one as (select case when backend in ('m0', 'm1', 'm2') then 'alpha' else backend end as file, base_url, model_id, prompt_version from votes )
- select file, string_agg(distinct base_url, ',' order by base_url) as base_url, 0 as unknown_rows, 0 as malformed_rows, count(*) as total_rows, count(distinct base_url) > 1 as is_mixed from one group by file""")
+ select file, string_agg(distinct base_url, ',' order by base_url) as base_url, cast(0 as bigint) as unknown_rows, cast(0 as bigint) as malformed_rows, count(*) as total_rows, count(distinct base_url) > 1 as is_mixed from one group by file""")
 def provenance_audit(spark, sf_dir):
     files = view(spark, sf_dir, "votes").withColumn("file", F.when(F.col("backend").isin("m0", "m1", "m2"), "alpha").otherwise(F.col("backend")))
     return guards.provenance_audit(files, "file")
@@ -404,8 +404,8 @@ PAYLOAD = """case event_id % 5 when 0 then concat('{"usage": {"prompt_tokens": '
  when 1 then concat('{"usage": {"input_tokens": ', event_id % 800, ', "output_tokens": 0, "cache_read_input_tokens": 5}}') when 2 then '{"usage": {"prompt_tokens": true, "completion_tokens": 3.5}}' when 3 then '{"usage": {}}' else '{"usage": {"total_tokens": 12, "completion_tokens_details": {"reasoning_tokens": 0}}}' end"""
 
 
-@query("""select event_id, case event_id % 5 when 0 then event_id % 900 when 1 then event_id % 800 end as prompt_tokens, case event_id % 5 when 0 then 7 when 1 then 0 end as completion_tokens,
- case event_id % 5 when 0 then event_id % 900 + 7 when 1 then event_id % 800 when 4 then 12 end as total_tokens, case event_id % 5 when 0 then event_id % 3 when 1 then 5 end as cached_tokens, case when event_id % 5 = 4 then 0 end as reasoning_tokens from events""")
+@query("""select event_id, case event_id % 5 when 0 then event_id % 900 when 1 then event_id % 800 end as prompt_tokens, cast(case event_id % 5 when 0 then 7 when 1 then 0 end as bigint) as completion_tokens,
+ case event_id % 5 when 0 then event_id % 900 + 7 when 1 then event_id % 800 when 4 then 12 end as total_tokens, case event_id % 5 when 0 then event_id % 3 when 1 then 5 end as cached_tokens, cast(case when event_id % 5 = 4 then 0 end as bigint) as reasoning_tokens from events""")
 def usage_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("payload", F.expr(PAYLOAD))
     u = e.select("event_id", text.usage(F.col("payload")).alias("u"))
@@ -453,7 +453,7 @@ def journal_replay(spark, sf_dir):
 RECORDS = """rec as (select conv_id as session, turn as seq, case when role = 'system' or turn % 5 = 4 then 'undo' when role = 'user' then 'rule' else 'note' end as action, 'p' || (length(text) % 3) as pair_id, length(text) * 10 as elapsed_ms, substr(text, 1, 20) as notes from conversations)"""
 
 
-@query(f"""with {RECORDS}, s as (select session, count(*) filter (action = 'rule') as ruled, 0 as skipped, count(*) filter (action = 'undo') as undone, count(*) filter (action = 'note') as noted, cast(sum(elapsed_ms) as bigint) as elapsed_ms from rec group by session)
+@query(f"""with {RECORDS}, s as (select session, count(*) filter (action = 'rule') as ruled, cast(0 as bigint) as skipped, count(*) filter (action = 'undo') as undone, count(*) filter (action = 'note') as noted, cast(sum(elapsed_ms) as bigint) as elapsed_ms from rec group by session)
  select *, greatest(ruled - undone, 0) as decisions, round(coalesce(greatest(ruled - undone, 0) / nullif(elapsed_ms / 60000.0, 0), 0), 6) as decisions_per_minute from s""")
 def session_tallies(spark, sf_dir):
     return rounded(journal.session_tallies(records(spark, sf_dir)), "decisions_per_minute")
