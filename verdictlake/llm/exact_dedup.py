@@ -24,7 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import id_keys, in_arrow, save, text_or_empty, whole_rows
 
-BLOCK_BITS = 10
+#: Blocks are 2^bits: more of them for larger inputs, so that one block's filters fit into a task's memory.
+LEAST_BITS, MOST_BITS, BYTES_A_BLOCK = 10, 16, 1 << 27
+
+
+def block_bits_for(df: DataFrame) -> int:
+    """From the optimizer's estimate of the input's size, which costs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 62  # rows that are in memory only have no estimate
+    return min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BLOCK).bit_length() if known else 0))
 
 
 class CountingQuotientFilter:
@@ -131,13 +139,14 @@ def _merge(block_bits: int, least: int):
     return run
 
 
-def repeated_fingerprints(fps: DataFrame, block_bits: int = BLOCK_BITS, least: int = 2) -> DataFrame:
+def repeated_fingerprints(fps: DataFrame, block_bits: int | None = None, least: int = 2) -> DataFrame:
     """`fps` (one column, long) -> (fp, n) of the fingerprints that the merged filter counts `least` times or more."""
+    block_bits = block_bits or block_bits_for(fps)
     parts = in_arrow(fps, _build(block_bits), "block int, filter binary")
     return in_arrow(parts.repartition("block").sortWithinPartitions("block"), _merge(block_bits, least), "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, block_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     d = docs.select("doc_id", text_or_empty().alias("text")).withColumn("fp", F.xxhash64("text"))
     repeated = save(repeated_fingerprints(d.select("fp"), block_bits).select("fp"), "dedup-repeated")
