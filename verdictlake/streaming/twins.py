@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,31 @@ def stream_dedupe(votes: DataFrame, ts: str | None = None, delay: str = "1 hour"
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Exactly-once sink: `write` must be idempotent by batch id."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+STANDING = "session string, place int, pair_id string, ground_truth string, reason string"
+
+
+def _replay(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Standing rulings of one journal after these records; state: [[pair, [[truth, reason], ...]], ...] as JSON."""
+    standing = json.loads(state.get[0]) if state.exists else []
+    rows = pd.concat(list(batches)).sort_values("seq")
+    for r in rows.itertuples(index=False):
+        if r.action == "rule" and r.pair_id is not None:
+            old = next((s for s in standing if s[0] == r.pair_id), [r.pair_id, []])
+            standing = [s for s in standing if s[0] != r.pair_id] + [[r.pair_id, [*old[1], [r.ground_truth, r.reason]]]]
+        elif r.action == "undo" and standing:
+            pair, past = standing.pop()
+            if past[:-1]:
+                standing.append([pair, past[:-1]])
+    state.update((json.dumps(standing),))
+    yield pd.DataFrame([(key[0], i, p, *h[-1]) for i, (p, h) in enumerate(standing)], columns=[c.split()[0] for c in STANDING.split(", ")])
+
+
+def stream_replay(records: DataFrame) -> DataFrame:
+    """Replay of growing journals: each batch emits the standing rulings of the journals that it touches.
+
+    A journal is appended to in order, so records of a batch follow those before it.
+    """
+    rows = records.select(F.col("session").cast("string").alias("session"), "seq", "action", "pair_id", "ground_truth", "reason")
+    return rows.groupBy("session").applyInPandasWithState(_replay, STANDING, "standing string", "update", "NoTimeout")
