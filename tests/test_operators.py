@@ -162,10 +162,14 @@ def test_guards(spark):
     full = "pair_id string, run_index long, model_id string, prompt_version string, temperature double, reasoning_effort string, base_url string, config_digest string, code_version string"
     rows = spark.createDataFrame([("p", 0, "m", "v3", None, None, None, "d", "c"), ("p", 0, "m", "v3", None, None, "u", "d", "c")], full)
     run = {"model_id": "m", "prompt_version": "v3", "temperature": None, "base_url": "u", "config_digest": "d"}
-    assert guards.resume_keys(rows, run).count() == 1
+    with pytest.raises(GuardError, match="lack provenance"):
+        guards.resume_keys(rows, run)
+    with pytest.raises(GuardError, match="served by v"):
+        guards.resume_keys(rows, run, manifest_host="v")
+    assert guards.resume_keys(rows, run, allow_unknown=True).count() == guards.resume_keys(rows, run, manifest_host="u").count() == 1
     for change in ({"temperature": 0.0}, {"config_digest": "other"}, {"model_id": "x"}):
         with pytest.raises(GuardError):
-            guards.resume_keys(rows, run | change)
+            guards.resume_keys(rows, run | change, allow_unknown=True)
     mixed = guards.config_guard(rows.withColumns({"backend": F.lit("b"), "temperature": F.when(F.col("base_url") == "u", 0.0)})).first()
     assert mixed.temperature == "0.0,None" and mixed.mixed_fields == "temperature"
 
@@ -208,13 +212,18 @@ def test_retry_and_quota(spark):
     heads = {"5": 5.0, None: 30.0, "-1": 30.0, "inf": 30.0, "nan": 30.0, "soon": 30.0, "900": 300.0}
     df = spark.createDataFrame([(h,) for h in heads], "h string")
     assert {r.h: r.w for r in df.select("h", text.retry_after(F.lit(429), F.col("h")).alias("w")).collect()} == heads
-    one = spark.range(1).select(text.retry_after(F.lit(500), F.lit("5")), text.quota_failure(F.lit(429), F.lit('{"error": {"code": "insufficient_quota"}}')), text.quota_failure(F.lit(429), F.lit("busy")), text.quota_failure(F.lit(500), F.lit('{"error": {"type": "billing"}}'))).first()
-    assert tuple(one) == (None, True, False, False)
+    one = spark.range(1).select(text.retry_after(F.lit(500), F.lit("5")), text.quota_failure(F.lit(429), F.lit('{"error": {"code": "insufficient_quota"}}')), text.quota_failure(F.lit(429), F.lit("busy")), text.quota_failure(F.lit(500), F.lit('{"error": {"code": "insufficient_quota"}}')), text.quota_failure(F.lit(429), F.lit('{"error": {"type": "quota_exceeded", "message": " Pay up "}}'))).first()
+    assert tuple(one) == (None, "insufficient_quota", None, None, "Pay up [quota_exceeded]")
+    assert [judge.backoff(h) for h in heads] == list(heads.values())
 
 
 def test_prompt_parts(spark):
     df = spark.createDataFrame([("B", "M"), ("B", ""), (None, "M"), ("", None)], "brand string, mpn string")
     assert [r[0] for r in df.select(text.prompt_variant(F.col("brand"), F.col("mpn"))).collect()] == ["brand+mpn", "brand", "mpn", "none"]
+    said = df.select(text.system_prompt(F.col("brand"), F.col("mpn")), text.user_prompt(F.lit("o"), F.lit("e"), F.col("brand"), F.col("mpn"))).collect()
+    assert "known BRAND and MPN (manufacturer part number).\n\nApprove" in said[0][0] and "replacement title.\n\nApprove" in said[3][0]
+    assert said[0][1] == "BRAND: B\nMPN: M\nORIGINAL: o\nENRICHED: e" and said[3][1] == "ORIGINAL: o\nENRICHED: e"
+    assert text.backend_digest({"name": "x", "rpm": 1, "model_id": "m"}) == text.backend_digest({"name": "y", "model_id": "m"}) != text.backend_digest({"model_id": "n"})
     assert text.config_digest({"b": None, "a": 1}) == text.config_digest({"a": 1, "b": None}) != text.config_digest({"a": 1})
 
 
@@ -321,16 +330,20 @@ def test_sinks(spark, tmp_path):
 
 
 SLATE = """
-[[backend]]
+[[backends]]
 name = "x-1"
 base_url = "https://h.example/v1/"
 model_id = "m"
 rpm = 60000
-[[backend]]
+eval_only = false
+[[backends]]
 name = "y"
 base_url = "https://h.example/v1"
 model_id = "n"
 rpm = 90000
+eval_only = true
+reasoning_effort = "none"
+structured_output = true
 api = "anthropic"
 """
 
@@ -339,8 +352,8 @@ def test_judge_connector(spark, tmp_path):
     def fake(backend, body):
         said = json.loads(body)
         if backend["backend"] == "y":
-            assert "system" in said
-            return 200, json.dumps({"content": [{"text": '{"verdict": "reject", "reason": "casing_error"}'}]})
+            assert "system" in said and said["thinking"] == {"type": "disabled"} and said["output_config"]["format"]["type"] == "json_schema" and backend["path"] == "/messages"
+            return 200, json.dumps({"content": [{"type": "thinking"}, {"type": "text", "text": '{"verdict": "reject", "reason": "casing_error"}'}]})
         if "bad" in said["messages"][1]["content"]:
             raise TimeoutError
         return 200, json.dumps({"choices": [{"message": {"content": 'Well: {"verdict": "approve", "reason": "ok"}'}}]})

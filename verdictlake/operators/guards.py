@@ -58,20 +58,29 @@ def provenance_audit(rows: DataFrame, key: str = "backend", corrupt: str | None
     return by.select(key, *[F.array_join(f, ",").alias(f) for f in have], "unknown_rows", "malformed_rows", "total_rows", mixed.alias("is_mixed"))
 
 
-def resume_keys(rows: DataFrame, run: dict) -> DataFrame:
+def resume_keys(rows: DataFrame, run: dict, manifest_host: str | None = None, allow_unknown: bool = False) -> DataFrame:
     """(pair_id, run_index) already judged under the run's configuration; raises if rows come from another run.
 
-    Config fields must be equal, null included; provenance fields only where both know them.
+    Config fields must be equal, null included; provenance fields only where both
+    know them. Rows that lack what the run knows are unproven: the host of the
+    manifest beside them settles it, else the caller must accept them. One aggregate.
     """
-    other = F.lit(False)
+    other, unproven = F.lit(False), F.lit(False)
     for f in CONFIG_FIELDS:
         other = other | ~F.col(f).eqNullSafe(F.lit(run.get(f)))
     for f in PROVENANCE_FIELDS:
         if run.get(f) is not None:
             other = other | F.coalesce(F.col(f) != run[f], F.lit(False))
-    found = rows.agg(F.count_if(other)).first()[0]
-    if found:
-        raise GuardError(f"{found} rows were judged under another configuration")
+            unproven = unproven | F.col(f).isNull()
+    found = rows.agg(F.count_if(other).alias("other"), F.count_if(unproven).alias("unproven")).first()
+    if found["other"]:
+        raise GuardError(f"{found['other']} rows were judged under another configuration")
+    if found["unproven"]:
+        known = manifest_host is not None and run.get("base_url") is not None
+        if known and manifest_host != run["base_url"]:
+            raise GuardError(f"rows without a host were served by {manifest_host}")
+        if not known and not allow_unknown:
+            raise GuardError(f"{found['unproven']} rows lack provenance and no manifest supplies it")
     return rows.select("pair_id", "run_index").distinct()
 
 

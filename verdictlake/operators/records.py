@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..schema import ACTIVE_REASONS
 from .guards import GuardError, consistent_ruling
 
-KEYS = "123456789abcdefghijklmnopqrstuvwxyz"
+# Letters that stand for actions, and so for no reason.
+ACTION_KEYS = "arsunq"
+KEYS = "123456789" + "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in ACTION_KEYS)
 
 
 def _record(session: Column, action: str, pair_id: Column | None = None, ground_truth: Column | None = None, reason: Column | None = None, notes: Column | None = None, auto: Column | None = None, elapsed_ms: Column | None = None) -> Column:

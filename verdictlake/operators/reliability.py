@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ranking import placed, ranges
 
+# Thresholds, and names of failures.
 PREFIX_SLACK, UNUSABLE = 1.1, 2.0
 TIMEOUT_SUFFIX, CONTRACT, QUOTA = "Timeout", "JudgeResponseError", "QuotaExhausted"
 IDENTITY = ("model_id", "base_url", "api", "temperature", "reasoning_effort", "config_digest", "code_version")

@@ -380,7 +380,7 @@ def prompt_variant_counts(spark, sf_dir):
     return view(spark, sf_dir, "pairs").groupBy(text.prompt_variant(F.col("brand"), F.col("mpn")).alias("variant")).agg(F.count("*").alias("pairs"))
 
 
-@query("""select id as pair_id, 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched || case when brand <> '' then chr(10) || 'BRAND: ' || brand else '' end || case when mpn <> '' then chr(10) || 'MPN: ' || mpn else '' end as content, original is not distinct from enriched as unchanged from pairs """)
+@query("""select id as pair_id, case when brand <> '' then 'BRAND: ' || brand || chr(10) else '' end || case when mpn <> '' then 'MPN: ' || mpn || chr(10) else '' end || 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched as content, original is not distinct from enriched as unchanged from pairs """)
 def build_messages(spark, sf_dir):
     p = view(spark, sf_dir, "pairs")
     said = text.messages(F.col("original"), F.col("enriched"), F.col("brand"), F.col("mpn"))

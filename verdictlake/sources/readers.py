@@ -92,8 +92,8 @@ def qa_pack(lines: DataFrame) -> DataFrame:
     rule = F.forall("_cells", lambda c: c.rlike("^[-:]+$"))
     rows = rows.where(~rule & (F.lower(F.col("_cells")[0]) != "cohort"))
     names = ("cohort", "source", "before", "after")
-    dash = F.col("_cells")[4].isin("—", "")
-    stages = F.when(dash, F.array().cast("array<string>")).otherwise(F.transform(F.split(F.col("_cells")[4], ","), strip))
+    parts = F.filter(F.transform(F.split(F.col("_cells")[4], ","), strip), lambda x: x != "")
+    stages = F.when(F.col("_cells")[4] == "—", F.array().cast("array<string>")).otherwise(parts)
     kept = [c for c in lines.columns if c != "value"]
     return rows.select(*kept, *[F.col("_cells")[i].alias(n) for i, n in enumerate(names)], stages.alias("stages"))
 
@@ -114,16 +114,26 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("good").select("seq", F.from_json("value", JOURNAL).alias("r")).select("seq", "r.*")
 
 
+# What a backend may say of itself, and what holds when it does not.
+APIS, ROLES, EFFORTS = ("openai", "anthropic"), ("contender", "floor"), ("none", "low", "medium", "high", "xhigh", "max")
+SLATE = "name string, base_url string, model_id string, rpm int, eval_only boolean, api_key_env string, api string, role string, timeout_s double, temperature double, reasoning_effort string, structured_output boolean"
+
+
+def _backend(b: dict) -> tuple:
+    url = b["base_url"].rstrip("/")
+    key = b.get("api_key_env", b["name"].upper().replace("-", "_") + "_API_KEY")
+    api, role, effort, heat = b.get("api", APIS[0]), b.get("role", ROLES[0]), b.get("reasoning_effort"), b.get("temperature")
+    for what, ok in (("base_url must be https", url.startswith("https://")), (f"api {api}", api in APIS), (f"role {role}", role in ROLES), (f"reasoning_effort {effort}", effort is None or effort in EFFORTS)):
+        if not ok:
+            raise GuardError(f"backend {b['name']}: {what}")
+    return b["name"], url, b["model_id"], int(b["rpm"]), bool(b["eval_only"]), key, api, role, float(b.get("timeout_s", 180)), None if heat is None else float(heat), effort, bool(b.get("structured_output", False))
+
+
 def read_slate(spark: SparkSession, path: str) -> DataFrame:
     """Backends of a TOML slate, with defaults; a handful of rows."""
-    _, p = _fs(spark, path)
     text = spark.read.text(path, wholetext=True).first()[0]
-    rows = []
-    for b in tomllib.loads(text).get("backend", tomllib.loads(text).get("backends", [])):
-        url = b["base_url"].rstrip("/")
-        if not url.startswith("https://"):
-            raise GuardError(f"{b['name']}: base_url must be https")
-        key = b.get("api_key_env") or b["name"].upper().replace("-", "_").replace(".", "_") + "_API_KEY"
-        rows.append((b["name"], url, b["model_id"], int(b["rpm"]), bool(b.get("eval_only", False)), key, b.get("api", "openai"), b.get("role", "judge"), float(b.get("timeout_s", 180)), b.get("temperature"), b.get("reasoning_effort"), b.get("structured_output")))
-    schema = "name string, base_url string, model_id string, rpm int, eval_only boolean, api_key_env string, api string, role string, timeout_s double, temperature double, reasoning_effort string, structured_output string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame([_backend(b) for b in tomllib.loads(text)["backends"]], SLATE)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
