@@ -82,8 +82,9 @@ def template_matches(spaced: DataFrame, templates: dict[str, str] = TEMPLATES, b
         tokens = [w for w in ranked if w in set(text.split())]
         need = math.ceil(threshold * len(tokens) - 1e-9)
         index += [(w, label, i, len(tokens), need, tokens) for i, w in enumerate(tokens[: len(tokens) - need + 1])]
-    schema = "word string, label string, at int, m int, need int, tokens array<string>"
-    prefixes = spark.createDataFrame(index, schema)  # as many rows as the templates have prefix words
+    names = ("word", "label", "at", "m", "need")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[:5], strict=True)], F.array(*[F.lit(w) for w in r[5]]).alias("tokens")) for r in index]
+    prefixes = spark.range(1).select(F.inline(F.array(*rows)))  # as many rows as the templates have prefix words
     least = min(r[4] for r in index)
     rare = "|".join(re.escape(w) for w in sorted({r[0] for r in index}))
     docs = spaced.where(F.col("spaced").rlike(f" (?:{rare}) "))
