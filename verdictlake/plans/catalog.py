@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from ..operators import agreement, bootstrap, guards, journal, reliability, scor
 from ..operators.tally import majority_first_seen, stability, tally, tally_any
 from ..sources import readers
 from ..sources.fixtures import table, view, with_views
+from ..sources.shared import shared_dir
 from ..streaming import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,8 +478,7 @@ def word_diff(spark, sf_dir):
 
 def _files(df: DataFrame, parts: int) -> tuple[str, str]:
     """The rows as several JSON files, to be streamed."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     df.repartition(parts).write.json(path)
     return path, df._jdf.schema().toDDL()
 
