@@ -394,6 +394,16 @@ def test_mix(spark):
     for s in of:
         assert taken[s] == pytest.approx(target[s], rel=0.02)
     assert {i: r.taken for i, r in got.items()} == {r.doc_id: r.taken for r in mixing.mix(d.repartition(7), range_rows=5).collect()}
+    order = mixing.training_order(d, range_rows=5).collect()
+    drawn, filled = Counter(), defaultdict(list)
+    for r in order:
+        drawn[r.doc_id] += r.words
+        filled[r.slot].append((r.place, r.words))
+        assert 0 <= r.from_word and r.from_word + r.words <= size[r.doc_id]
+    assert all(drawn[i] == got[i].taken for i in size)
+    for parts in filled.values():  # blocks have no gaps
+        parts.sort()
+        assert [p for p, _ in parts] == np.cumsum([0] + [w for _, w in parts])[:-1].tolist()
     copies = Counter(r.doc_id for r in mixing.mixed_documents(extra_columns(d)).collect())
     assert max(copies.values()) <= 2 and all(abs(copies[i] * size[i] - got[i].taken) <= size[i] for i in size if size[i])
     assert mixing.mix(docs(spark, [])).count() == 0
@@ -405,6 +415,7 @@ def test_schedule_is_even(spark):
     sizes = spark.createDataFrame([("a", 60_000), ("b", 10_000), ("c", 30_000)], "source string, size long")
     targets = mixing.source_targets(sizes)
     slots, counted = mixing.schedule(targets)
+    assert counted.where("blocks < 1").count() == 0
     rows = [r["rank"] for r in slots.orderBy("slot").collect()]
     share = {r["rank"]: r["target"] / 150_000 for r in counted.collect()}
     for a in range(0, len(rows) - 500, 311):

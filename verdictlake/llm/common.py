@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
 
-#: ASCII white space, the only separators of "words" in most contracts.
-SPACE = r"[\x20\x09-\x0D]"
+#: Words, which ASCII white space alone separates.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 

@@ -4,8 +4,7 @@ Slot i of the schedule holds the point frac(i * golden ratio), mapped through th
 cumulative targets to a source. The r-th slot of a source takes the r-th block of
 that source's documents, which stand in a fixed shuffled order and are cut into
 blocks of equal numbers of words; after the last block its first one follows.
-Since a source's slots are ranked 0, 1, 2, ..., what the mix takes of a document
-follows from its place in that order and the source's number of slots.
+What the mix takes of a document is the sum over the blocks that it has words in.
 
 No source is dealt to one task: documents meet by (source, range of the shuffle
 hash), and only the ranges' sums are ordered by source.
@@ -34,6 +33,8 @@ CAP = 2
 #: Slots that the smallest target gets; with few, rounding to whole blocks shows.
 SLOTS_OF_SMALLEST = 256
 MAX_BLOCK = 4096
+#: Slots that one task numbers.
+SLOT_RANGE = 4096
 #: Documents in a range of the shuffle order, about; at least 64 ranges.
 RANGE_ROWS = 50_000
 
@@ -78,7 +79,7 @@ def _points(edges: list[float]):
 
 
 def schedule(targets: DataFrame, slots_of_smallest: int = SLOTS_OF_SMALLEST, max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(slot, rank) rows in slot order, and `targets` with the block size and the number of slots.
+    """(slot, rank) rows in slot order, and `targets` with the block size and the number of blocks.
 
     What is gathered is one row per source, not data of the documents.
     """
@@ -87,40 +88,75 @@ def schedule(targets: DataFrame, slots_of_smallest: int = SLOTS_OF_SMALLEST, max
     total = sum(r["target"] for r in rows)
     least = min((r["target"] for r in rows if r["target"] > 0), default=0)
     block = int(max(1, min(max_block, least // slots_of_smallest)))
-    n = round(total / block)
     edges, at = [], 0.0
     for r in rows:
         at += r["target"] / total if total else 0
         edges.append(at)
-    slots = in_arrow(spark.range(n), _points([float(e) for e in edges[:-1]]), "slot long, rank int")
-    counts = slots.groupBy("rank").agg(F.count("*").alias("slots"))
-    out = targets.join(counts, "rank", "left").withColumns({"slots": F.coalesce("slots", F.lit(0).cast("long")), "block": F.lit(block).cast("long")})
-    return slots, out
+    slots = in_arrow(spark.range(round(total / block)), _points([float(e) for e in edges[:-1]]), "slot long, rank int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block))).cast("long")
+    return slots, targets.withColumns({"block": F.lit(block).cast("long"), "blocks": blocks})
 
 
-def mix(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def drawn_blocks(slots: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
+    """(slot, rank, turn, part): the turn-th slot of a source draws its part-th block; parts repeat after the last.
+
+    Slots are numbered within source and range of slots, and the ranges' sizes added
+    up before, so that no source goes through one task. A block is drawn `cap` times
+    at most: what rounding would add to that is left out.
+    """
+    s = slots.withColumn("span", F.floor(F.col("slot") / SLOT_RANGE))
+    sizes = s.groupBy("rank", "span").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("rank").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("rank", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("rank", "span").orderBy("slot")) - 1
+    turns = s.withColumn("own", own).join(starts, ["rank", "span"]).select("slot", "rank", (F.col("before") + F.col("own")).alias("turn"))
+    turns = turns.join(targets.select("rank", "blocks"), "rank").where(F.col("turn") < F.col("blocks") * cap)
+    return turns.select("slot", "rank", "turn", (F.col("turn") % F.col("blocks")).alias("part"))
+
+
+def placed_documents(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> tuple[DataFrame, DataFrame]:
+    """Documents with their source's figures and their place in its shuffled order, and the drawn blocks."""
     d = docs.select("doc_id", "source", n_words().alias("size"))
     d = d.withColumn("order", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long"))
     d = save(d, "mix-sizes")
     d = d.withColumn("range", F.col("order") % F.lit(max(64, d.count() // range_rows)))
     sums = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = save(source_targets(sums.select("source", F.col("words").alias("size"))), "mix-targets")
-    _, targets = schedule(targets, **how)
-    targets = save(targets, "mix-slots")
+    slots, targets = schedule(targets, **how)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     starts = starts.join(targets.drop("weight"), starts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "start", "source_size", "target", "slots", "block")
+    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "start", "rank", "source_size", "target", "block")
     within = Window.partitionBy("source", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = d.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = placed.join(starts, placed["source"].eqNullSafe(F.col("_s")) & (placed["range"] == F.col("_r")))
-    at, size = F.col("start") + F.col("at"), F.col("size")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block")))
-    slots = F.least(F.col("slots"), blocks * 2)
-    rest = (slots % blocks) * F.col("block")
-    taken = size * F.floor(slots / blocks) + F.greatest(F.lit(0), F.least(size, rest - at))
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return out.select("doc_id", "rank", "size", "source_size", "target", "block", (F.col("start") + F.col("at")).alias("at")), drawn_blocks(slots, targets)
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """A row for each block that a document has words in: from which word on, and how many."""
+    last = F.col("at") + F.col("size")
+    parts = F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((last - 1) / F.col("block")))
+    rows = placed.where("size > 0").withColumn("part", F.explode(parts))
+    begin, end = F.greatest("at", F.col("part") * F.col("block")), F.least(last, (F.col("part") + 1) * F.col("block"))
+    return rows.withColumns({"from_word": begin - F.col("at"), "words": end - begin})
+
+
+def mix(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    placed, drawn = placed_documents(docs, range_rows, **how)
+    times = drawn.groupBy("rank", "part").agg(F.count("*").alias("times"))
+    keys = ["doc_id", "rank", "size", "source_size", "target", "at"]  # places differ within a source
+    taken = _in_blocks(placed).join(times, ["rank", "part"], "left").groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
+    empty = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    return taken.unionByName(empty).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
+
+
+def training_order(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> DataFrame:
+    """The mix slot by slot: slot, doc_id, from_word, words, place within the slot's block."""
+    placed, drawn = placed_documents(docs, range_rows, **how)
+    parts = _in_blocks(placed).select("rank", "part", "doc_id", "from_word", "words", (F.col("at") + F.col("from_word") - F.col("part") * F.col("block")).alias("place"))
+    return drawn.join(parts, ["rank", "part"]).select("slot", "doc_id", "from_word", "words", "place")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
