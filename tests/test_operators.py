@@ -329,6 +329,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2 * len(EDGE)
 
 
+def test_pair_lines_round_trip(spark, tmp_path):
+    rows = [("a", 0, "x", "y", "", "M", "approve", "ok"), ("b", 1, "é", "z", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, pos long, original string, enriched string, brand string, mpn string, ground_truth string, reason string")
+    lines = [r.value for r in sinks.pair_lines(df).orderBy("pos").collect()]
+    assert "brand" not in lines[0] and set(json.loads(lines[1])) == {"id", "original", "enriched"}
+    (tmp_path / "pairs.jsonl").write_text("\n".join(lines))
+    back = readers.read_pairs(spark, str(tmp_path / "pairs.jsonl")).orderBy("pos").collect()
+    assert [(r.id, r.mpn, r.ground_truth) for r in back] == [("a", "M", "approve"), ("b", None, None)]
+    with pytest.raises(Exception, match="go together"):
+        bad = df.withColumn("reason", F.lit(None).cast("string"))
+        (tmp_path / "bad.jsonl").write_text(sinks.pair_lines(bad).first().value)
+        readers.read_pairs(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_exports(spark, tmp_path):
+    standing = spark.createDataFrame([("s", 0, "p", "approve", "ok")], "session string, place int, pair_id string, ground_truth string, reason string")
+    sinks.export_rulings(standing, str(tmp_path / "rulings"))
+    sinks.export_notes(spark.createDataFrame([("s", "p", "n")], "session string, pair_id string, notes string"), str(tmp_path / "notes"))
+    assert spark.read.json(str(tmp_path / "rulings")).first().asDict() == {"id": "p", "ground_truth": "approve", "reason": "ok"}
+    assert spark.read.json(str(tmp_path / "notes")).first().notes == "n"
+
+
 SLATE = """
 [[backends]]
 name = "x-1"

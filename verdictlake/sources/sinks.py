@@ -45,5 +45,16 @@ def export_rulings(standing: DataFrame, folder: str) -> None:
     standing.select(F.col("pair_id").alias("id"), "ground_truth", "reason").coalesce(1).write.mode("overwrite").json(folder)
 
 
+def export_notes(noted: DataFrame, folder: str) -> None:
+    noted.select(F.col("pair_id").alias("id"), "notes").coalesce(1).write.mode("overwrite").json(folder)
+
+
+def pair_lines(pairs: DataFrame) -> DataFrame:
+    """Calibration pairs in file order; brand, mpn and missing rulings are left out."""
+    bare = {c: F.nullif(c, F.lit("")) for c in ("brand", "mpn")}
+    fields = F.struct("id", "original", "enriched", *[bare[c].alias(c) for c in bare], "ground_truth", "reason")
+    return pairs.select("pos", F.to_json(fields, {"ignoreNullFields": "true"}).alias("value"))
+
+
 def manifest_line(run: DataFrame) -> DataFrame:
     return run.select(F.to_json(F.struct(*sorted(run.columns))).alias("value"))
