@@ -472,3 +472,26 @@ def test_stream_replay(spark, tmp_path):
     for s in ("s", "t"):
         last = [tuple(r) for r in got if r.session == s][-len([w for w in want if w[0] == s]) :]
         assert set(last) == {w for w in want if w[0] == s}
+
+
+def test_command_line(spark, tmp_path):
+    from verdictlake import cli
+
+    d = tmp_path / "run1"
+    d.mkdir()
+    pairs = [{"id": f"p{i}", "original": "o", "enriched": "e", "ground_truth": "reject" if i % 3 == 0 else "approve", "reason": "casing_error" if i % 3 == 0 else "ok"} for i in range(12)]
+    (tmp_path / "pairs.jsonl").write_text("\n".join(map(json.dumps, pairs)))
+    for name, wrong in (("good", 99), ("half", 2)):
+        lines = [verdict_line(pair_id=p["id"], run_index=r, verdict=v, reason="ok" if v == "approve" else "casing_error") for i, p in enumerate(pairs) for r in range(3) for v in ["approve" if (p["ground_truth"] == "approve") != (i % wrong == 1) else "reject"]]
+        (d / f"{name}.jsonl").write_text("\n".join(lines))
+    (d / "none.jsonl").write_text("")
+    (d / "good.manifest.json").write_text(json.dumps({"health": {"calls_ok": 36, "latency_median": 1.5}}))
+    assert cli.main(["score", str(tmp_path / "pairs.jsonl"), str(d), str(tmp_path / "board.md")]) == 0
+    board = (tmp_path / "board.md").read_text()
+    assert "| good | 1.000 |" in board and "none" in board
+    assert cli.main(["report", str(d), str(tmp_path / "pairs.jsonl"), str(tmp_path / "report.md")]) == 0
+    assert "# Scenario run1" in (tmp_path / "report.md").read_text()
+    (tmp_path / "journal.jsonl").write_text(json.dumps({"action": "rule", "pair_id": "p", "ground_truth": "approve", "reason": "ok"}) + "\n")
+    assert cli.main(["rulings", str(tmp_path / "journal.jsonl"), str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).first().id == "p"
+    assert cli.main([]) == 2
