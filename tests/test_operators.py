@@ -481,8 +481,8 @@ def test_command_line(spark, tmp_path):
     d.mkdir()
     pairs = [{"id": f"p{i}", "original": "o", "enriched": "e", "ground_truth": "reject" if i % 3 == 0 else "approve", "reason": "casing_error" if i % 3 == 0 else "ok"} for i in range(12)]
     (tmp_path / "pairs.jsonl").write_text("\n".join(map(json.dumps, pairs)))
-    for name, wrong in (("good", 99), ("half", 2)):
-        lines = [verdict_line(pair_id=p["id"], run_index=r, verdict=v, reason="ok" if v == "approve" else "casing_error") for i, p in enumerate(pairs) for r in range(3) for v in ["approve" if (p["ground_truth"] == "approve") != (i % wrong == 1) else "reject"]]
+    for name, wrong in (("good", 0), ("half", 2)):
+        lines = [verdict_line(pair_id=p["id"], run_index=r, verdict=v, reason="ok" if v == "approve" else "casing_error") for i, p in enumerate(pairs) for r in range(3) for v in ["approve" if (p["ground_truth"] == "approve") != bool(wrong and i % wrong == 1) else "reject"]]
         (d / f"{name}.jsonl").write_text("\n".join(lines))
     (d / "none.jsonl").write_text("")
     (d / "good.manifest.json").write_text(json.dumps({"health": {"calls_ok": 36, "latency_median": 1.5}}))
