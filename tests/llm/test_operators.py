@@ -554,3 +554,22 @@ def test_stages_keep_rows_with_null_ids(spark):
     assert sorted(str(r.doc_id) for r in exact_dedup.drop_copies(df).collect()) == ["1", "None"]
     assert sorted(str(r.doc_id) for r in simhash_dedup.drop_near_copies(df).collect()) == ["1", "None"]
     assert mixing.mixed_documents(df).where("doc_id is null").count() >= 2
+
+
+def test_stages_on_empty_and_null_rows(spark, sf):
+    import corpus_pipeline
+
+    empty = docs(spark, [])
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(5, "hello there", "en", None, None), (6, "", None, None, 0)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0
+        if name != "packing":
+            assert set(out.columns) == set(empty.columns)
+        assert stage(spark, nulls, sf).count() >= 1, name
+    for name, f in {
+        "1": lambda d: exact_dedup.exact_dedup(d), "2": lambda d: simhash_dedup.near_classes(d), "3": lambda d: suffix_dedup.suffix_dedup(d), "5": lambda d: langid.identify(d),
+        "6": lambda d: doc_fingerprint.fingerprint_pairs(d), "7": lambda d: license_scan.scan(d), "8": lambda d: mixing.mix(d), "9": lambda d: packing.pack(d), "10": lambda d: pii.pseudonymize(d),
+        "4": lambda d: toxicity.score(d, spark.createDataFrame([(None, None, None), (5, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")),
+    }.items():
+        assert f(nulls).count() == 5 if name != "9" else f(nulls).count() >= 5, name

@@ -195,7 +195,10 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, sample_rows: i
 
 
 def known_language(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, all columns, whose text gets a language; in one pass over the rows."""
+    """The rows of `docs`, all columns, whose text gets a language; in one pass over the rows.
+
+    Where no labelled row allows a model, a text with a letter stays: nothing speaks against it.
+    """
     model = fit(docs, **how)
     schema, at = docs.schema, docs.columns.index("text")
 
@@ -204,8 +207,9 @@ def known_language(docs: DataFrame, **how) -> DataFrame:
             mask = []
             for a in range(0, batch.num_rows, 500):
                 texts = batch.column(at).slice(a, 500).to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t is not None and any(map(str.isalpha, t))]
-                langs = dict(zip(known, model.predict([texts[i] for i in known])[0], strict=True)) if known else {}
+                known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
+                found = model.predict([texts[i] for i in known])[0] if known and model else [""] * len(known)
+                langs = dict(zip(known, found, strict=True))
                 mask += [langs.get(i, UNKNOWN) != UNKNOWN for i in range(len(texts))]
             if any(mask):
                 yield batch.filter(pa.array(mask, pa.bool_()))
