@@ -50,7 +50,7 @@ def forget(df: DataFrame) -> None:
     _delete(df.sparkSession, df._saved_at)
 
 
-BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:

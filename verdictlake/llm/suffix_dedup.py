@@ -50,7 +50,7 @@ MATCH, GRAM, RUN = 400, 16, 128
 #: Bytes hashed at once; longer texts are cut into pieces that overlap.
 CHUNK = 1 << 18
 #: Dictionary entries of one core that meet in one place, and entries whose arrays are built together.
-ENTRIES, SHARD = 8192, 16384
+ENTRIES, SHARD = 8192, 8192
 #: Keys, about 16 bytes each, up to which a semi-join broadcasts them; beyond it both sides are shuffled.
 BROADCAST_KEYS = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
