@@ -336,6 +336,11 @@ def among(rows: DataFrame, keys: DataFrame, on: list[str], broadcast_keys: int =
     return rows.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, on, "left_semi")
 
 
+def texts_of(d: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
+    """Texts ahead of an inner join on (k, h): only those of `keys` where these can be broadcast, else all, to move them once."""
+    return d.join(F.broadcast(keys), "k", "left_semi") if keys.count() <= broadcast_keys else d
+
+
 def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, broadcast_keys: int, entries: int) -> DataFrame:
     """(k, h, text) -> (k, h, spans): start * 2^16 + length of spans that cover all repeated strings."""
     how = (match, gram, run, chunk)
@@ -353,7 +358,7 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, br
 
     def taken(of: str, function, schema: str) -> DataFrame:
         listed = ones.where(of).groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "lead", "times")).alias("of"))
-        return in_arrow(among(d, texts.select("k"), ["k"], broadcast_keys).join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
+        return in_arrow(texts_of(d, texts.select("k"), broadcast_keys).join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
 
     found = taken(f"size <= {entries}", _entries(match), "core long, k long, h long, first long, n int, lead int, single boolean, part binary")
     found = in_arrow(found.repartition("core").sortWithinPartitions("core"), _corpus_order(match, SHARD), "k long, h long, span long")
@@ -374,7 +379,7 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int
     d = d.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "h": F.xxhash64("text")})
     keyed = d.where(F.octet_length("text") >= match).select("k", "h", "text")
     spans = save(repeated_spans(keyed, match, gram, run, chunk, broadcast_keys, entries), "pfp-spans")
-    texts = among(keyed, save(spans.select("k").distinct(), "pfp-cut"), ["k"], broadcast_keys).dropDuplicates(["k", "h"])
+    texts = texts_of(keyed, save(spans.select("k").distinct(), "pfp-cut"), broadcast_keys).dropDuplicates(["k", "h"])
     cut = texts.join(spans, ["k", "h"]).select("k", "h", "text", "spans")
     cut = save(in_arrow(cut, _cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
     rows = d.select("doc_id", "k", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
