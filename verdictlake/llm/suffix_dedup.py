@@ -51,8 +51,6 @@ MATCH, GRAM, RUN = 400, 16, 128
 CHUNK = 1 << 18
 #: Dictionary entries of one core that meet in one place, and entries whose arrays are built together.
 ENTRIES, SHARD = 8192, 8192
-#: Keys, about 16 bytes each, up to which a semi-join broadcasts them; beyond it both sides are shuffled.
-BROADCAST_KEYS = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _PACK = 1 << 16
 
@@ -331,22 +329,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "n_removed", "n_spans", "kept_sha256"])
 
 
-def among(rows: DataFrame, keys: DataFrame, on: list[str], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows whose key is in the saved table `keys`; broadcast only after counting."""
-    return rows.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, on, "left_semi")
-
-
-def texts_of(d: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
-    """Texts ahead of an inner join on (k, h): only those of `keys` where these can be broadcast, else all, to move them once."""
-    return d.join(F.broadcast(keys), "k", "left_semi") if keys.count() <= broadcast_keys else d
-
-
-def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, broadcast_keys: int, entries: int) -> DataFrame:
+def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, entries: int) -> DataFrame:
     """(k, h, text) -> (k, h, spans): start * 2^16 + length of spans that cover all repeated strings."""
     how = (match, gram, run, chunk)
     cores = save(repeated_fingerprints(in_arrow(d.select("text"), _cores(*how), "core long")).select(F.col("fp").alias("core")), "pfp-cores")
     rows = in_arrow(d, _triggers(*how), "core long, context long, k long, h long, first long, n int, lead int")
-    rows = save(among(rows, cores, ["core"], broadcast_keys), "pfp-rows")
+    rows = save(rows.join(cores, "core", "left_semi"), "pfp-rows")
     classes = rows.groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("k", "h", "first", "n", "lead")).alias("one"))
     classes = save(classes, "pfp-dictionary")
     settled = rows.join(classes.where("times > 1").select("core", "context"), ["core", "context"], "left_semi")
@@ -354,16 +342,15 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, br
     # cores with an entry that occurs once beside others
     unsure = classes.groupBy("core").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("size > 1 and least = 1").select("core", "size")
     ones = save(classes.join(unsure, "core").select("core", "size", "times", "one.*"), "pfp-open")
-    texts = save(ones.groupBy("k").agg(F.max("size").alias("size")), "pfp-texts")
 
     def taken(of: str, function, schema: str) -> DataFrame:
         listed = ones.where(of).groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "lead", "times")).alias("of"))
-        return in_arrow(texts_of(d, texts.select("k"), broadcast_keys).join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
+        return in_arrow(d.join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
 
     found = taken(f"size <= {entries}", _entries(match), "core long, k long, h long, first long, n int, lead int, single boolean, part binary")
     found = in_arrow(found.repartition("core").sortWithinPartitions("core"), _corpus_order(match, SHARD), "k long, h long, span long")
     spans = spans.union(found)
-    if texts.where(f"size > {entries}").limit(1).count():
+    if ones.where(f"size > {entries}").limit(1).count():
         strings = save(taken(f"size > {entries}", _strings(match, chunk), "core long, string long, k long, h long, first long, single boolean"), "pfp-strings")
         again = strings.groupBy("core", "string").agg(F.count("*").alias("times")).where("times > 1").select("core", "string")
         hits = strings.where("single").join(again, ["core", "string"], "left_semi")
@@ -371,15 +358,15 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, br
     return spans.groupBy("k", "h").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, broadcast_keys: int = BROADCAST_KEYS, entries: int = ENTRIES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, entries: int = ENTRIES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if 3 * run > match - gram + 3:
         raise ValueError("run is too long for match: a string might hold no trigger of its own")
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "h": F.xxhash64("text")})
     keyed = d.where(F.octet_length("text") >= match).select("k", "h", "text")
-    spans = save(repeated_spans(keyed, match, gram, run, chunk, broadcast_keys, entries), "pfp-spans")
-    texts = texts_of(keyed, save(spans.select("k").distinct(), "pfp-cut"), broadcast_keys).dropDuplicates(["k", "h"])
+    spans = save(repeated_spans(keyed, match, gram, run, chunk, entries), "pfp-spans")
+    texts = keyed.dropDuplicates(["k", "h"])
     cut = texts.join(spans, ["k", "h"]).select("k", "h", "text", "spans")
     cut = save(in_arrow(cut, _cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
     rows = d.select("doc_id", "k", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
