@@ -183,7 +183,7 @@ def test_suffix_dedup(spark, letters, entries):
     random.seed(len(letters) + entries)
     parts = ["".join(random.choice(letters) for _ in range(random.randint(0, 300))) for _ in range(25)]
     texts = [random.choice(parts)[: random.randint(0, 250)] + random.choice(parts) + "a" * random.choice([0, 90]) for _ in range(45)] + AWKWARD[:5]
-    got = suffix_dedup.suffix_dedup(extra_columns(docs(spark, texts)), match=40, gram=4, run=12, chunk=150, entries=entries).collect()
+    got = suffix_dedup.suffix_dedup(extra_columns(docs(spark, texts)), match=40, gram=4, run=12, chunk=150, entries=entries, broadcast_ids=1000 if entries > 3 else 0).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_cut(texts, 40)
 
 

@@ -51,6 +51,8 @@ MATCH, GRAM, RUN = 400, 16, 128
 CHUNK = 1 << 18
 #: Dictionary entries of one core that meet in one place, and entries whose arrays are built together.
 ENTRIES, SHARD = 8192, 8192
+#: Ids, about 16 bytes each, that are broadcast to leave out texts ahead of a shuffle; with more of them all texts move.
+BROADCAST_IDS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PACK = 1 << 16
 
@@ -329,7 +331,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["k", "h", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, entries: int) -> DataFrame:
+def texts_of(d: DataFrame, ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Texts ahead of an inner join on (k, h): only those of the saved `ids`, if a count of them allows a broadcast."""
+    return d.join(F.broadcast(ids), "k", "left_semi") if ids.count() <= broadcast_ids else d
+
+
+def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, entries: int, broadcast_ids: int) -> DataFrame:
     """(k, h, text) -> (k, h, spans): start * 2^16 + length of spans that cover all repeated strings."""
     how = (match, gram, run, chunk)
     cores = save(repeated_fingerprints(in_arrow(d.select("text"), _cores(*how), "core long")).select(F.col("fp").alias("core")), "pfp-cores")
@@ -342,10 +349,11 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, en
     # cores with an entry that occurs once beside others
     unsure = classes.groupBy("core").agg(F.count("*").alias("size"), F.min("times").alias("least")).where("size > 1 and least = 1").select("core", "size")
     ones = save(classes.join(unsure, "core").select("core", "size", "times", "one.*"), "pfp-open")
+    texts = texts_of(d, save(ones.select("k").distinct(), "pfp-ids"), broadcast_ids)
 
     def taken(of: str, function, schema: str) -> DataFrame:
         listed = ones.where(of).groupBy("k", "h").agg(F.collect_list(F.struct("core", "first", "n", "lead", "times")).alias("of"))
-        return in_arrow(d.join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
+        return in_arrow(texts.join(listed, ["k", "h"]).select("k", "h", "text", "of"), function, schema)
 
     found = taken(f"size <= {entries}", _entries(match), "core long, k long, h long, first long, n int, lead int, single boolean, part binary")
     found = in_arrow(found.repartition("core").sortWithinPartitions("core"), _corpus_order(match, SHARD), "k long, h long, span long")
@@ -358,15 +366,15 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, en
     return spans.groupBy("k", "h").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, entries: int = ENTRIES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, run: int = RUN, chunk: int = CHUNK, entries: int = ENTRIES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if 3 * run > match - gram + 3:
         raise ValueError("run is too long for match: a string might hold no trigger of its own")
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "h": F.xxhash64("text")})
     keyed = d.where(F.octet_length("text") >= match).select("k", "h", "text")
-    spans = save(repeated_spans(keyed, match, gram, run, chunk, entries), "pfp-spans")
-    texts = keyed.dropDuplicates(["k", "h"])
+    spans = save(repeated_spans(keyed, match, gram, run, chunk, entries, broadcast_ids), "pfp-spans")
+    texts = texts_of(keyed, save(spans.select("k").distinct(), "pfp-cut"), broadcast_ids).dropDuplicates(["k", "h"])
     cut = texts.join(spans, ["k", "h"]).select("k", "h", "text", "spans")
     cut = save(in_arrow(cut, _cut, "k long, h long, n_removed long, n_spans long, kept_sha256 string"), "pfp-done")
     rows = d.select("doc_id", "k", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("whole"))
