@@ -28,12 +28,13 @@ ROUNDS = 6
 DEMO_KEY = "set a secret key in production"
 
 # What the kinds look like. Runs are bounded, so that matching is linear in the text.
+# A name may end a longer word (authToken, dbpassword).
 NAMED = r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 #: No finding is without one of these; a look for them is all that most texts cost.
-SIGNS = "[0-9@=:]"
+SIGNS = "[0-9@=:]|A[KS]IA"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:" + NAMED + r"[A-Za-z0-9_+/-]{12,256}|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9]))",
+    "secret": r"(?=[TtSsPpAa])" + NAMED + r"[A-Za-z0-9_+/-]{12,256}|(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
