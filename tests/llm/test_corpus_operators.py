@@ -504,6 +504,25 @@ def test_secrets_behind_joined_names(spark):
     assert got[8].n_found == 0 and got[8].text == texts[8]
 
 
+def test_secrets_are_taken_whole(spark):
+    import random
+    import re
+    import string
+
+    rng = random.Random(5)
+    run = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    values = [run(400), run(20_000), f"{run(36)}.{run(74)}.{run(43)}", run(30) + "==", f"{run(14)}=={run(14)}..{run(9)}"]
+    texts = [f"token: {v}. End" for v in values]
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(spark, texts), "key").collect()}
+    for i, v in enumerate(values):
+        new = got[i].text[len("token: ") : -len(". End")]
+        assert got[i].n_found == 1 and got[i].found[0].value == f"token: {v}" and got[i].text == f"token: {new}. End"
+        shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x)))
+        assert shape(new) == shape(v)
+        for x, y in zip(re.findall("[A-Za-z0-9]+", v), re.findall("[A-Za-z0-9]+", new), strict=True):
+            assert x != y and x[-8:] != y[-8:]
+
+
 def test_pseudonyms_are_permutations(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert digits.select(pii.permuted(F.col("v"), "key", "x", pii.DIGITS).alias("p")).distinct().count() == 1000

@@ -25,16 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+#: Longer halves enter the key stream as their digest, so that its cost stays linear.
+LONG = 256
 DEMO_KEY = "set a secret key in production"
 
-# What the kinds look like. Runs are bounded, so that matching is linear in the text.
+# What the kinds look like. Runs are bounded or possessive, so that matching is linear in the text.
+# A secret is taken whole: dots and = within it, and = behind it, but no full stop.
 # A name may end a longer word (authToken, dbpassword).
 NAMED = r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 #: No finding is without one of these; a look for them is all that most texts cost.
 SIGNS = "[0-9@=:]|A[KS]IA"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?=[TtSsPpAa])" + NAMED + r"[A-Za-z0-9_+/-]{12,256}|(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?=[TtSsPpAa])" + NAMED + r"[A-Za-z0-9_+/-]{12,}+(?:[.=]++[A-Za-z0-9_+/-]++)*+=*+|(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
@@ -54,24 +57,25 @@ def _number(digest: Column, at: int, length: int) -> Column:
 
 
 def _stream(key: str, kind: str, n: Column, other: Column, length: Column) -> Column:
-    """Hex key stream, four digits for each of `length` characters."""
-    seed = F.concat(F.lit(f"{key}\0{kind}\0"), n.cast("string"), F.lit("\0"), other)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((length + 31) / 32).cast("int")), lambda b: F.sha2(F.concat(seed, F.lit("\0"), b.cast("string")), 512))
-    return F.array_join(blocks, "")
+    """Key stream: a number of four hex digits for each of `length` characters."""
+    told = F.when(F.length(other) > LONG, F.sha2(other, 512)).otherwise(other)
+    seed = F.concat(F.lit(f"{key}\0{kind}\0"), n.cast("string"), F.lit("\0"), told)
+    # arrays of one bind a value, so that it is made once and not for each block
+    blocks = F.flatten(F.transform(F.array(seed), lambda s: F.transform(F.sequence(F.lit(0), F.floor((length + 31) / 32).cast("int")), lambda b: F.sha2(F.concat(s, F.lit("\0"), b.cast("string")), 512))))
+    numbers = F.flatten(F.transform(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(b, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))))
+    return F.slice(numbers, 1, length)
 
 
 def _shift(text: Column, stream: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character moves within the first of the alphabets that holds it."""
 
-    def one(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(stream, i * 4 - 3, F.lit(4)), 16, 10).cast("int")
+    def one(c: Column, by: Column) -> Column:
         out = c
         for a in reversed(alphabets):
             out = F.when(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), (F.instr(F.lit(a), c) - 1 + by) % len(a) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), one), ""))
+    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.zip_with(F.split(text, ""), stream, one), ""))
 
 
 def permuted(text: Column, key: str, kind: str, *alphabets: str) -> Column:
