@@ -523,6 +523,30 @@ def test_secrets_are_taken_whole(spark):
             assert x != y and x[-8:] != y[-8:]
 
 
+def test_numbers_are_found_before_other_groups(spark):
+    cases = {  # text: what must be found, in order
+        "paid 4111111111111111 12/25 ok": ["4111111111111111"],
+        "4111 1111 1111 1111 123": ["4111 1111 1111 1111"],
+        "4111-1111-1111-1111-123": ["4111-1111-1111-1111"],
+        "ES91 2100 0418 4502 0005 1332 EUR": ["ES91 2100 0418 4502 0005 1332"],
+        "NO93 8601 1117 947 NOK 12": ["NO93 8601 1117 947"],
+        "4111111111111111 12/25/2024 paid": ["4111111111111111", "12/25/2024"],
+        "4111111111111111 12 4111111111111111 12 GB82 WEST 1234 5698 7654 32 GBP": ["4111111111111111", "4111111111111111", "GB82 WEST 1234 5698 7654 32"],
+        "12 4111111111111111, é +1 (743) 555-3824 b@c.de": ["4111111111111111", "+1 (743) 555-3824", "b@c.de"],
+        "4111111111111112 12/25 and ES91 2100 0418 4502 0005 1333 EUR": [],
+    }
+    got = {r.doc_id: r for r in pii.pseudonymize(docs(spark, list(cases)), "key").collect()}
+    for i, (text, values) in enumerate(cases.items()):
+        hits = [f for f in got[i].found or [] if f.kind]
+        assert [f.value for f in hits] == values and got[i].n_found == len(values)
+        want, at = "", 0
+        for f in hits:
+            start = text.index(f.value, at)
+            want, at = want + text[at:start] + f.pseudonym, start + len(f.value)
+            assert f.pseudonym != f.value
+        assert got[i].text == want + text[at:]
+
+
 def test_pseudonyms_are_permutations(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert digits.select(pii.permuted(F.col("v"), "key", "x", pii.DIGITS).alias("p")).distinct().count() == 1000

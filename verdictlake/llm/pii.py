@@ -49,6 +49,15 @@ PATTERNS = {
 ORDER = ("secret", "email", "iban", "date", "ip", "phone", "ssn", "card")
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: ISO 13616: how long account numbers are; of other countries, any length is tried.
+IBAN_SIZES = {
+    country: int(size)
+    for size, countries in {
+        "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU XK", "21": "CH HR LI LV", "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL",
+        "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+    for country in countries.split()
+}
 DAYS = (250, 292)  # a span of 73,000 days
 
 
@@ -214,27 +223,71 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
 KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "card", "secret")
 
 
+def _ends(hit: Column, key: str) -> Column:
+    """The hit, or where a card's or account's number fails, its longest valid beginning before a blank or hyphen."""
+    likes = {name: (like, valid) for name, like, valid, _ in _kinds(hit, key)}
+
+    def longest(valid) -> Column:
+        begins = F.transform(F.sequence(F.lit(1), F.length(hit)), lambda i: F.substring(hit, F.lit(1), i))
+        return F.coalesce(F.try_element_at(F.filter(begins, lambda b: F.substring(hit, F.length(b) + 1, F.lit(1)).isin(" ", "-") & valid(b)), F.lit(-1)), hit)
+
+    def card(b: Column) -> Column:
+        return (F.length(_bare(b)) > 12) & _card(b, key)[0]
+
+    def iban(b: Column) -> Column:
+        size = F.try_element_at(F.create_map(*[F.lit(x) for kv in IBAN_SIZES.items() for x in kv]), F.substring(b, F.lit(1), F.lit(2)))
+        return b.rlike("^(?:" + PATTERNS["iban"] + ")$") & (F.length(_bare(b)) == F.coalesce(size, F.length(_bare(b)))) & _iban(b, key)[0]
+
+    # the order of the kinds: no hit is of two of these
+    out = hit
+    for name, valid in (("card", card), ("iban", iban)):
+        out = F.when(likes[name][0] & ~likes["secret"][0] & ~likes[name][1], longest(valid)).otherwise(out)
+    return out
+
+
 def found(text: Column, key: str = DEMO_KEY) -> Column:
-    """Array of struct(value, kind, pseudonym), in text order; kind is null where validation fails."""
+    """Array of struct(value, kind, pseudonym, at), one for each place where a pattern matches, in text order; kind
+    is null where validation fails. `at` is the text from there to the next place: values may go beyond it."""
 
-    def one(hit: Column) -> Column:
+    def one(hit: Column, at: Column) -> Column:
         kind, new = F.lit(None).cast("string"), hit
         for name, like, valid, pseudonym in reversed(_kinds(hit, key)):
             kind = F.when(like, F.when(valid, F.lit(name))).otherwise(kind)
             new = F.when(like, F.when(valid, pseudonym).otherwise(hit)).otherwise(new)
-        return F.struct(hit.alias("value"), kind.alias("kind"), new.alias("pseudonym"))
+        return F.struct(hit.alias("value"), kind.alias("kind"), new.alias("pseudonym"), at.alias("at"))
+
+    hits = F.transform(F.regexp_extract_all(text, F.lit(f"(?=({ANY}))"), F.lit(1)), lambda h: _ends(h, key))
+    return F.zip_with(hits, F.slice(_places(text), 2, F.length(text) + 1), one)
+
+
+def _places(text: Column) -> Column:
+    """What stands before the first place where a pattern matches, behind a blank, and the text from each to the next."""
+    return F.split(F.concat(F.lit(" "), text), f"(?={ANY})", -1)
+
+
+def _taken(places: Column) -> Column:
+    """The places without those within an earlier valid value; `at` is what such a value leaves of its own and of those."""
+    def step(s: Column, x: Column) -> Column:
+        value = F.when(x["kind"].isNull(), F.lit(0)).otherwise(F.length(x["value"]))
+        covered = s["left"] > 0
+        left = F.when(covered, s["left"]).otherwise(value)
+        rest = F.substring(x["at"], left + 1, F.length(x["at"]))
+        piece = F.struct(F.when(~covered, x["value"]).alias("value"), F.when(~covered, x["kind"]).alias("kind"), F.when(~covered, x["pseudonym"]).alias("pseudonym"), rest.alias("at"))
+        return F.struct(F.greatest(F.lit(0), left - F.length(x["at"])).alias("left"), F.concat(s["out"], F.array(piece)).alias("out"))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), one)
+    none = F.array().cast("array<struct<value:string,kind:string,pseudonym:string,at:string>>")
+    return F.aggregate(places, F.struct(F.lit(0).alias("left"), none.alias("out")), step, lambda s: s["out"])
 
 
 def pseudonymize(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """`docs` with the text replaced, and: found (see above), n_found, n_<kind>."""
     text = F.col("text").cast("string")
     has = F.coalesce(text.rlike(SIGNS) & text.rlike(ANY), F.lit(False))
-    d = docs.drop("found", "n_found", *[f"n_{k}" for k in KINDS]).withColumn("found", F.when(has, found(text, key)))
-    gaps = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(gaps, F.transform("found", lambda x: x["pseudonym"]), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    d = d.withColumn("text", F.when(F.col("found").isNull(), text).otherwise(whole))
+    d = docs.drop("found", "n_found", *[f"n_{k}" for k in KINDS]).withColumn("found", F.when(has, _taken(found(text, key))))
+    first = F.substring(F.get(_places(text), F.lit(0)), F.lit(2), F.length(text))
+    whole = F.concat(first, F.array_join(F.transform("found", lambda x: F.concat(F.when(x["kind"].isNotNull(), x["pseudonym"]).otherwise(F.lit("")), x["at"])), ""))
+    found_ = F.transform(F.filter("found", lambda x: x["value"].isNotNull()), lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
+    d = d.withColumn("text", F.when(F.col("found").isNull(), text).otherwise(whole)).withColumn("found", found_)
 
     def count(kind: str) -> Column:
         return F.when(F.col("found").isNull(), 0).otherwise(F.size(F.filter("found", lambda x: x["kind"] == kind)))
