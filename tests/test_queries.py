@@ -1,6 +1,7 @@
 """Every query against its SQL, and the rest against plain Python."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -53,6 +54,39 @@ def test_bootstrap_exact_is_the_plain_loop(spark, sf):
     assert (row["lo"], row["hi"]) == pytest.approx((found[5], found[195]))
 
 
+def test_bootstraps_take_every_judged_pair_and_1000_resamples(spark, sf, monkeypatch):
+    import hashlib
+
+    judged = catalog.QUERIES["score_models"](spark, sf).where("n > 0").collect()
+    items = catalog.items(spark, sf).orderBy("backend", "pos").collect()
+    assert {r.backend: r.n for r in judged} == Counter(r.backend for r in items)
+    assert catalog.items(spark, "/root/testdata/sf0.01").where("pos >= 200").count() > 0
+
+    def kappa(sample):
+        n = len(sample)
+        same = sum(t == p for t, p in sample) / n
+        chance = sum((sum(t == x for t, _ in sample) / n) * (sum(p == x for _, p in sample) / n) for x in ("approve", "reject"))
+        return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else (same - chance) / (1 - chance)
+
+    want = {}
+    for b in ("m0", "m3"):
+        data = [(r.truth, r.predicted) for r in items if r.backend == b]
+        n, seed = len(data), 20260806
+        draw = lambda r, j, n=n: int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:8], 16) % n
+        found = sorted(kappa([data[draw(r, j)] for j in range(n)]) for r in range(1000))
+        want[b] = (found[25], found[975])
+    for name in ("bootstrap_kappa_ci", "separability_tiers"):
+        got = {r.backend: (r.lo, r.hi) for r in catalog.QUERIES[name](spark, sf).collect()}
+        for b, ends in want.items():
+            assert got[b] == pytest.approx(ends, abs=1e-6)
+    monkeypatch.setattr(catalog.bootstrap, "BROADCAST_ITEMS", 0)
+    assert {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_kappa_ci"](spark, sf).collect()} == got
+    rng, data = random.Random(20260806), [(r.truth, r.predicted) for r in items if r.backend == "m0"]
+    found = sorted(kappa([data[rng.randrange(len(data))] for _ in data]) for _ in range(1000))
+    row = catalog.QUERIES["bootstrap_exact_ci"](spark, sf).where("backend = 'm0'").first()
+    assert (row["lo"], row["hi"]) == pytest.approx((found[25], found[975]))
+
+
 def plain_replay(records):
     order, history = [], {}
     for r in records:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .score import kappa_of
 
 SEED, RESAMPLES, ALPHA = 20260806, 1000, 0.05
+#: Items that are broadcast at most.
+BROADCAST_ITEMS = 1 << 20
 
 
 def ends(resamples: int, alpha: float = ALPHA) -> tuple[int, int]:
@@ -30,10 +32,14 @@ def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float =
     ranked = ranked.join(labels, "backend").select("backend", "i", (F.col("truth") == F.col("label")).cast("int").alias("t"), (F.col("predicted") == F.col("label")).cast("int").alias("p"))
     sizes = ranked.groupBy("backend").agg(F.count("*").alias("n"))
     draws = sizes.select("backend", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    # few and small rows that become many: by number, so that they are not put together again
+    draws = draws.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backend", "r")
     draws = draws.select("backend", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")))
     draws = draws.select("backend", "n", "r", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("n")).alias("i"))
-    sums = draws.join(ranked, ["backend", "i"]).groupBy("backend", "n", "r").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum((F.col("t") == F.col("p")).cast("int")).alias("same"))
+    # said by hand: to the optimizer, which does not count what explode makes, the draws are the small side
+    side = "broadcast" if ranked.count() <= BROADCAST_ITEMS else "shuffle_hash"
+    sums = draws.join(ranked.hint(side), ["backend", "i"]).groupBy("backend", "n", "r").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum((F.col("t") == F.col("p")).cast("int")).alias("same"))
     n = F.col("n")
     expected = (F.col("t") * F.col("p") + (n - F.col("t")) * (n - F.col("p"))) / (n * n)
     kappas = sums.select("backend", kappa_of(F.col("same") / n, expected).alias("kappa"))

@@ -19,7 +19,7 @@ from ..streaming import twins
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
-#: Resamples of the bootstrap query, and pairs it scores: the published calibration set's size.
+#: Of the bootstrap's SQL alone, which is too slow for more: the queries take all judged pairs and bootstrap.RESAMPLES, so it is not theirs.
 RESAMPLES, CALIBRATION_PAIRS = 200, 200
 
 
@@ -146,7 +146,7 @@ def unstable_pairs(spark, sf_dir):
 
 
 def items(spark, sf_dir):
-    rows = score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")).where(f"verdict is not null and pos < {CALIBRATION_PAIRS}")
+    rows = score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")).where("verdict is not null")
     return rows.select("backend", "pos", F.col("ground_truth").alias("truth"), F.col("verdict").alias("predicted"))
 
 
@@ -162,13 +162,13 @@ BOOT = f"""{JUDGED}, it as (select backend, row_number() over (partition by back
 
 @query(f"with {BOOT} select backend, round(lo, 6) as lo, round(hi, 6) as hi from ci")
 def bootstrap_kappa_ci(spark, sf_dir):
-    return rounded(bootstrap.bootstrap_kappa(items(spark, sf_dir), RESAMPLES), "lo", "hi")
+    return rounded(bootstrap.bootstrap_kappa(items(spark, sf_dir)), "lo", "hi")
 
 
 def scores(spark, sf_dir):
     rows = items(spark, sf_dir)
     kappas = score.cohens_kappa(rows, "truth", "predicted", ("backend",)).drop("n")
-    return kappas.join(bootstrap.bootstrap_kappa(rows, RESAMPLES), "backend")
+    return kappas.join(bootstrap.bootstrap_kappa(rows), "backend")
 
 
 KAPPA_IT = f"{BOOT}, {kappa_sql('it', 'backend', 't', 'p')}, sc as (select k.backend, kappa, lo, hi from kappas k join ci on ci.backend = k.backend)"
@@ -190,7 +190,7 @@ def tiers_theta(spark, sf_dir):
 @query()
 def bootstrap_exact_ci(spark, sf_dir):
     """The seeded draw sequence, which SQL cannot repeat; tests hold it against a plain loop."""
-    return bootstrap.bootstrap_exact(items(spark, sf_dir), RESAMPLES)
+    return bootstrap.bootstrap_exact(items(spark, sf_dir))
 
 
 USED = "(select count(*) from votes ) > 0"
