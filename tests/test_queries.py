@@ -87,6 +87,16 @@ def test_bootstraps_take_every_judged_pair_and_1000_resamples(spark, sf, monkeyp
     assert (row["lo"], row["hi"]) == pytest.approx((found[25], found[975]))
 
 
+def test_notes_are_whole(spark, sf):
+    last = {}
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    for r in sorted(rows, key=lambda r: r.turn):
+        if r.role != "system" and r.turn % 5 != 4 and r.text:
+            last[r.conv_id, f"p{len(r.text) % 3}"] = r.text
+    got = {(r.session, r.pair_id): r.notes for r in catalog.QUERIES["journal_notes"](spark, sf).collect()}
+    assert got == last and max(map(len, got.values())) > 20
+
+
 def plain_replay(records):
     order, history = [], {}
     for r in records:

@@ -441,7 +441,7 @@ def records(spark, sf_dir):
     undo = (F.col("role") == "system") | (F.col("turn") % 5 == 4)
     action = F.when(undo, "undo").when(F.col("role") == "user", "rule").otherwise("note")
     key = F.concat(F.lit("p"), (F.length("text") % 3).cast("string"))
-    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), key.alias("pair_id"), F.when(F.length("text") % 2 == 0, "approve").otherwise("reject").alias("ground_truth"), F.when(F.length("text") % 2 == 0, "ok").otherwise("casing_error").alias("reason"), F.substring("text", 1, 20).alias("notes"), (F.length("text") * 10).cast("long").alias("elapsed_ms"))
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), key.alias("pair_id"), F.when(F.length("text") % 2 == 0, "approve").otherwise("reject").alias("ground_truth"), F.when(F.length("text") % 2 == 0, "ok").otherwise("casing_error").alias("reason"), F.col("text").alias("notes"), (F.length("text") * 10).cast("long").alias("elapsed_ms"))
 
 
 @query()
