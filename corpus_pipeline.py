@@ -21,7 +21,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest id stays."""
+    """Of each class of near copies, the document with the smallest id stays.
+
+    Near is op2's contract, 4-word shingles and at most 4 of 64 bits: texts of a cosine around 0.98 and more.
+    """
     return simhash_dedup.drop_near_copies(docs)
 
 
