@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -183,7 +184,7 @@ def test_suffix_dedup(spark, letters, entries):
     random.seed(len(letters) + entries)
     parts = ["".join(random.choice(letters) for _ in range(random.randint(0, 300))) for _ in range(25)]
     texts = [random.choice(parts)[: random.randint(0, 250)] + random.choice(parts) + "a" * random.choice([0, 90]) for _ in range(45)] + AWKWARD[:5]
-    got = suffix_dedup.suffix_dedup(extra_columns(docs(spark, texts)), match=40, gram=4, run=12, chunk=150, entries=entries, broadcast_ids=1000 if entries > 3 else 0).collect()
+    got = suffix_dedup.suffix_dedup(extra_columns(docs(spark, texts)), match=40, gram=4, run=12, chunk=150, entries=entries, broadcast_ids=1000 if entries > 3 else 0, hot_rows=5 if entries > 3 else 2000).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_cut(texts, 40)
 
 
@@ -196,6 +197,70 @@ def test_suffix_dedup_at_its_own_parameters(spark, table):
         suffix_dedup.suffix_dedup(table, run=200)
 
 
+def brute_passages(rows, match):
+    """(doc_id, text) rows -> words in runs of strings that another document has, and number of runs; equal rows are one document."""
+    data = {(i, t or ""): re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for i, t in rows}
+    held = defaultdict(set)
+    for key, w in data.items():
+        for i in range(len(w) - match + 1):
+            held[tuple(w[i : i + match])].add(key)
+    out = {}
+    for key, w in data.items():
+        mark = [0] * len(w)
+        for i in range(len(w) - match + 1):
+            if len(held[tuple(w[i : i + match])]) > 1:
+                mark[i : i + match] = [1] * match
+        out[key] = (sum(mark), sum(f and (not i or not mark[i - 1]) for i, f in enumerate(mark)))
+    return out
+
+
+@pytest.mark.parametrize("letters,entries", [("ab", 8192), ("abcdef", 3), ("a", 8192), ("abcé", 1)])
+def test_shared_passages(spark, letters, entries):
+    random.seed(len(letters) + entries)
+    parts = [" ".join(random.choice(letters) * random.choice([1, 1, 300]) for _ in range(random.randint(0, 60))) for _ in range(14)]
+    texts = [random.choice(parts) + " " * random.randint(1, 2) + random.choice(parts) + "\n" + " a" * random.choice([0, 50]) for _ in range(36)] + AWKWARD[:5]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (3, texts[4])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.shared_passages(extra_columns(d), match=12, gram=2, run=4, chunk=150, entries=entries, broadcast_ids=1000 if entries > 3 else 0, hot_rows=3)
+    got = {(r.k, r.text): (r.shared_words, r.shared_passages) for r in got.join(d.withColumns({"h": F.xxhash64(F.coalesce("text", F.lit(""))), "k": F.coalesce("doc_id", F.lit(-1))}), ["k", "h"]).collect()}
+    want = {(-1 if i is None else i, t): v for (i, t), v in brute_passages(rows, 12).items() if v[0]}
+    assert got == want and len(want) > 5
+
+
+def test_passages_of_the_table_and_repeats_within_a_document(spark, table):
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    line = " ".join(f"w{i}" for i in range(51))
+    own = [(900_001, f"{line} x {line}"), (900_002, " ".join(f"v{i}" for i in range(60))), (900_003, "q " + " ".join(f"v{i}" for i in range(59)) + " end"), (900_004, " ".join(f"v{i}" for i in range(50)))]
+    d = table.select("doc_id", "text").union(spark.createDataFrame(own, "doc_id long, text string"))
+    got = {r.doc_id: (r.shared_words, r.shared_passages) for r in suffix_dedup.suffix_dedup(d, passages=True).collect()}
+    assert got == {i: v for (i, _), v in brute_passages(rows + own, 51).items()}
+    assert [got[i] for i, _ in own] == [(0, 0), (59, 1), (59, 1), (0, 0)]
+
+
+def test_words_of_any_length_are_words():
+    texts = ["", " ", "one", "a " * 700, "x" * 5000, "y" * 399 + " " + "x" * 5000 + " tail", " é" * 300, ("z" * 150 + " ") * 9]
+    hashes, seen = suffix_dedup.Hashes(), {}
+    for t in texts:
+        found = suffix_dedup.words(t.encode(), hashes, 100).tolist()
+        want = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert len(found) == len(want)
+        for h, w in zip(found, want):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_very_long_text_loses_what_it_repeats(spark):
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(7))
+    long, passage = " ".join(word() for _ in range(90_000)), " ".join(word() for _ in range(60))
+    texts = [long[:400_000] + passage + long[400_000:], passage + "!", "short"]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts), passages=True).collect()}
+    assert len(texts[0]) > 2 * suffix_dedup.CHUNK
+    assert (got[0].n_removed, got[1].n_removed, got[2].n_removed) == (len(passage), len(passage), 0)
+    assert got[0].kept_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert (got[0].shared_passages, got[1].shared_passages) == (1, 1)
+
+
 # 4: toxicity
 
 

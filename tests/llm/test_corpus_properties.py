@@ -43,12 +43,17 @@ def test_corpus_order_finds_equal_strings(texts, before):
     lead = np.array([before + i % 3 for i in range(len(texts))])
     n = np.array([1 + i % (before + 1) for i in range(len(texts))])
     parts = [(t[:k].ljust(k, "a") + core + t + "b" * 40)[: k + 30].encode() for t, k in zip(texts, lead.tolist())]
-    got = suffix_dedup.equal_strings(np.zeros(len(texts), np.int64), parts, lead, n, match)
+    arrays = [np.frombuffer(p, np.uint8) for p in parts]
+    got = suffix_dedup.equal_strings(np.zeros(len(texts), np.int64), arrays, lead, n, match)
+    doc = np.array([i % 2 if i else -1 for i in range(len(texts))])
+    across = suffix_dedup.equal_strings(np.zeros(len(texts), np.int64), arrays, lead, n, match, doc)
     low = int((lead - n + 1).min())
     own = [{x: p[k - x : k - x + match] for x in range(k - m + 1, k + 1)} for p, k, m in zip(parts, lead.tolist(), n.tolist())]
     for i, strings in enumerate(own):
         for x, s in strings.items():
             assert got[i, x - low] == any(o.get(x) == s for j, o in enumerate(own) if j != i)
+            docs = {doc[j] for j, o in enumerate(own) if o.get(x) == s}
+            assert not got[i, x - low] or across[i, x - low] == (len(docs) > 1 or -1 in docs)
 
 
 @given(st.lists(st.integers(-5, 50), min_size=1, max_size=80), st.data())

@@ -20,7 +20,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"))
+    return suffix_dedup.suffix_dedup(load(spark, sf_dir, "documents"), passages=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
