@@ -457,13 +457,13 @@ def test_mix(spark):
         assert (r.size, r.source_size) == (size[i], of[s]) and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 2 * r.size
         taken[s] += r.taken
     for s in of:
-        assert taken[s] == pytest.approx(target[s], rel=0.02)
+        assert taken[s] == pytest.approx(target[s], abs=0.51)
     assert {i: r.taken for i, r in got.items()} == {r.doc_id: r.taken for r in mixing.mix(d.repartition(7), range_rows=5).collect()}
     order = mixing.training_order(d, range_rows=5).collect()
     drawn, filled = Counter(), defaultdict(list)
     for r in order:
         drawn[r.doc_id] += r.words
-        filled[r.slot].append((r.place, r.words))
+        filled[r.slot, r.rank].append((r.place, r.words))
         assert 0 <= r.from_word and r.from_word + r.words <= size[r.doc_id]
     assert all(drawn[i] == got[i].taken for i in size)
     for parts in filled.values():  # blocks have no gaps
@@ -480,7 +480,7 @@ def test_schedule_is_even(spark):
     sizes = spark.createDataFrame([("a", 60_000), ("b", 10_000), ("c", 30_000)], "source string, size long")
     targets = mixing.source_targets(sizes)
     slots, counted = mixing.schedule(targets)
-    assert counted.where("blocks < 1").count() == 0
+    assert counted.where("parts < 1").count() == 0
     rows = [r["rank"] for r in slots.orderBy("slot").collect()]
     share = {r["rank"]: r["target"] / 150_000 for r in counted.collect()}
     for a in range(0, len(rows) - 500, 311):
@@ -488,6 +488,20 @@ def test_schedule_is_even(spark):
         assert all(abs(part[k] - 500 * s) < 6 for k, s in share.items())
 
 
+def test_a_small_source_makes_no_more_slots(spark):
+    sizes = [("a", 600_000), ("b", 400_000)]
+    for more in ([], [("tiny", 10)], [("tiny", 10), ("one", 1), (None, 3), ("none", 0)]):
+        targets = mixing.source_targets(spark.createDataFrame(sizes + more, "source string, size long"))
+        slots, counted = mixing.schedule(targets)
+        assert abs(slots.count() - mixing.SLOTS) < 200
+        drawn = mixing.drawn_blocks(slots, counted)
+        took = {r["rank"]: (r.words, r.n) for r in drawn.groupBy("rank").agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect()}
+        for r in counted.collect():
+            words, n = took.get(r["rank"], (0, 0))
+            assert words == r.due and n <= r.due // (r.source_size // r.parts or 1) + 2
+        assert drawn.count() < mixing.SLOTS + 200
+
+
 # 9: packing
 
 

@@ -3,8 +3,15 @@
 Slot i of the schedule holds the point frac(i * golden ratio), mapped through the
 cumulative targets to a source. The r-th slot of a source takes the r-th block of
 that source's documents, which stand in a fixed shuffled order and are cut into
-blocks of equal numbers of words; after the last block its first one follows.
-What the mix takes of a document is the sum over the blocks that it has words in.
+blocks of equal numbers of words (to one word); after the last block its first one
+follows. What the mix takes of a document is the sum over the blocks that it has
+words in.
+
+The size of the blocks follows from the whole mix, not from its smallest source: a
+source of less than one block is a block of its own. A source takes exactly its
+target, to the nearest word: of its last block only what is missing is taken, slots
+beyond that are left out, and where the points gave a source too few slots (or
+none), the missing ones are put where they fall in an even spread.
 
 No source is dealt to one task: documents meet by (source, range of the shuffle
 hash), and only the ranges' sums are ordered by source.
@@ -30,8 +37,8 @@ GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-#: Slots that the smallest target gets; with few, rounding to whole blocks shows.
-SLOTS_OF_SMALLEST = 256
+#: Slots of a mix, about, unless its blocks would be longer than MAX_BLOCK words.
+SLOTS = 16_384
 MAX_BLOCK = 4096
 #: Slots that one task numbers.
 SLOT_RANGE = 4096
@@ -78,31 +85,43 @@ def _points(edges: list[float]):
     return run
 
 
-def schedule(targets: DataFrame, slots_of_smallest: int = SLOTS_OF_SMALLEST, max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(slot, rank) rows in slot order, and `targets` with the block size and the number of blocks.
+def schedule(targets: DataFrame, slots: int = SLOTS, max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(slot, rank) rows in slot order, and `targets` with: due (words to take), parts (blocks of a pass), n_slots (of the schedule).
 
     What is gathered is one row per source, not data of the documents.
     """
     spark = targets.sparkSession
     rows = targets.orderBy("rank").select("rank", "target").collect()
     total = sum(r["target"] for r in rows)
-    least = min((r["target"] for r in rows if r["target"] > 0), default=0)
-    block = int(max(1, min(max_block, least // slots_of_smallest)))
+    block = int(max(1, min(max_block, total // slots)))
     edges, at = [], 0.0
     for r in rows:
         at += r["target"] / total if total else 0
         edges.append(at)
-    slots = in_arrow(spark.range(round(total / block)), _points([float(e) for e in edges[:-1]]), "slot long, rank int")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block))).cast("long")
-    return slots, targets.withColumns({"block": F.lit(block).cast("long"), "blocks": blocks})
+    n_slots = round(total / block)
+    points = in_arrow(spark.range(n_slots), _points([float(e) for e in edges[:-1]]), "slot long, rank int")
+    parts = F.greatest(F.lit(1), F.round(F.col("source_size") / F.lit(block))).cast("long")
+    return points, targets.withColumns({"due": F.round("target").cast("long"), "parts": parts, "n_slots": F.lit(n_slots).cast("long")})
+
+
+def _begin(part: Column) -> Column:
+    """Words of the source before a part; the first source_size % parts of them have one word more."""
+    size, parts = F.col("source_size"), F.col("parts")
+    return part * F.floor(size / parts).cast("long") + F.least(part, size % parts)
+
+
+def _part_of(word: Column) -> Column:
+    size, parts = F.col("source_size"), F.col("parts")
+    short, longer = F.greatest(F.lit(1).cast("long"), F.floor(size / parts).cast("long")), size % parts
+    edge = longer * (short + 1)
+    return F.when(word < edge, F.floor(word / (short + 1))).otherwise(longer + F.floor((word - edge) / short)).cast("long")
 
 
-def drawn_blocks(slots: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
-    """(slot, rank, turn, part): the turn-th slot of a source draws its part-th block; parts repeat after the last.
+def drawn_blocks(slots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(slot, rank, turn, part, words, whole): the turn-th slot of a source draws that many words of its part-th block; parts repeat after the last.
 
     Slots are numbered within source and range of slots, and the ranges' sizes added
-    up before, so that no source goes through one task. A block is drawn `cap` times
-    at most: what rounding would add to that is left out.
+    up before, so that no source goes through one task.
     """
     s = slots.withColumn("span", F.floor(F.col("slot") / SLOT_RANGE))
     sizes = s.groupBy("rank", "span").agg(F.count("*").alias("n"))
@@ -110,8 +129,17 @@ def drawn_blocks(slots: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFr
     starts = sizes.select("rank", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("rank", "span").orderBy("slot")) - 1
     turns = s.withColumn("own", own).join(starts, ["rank", "span"]).select("slot", "rank", (F.col("before") + F.col("own")).alias("turn"))
-    turns = turns.join(targets.select("rank", "blocks"), "rank").where(F.col("turn") < F.col("blocks") * cap)
-    return turns.select("slot", "rank", "turn", (F.col("turn") % F.col("blocks")).alias("part"))
+    of = targets.select("rank", "source_size", "due", "parts", "n_slots")
+    turns = turns.join(of, "rank")
+    needed = F.ceil(F.col("due") * F.col("parts") / F.greatest(F.lit(1), F.col("source_size"))).cast("long")
+    short = of.join(sizes.groupBy("rank").agg(F.sum("n").alias("n")), "rank", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "needed": needed}).where("needed > n")
+    more = short.withColumn("turn", F.explode(F.sequence("n", F.col("needed") - 1)))
+    more = more.withColumn("slot", F.floor((F.col("turn") + 0.5) * F.col("n_slots") / F.col("needed")).cast("long"))
+    turns = turns.unionByName(more.select(*turns.columns))
+    turns = turns.withColumn("part", F.col("turn") % F.col("parts"))
+    size = _begin(F.col("part") + 1) - _begin(F.col("part"))
+    left = F.col("due") - F.floor(F.col("turn") / F.col("parts")).cast("long") * F.col("source_size") - _begin(F.col("part"))
+    return turns.withColumns({"words": F.least(size, left), "whole": left >= size}).where("words > 0").select("slot", "rank", "turn", "part", "words", "whole")
 
 
 def placed_documents(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> tuple[DataFrame, DataFrame]:
@@ -126,37 +154,38 @@ def placed_documents(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> tu
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     starts = starts.join(targets.drop("weight"), starts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "start", "rank", "source_size", "target", "block")
+    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "start", "rank", "source_size", "target", "parts")
     within = Window.partitionBy("source", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = d.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = placed.join(starts, placed["source"].eqNullSafe(F.col("_s")) & (placed["range"] == F.col("_r")))
-    return out.select("doc_id", "rank", "size", "source_size", "target", "block", (F.col("start") + F.col("at")).alias("at")), drawn_blocks(slots, targets)
+    return out.select("doc_id", "rank", "size", "source_size", "target", "parts", (F.col("start") + F.col("at")).alias("at")), drawn_blocks(slots, targets)
 
 
 def _in_blocks(placed: DataFrame) -> DataFrame:
-    """A row for each block that a document has words in: from which word on, and how many."""
+    """A row for each block that a document has words in: from which word on, how many, and where in the block."""
     last = F.col("at") + F.col("size")
-    parts = F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((last - 1) / F.col("block")))
-    rows = placed.where("size > 0").withColumn("part", F.explode(parts))
-    begin, end = F.greatest("at", F.col("part") * F.col("block")), F.least(last, (F.col("part") + 1) * F.col("block"))
-    return rows.withColumns({"from_word": begin - F.col("at"), "words": end - begin})
+    rows = placed.where("size > 0").withColumn("part", F.explode(F.sequence(_part_of(F.col("at")), _part_of(last - 1))))
+    begin, end = F.greatest("at", _begin(F.col("part"))), F.least(last, _begin(F.col("part") + 1))
+    return rows.withColumns({"from_word": begin - F.col("at"), "words": end - begin, "place": begin - _begin(F.col("part"))})
 
 
 def mix(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     placed, drawn = placed_documents(docs, range_rows, **how)
-    times = drawn.groupBy("rank", "part").agg(F.count("*").alias("times"))
+    times = drawn.groupBy("rank", "part").agg(F.count_if("whole").alias("times"), F.coalesce(F.sum(F.when(~F.col("whole"), F.col("words"))), F.lit(0)).alias("cut"))
     keys = ["doc_id", "rank", "size", "source_size", "target", "at"]  # places differ within a source
-    taken = _in_blocks(placed).join(times, ["rank", "part"], "left").groupBy(*keys).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
+    words = F.col("words") * F.col("times") + F.greatest(F.lit(0), F.least("words", F.col("cut") - F.col("place")))
+    taken = _in_blocks(placed).join(times, ["rank", "part"], "left").groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"))
     empty = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
 
 
 def training_order(docs: DataFrame, range_rows: int = RANGE_ROWS, **how) -> DataFrame:
-    """The mix slot by slot: slot, doc_id, from_word, words, place within the slot's block."""
+    """The mix slot by slot: slot, rank (of the source), doc_id, from_word, words, place within the slot's block."""
     placed, drawn = placed_documents(docs, range_rows, **how)
-    parts = _in_blocks(placed).select("rank", "part", "doc_id", "from_word", "words", (F.col("at") + F.col("from_word") - F.col("part") * F.col("block")).alias("place"))
-    return drawn.join(parts, ["rank", "part"]).select("slot", "doc_id", "from_word", "words", "place")
+    parts = _in_blocks(placed).select("rank", "part", "doc_id", "from_word", F.col("words").alias("held"), "place")
+    rows = drawn.join(parts, ["rank", "part"]).where("place < words")
+    return rows.select("slot", "rank", "doc_id", "from_word", F.least("held", F.col("words") - F.col("place")).alias("words"), "place")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

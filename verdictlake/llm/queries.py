@@ -107,13 +107,8 @@ ORACLES: dict[str, str] = {
         l as (select *, (total * {mixing.SHARE} - filled) / unfilled as level from o),
         k as (select min_by(level, cap / weight) as level from l where level <= cap / weight),
         t as (select source, source_size, r, least(cast(cap as double), coalesce(k.level * weight, cap)) as target from l left join k on true),
-        g as (select cast(greatest(1, least({mixing.MAX_BLOCK}, floor(min(target) filter (target > 0) / {mixing.SLOTS_OF_SMALLEST}))) as bigint) as block, sum(target) as total from t),
-        e as (select t.*, block, sum(target / total) over (order by r) as hi, sum(target / total) over (order by r) - target / total as lo, row_number() over (order by r desc) = 1 as last from t, g),
-        p as (select i * {mixing.GOLDEN} - floor(i * {mixing.GOLDEN}) as p from (select unnest(range(cast(round(total / block) as bigint))) as i from g)),
-        n as (select r, count(*) as slots from p join e on p >= coalesce((select max(f.hi) from e f where f.r < e.r), 0) and (p < hi or last) group by r),
-        b as (select e.*, greatest(1, ceil(source_size / block)) as blocks, least(coalesce(slots, 0), 2 * greatest(1, ceil(source_size / block))) as slots from e left join n on n.r = e.r),
         a as (select d.*, coalesce(sum(size) over (partition by source order by place % greatest(64, (select count(*) from d) // {mixing.RANGE_ROWS}), place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d)
-        select doc_id, size, source_size, target, cast(size * floor(slots / blocks) + greatest(0, least(size, (slots % blocks) * block - start)) as bigint) as taken
-        from a join b on a.source is not distinct from b.source
+        select doc_id, size, source_size, target, case when source_size = 0 then 0 else cast(size * (cast(round(target) as bigint) // source_size) + greatest(0, least(size, cast(round(target) as bigint) % source_size - start)) as bigint) end as taken
+        from a join t on a.source is not distinct from t.source
     """,
 }
