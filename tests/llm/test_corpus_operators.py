@@ -311,6 +311,60 @@ def test_forward_backward_is_exact():
     assert np.allclose(both, want_both)
 
 
+def test_toxicity_is_the_plain_chain(spark):
+    """Scores and offsets of the query against sums over one document and one place at a time."""
+    import math
+
+    from verdictlake.llm import queries
+
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, labels)
+    chain, (w, mean, scale) = model.chain, model.top
+    rows = {r.doc_id: r for r in queries.op4_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    for r in d.where("doc_id % 4 = 1").collect():
+        places = [m for m in re.finditer(r"[^\W\d_]+", r.text or "")]
+        boost = []
+        for m in places:
+            a, b = model.lexicon.features(m[0].lower())
+            boost.append(math.exp(max(-30, min(30, chain.emission[a] + chain.emission[toxicity.BINS + b] + chain.emission[2 * toxicity.BINS]))))
+        move = [[math.exp(chain.transition[i][j]) for j in (0, 1)] for i in (0, 1)]
+        ahead, behind = [], []
+        for t, x in enumerate(boost):
+            f = (1.0, math.exp(chain.start) * x) if not t else tuple(sum(ahead[-1][i] * move[i][j] for i in (0, 1)) * (x if j else 1) for j in (0, 1))
+            ahead.append(tuple(v / sum(f) for v in f))
+        b = (1.0, 1.0)
+        for x in reversed(boost):
+            behind.append(b)
+            b = tuple(move[i][0] * b[0] + move[i][1] * x * b[1] for i in (0, 1))
+            b = tuple(v / sum(b) for v in b)
+        p = [f[1] * g[1] / (f[0] * g[0] + f[1] * g[1]) for f, g in zip(ahead, reversed(behind))]
+        strong = sum(x for x in p if x > 0.5)
+        facts = [math.log1p(strong), max(p), sum(sorted(p)[-2:]), math.log1p(1000 * strong / (len(p) + 20))] if p else [0.0] * 4
+        want = 1 / (1 + math.exp(-(w[0] + sum(c * (x - m) / s for c, x, m, s in zip(w[1:], facts, mean, scale)))))
+        got = rows[r.doc_id]
+        assert got.score == pytest.approx(want, abs=1e-6) and got.predicted == (got.score >= 0.5)
+        if all(abs(x - 0.5) > 1e-6 for x in p):
+            assert got.toxic_spans == ",".join(f"{m.start()}-{m.end()}" for m, x in zip(places, p) if x > 0.5)
+
+
+def test_toxic_offsets_are_of_the_text_as_written(spark):
+    """A letter that grows when it is lower-cased moves nothing."""
+    n = 60
+    texts = [f"\u0130stanbul \u0130zmir plain words {'idiot scumbag' if i % 2 else 'river stone'} and more {i}" for i in range(n)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(extra_columns(docs(spark, texts)), labels).collect()}
+    for i in range(n):
+        cut = [texts[i][a:b] for a, b in zip(got[i].offsets[::2], got[i].offsets[1::2])]
+        assert set(cut) == ({"idiot", "scumbag"} if i % 2 else set())
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    texts = [f"plain words {'idiot scumbag' if i % 2 else 'river stone'} and more" for i in range(60)] + ["river stone " * 1_100_000 + "idiot scumbag"]
+    r = toxicity.score(docs(spark, texts), labels).where("doc_id = 60").first()
+    assert r.offsets == [13_200_000, 13_200_005, 13_200_006, 13_200_013] and 0 <= r.score <= 1
+
+
 def test_toxicity_without_both_classes(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.score(docs(spark, ["a", "b"]), labels).collect()] == [0.0, 0.0]
@@ -329,6 +383,36 @@ def test_language_of_held_out_rows(spark):
     assert np.mean([got[i].lang_pred == truth[i].lang for i in held]) > 0.97
 
 
+def test_language_is_the_plain_vote(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(table)
+    got = {r.doc_id: r for r in langid.identify(table, model).collect()}
+    shift = 32 - langid.DIM.bit_length() + 1
+
+    def winner(group, among, margins):
+        chance = lambda m: 1 / (1 + np.exp(-2 * m))
+        sides = [(c, chance(m if c == b else -m)) for (g, a, b), m in zip(model.pairs, margins) if g == group for c in (a, b)]
+        rank = {c: (sum(p > 0.5 for d, p in sides if d == c), sum(p for d, p in sides if d == c)) for c in among}
+        best = max(among, key=rank.get)
+        return best, min([p for d, p in sides if d == best], default=1.0)
+
+    for r in table.where("doc_id % 9 = 2").collect():
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        b = b"  " + re.sub(r"[\W\d_]+", " ", r.text.lower()).strip().encode() + b"  "
+        sums, padded = np.zeros(len(model.pairs)), b + b"  "
+        for i in range(len(b)):
+            for n, tag in ((1, 0), (2, 0x10000000), (3, 0x20000000)):
+                sums += model.weights[((int.from_bytes(padded[i : i + n], "big") + tag) * 0x9E3779B1 & 0xFFFFFFFF) >> shift]
+        margins = sums / (3 * len(b)) + model.bias
+        family, s = winner("", sorted(model.families), margins)
+        lang, t = winner(family, model.families[family], margins)
+        assert got[r.doc_id].score == pytest.approx(s * t, abs=1e-3)
+        if s * t > 0.51:
+            assert got[r.doc_id].lang_pred == lang
+
+
 def test_language_without_letters_or_labels(spark):
     d = docs(spark, [None, "", "12 34 !?", "hello there my friend"] * 3, lang=["en"] * 12)
     got = {r.doc_id: r.lang_pred for r in langid.identify(d).collect()}
@@ -347,8 +431,12 @@ def test_fingerprint_pairs(spark, range_rows, monkeypatch):
     monkeypatch.setattr(doc_fingerprint.with_next, "__defaults__", (range_rows,))
     random.seed(8)
     texts = AWKWARD + [" ".join(random.choice("ab bc cd de ef".split()) for _ in range(random.randint(1, 900))) for _ in range(20)]
-    got = {r.doc_id: r for r in doc_fingerprint.fingerprint_pairs(extra_columns(docs(spark, texts))).collect()}
+    texts += [texts[-1] + " " + w for w in ("ab", "bc", "ab bc")] + [texts[-2]] * 3
+    got = {r.doc_id: r for r in doc_fingerprint.fingerprint_pairs(extra_columns(docs(spark, texts)), every=2).collect()}
     own = [t or "" for t in texts]
+    prints = [int(got[i].fingerprint, 16) for i in range(len(texts))]
+    for i, x in enumerate(prints):
+        assert got[i].n_near == (None if i % 2 else sum((x ^ y).bit_count() <= 3 for y in prints) - 1)
     for i, t in enumerate(own):
         after, half = own[i - 1], len(t) // 2  # of 0 the next is the last
         edited = t[: len(t) - half] + after[:half]
@@ -401,26 +489,30 @@ def plain_words(text):
 
 
 def test_license_scan(spark, table):
-    notice = license_scan.TEMPLATES["bsd"]
+    notice = license_scan.TEMPLATES["bsd"][0]
+    spread = " rem ".join(notice.split()) + " rem" * 11
     texts = [
         *AWKWARD, "Released under the MIT License.", "under the mit license under the mit license", "x under-the: MIT\nlicense y CC BY-NC z under the mit license", "Under the MIT",
         "junk " * 100 + notice + " junk" * 50, "junk " * 37 + " ".join(notice.split()[:17]) + " junk" * 9, "junk " * 70 + " ".join(reversed(notice.split())),
-        "Apache License, Version 2.0", *[r.text for r in table.collect()],
+        *["junk " * k + spread + " junk" * 70 for k in range(0, 40, 3)], "this wor\u212a is licensed under the gnu general public license version", "junk " * 60_000 + notice,
+        "Apache License, Version 2.0", *[r.text for r in table.collect()], *[". ".join(t).capitalize() for t in license_scan.TEMPLATES.values()],
     ]
     got = {r.doc_id: r for r in license_scan.scan(extra_columns(docs(spark, texts))).collect()}
+    assert got[len(AWKWARD) + 4].labels == got[len(AWKWARD) + 6].labels == "bsd" and all(got[len(AWKWARD) + 7 + k].labels == "bsd" for k in range(14))
     for i, t in enumerate(texts):
         w = plain_words(t)
         at = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         want = (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want, t
         found = {x for _, x in at}
-        for label, template in license_scan.TEMPLATES.items():
+        blocks = {frozenset(w[s : s + 64]) for s in range(0, max(8, len(w) - 64 + 8), 8)}
+        for label, template in ((label, t) for label, texts in license_scan.TEMPLATES.items() for t in texts):
             tokens = set(template.split())
-            blocks = [set(w[s : s + 64]) for s in range(0, max(1, len(w) - 32), 32)]
             if any(len(b & tokens) >= 0.8 * len(tokens) - 1e-9 for b in blocks):
                 found.add(label)
         assert got[i].labels == ",".join(sorted(found)), t
         assert 0 <= got[i].score <= 1
+    assert all(label in got[len(texts) - len(license_scan.TEMPLATES) + k].labels.split(",") for k, label in enumerate(license_scan.TEMPLATES))
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
@@ -629,9 +721,170 @@ def test_numbers_are_found_before_other_groups(spark):
 def test_pseudonyms_are_permutations(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert digits.select(pii.permuted(F.col("v"), "key", "x", pii.DIGITS).alias("p")).distinct().count() == 1000
-    days = spark.range(73_000).select(pii.permuted_number(F.col("id"), "key", "date", *pii.DAYS).alias("p"))
-    row = days.agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
-    assert tuple(row) == (73_000, 0, 72_999)
+    for first, end in ((pii.FIRST_DAY, pii.FIRST_DAY + 36_595 + 2), (-5, 73_005), (pii.END_DAY - 38_464 - 2, pii.END_DAY)):
+        rows = spark.range(first, end).select("id", pii._moved_day(F.col("id"), "key").alias("p")).collect()
+        assert len({r.p for r in rows}) == len(rows) and all(pii.FIRST_DAY <= r.p < pii.END_DAY for r in rows)
+
+
+class PlainPii:
+    """Finder and permuter in plain Python."""
+
+    ANY = re.compile(f"(?=({pii.ANY}))", re.ASCII)
+
+    def __init__(self, key):
+        self.key = key
+
+    def kind(self, hit):
+        return next(k for k in pii.ORDER if re.fullmatch(pii.PATTERNS[k], hit, re.ASCII))
+
+    def date(self, hit):
+        import datetime
+
+        parts = [int(x) for x in re.split("[-/.]", hit)]
+        for order in ([(0, 1, 2)] if "-" in hit else [(2, 1, 0), (2, 0, 1)] if "/" in hit else [(2, 1, 0)]):
+            try:
+                return datetime.date(*[parts[i] for i in order]), order
+            except ValueError:
+                pass
+        return None
+
+    def valid(self, kind, hit):
+        bare = re.sub("[^A-Za-z0-9]", "", hit)
+        if kind == "card":
+            return luhn(bare)
+        if kind == "iban":
+            return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        if kind == "ip":
+            return all(int(x) < 256 for x in hit.split("."))
+        if kind == "date":
+            return self.date(hit) is not None
+        if kind == "ssn":
+            a, b, c = hit.split("-")
+            return a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+        if kind == "phone":
+            return (8 <= len(bare) <= 15 and bare[0] != "0") if hit[0] == "+" else bare[0] > "1" and bare[3] > "1"
+        return True
+
+    def whole(self, hit):
+        """The hit, or its longest valid beginning."""
+        kind = self.kind(hit)
+        if kind in ("card", "iban") and not self.valid(kind, hit):
+            for i in range(len(hit) - 1, 0, -1):
+                b = hit[:i]
+                n = len(re.sub("[^A-Za-z0-9]", "", b))
+                if hit[i] in " -" and (n > 12 if kind == "card" else re.fullmatch(pii.PATTERNS["iban"], b, re.ASCII) and n == pii.IBAN_SIZES.get(b[:2], n)) and self.valid(kind, b):
+                    return b
+        return hit
+
+    def rounds(self, a, b, move):
+        for i in range(1, pii.ROUNDS + 1):
+            a, b = (a, move(b, a, i, 1)) if i % 2 else (move(a, b, i, 0), b)
+        return a, b
+
+    def text(self, text, kind, *alphabets):
+        def move(own, other, i, _):
+            told = hashlib.sha512(other.encode()).hexdigest() if len(other) > pii.LONG else other
+            digests = (hashlib.sha512(f"{self.key}\0{kind}\0{len(text)}/{i}\0{told}\0{b}".encode()).hexdigest() for b in range(len(own) // 32 + 1))
+            by = [int(d[k * 4 : k * 4 + 4], 16) for d in digests for k in range(32)]
+            pick = lambda c: next((x for x in alphabets if c in x), None)
+            return "".join(x[(x.index(c) + n) % len(x)] if (x := pick(c)) else c for c, n in zip(own, by))
+
+        half = len(text) // 2
+        return "".join(self.rounds(text[:half], text[half:], move))
+
+    def number(self, v, kind, high, low):
+        move = lambda own, other, i, side: (own + int(hashlib.sha256(f"{self.key}\0{kind}\0{i}\0{other}".encode()).hexdigest()[:12], 16)) % (low if side else high)
+        a, b = self.rounds(v // low, v % low, move)
+        return a * low + b
+
+    def day(self, n):
+        for first, end, size in ((-693_595, -657_000, (65, 563)), (2_920_000, 2_958_464, (64, 601))):
+            if first <= n < end:
+                return self.number(n - first, "date", *size) + first
+        start = n // 73_000 * 73_000
+        return self.number(n - start, "date", 250, 292) + start
+
+    def new(self, kind, hit):
+        import datetime
+
+        bare, digits, upper, lower = re.sub("[^A-Za-z0-9]", "", hit), pii.DIGITS, pii.UPPER, pii.LOWER
+
+        def refill(mask, fill):
+            fill = iter(fill)
+            return re.sub("[A-Za-z0-9]", lambda _: next(fill), mask)
+
+        if kind == "email":
+            name, host = hit.split("@")
+            return self.text(name, kind, digits, lower, upper) + "@" + host
+        if kind == "secret":
+            m = re.match(pii.NAMED, hit, re.ASCII)
+            lead = 4 if re.fullmatch("A[KS]IA[A-Z0-9]{16}", hit) else m.end()
+            told = hit[lead:]
+            return hit[:lead] + (self.text(told, kind, pii.HEX) if re.fullmatch("[0-9a-f]+", told) else self.text(told, kind, digits, lower, upper))
+        if kind == "card":
+            body = self.text(bare[:-1], kind, digits)
+            return refill(hit, next(body + d for d in digits if luhn(body + d)))
+        if kind == "iban":
+            bban = self.text(bare[4:], kind, digits, upper)
+            check = 98 - int("".join(str(int(c, 36)) for c in bban + bare[:2] + "00")) % 97
+            return refill(hit, f"{bare[:2]}{check:02}{bban}")
+        if kind == "ip":
+            v = 0
+            for x in hit.split("."):
+                v = v * 256 + int(x)
+            v = self.number(v, kind, 1 << 16, 1 << 16)
+            return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+        if kind == "date":
+            day, order = self.date(hit)
+            epoch = datetime.date(1900, 1, 1)
+            while True:
+                day = epoch + datetime.timedelta(self.day((day - epoch).days))
+                if order != (2, 0, 1) or day.day > 12:
+                    break
+            parts = dict(zip(order, (f"{day.year:04}", f"{day.month:02}", f"{day.day:02}")))
+            return ("-" if "-" in hit else "/" if "/" in hit else ".").join(parts[i] for i in range(3))
+        if kind == "ssn":
+            areas = [a for a in range(1, 900) if a != 666]
+            a, b, c = (int(x) for x in hit.split("-"))
+            v = self.number((areas.index(a) * 99 + b - 1) * 9999 + c - 1, kind, 898 * 99, 9999)
+            return f"{areas[v // 9999 // 99]:03}-{v // 9999 % 99 + 1:02}-{v % 9999 + 1:04}"
+        if hit[0] == "+":
+            lead = re.match(r"\+[0-9]+", hit).end()
+            rest = re.sub("[^A-Za-z0-9]", "", hit[lead:])
+            return hit[:lead] + refill(hit[lead:], self.text(rest, kind, digits)) if len(rest) > 6 else refill(hit, self.text(bare, kind, digits))
+        v = self.number(((int(bare[:3]) - 200) * 800 + int(bare[3:6]) - 200) * 10_000 + int(bare[6:]), kind, 640_000, 10_000)
+        return refill(hit, f"{v // 8_000_000 + 200}{v // 10_000 % 800 + 200}{v % 10_000:04}")
+
+    def __call__(self, text):
+        out, at, found = [], 0, []
+        for m in self.ANY.finditer(text or ""):
+            hit = self.whole(m[1])
+            kind = self.kind(hit)
+            if m.start() >= at and self.valid(kind, hit):
+                new = self.new(kind, hit)
+                out += [text[at : m.start()], new]
+                at = m.start() + len(hit)
+                found.append((hit, kind, new))
+        return "".join(out) + (text or "")[at:], found
+
+
+def test_pii_is_the_plain_finder_and_permuter(spark, table):
+    rng = random.Random(9)
+    num = lambda n: "".join(rng.choices("0123456789", k=n))
+    made = ["9999-12-31 and 31/12/9999, 12/31/9999; 01/01/0001 31.12.9999 0001-01-01 29.02.2023 29/02/2024 02/29/2024 00/00/0000"]
+    made += ["000-00-0000 666-12-3456 900-11-1111 665-99-9999 667-01-0001 899-99-9999 123-00-4567", "(555) 234-5678 (155) 234-5678 555.134.5678 +49 30 1234 5678 +0 123 4567 890 +1 (068) 555-2748 212 555-0199"]
+    made += ["GB82 WEST 1234 5698 7654 32, GB83 WEST 1234 5698 7654 32", "ES91 2100 0418 4502 0005 1332 EUR and DE89370400440532013000"]
+    for _ in range(120):
+        made.append(" ".join(rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(4)}-0{num(1)}-1{num(1)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"{num(3)}.{num(2)}.{num(1)}.{num(2)}", num(16), f"DE{num(20)}", f"a.{num(2)}@ex.org", f"pwd={num(13)}"]) for _ in range(6)))
+    rows = [(r.doc_id, r.text) for r in table.collect()] + [(10**6 + i, t) for i, t in enumerate(made)]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    plain, kinds = PlainPii("key"), Counter()
+    for i, t in rows:
+        want, found = plain(t)
+        assert ([(f.value, f.kind, f.pseudonym) for f in got[i].found or [] if f.kind], got[i].text) == (found, want if t is not None else None)
+        kinds.update(k for _, k, _ in found)
+    assert set(kinds) == set(pii.KINDS)
+    assert plain("9999-12-31")[0] != "9999-12-31" and plain("12/31/9999")[1][0][2][3:5] > "12"
 
 
 # pipeline and registration

@@ -1,14 +1,20 @@
 """Format-preserving pseudonyms for personal data and secrets, with DataFrame functions only.
 
 Values are found by one pattern, validated by kind (Luhn, ISO 13616, octets,
-calendar) and replaced by a keyed permutation within their format:
-
-* strings (mail names, phone, card, account and social-security numbers, secrets):
-  a Feistel network over the two halves of the characters; each character moves
-  within its own alphabet (digits, lower, upper case, or hex digits) by a key
-  stream derived from the other half. Check digits are computed anew;
-* addresses: a Feistel network over two halves of 16 bits;
-* dates: a Feistel network over day numbers, within spans of 73,000 days.
+calendar, issued social-security numbers, phone numbers by length or, without a
+country, by area and exchange) and replaced by a keyed permutation within their
+format:
+
+* strings (mail names, cards, accounts, phones with a country, secrets): a Feistel
+  network over the two halves of the characters; each character moves within its own
+  alphabet (digits, lower, upper case, or hex digits) by a key stream derived from
+  the other half. Check digits are computed anew;
+* addresses, social-security and national phone numbers: a Feistel network over the
+  places of the valid ones;
+* dates: a Feistel network over day numbers, within spans of 73,000 days from 1900 on
+  and back; the first span begins on 0001-01-01 and the last one ends on 9999-12-31,
+  both shorter. What only reads as month first stays so: such dates are permuted
+  again until the day is above 12.
 
 The permutation depends on the key, the kind and the value alone, so equal values
 stay linked across documents, and different ones stay different.
@@ -59,6 +65,10 @@ IBAN_SIZES = {
     for country in countries.split()
 }
 DAYS = (250, 292)  # a span of 73,000 days
+#: From 1900-01-01: first day, last day + 1, and the spans at both ends, of 36,595 and 38,464 days.
+FIRST_DAY, END_DAY, FIRST_DAYS, LAST_DAYS = -693_595, 2_958_464, (65, 563), (64, 601)
+#: Permutations until a date reads as month first: two of five do not, so that all these miss once in 10^25 values.
+WALK = 64
 
 
 def _number(digest: Column, at: int, length: int) -> Column:
@@ -187,16 +197,61 @@ def _date(hit: Column, key: str) -> tuple[Column, Column]:
     # day first, or month first where only that is a date
     other = F.when(hit.contains("/"), F.lit("MM/dd/yyyy")).otherwise(form)
     day, day2 = (F.try_to_timestamp(hit, f).cast("date") for f in (form, other))
-    size = DAYS[0] * DAYS[1]
-    number = F.datediff(F.coalesce(day, day2), F.lit("1900-01-01").cast("date")).cast("long")
-    span = F.floor(number / size)
-    moved = F.transform(F.array(permuted_number(number - span * size, key, "date", *DAYS)), lambda v: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (v + span * size).cast("int")), "yyyyMMdd"))
-    iso = F.get(moved, F.lit(0))
+    epoch = F.lit("1900-01-01").cast("date")
+    moved = lambda v: _moved_day(v, key)
+    far = lambda v: F.dayofmonth(F.date_add(epoch, v.cast("int"))) > 12
+    start = F.struct(F.datediff(F.coalesce(day, day2), epoch).cast("long").alias("v"), F.lit(False).alias("done"))
+
+    def walk(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(F.transform(F.array(moved(s["v"])), lambda v: F.struct(v.alias("v"), far(v).alias("done")))[0])
+
+    number = F.datediff(F.coalesce(day, day2), epoch).cast("long")
+    new = F.when(day.isNotNull(), moved(number)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk, lambda s: s["v"]))
+    iso = F.get(F.transform(F.array(new), lambda v: F.date_format(F.date_add(epoch, v.cast("int")), "yyyyMMdd")), F.lit(0))
     y, m, d = F.substring(iso, 1, 4), F.substring(iso, 5, 2), F.substring(iso, 7, 2)
     text = F.when(hit.contains("-"), F.concat_ws("-", y, m, d)).when(hit.contains("/"), F.when(day.isNotNull(), F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))).otherwise(F.concat_ws(".", d, m, y))
     return number.isNotNull(), text
 
 
+def _moved_day(number: Column, key: str) -> Column:
+    """Day number from 1900-01-01 -> another one of its span."""
+    size = DAYS[0] * DAYS[1]
+    first, last = FIRST_DAY + FIRST_DAYS[0] * FIRST_DAYS[1], END_DAY - LAST_DAYS[0] * LAST_DAYS[1]
+    span = F.floor(number / size) * size
+    inner = permuted_number(number - span, key, "date", *DAYS) + span
+    low = permuted_number(number - FIRST_DAY, key, "date", *FIRST_DAYS) + FIRST_DAY
+    high = permuted_number(number - last, key, "date", *LAST_DAYS) + last
+    return F.when(number < first, low).when(number >= last, high).otherwise(inner)
+
+
+def _ssn(hit: Column, key: str) -> tuple[Column, Column]:
+    """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    valid = hit.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+    area, group, serial = (F.substring(hit, a, n).try_cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    place = area - F.when(area > 666, 2).otherwise(1)
+    moved = permuted_number((place * 99 + group - 1) * 9999 + serial - 1, key, "ssn", 898 * 99, 9999)
+
+    def shown(v: Column) -> Column:
+        area = F.floor(v / (99 * 9999)) + 1
+        parts = ((area + F.when(area > 665, 1).otherwise(0), 3), (F.floor(v / 9999) % 99 + 1, 2), (v % 9999 + 1, 4))
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+    return valid, F.get(F.transform(F.array(moved), shown), F.lit(0))
+
+
+def _phone(hit: Column, key: str) -> tuple[Column, Column]:
+    """With a country: 8 to 15 digits, of which the country's stay. Without: area and exchange do not begin with 0 or 1."""
+    bare = _bare(hit)
+    lead = F.length(F.regexp_extract(hit, r"^\+[0-9]+", 0))
+    rest = F.substring(hit, lead + 1, F.length(hit))
+    abroad = F.when(F.length(_bare(rest)) > 6, F.concat(F.substring(hit, F.lit(1), lead), refill(rest, permuted(_bare(rest), key, "phone", DIGITS)))).otherwise(refill(hit, permuted(bare, key, "phone", DIGITS)))
+    area, exchange, line = (F.substring(bare, a, n).try_cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
+    moved = permuted_number(((area - 200) * 800 + exchange - 200) * 10_000 + line, key, "phone", 800 * 800, 10_000)
+    home = F.get(F.transform(F.array(moved), lambda v: refill(hit, F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0")))), F.lit(0))
+    valid = F.when(hit.startswith("+"), bare.rlike("^[1-9][0-9]{7,14}$")).otherwise(bare.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    return valid, F.when(hit.startswith("+"), abroad).otherwise(home)
+
+
 def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
     """(kind, is of this kind, is valid, pseudonym), in the order of the pattern."""
     true = F.lit(True)
@@ -205,16 +260,13 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
     lead = F.when(hit.rlike("^A[KS]IA[A-Z0-9]{16}$"), F.lit(4)).otherwise(F.length(F.regexp_extract(hit, "^" + NAMED, 0)))
     told = F.substring(hit, lead + 1, F.length(hit))
     secret = F.concat(F.substring(hit, F.lit(1), lead), F.when(told.rlike("^[0-9a-f]+$"), permuted(told, key, "secret", HEX)).otherwise(permuted(told, key, "secret", DIGITS, LOWER, UPPER)))
-    country = F.when(hit.startswith("+"), F.length(F.regexp_extract(hit, r"^\+[0-9]+", 0))).otherwise(F.lit(0))
-    rest = F.substring(hit, country + 1, F.length(hit))
-    phone = F.when(F.length(_bare(rest)) > 6, F.concat(F.substring(hit, F.lit(1), country), refill(rest, permuted(_bare(rest), key, "phone", DIGITS)))).otherwise(refill(hit, permuted(_bare(hit), key, "phone", DIGITS)))
     rows = [
         ("email", hit.rlike("^(?:" + PATTERNS["email"] + ")$"), true, mail),
         ("iban", hit.rlike("^(?:" + PATTERNS["iban"] + ")$"), *_iban(hit, key)),
         ("date", hit.rlike("^(?:" + PATTERNS["date"] + ")$"), *_date(hit, key)),
         ("ip", hit.rlike("^(?:" + PATTERNS["ip"] + ")$"), *_ip(hit, key)),
-        ("phone", hit.rlike("^(?:" + PATTERNS["phone"] + ")$"), true, phone),
-        ("ssn", hit.rlike("^(?:" + PATTERNS["ssn"] + ")$"), true, refill(hit, permuted(_bare(hit), key, "ssn", DIGITS))),
+        ("phone", hit.rlike("^(?:" + PATTERNS["phone"] + ")$"), *_phone(hit, key)),
+        ("ssn", hit.rlike("^(?:" + PATTERNS["ssn"] + ")$"), *_ssn(hit, key)),
         ("card", hit.rlike("^(?:" + PATTERNS["card"] + ")$"), *_card(hit, key)),
     ]
     return [("secret", hit.rlike("^(?:" + PATTERNS["secret"] + ")$"), true, secret), *rows]
