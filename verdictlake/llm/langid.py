@@ -47,14 +47,14 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each n-gram of all texts, one after another, and where each text begins (and the last ends)."""
-    parts = [b" " + _NOT_LETTERS.sub(" ", t.lower()).strip().encode("utf-8", "replace") + b"  " for t in texts]
+    parts = [b"  " + _NOT_LETTERS.sub(" ", t.lower()).strip().encode("utf-8", "replace") + b"  " for t in texts]
     at = np.cumsum([0] + [len(p) for p in parts])
-    b = np.frombuffer(b"".join(parts) + b"\0\0", np.uint8).astype(np.uint32)
+    b = np.frombuffer(b"".join(parts) + b"  ", np.uint8).astype(np.uint32)
     one, two = b[:-2], b[:-2] << np.uint32(8) | b[1:-1]
     three = two << np.uint32(8) | b[2:]
     mix = np.uint32(0x9E3779B1)
     shift = np.uint32(32 - DIM.bit_length() + 1)
-    # three features for each byte; blank-blank n-grams at a text's end are shared by all texts
+    # three features for each byte; two blanks begin and end each text, so that its last n-grams are the same whatever text follows
     grams = np.stack([one * mix >> shift, (two + np.uint32(0x10000000)) * mix >> shift, (three + np.uint32(0x20000000)) * mix >> shift], axis=1)
     return grams, at
 
