@@ -1,17 +1,23 @@
 """License scans with an exact set-similarity join, with DataFrame functions only.
 
 Texts are reduced to their words. Phrases are found where their words stand in a
-row. Templates, longer notices, are found by containment: a block of `block` words
-(every half block another begins, so that any half block lies whole in one)
-belongs to a template if it holds at least `threshold` of the template's words.
-
-Words are ordered by how often they occur in the corpus, rare ones first. A block
-that reaches the threshold, alpha of the template's m words, must hold one of its
-m - alpha + 1 rarest (prefix filter) and at least alpha words of any template
+row. Templates, the sentences of license notices, are found by containment: a block
+of `block` words (every `step` words another begins, so that any block - step + 1
+words in a row lie whole in one) belongs to a template if it holds at least
+`threshold` of the template's words.
+
+Words are ordered by how many documents of the corpus hold them, rare ones first. A
+block that reaches the threshold, alpha of the template's m words, must hold one of
+its m - alpha + 1 rarest (prefix filter) and at least alpha words of any template
 (length filter), and behind their first common word both must have enough left
 (positional filter). What passes is verified by intersection, so nothing that meets
-the threshold is missed. Only documents with a word from some prefix are cut into
-blocks. Templates and their words are fixed by the caller, not by the data.
+the threshold is missed.
+
+Texts are read once: that pass finds the phrases, notes which of the templates' words
+a document holds, and keeps the words of a document only where it holds enough of
+some template's (length filter of whole documents). The order of the words and the
+join then work on what was kept. Templates and their words are fixed by the caller,
+not by the data.
 
 Defined results: a null or empty text has no words, no labels and score 0; rows
 that repeat doc_id and text get equal results; an empty table gives no rows; other
@@ -26,27 +32,46 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import save, text_or_empty
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases, and words of well-known license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-    "apache-2": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ],
+    "apache-2": [
+        "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "gpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ],
+    "gpl-3": ["this work is licensed under the gnu general public license version 3"],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at mozilla org"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
-BLOCK, THRESHOLD = 64, 0.8
+BLOCK, STEP, THRESHOLD = 64, 8, 0.8
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
     """Words, each after one blank, and a blank at the end; one blank if there are none."""
-    return F.concat(F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.lower(text)), NOT_WORD, " ")), F.lit(" "))
+    return F.concat(F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.translate(text, UPPER, LOWER)), NOT_WORD, " ")), F.lit(" "))
 
 
 def _blanks(text: Column) -> Column:
@@ -64,37 +89,33 @@ def places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:
     return n, first, last
 
 
-def corpus_order(spaced: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Number of occurrences in the corpus of each word of the vocabulary, which is fixed by the templates."""
-    words = spaced.select(F.explode(F.split("spaced", " ")).alias("w")).where(F.col("w").isin(vocabulary))
-    found = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {w: found.get(w, 0) for w in vocabulary}
+def sentences(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, list[str], int]]:
+    """(label, words, how many of them a block must hold) of each template."""
+    tokens = [(label, list(dict.fromkeys(t.split()))) for label, texts in templates.items() for t in texts]
+    return [(label, words, math.ceil(threshold * len(words) - 1e-9)) for label, words in tokens]
+
 
+def _words(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
-def template_matches(spaced: DataFrame, templates: dict[str, str] = TEMPLATES, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, h, spaced) -> (doc_id, h, start, label, containment) of every block that meets the threshold."""
-    spark = spaced.sparkSession
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    order = corpus_order(spaced, vocabulary)
-    ranked = sorted(vocabulary, key=lambda w: (order[w], w))
+
+def template_matches(candidates: DataFrame, held: DataFrame, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, step: int = STEP, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, words) of candidates, (held) vocabulary of every document -> (doc_id, h, start, label, containment) of every block that meets the threshold."""
+    spark = candidates.sparkSession
+    counts = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # words of the templates alone
+    known = sentences(templates, threshold)
+    ranked = sorted({w for _, words, _ in known for w in words}, key=lambda w: (counts.get(w, 0), w))
     index = []
-    for label, text in templates.items():
-        tokens = [w for w in ranked if w in set(text.split())]
-        need = math.ceil(threshold * len(tokens) - 1e-9)
+    for label, words, need in known:
+        tokens = [w for w in ranked if w in words]
         index += [(w, label, i, len(tokens), need, tokens) for i, w in enumerate(tokens[: len(tokens) - need + 1])]
     names = ("word", "label", "at", "m", "need")
-    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[:5], strict=True)], F.array(*[F.lit(w) for w in r[5]]).alias("tokens")) for r in index]
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[:5], strict=True)], _words(r[5]).alias("tokens")) for r in index]
     prefixes = spark.range(1).select(F.inline(F.array(*rows)))  # as many rows as the templates have prefix words
     least = min(r[4] for r in index)
-    rare = "|".join(re.escape(w) for w in sorted({r[0] for r in index}))
-    docs = spaced.where(F.col("spaced").rlike(f" (?:{rare}) "))
-    step = block // 2
-    words = F.split(F.trim("spaced"), " ")
-    blocks = docs.select("doc_id", "h", words.alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - step - 1), F.lit(step))
-    blocks = blocks.select("doc_id", "h", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(block)).alias("of")))).alias("b"))
-    held = F.array(*[F.lit(w) for w in ranked])
-    blocks = blocks.select("doc_id", "h", "b.start", F.array_intersect(held, F.col("b.of")).alias("held"))  # in corpus order
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - block) / F.lit(step)).cast("int") * step), F.lit(step))
+    blocks = candidates.select("doc_id", "h", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(block)).alias("of")))).alias("b"))
+    blocks = blocks.select("doc_id", "h", "b.start", F.array_intersect(_words(ranked), F.col("b.of")).alias("held"))  # in corpus order
     blocks = blocks.where(F.size("held") >= least)
     each = blocks.select("*", F.posexplode("held").alias("place", "word"))
     left = F.least(F.col("m") - F.col("at"), F.size("held") - F.col("place"))
@@ -104,12 +125,12 @@ def template_matches(spaced: DataFrame, templates: dict[str, str] = TEMPLATES, b
     return pairs.where(first & (both >= F.col("need"))).select("doc_id", "h", "start", "label", (both / F.col("m")).alias("containment"))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, step: int = STEP, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("spaced"))
-    matches = template_matches(d, templates, block, threshold)
-    best = matches.groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    known = sentences(templates, threshold)
+    vocabulary = sorted({w for _, words, _ in known for w in words})
     spaced = F.col("spaced")
     at = {p: places(spaced, p) for p in phrases}
     labels = F.array_compact(F.array(*[F.when(at[p][0] > 0, F.lit(label)) for p, label in phrases.items()]))
@@ -117,12 +138,21 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     base = d.select(
         "doc_id",
         "h",
+        "spaced",
         (_blanks(spaced) - 1).cast("long").alias("n_words"),
         sum((x[0] for x in at.values()), F.lit(0)).cast("long").alias("n_base"),
         low([x[1] for x in at.values()]).cast("long").alias("first_word"),
         F.array_max(F.array(*[x[2] for x in at.values()])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(labels)).alias("base"),
+        F.array_intersect(_words(vocabulary), F.split(spaced, " ")).alias("held"),
     )
+    enough = F.lit(False)
+    for _, words, need in known:
+        enough = enough | (F.size(F.array_intersect("held", _words(words))) >= need)
+    words = F.when((F.size("held") >= min(n for _, _, n in known)) & enough, F.split(F.trim("spaced"), " "))
+    base = save(base.withColumn("words", words).drop("spaced"), "license-base")
+    matches = template_matches(base.where("words is not null").select("doc_id", "h", "words"), base.select("held"), templates, block, step, threshold)
+    best = matches.groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     out = base.join(best.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     return out.select(
