@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import save, text_or_empty
 
 LONGS = 2  # of 64 bits
+#: Fingerprints are searched for within RADIUS bits of those of documents whose id EVERY divides.
+RADIUS, BLOCKS, EVERY = 3, 5, 20
 VOTES = 127
 RANGE_ROWS, MAX_RANGES = 512, 65_535
 _BYTE = 0x0101010101010101
@@ -99,8 +101,22 @@ def hexed(*parts: str) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.col(p)), 16, "0") for p in parts]))
 
 
-def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def near_counts(fps: DataFrame, every: int = EVERY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, fp0, fp1) -> (fp0, fp1, n_near): rows within the radius, itself left out, for the fingerprints of ids that `every` divides.
+
+    Equal fingerprints are searched for once and stand in the block tables once, with their number.
+    """
+    index = save(fps.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).withColumn("id", F.struct("fp0", "fp1")), "fingerprint-index")
+    queries = fps.where(F.col("doc_id") % every == 0).select("fp0", "fp1").distinct().withColumn("id", F.struct("fp0", "fp1"))
+    found = search(queries, index, radius, blocks).join(index.select("id", "n"), "id")
+    return found.groupBy("query_id").agg((F.sum("n") - 1).alias("n_near")).select("query_id.*", "n_near")
+
+
+def fingerprint_pairs(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
+
+    n_near: other documents whose fingerprints the block tables find within RADIUS bits; null for ids that `every` does not divide.
+    """
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", n.cast("long"))
@@ -117,6 +133,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     own, edited, after = (tuple(f"{name}{i}" for i in range(LONGS)) for name in ("own", "edited", "after"))
     of_next = fps.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), *[F.col(o).alias(a) for o, a in zip(own, after, strict=True)]).dropDuplicates(["_id", "_h"])
     out = fps.join(of_next, F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("next_h") == F.col("_h")), "left")
+    near = save(near_counts(fps.select("doc_id", *[F.col(o).alias(f"fp{i}") for i, o in enumerate(own)]), every), "fingerprint-near")
+    out = out.join(near, (F.col("doc_id") % every == 0) & (F.col(own[0]) == F.col("fp0")) & (F.col(own[1]) == F.col("fp1")), "left")
     return out.select(
         "doc_id",
         "n_chars",
@@ -125,6 +143,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         hexed(*edited).alias("edited_fingerprint"),
         likeness(own, edited).alias("near_edited"),
         likeness(own, after).alias("near_next"),
+        "n_near",
     )
 
 
