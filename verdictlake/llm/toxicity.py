@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import fold_of, in_arrow, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE_ROWS = 2000
+#: Labelled rows of each class that the model is fitted on, at most, and characters of their texts; longer ones are not fitted on.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 200_000
 PRIOR = 10.0
 EDGES = np.array([-1.0, -0.5, 0.3, 0.6, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0])
 NEUTRAL = int(np.searchsorted(EDGES, 0.0))
@@ -47,7 +47,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Words of the text as it stands, each lower-cased by itself, so that a token's number finds its place in the text."""
+    return [w.lower() for w in _TOKEN.findall(text)]
 
 
 class Lexicon:
@@ -251,7 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     share = F.when(F.col("toxic") == 1, F.lit(sample_rows / max(1, counts.get(1, 0)))).otherwise(F.lit(sample_rows / max(1, counts.get(0, 0))))
     # at most about 2 * sample_rows ids
     picked = known.where(place < share)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    rows = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
+    # of rows that repeat a doc_id one text
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending")])
     return ToxicityModel(rows["text"].to_pylist(), [int(y) for y in rows["toxic"].to_pylist()])
 
 
