@@ -108,6 +108,12 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def _starts(text: bytes) -> np.ndarray:
+    """Offsets of the words of a text."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(np.diff(space.astype(np.int8), prepend=1) == -1)
+
+
 def words(text: bytes, hashes: Hashes, chunk: int) -> np.ndarray:
     """A hash for each word; words longer than `chunk` are hashed apart, so that memory stays bounded."""
 
@@ -144,8 +150,24 @@ class Units:
         self.by_words, self.chunk, self.hashes = by_words, chunk, Hashes()
         self.kind = np.dtype(np.uint64 if by_words else np.uint8)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        return words(text, self.hashes, self.chunk) if self.by_words else np.frombuffer(text, np.uint8)
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.frombuffer(t, np.uint8) for t in texts]
+        out: list[np.ndarray] = []
+        a = 0
+        while a < len(texts):  # short texts together
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) < self.chunk:
+                size += len(texts[b]) + 1
+                b += 1
+            found = words(b" ".join(texts[a:b]), self.hashes, self.chunk)
+            if b - a == 1:
+                out.append(found)
+            else:
+                ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                out += np.split(found, np.searchsorted(_starts(b" ".join(texts[a:b])), ends[:-1]))
+            a = b
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -228,7 +250,7 @@ def _cores(by_words: bool, match: int, gram: int, run: int, chunk: int):
         units = Units(by_words, chunk)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                texts = [units(t) for t in _utf8(batch.column(0).slice(a, 512))]
+                texts = units(_utf8(batch.column(0).slice(a, 512)))
                 rows = parse(texts, match, gram, run, chunk, units.hashes, cores_only=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[4])], ["core"])
 
@@ -241,7 +263,7 @@ def _triggers(by_words: bool, match: int, gram: int, run: int, chunk: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                i, first, n, lead, core, context, check = parse([units(t) for t in _utf8(part.column(2))], match, gram, run, chunk, units.hashes)
+                i, first, n, lead, core, context, check = parse(units(_utf8(part.column(2))), match, gram, run, chunk, units.hashes)
                 doc, h = (part.column(c).to_numpy(zero_copy_only=False)[i] if i.size else i for c in (0, 1))
                 cols = [core, context, check, doc, h, first.astype(np.int64), n.astype(np.int32), lead.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "context", "check", "k", "h", "first", "n", "lead"])
@@ -256,7 +278,7 @@ def _entries(by_words: bool, match: int, chunk: int):
         units = Units(by_words, chunk)
         for batch in batches:
             for r in range(batch.num_rows):
-                text = units(batch.column(2).slice(r, 1).cast(pa.binary())[0].as_py())
+                text = units([batch.column(2).slice(r, 1).cast(pa.binary())[0].as_py()])[0]
                 flat = batch.column(3).slice(r, 1).flatten()
                 core, first, n, lead, times = flat.flatten()
                 size = len(flat)
@@ -368,7 +390,7 @@ def _strings(by_words: bool, match: int, chunk: int):
         units = Units(by_words, chunk)
         for batch in batches:
             for r in range(batch.num_rows):
-                data = units(batch.column(2).slice(r, 1).cast(pa.binary())[0].as_py())
+                data = units([batch.column(2).slice(r, 1).cast(pa.binary())[0].as_py()])[0]
                 flat = batch.column(3).slice(r, 1).flatten()
                 core, first, n, _, times = (f.to_numpy(zero_copy_only=False) for f in flat.flatten())
                 order = np.argsort(first)
