@@ -272,7 +272,9 @@ def test_readers(spark, tmp_path):
     (d / "empty.jsonl").write_text("")
     (d / "a.manifest.json").write_text(json.dumps({"model_id": "m", "n_pairs": 7, "health": {"calls_ok": 3, "error_kinds": {"X": 1}}, "cumulative": {}}, indent=1))
     assert [r.backend for r in readers.roster(spark, str(d)).collect()] == ["a", "empty"]
-    got = readers.read_votes(spark, str(d)).orderBy("run_index").collect()
+    with pytest.raises(Exception, match="unknown new_key"):
+        readers.read_votes(spark, str(d)).collect()
+    got = readers.read_votes(spark, str(d), strict=False).orderBy("run_index").collect()
     assert [(r.backend, r.run_index, r.cached_tokens) for r in got] == [("a", 0, 0), ("a", 1, None)]
     m = readers.read_manifests(spark, str(d))
     assert m.first().backend == "a" and m.agg(caveats.manifest_pairs(m)).first()[0] == 7
@@ -285,6 +287,53 @@ def test_readers(spark, tmp_path):
     assert (audit.malformed_rows, audit.total_rows) == (1, 3)
 
 
+def test_strict_votes(spark, tmp_path):
+    f = tmp_path / "a.jsonl"
+    f.write_text(verdict_line(usage={"cached_tokens": 3}, run_index=2) + "\n\n" + verdict_line() + "\n")
+    got = readers.read_votes(spark, str(tmp_path)).orderBy("run_index").collect()
+    assert [(r.backend, r.run_index, r.cached_tokens, r.temperature) for r in got] == [("a", 0, None, None), ("a", 2, 3, None)]
+    whole = json.loads(verdict_line())
+    for line, said in ((verdict_line(extra=1), "unknown extra"), (json.dumps({k: v for k, v in whole.items() if k != "temperature"}), "missing temperature"), ('"text"', "no object"), ("{torn", "no object"), (verdict_line(reason="new"), "reason")):
+        f.write_text(verdict_line() + "\n" + line + "\n")
+        with pytest.raises(Exception, match=said):
+            readers.read_votes(spark, str(tmp_path)).collect()
+
+
+def test_votes_of_unknown_pairs(spark):
+    pairs = spark.createDataFrame([("p", 0, "approve", "ok")], "id string, pos long, ground_truth string, reason string")
+    v = votes(spark, [("a", "p", 0, "approve", "ok"), ("a", "q", 0, "approve", "ok")])
+    assert [r.pair_id for r in score.known_votes(v, pairs).collect()] == ["p"]
+    with pytest.raises(GuardError):
+        score.known_votes(v.where("pair_id = 'q'"), pairs)
+    assert score.known_votes(v.limit(0), pairs).count() == 0
+
+
+def test_shared_folder_without_a_setting(spark, monkeypatch):
+    from verdictlake.sources import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, *a):
+            raise AssertionError("not at run time")
+
+    class Context:
+        master, applicationId = "local[2]", "app-1"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    first = shared.shared_dir(Session())
+    assert shared.shared_dir(Session()) == first
+    monkeypatch.setattr(Context, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
+
+
 def test_read_pairs(spark, tmp_path):
     f = tmp_path / "pairs.jsonl"
     f.write_text('{"id": "b", "original": "x y", "enriched": "z"}\n\n{"id": "a", "original": "o", "enriched": "e", "ground_truth": "approve", "reason": "ok"}\n')
@@ -308,6 +357,65 @@ def test_journal_file(spark, tmp_path):
         readers.read_journal(spark, str(f))
 
 
+def test_journal_round_trip(spark, tmp_path):
+    """Appends follow each other, undo reaches across them, and a file of lines goes before what is appended."""
+    folder = str(tmp_path / "journal")
+    schema = "session string, seq long, action string, pair_id string, ground_truth string, reason string"
+    batches = [[("s", i, "rule", p, g, "ok") for i, (p, g) in enumerate(b)] for b in ([("a", "approve"), ("b", "approve")], [("a", "reject"), ("c", "approve")])]
+    for b in batches:
+        sinks.append_journal(spark.createDataFrame(b, schema).repartition(2), folder)
+    one = spark.createDataFrame([("s", "undo", None, None, None)], schema.replace(" seq long,", ""))
+    sinks.append_journal(one, folder)
+    sinks.append_journal(one, folder)
+    rows = readers.read_journal(spark, folder)
+    assert [(r.seq, r.action, r.pair_id) for r in rows.orderBy("seq").collect()] == [(0, "rule", "a"), (1, "rule", "b"), (2, "rule", "a"), (3, "rule", "c"), (4, "undo", None), (5, "undo", None)]
+    assert [(r.pair_id, r.ground_truth) for r in journal.replay(rows).orderBy("place").collect()] == [("b", "approve"), ("a", "approve")]
+    with pytest.raises(GuardError, match="order"):
+        sinks.append_journal(one.union(one), folder)
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "z.json").write_text('{"action": "rule", "pair_id": "x"}\n\n{"action": "rule", "pair_id": "y"}\n')
+    sinks.append_journal(one, str(old))
+    assert [r.action for r in readers.read_journal(spark, str(old)).orderBy("seq").collect()] == ["rule", "rule", "undo"]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    f = tmp_path / "pairs.jsonl"
+    f.write_text("".join(json.dumps({"id": f"p{i}", "original": "x" * (i % 50), "enriched": "y"}) + "\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(str(f)).rdd.getNumPartitions() > 1
+        assert all(r.id == f"p{r.pos}" for r in readers.read_pairs(spark, str(f)).collect())
+        assert [r.pair_id for r in readers.pair_order(spark, str(f)).orderBy("rank").collect()] == [f"p{i}" for i in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_manifests_beside_results(spark, tmp_path):
+    runs = spark.createDataFrame([("a", "m", 7), ("b", "n", 8)], "backend string, model_id string, n_pairs long")
+    sinks.write_manifests(runs, str(tmp_path))
+    sinks.write_manifests(runs.withColumn("n_pairs", F.col("n_pairs") + 1), str(tmp_path))
+    assert sorted((r.backend, r.model_id, r.n_pairs) for r in readers.read_manifests(spark, str(tmp_path)).collect()) == [("a", "m", 8), ("b", "n", 9)]
+    assert readers.manifest_beside(spark, str(tmp_path / "b.jsonl")).first().n_pairs == 9
+    assert readers.manifest_beside(spark, str(tmp_path / "c.jsonl")).count() == 0
+    (tmp_path / "c.manifest.json").write_text("{torn")
+    assert readers.manifest_beside(spark, str(tmp_path / "c.jsonl")).count() == 0
+
+
+def test_latencies_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(b, int(rng.random() < 0.7), rng.choice([0.1, 0.1, 3.0, round(rng.expovariate(0.3), 3)])) for b in "abc" for _ in range(rng.choice([1, 40, 301]))] + [("d", 0, 2.5), ("e", 1, None)]
+    got = {r.backend: r for r in reliability.latencies(spark.createDataFrame(rows, "backend string, ok int, latency_s double"), "backend").collect()}
+    for b in "abcde":
+        for ok, names in ((1, ("latency_min", "latency_median", "latency_max")), (0, (None, "failed_latency_median", "failed_latency_max"))):
+            x = sorted(v for k, o, v in rows if k == b and o == ok and v is not None)
+            want = (x[0], (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2, x[-1]) if x else (None, None, None)
+            assert [got[b][n] for n in names if n] == [pytest.approx(w) if w is not None else None for n, w in zip(names, want) if n]
+            if ok:
+                assert got[b].latency_p95 == (x[-(-len(x) * 19 // 20) - 1] if x else None)
+
+
 def test_qa_pack_and_template(spark, tmp_path):
     f = tmp_path / "pack.md"
     f.write_text("# Pack\nprose | with | pipes\n| Cohort | Source | Before | After | Stages |\n| --- | :-: | --- | --- | --- |\n| casing | feed | a b | A B | clean, brand |\n|\tx |s|  o|n | — |\n| a | b | c | d | e | f |\n")
@@ -407,6 +515,63 @@ def test_limiter():
     assert slept == [1.0, 1.0, 10.0]
 
 
+def test_limiter_spaces_threads():
+    import threading
+    import time
+
+    limit, starts = judge.Limiter(60 * 50), []
+
+    def call():
+        for _ in range(3):
+            limit.wait()
+            starts.append(time.monotonic())
+
+    threads = [threading.Thread(target=call) for _ in range(8)]
+    for t in threads:
+        t.start()
+    time.sleep(0.1)
+    limit.penalize(0.3)
+    barred = time.monotonic()
+    for t in threads:
+        t.join()
+    starts.sort()
+    assert len(starts) == 24 and all(b - a > 0.012 for a, b in zip(starts, starts[1:]))
+    assert not [t for t in starts if barred + 0.01 < t < barred + 0.29]
+
+
+def test_billing_refusals():
+    error = lambda **e: json.dumps({"error": e})
+    assert judge.billing_refusal(error(type="insufficient_quota")) and judge.billing_refusal(error(code="billing_not_active"))
+    assert not any(map(judge.billing_refusal, (error(type="rate_limit", message="insufficient_quota"), "insufficient_quota", '{"error": "insufficient_quota"}', "[]", "")))
+
+
+def test_judge_in_rounds(spark, tmp_path):
+    (tmp_path / "slate.toml").write_text(SLATE)
+    s = readers.read_slate(spark, str(tmp_path / "slate.toml"))
+    todo = spark.createDataFrame([(f"p{i}", 0, "a", "A", None, None, i) for i in range(10)], "pair_id string, run_index int, original string, enriched string, brand string, mpn string, pos long")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fake(backend, body):
+        import tempfile
+
+        tempfile.mkstemp(dir=str(asked))
+        if backend["backend"] == "y":
+            return 429, '{"error": {"type": "insufficient_quota"}}'
+        return 200, json.dumps({"choices": [{"message": {"content": '{"verdict": "approve", "reason": "ok"}'}}]})
+
+    log = str(tmp_path / "log")
+    assert judge.judge_in_rounds(todo, s, fake, log, round_pairs=4, concurrency=3) == 3
+    rows = spark.read.schema(judge.LOG).json(log)
+    assert rows.where("ok = 1").count() == 10 and rows.where("backend = 'y'").count() == 10 and {r.error_kind for r in rows.where("ok = 0").collect()} == {"QuotaExhausted"}
+    n = len(list(asked.iterdir()))
+    assert judge.judge_in_rounds(todo, s.where("name = 'x-1'"), fake, log) == 0 and len(list(asked.iterdir())) == n
+    assert judge.judge_in_rounds(todo, s, fake, str(tmp_path / "other"), stop=lambda: True) == 0
+    only = todo.withColumn("backend", F.lit("x-1"))
+    assert {r.backend for r in judge.judge(only, s, fake).collect()} == {"x-1"}
+    assert judge.judge(only, s, fake, stop=lambda: True).count() == 0
+
+
 def test_streams(spark, tmp_path):
     votes(spark, EDGE).repartition(3).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(VOTES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
@@ -423,7 +588,7 @@ def test_reports(spark, sf):
     order = p.select(F.col("id").alias("pair_id"), F.col("pos").alias("rank"))
     text_ = report.scenario(v, r, c, order, "s1")
     heads = [line[3:] for line in text_.splitlines() if line.startswith("## ")]
-    assert heads[:4] == ["Are votes independent?", "Deadlocks", "Reliability", "Coverage"] and heads[-1] == "Ruling queue"
+    assert heads[:6] == ["Are votes independent?", "Deadlocks", "Reliability", "Replies that broke the contract", "Completion", "Coverage"] and heads[-1] == "Ruling queue"
     assert text_ == report.scenario(v.repartition(5), r, c.repartition(3), order, "s1")
     row = agreement.pooled_flips(v).first().asDict()
     assert "of" in report.flip_pane(row) and report.flip_pane(None) == "not judged yet"
@@ -485,12 +650,14 @@ def test_command_line(spark, tmp_path):
         lines = [verdict_line(pair_id=p["id"], run_index=r, verdict=v, reason="ok" if v == "approve" else "casing_error") for i, p in enumerate(pairs) for r in range(3) for v in ["approve" if (p["ground_truth"] == "approve") != bool(wrong and i % wrong == 1) else "reject"]]
         (d / f"{name}.jsonl").write_text("\n".join(lines))
     (d / "none.jsonl").write_text("")
-    (d / "good.manifest.json").write_text(json.dumps({"health": {"calls_ok": 36, "latency_median": 1.5}}))
+    (d / "good.manifest.json").write_text(json.dumps({"health": {"calls_ok": 36, "calls_failed": 2, "latency_median": 1.5}, "cumulative": {"launches": 2, "calls_ok": 36, "calls_failed": 44, "error_kinds": {"ReadTimeout": 40, "JudgeResponseError": 3, "QuotaExhausted": 1}}}))
     assert cli.main(["score", str(tmp_path / "pairs.jsonl"), str(d), str(tmp_path / "board.md")]) == 0
     board = (tmp_path / "board.md").read_text()
     assert "| good | 1.000 |" in board and "none" in board
     assert cli.main(["report", str(d), str(tmp_path / "pairs.jsonl"), str(tmp_path / "report.md")]) == 0
-    assert "# Scenario run1" in (tmp_path / "report.md").read_text()
+    said = (tmp_path / "report.md").read_text()
+    assert "# Scenario run1" in said and "| good | 36 | 80 | 44 | 2.22 | 40 | unusable |" in said and "| half | 36 | - | - | - | 0 | unknown |" in said
+    assert "Could not bill at times: good." in said and "- good: 3 beside 36 good ones" in said and "2 of 38" in said
     (tmp_path / "journal.jsonl").write_text(json.dumps({"action": "rule", "pair_id": "p", "ground_truth": "approve", "reason": "ok"}) + "\n")
     assert cli.main(["rulings", str(tmp_path / "journal.jsonl"), str(tmp_path / "out")]) == 0
     assert spark.read.json(str(tmp_path / "out")).first().id == "p"

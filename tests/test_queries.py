@@ -1,11 +1,15 @@
 """Every query against its SQL, and the rest against plain Python."""
 
+import hashlib
+import itertools
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from verdictlake.plans import catalog
 from verdictlake.sources.fixtures import TABLES
@@ -39,52 +43,61 @@ def test_query_equals_sql(spark, sf, duck, name):
     pd.testing.assert_frame_equal(normal(got, cols), normal(want, cols))
 
 
+def plain_kappa(sample):
+    n = len(sample)
+    same = sum(t == p for t, p in sample) / n
+    chance = sum((sum(t == x for t, _ in sample) / n) * (sum(p == x for _, p in sample) / n) for x in ("approve", "reject"))
+    return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else (same - chance) / (1 - chance)
+
+
 def test_bootstrap_exact_is_the_plain_loop(spark, sf):
-    items = catalog.items(spark, sf).where("backend = 'm0'").orderBy("pos").collect()
-    data, draw = [(r["truth"], r["predicted"]) for r in items], random.Random(20260806)
+    for backend in ("m0", "m3"):
+        items = catalog.items(spark, sf).where(F.col("backend") == backend).orderBy("pos").collect()
+        data, draw = [(r["truth"], r["predicted"]) for r in items], random.Random(20260806)
+        found = sorted(plain_kappa([data[draw.randrange(len(data))] for _ in data]) for _ in range(1000))
+        row = catalog.QUERIES["bootstrap_exact_ci"](spark, sf).where(F.col("backend") == backend).first()
+        assert (row["lo"], row["hi"]) == pytest.approx((found[25], found[975]))
 
-    def kappa(sample):
-        n = len(sample)
-        same = sum(t == p for t, p in sample) / n
-        chance = sum((sum(t == x for t, _ in sample) / n) * (sum(p == x for _, p in sample) / n) for x in ("approve", "reject"))
-        return (same - chance) / (1 - chance)
 
-    found = sorted(kappa([data[draw.randrange(len(data))] for _ in data]) for _ in range(catalog.RESAMPLES))
-    row = catalog.QUERIES["bootstrap_exact_ci"](spark, sf).where("backend = 'm0'").first()
-    assert (row["lo"], row["hi"]) == pytest.approx((found[5], found[195]))
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 4097])
+def test_words_of_the_twister_are_randrange(n):
+    draw, got = random.Random(5), np.concatenate([x for x, _ in zip(catalog.bootstrap._below(n, 5, 700), range(4))])
+    assert got.tolist() == [draw.randrange(n) for _ in range(got.size)]
 
 
 def test_bootstraps_take_every_judged_pair_and_1000_resamples(spark, sf, monkeypatch):
-    import hashlib
-
     judged = catalog.QUERIES["score_models"](spark, sf).where("n > 0").collect()
-    items = catalog.items(spark, sf).orderBy("backend", "pos").collect()
+    items = catalog.items(spark, sf).collect()
     assert {r.backend: r.n for r in judged} == Counter(r.backend for r in items)
     assert catalog.items(spark, "/root/testdata/sf0.01").where("pos >= 200").count() > 0
-
-    def kappa(sample):
-        n = len(sample)
-        same = sum(t == p for t, p in sample) / n
-        chance = sum((sum(t == x for t, _ in sample) / n) * (sum(p == x for _, p in sample) / n) for x in ("approve", "reject"))
-        return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else (same - chance) / (1 - chance)
-
-    want = {}
+    want, cells = {}, [("approve", "approve"), ("approve", "reject"), ("reject", "approve"), ("reject", "reject")]
     for b in ("m0", "m3"):
-        data = [(r.truth, r.predicted) for r in items if r.backend == b]
+        data = sorted(((r.truth, r.predicted) for r in items if r.backend == b), key=cells.index)
         n, seed = len(data), 20260806
-        draw = lambda r, j, n=n: int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:8], 16) % n
-        found = sorted(kappa([data[draw(r, j)] for j in range(n)]) for r in range(1000))
+        draw = lambda r, j, n=n: int(hashlib.md5(f"{seed}|{r}|{j // 4}".encode()).hexdigest()[8 * (j % 4) :][:8], 16) % n
+        found = sorted(plain_kappa([data[draw(r, j)] for j in range(n)]) for r in range(1000))
         want[b] = (found[25], found[975])
     for name in ("bootstrap_kappa_ci", "separability_tiers"):
         got = {r.backend: (r.lo, r.hi) for r in catalog.QUERIES[name](spark, sf).collect()}
         for b, ends in want.items():
             assert got[b] == pytest.approx(ends, abs=1e-6)
-    monkeypatch.setattr(catalog.bootstrap, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(catalog.bootstrap, "DRAWS", 32)
     assert {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_kappa_ci"](spark, sf).collect()} == got
-    rng, data = random.Random(20260806), [(r.truth, r.predicted) for r in items if r.backend == "m0"]
-    found = sorted(kappa([data[rng.randrange(len(data))] for _ in data]) for _ in range(1000))
-    row = catalog.QUERIES["bootstrap_exact_ci"](spark, sf).where("backend = 'm0'").first()
-    assert (row["lo"], row["hi"]) == pytest.approx((found[25], found[975]))
+
+
+def test_bootstrap_of_any_statistic(spark):
+    """A mean of known spread: the interval is the normal one, and the seed repeats it."""
+    rng = random.Random(1)
+    rows = [("a", rng.choice([0, 1, 2, 5])) for _ in range(4000)] + [("b", 3)] * 10
+    items = spark.createDataFrame(rows, "backend string, x int")
+    mean = lambda values, counts: float(sum(v[0] * c for v, c in zip(values, counts)) / counts.sum())
+    got = {r.backend: (r.lo, r.hi) for r in catalog.bootstrap.bootstrap_ci(items, ["x"], mean).collect()}
+    x = [v for b, v in rows if b == "a"]
+    m, half = np.mean(x), 1.96 * np.std(x) / len(x) ** 0.5
+    assert got["b"] == (3.0, 3.0) and got["a"] == pytest.approx((m - half, m + half), abs=0.15 * half)
+    assert got == {r.backend: (r.lo, r.hi) for r in catalog.bootstrap.bootstrap_ci(items.repartition(5), ["x"], mean).collect()}
+    kappas = {r.backend: (r.lo, r.hi) for r in catalog.bootstrap.bootstrap_kappa(items.withColumns({"truth": F.lit("approve"), "predicted": F.when(F.col("x") > 1, "reject").otherwise("approve")})).collect()}
+    assert kappas["b"] == (0.0, 0.0)
 
 
 def test_notes_are_whole(spark, sf):
@@ -128,7 +141,17 @@ def test_word_diff_query(spark, sf):
 
     rows = catalog.QUERIES["word_diff"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
-    assert diff_words("a b", "a b") == "  (no change)"
+    assert diff_words("a b", "a b") == "  (no change)" and diff_words("", "x") == "  - \n  + [x]"
+    rng = random.Random(4)
+    for _ in range(300):  # as many words side by side as any alignment has
+        a, b = ([rng.choice("aAbBcd") for _ in range(rng.randint(0, 6))] for _ in range(2))
+        most = max(k for k in range(7) for x in itertools.combinations(a, k) for y in itertools.combinations(b, k) if [*map(str.lower, x)] == [*map(str.lower, y)])
+        for line, words in zip(diff_words(" ".join(a) + " |", " ".join(b) + " !").splitlines(), (a, b)):
+            marks = line[4:]
+            flat = marks.replace("[", "").replace("]", "").replace("~", "").split()
+            assert flat[:-1] == words and "] [" not in marks
+            kept = "".join(part.split("]")[-1] for part in marks.split("[")).split()
+            assert len(kept) == most
     assert diff_words("red SHOE box", "Red shoe crate") == "  - ~red~ ~SHOE~ [box]\n  + ~Red~ ~shoe~ [crate]"
 
 

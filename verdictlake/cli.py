@@ -24,8 +24,8 @@ def main(args: list[str]) -> int:
     elif args[0] == "report":
         votes = readers.read_votes(spark, args[1])
         manifests = readers.read_manifests(spark, args[1])
-        calls = manifests.select("backend", F.lit(1).alias("ok"), F.col("health.latency_median").alias("latency_s"), F.lit(None).cast("string").alias("error_kind"), F.lit(0).alias("launch"))
-        text = report.scenario(votes, readers.roster(spark, args[1]), calls, readers.pair_order(spark, args[2]), args[1].rstrip("/").rsplit("/", 1)[-1])
+        leg = args[1].rstrip("/").rsplit("/", 1)[-1]
+        text = report.scenario(votes, readers.roster(spark, args[1]), None, readers.pair_order(spark, args[2]), leg, manifests=manifests)
     elif args[0] == "rulings":
         records = readers.read_journal(spark, args[1]).withColumn("session", F.lit("all"))
         sinks.export_rulings(journal.replay(records), args[2])

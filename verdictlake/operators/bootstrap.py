@@ -1,18 +1,22 @@
-"""Percentile bootstrap of kappa, and tiers of overlapping intervals."""
+"""Percentile bootstrap of kappa and other statistics, and tiers of overlapping intervals."""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .score import kappa_of
 
 SEED, RESAMPLES, ALPHA = 20260806, 1000, 0.05
-#: Items that are broadcast at most.
-BROADCAST_ITEMS = 1 << 20
+#: Draws that one row makes.
+DRAWS = 65_536
+#: (distinct values, how often each was drawn) -> a number
+Statistic = Callable[[list[tuple], np.ndarray], float]
 
 
 def ends(resamples: int, alpha: float = ALPHA) -> tuple[int, int]:
@@ -20,26 +24,49 @@ def ends(resamples: int, alpha: float = ALPHA) -> tuple[int, int]:
     return int(resamples * alpha / 2), min(resamples - 1, int(resamples * (1 - alpha / 2)))
 
 
+def kappa_statistic(values: list[tuple], counts: np.ndarray) -> float:
+    """Kappa of (truth, predicted) values of any labels."""
+    n = counts.sum()
+    same = sum(c for (t, p), c in zip(values, counts) if t == p) / n
+    labels = {x for v in values for x in v}
+    side = lambda k, x: sum(c for v, c in zip(values, counts) if v[k] == x) / n
+    chance = sum(side(0, x) * side(1, x) for x in labels)
+    return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else float((same - chance) / (1 - chance))
+
+
 def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(backend, pos, truth, predicted) of two labels -> backend, lo, hi.
+    """(backend, truth, predicted) of two labels -> backend, lo, hi.
 
-    Draw j of resample r is item md5(seed|r|j) mod n, so draws need no state and
-    every resample is its own group: they run anywhere, and any engine repeats them.
-    Items move once per resample as numbers, and are summed up before the shuffle.
+    Kappa depends on how often each of the four cells of the confusion table is drawn,
+    so items are counted by cell first and never move. Draw j of resample r is item
+    h mod n, items in order of their cells, with h from eight hex digits of
+    md5(seed|r|j div 4): any engine repeats it, in any order. What is shuffled is a row
+    of three sums for each resample and DRAWS draws.
     """
-    labels = items.groupBy("backend").agg(F.min(F.least("truth", "predicted")).alias("label"))
-    ranked = items.withColumn("i", F.row_number().over(Window.partitionBy("backend").orderBy("pos")) - 1)
-    ranked = ranked.join(labels, "backend").select("backend", "i", (F.col("truth") == F.col("label")).cast("int").alias("t"), (F.col("predicted") == F.col("label")).cast("int").alias("p"))
-    sizes = ranked.groupBy("backend").agg(F.count("*").alias("n"))
-    draws = sizes.select("backend", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    label = F.least("truth", "predicted")
+    labels = items.groupBy("backend").agg(F.min(label).alias("label"))
+    cells = items.groupBy("backend", "truth", "predicted").agg(F.count("*").alias("c")).join(labels, "backend")
+    t, p = F.col("truth") == F.col("label"), F.col("predicted") == F.col("label")
+    count = lambda x: F.coalesce(F.sum(F.when(x, F.col("c"))), F.lit(0).cast("long"))
+    sizes = cells.groupBy("backend").agg(F.sum("c").alias("n"), count(t & p).alias("a"), count(t & ~p).alias("b"), count(~t & p).alias("d"))
+    rows = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
     # few and small rows that become many: by number, so that they are not put together again
-    draws = draws.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backend", "r")
-    draws = draws.select("backend", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")))
-    draws = draws.select("backend", "n", "r", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("n")).alias("i"))
-    # said by hand: to the optimizer, which does not count what explode makes, the draws are the small side
-    side = "broadcast" if ranked.count() <= BROADCAST_ITEMS else "shuffle_hash"
-    sums = draws.join(ranked.hint(side), ["backend", "i"]).groupBy("backend", "n", "r").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum((F.col("t") == F.col("p")).cast("int")).alias("same"))
+    rows = rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backend", "r", "from")
+    last = F.least(F.col("n"), F.col("from") + DRAWS) - 1
+    rows = rows.withColumn("j", F.explode(F.sequence("from", last, F.lit(4).cast("long"))))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.floor(F.col("j") / 4).cast("string")))
+    rows = rows.withColumn("key", key)
+    draw = lambda s: F.when(F.col("j") + s < F.col("n"), F.conv(F.substring("key", 8 * s + 1, 8), 16, 10).cast("long") % F.col("n"))
+    rows = rows.select("backend", "n", "r", "a", "b", "d", *[draw(s).alias(f"i{s}") for s in range(4)])
+    a, ab, abd = F.col("a"), F.col("a") + F.col("b"), F.col("a") + F.col("b") + F.col("d")
+
+    def drawn(what: Callable[[Column], Column]) -> Column:
+        return F.sum(sum((F.coalesce(what(F.col(f"i{s}")).cast("int"), F.lit(0)) for s in range(4)), F.lit(0)))
+
+    sums = rows.groupBy("backend", "n", "r").agg(
+        drawn(lambda i: i < ab).alias("t"), drawn(lambda i: (i < a) | ((i >= ab) & (i < abd))).alias("p"), drawn(lambda i: (i < a) | (i >= abd)).alias("same")
+    )
     n = F.col("n")
     expected = (F.col("t") * F.col("p") + (n - F.col("t")) * (n - F.col("p"))) / (n * n)
     kappas = sums.select("backend", kappa_of(F.col("same") / n, expected).alias("kappa"))
@@ -48,22 +75,63 @@ def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float =
     return held.select("backend", F.get("k", F.lit(lo)).alias("lo"), F.get("k", F.lit(hi)).alias("hi"))
 
 
-def bootstrap_exact(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The same with the draw sequence of a seeded Mersenne Twister, one backend at a time."""
+def _interval(found: list[float], resamples: int, alpha: float) -> tuple[float, float]:
     lo, hi = ends(resamples, alpha)
+    found = sorted(found)
+    return found[lo], found[hi]
+
+
+def bootstrap_ci(items: DataFrame, values: list[str], statistic: Statistic = kappa_statistic, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """Any statistic of the columns `values` -> backend, lo, hi.
+
+    n draws with replacement hit the distinct values in multinomial numbers. Those are
+    drawn at once from the values' counts, so the cost grows with the number of distinct
+    values and not with that of the items.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(values)
+        counts = rows["_n"].to_numpy()
+        known = list(rows[values].itertuples(index=False, name=None))
+        drawn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), size=resamples)
+        lo, hi = _interval([statistic(known, c) for c in drawn], resamples, alpha)
+        return pd.DataFrame({"backend": [rows["backend"].iloc[0]], "lo": [lo], "hi": [hi]})
+
+    return items.groupBy("backend", *values).agg(F.count("*").alias("_n")).groupBy("backend").applyInPandas(one, "backend string, lo double, hi double")
+
+
+def _below(n: int, seed: int, block: int = 1 << 20):
+    """The numbers that random.Random(seed).randrange(n) gives, in arrays: the first bits of its 32-bit words, those of n or more left out."""
+    words = np.random.MT19937()
+    *key, pos = random.Random(seed).getstate()[1]
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    while True:
+        drawn = words.random_raw(block) >> np.uint64(32 - n.bit_length())
+        yield drawn[drawn < n].astype(np.int64)
 
-    def kappa(sample: list[tuple]) -> float:
-        n = len(sample)
-        same = sum(t == p for t, p in sample) / n
-        labels = {x for row in sample for x in row}
-        chance = sum(sum(t == x for t, _ in sample) / n * (sum(p == x for _, p in sample) / n) for x in labels)
-        return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else (same - chance) / (1 - chance)
+
+def bootstrap_exact(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED, statistic: Statistic = kappa_statistic) -> DataFrame:
+    """The same with the draw sequence of a seeded Mersenne Twister over the items in order of `pos`.
+
+    The sequence makes it one task per backend, which holds a small number for each item
+    (fewer than 2^32) and counts draws in blocks.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
-        data, draw = list(zip(rows["truth"], rows["predicted"], strict=True)), random.Random(seed)
-        found = sorted(kappa([data[draw.randrange(len(data))] for _ in data]) for _ in range(resamples))
-        return pd.DataFrame({"backend": [rows["backend"].iloc[0]], "lo": [found[lo]], "hi": [found[hi]]})
+        code, known = pd.factorize(pd.MultiIndex.from_frame(rows[["truth", "predicted"]]))
+        n, values = len(code), list(known)
+        counts, at = np.zeros(resamples * len(values), np.int64), 0
+        for drawn in _below(n, seed):
+            drawn = drawn[: resamples * n - at]
+            cell = (at + np.arange(drawn.size)) // n * len(values) + code[drawn]
+            first = int(cell.min(initial=0)) if drawn.size else 0
+            counts[first : first + int(cell.max(initial=0)) - first + 1] += np.bincount(cell - first, minlength=1) if drawn.size else 0
+            at += drawn.size
+            if at == resamples * n:
+                break
+        lo, hi = _interval([statistic(values, c) for c in counts.reshape(resamples, -1)], resamples, alpha)
+        return pd.DataFrame({"backend": [rows["backend"].iloc[0]], "lo": [lo], "hi": [hi]})
 
     return items.groupBy("backend").applyInPandas(one, "backend string, lo double, hi double")
 

@@ -55,9 +55,14 @@ def pending_rows(template: DataFrame, rulings: DataFrame) -> DataFrame:
     return template.join(rulings.select(F.col("pair_id").alias("id")), "id", "left_anti")
 
 
+def unknown_rulings(template: DataFrame, rulings: DataFrame) -> DataFrame:
+    """Rulings of rows that the template does not have."""
+    return rulings.join(template, "id", "left_anti")
+
+
 def merge_rulings(template: DataFrame, rulings: DataFrame) -> DataFrame:
     """Template rows with their rulings; unknown, half and missing rulings are refused."""
-    unknown = rulings.join(template, "id", "left_anti").limit(3).collect()
+    unknown = unknown_rulings(template, rulings).limit(3).collect()
     if unknown:
         raise GuardError("rulings of unknown rows: " + ", ".join(r["id"] for r in unknown))
     missing = template.join(rulings.where("ground_truth is not null and reason is not null"), "id", "left_anti").limit(3).collect()

@@ -6,23 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt_variant
-from .reliability import IDENTITY, accumulate, error_kinds
+from .reliability import IDENTITY, accumulate, error_kinds, latencies
 
 
 def health(calls: DataFrame) -> DataFrame:
     """backend, health: the struct that manifests hold."""
-    good, bad = F.when(F.col("ok") == 1, F.col("latency_s")), F.when(F.col("ok") == 0, F.col("latency_s"))
     kinds = error_kinds(calls, "backend").groupBy("backend").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_kind", "calls")))).alias("error_kinds"))
-    by = calls.groupBy("backend").agg(
-        F.count_if(F.col("ok") == 1).alias("calls_ok"),
-        F.count_if(F.col("ok") == 0).alias("calls_failed"),
-        F.min(good).alias("latency_min"),
-        F.median(good).alias("latency_median"),
-        F.expr("percentile_disc(0.95) within group (order by case when ok = 1 then latency_s end)").alias("latency_p95"),
-        F.max(good).alias("latency_max"),
-        F.median(bad).alias("failed_latency_median"),
-        F.max(bad).alias("failed_latency_max"),
-    )
+    by = latencies(calls, "backend")
     fields = [c for c in by.columns if c != "backend"]
     return by.join(kinds, "backend", "left").select("backend", F.struct(*fields, "error_kinds").alias("health"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import placed, ranges
@@ -23,20 +23,40 @@ def shown(kind: str, count: str) -> Column:
     return F.array_join(F.transform(pairs, lambda x: F.concat_ws("=", x[kind], x[count].cast("string"))), ",")
 
 
-def health_summary(calls: DataFrame, *keys: str) -> DataFrame:
-    """Counts and order statistics; failures are timed apart. The tail is a latency that was observed (nearest rank)."""
+def latencies(calls: DataFrame, *keys: str) -> DataFrame:
+    """Counts and exact order statistics of the latencies of good and failed calls.
+
+    Latencies are counted by value, dealt by backend and quarter of a second, and only
+    the quarters' sizes are added up backend by backend; the value at a rank is then
+    looked for in its quarter. No task and no aggregate holds all values of a backend.
+    """
     good, bad = F.when(F.col("ok") == 1, F.col("latency_s")), F.when(F.col("ok") == 0, F.col("latency_s"))
-    ordered = lambda p: F.expr(f"percentile_disc({p}) within group (order by case when ok = 1 then latency_s end)")
     main = calls.groupBy(*keys).agg(
-        F.count_if(F.col("ok") == 1).alias("calls_ok"),
-        F.count_if(F.col("ok") == 0).alias("calls_failed"),
-        F.min(good).alias("latency_min"),
-        F.median(good).alias("latency_median"),
-        ordered(0.95).alias("latency_p95"),
-        F.max(good).alias("latency_max"),
-        F.median(bad).alias("failed_latency_median"),
-        F.max(bad).alias("failed_latency_max"),
-    )
+        F.count_if(F.col("ok") == 1).alias("calls_ok"), F.count_if(F.col("ok") == 0).alias("calls_failed"), F.min(good).alias("latency_min"),
+        F.max(good).alias("latency_max"), F.max(bad).alias("failed_latency_max"), F.count(good).alias("_good"), F.count(bad).alias("_bad"),
+    )
+    quarter = F.floor(F.col("latency_s") * 4)
+    values = calls.where("latency_s is not null and ok in (0, 1)").groupBy(*keys, "ok", quarter.alias("_quarter"), F.col("latency_s").alias("_value")).agg(F.count("*").alias("_c"))
+    sizes = values.groupBy(*keys, "ok", "_quarter").agg(F.sum("_c").alias("_size"))
+    before = Window.partitionBy(*keys, "ok").orderBy("_quarter").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    # ranks from 1: both middles of the median, and the nearest rank of the tail
+    n = F.when(F.col("ok") == 1, F.col("_good")).otherwise(F.col("_bad"))
+    ranks = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "tail": F.ceil(n * F.lit(19) / F.lit(20))}
+    wanted = sizes.join(main.select(*keys, "_good", "_bad"), list(keys)).select(*keys, "ok", "_quarter", "_size", "_before", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("_w"))
+    wanted = wanted.where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_size"))).select(*keys, "ok", "_quarter", "_before", "_w.what", "_w.rank")
+    within = Window.partitionBy(*keys, "ok", "_quarter").orderBy("_value")
+    placed = values.join(wanted.select(*keys, "ok", "_quarter").distinct(), [*keys, "ok", "_quarter"], "left_semi").withColumn("_to", F.sum("_c").over(within))
+    found = placed.join(wanted, [*keys, "ok", "_quarter"]).where((F.col("rank") > F.col("_before") + F.col("_to") - F.col("_c")) & (F.col("rank") <= F.col("_before") + F.col("_to")))
+    pick = lambda ok, what: F.max(F.when((F.col("ok") == ok) & (F.col("what") == what), F.col("_value")))
+    at = found.groupBy(*keys).agg(((pick(1, "low") + pick(1, "high")) / 2).alias("latency_median"), pick(1, "tail").alias("latency_p95"), ((pick(0, "low") + pick(0, "high")) / 2).alias("failed_latency_median"))
+    names = ("calls_ok", "calls_failed", "latency_min", "latency_median", "latency_p95", "latency_max", "failed_latency_median", "failed_latency_max")
+    return main.join(at, list(keys), "left").select(*keys, *names)
+
+
+def health_summary(calls: DataFrame, *keys: str) -> DataFrame:
+    """Counts and order statistics; failures are timed apart. The tail is a latency that was observed (nearest rank)."""
+    main = latencies(calls, *keys)
     kinds = error_kinds(calls, *keys).groupBy(*keys).agg(shown("error_kind", "calls").alias("error_kinds"))
     return main.join(kinds, list(keys), "left").withColumn("error_kinds", F.coalesce("error_kinds", F.lit("")))
 
@@ -127,6 +147,14 @@ def manifest_counts(manifests: DataFrame) -> DataFrame:
     return manifests.select("backend", scope.alias("scope"), pick("calls_ok").alias("succeeded"), pick("calls_failed").alias("failed"), pick("error_kinds").alias("error_kinds"), F.when(has("cumulative"), F.col("cumulative.launches")).alias("launches"), "health.latency_median", "health.latency_p95")
 
 
+def manifest_reliability(votes: DataFrame, manifests: DataFrame) -> DataFrame:
+    """`reliability` where the counts come from manifests: backends with rows or with a manifest. Latencies are those of the latest launch."""
+    rows = votes.groupBy("backend").agg(F.count("*").alias("rows_on_disk"), F.count_distinct("pair_id").alias("distinct_pairs"))
+    both = rows.join(manifest_counts(manifests), "backend", "full_outer")
+    zero = F.lit(0).cast("long")
+    return judged_reliability(both.withColumns({"rows_on_disk": F.coalesce("rows_on_disk", zero), "distinct_pairs": F.coalesce("distinct_pairs", zero), "scope": F.coalesce("scope", F.lit("none"))}))
+
+
 def coverage_shapes(votes: DataFrame, order: DataFrame | None = None, total_pairs: int | None = None, source: str = "pairs-file") -> DataFrame:
     """Where each backend's pairs lie in the file. order: (pair_id, rank from 0).
 
@@ -173,8 +201,12 @@ def host_concentration(votes: DataFrame, manifests: DataFrame | None = None) ->
     return hosts
 
 
-def completion(votes: DataFrame, roster: DataFrame, votes_per_pair: int, total: DataFrame) -> DataFrame:
+def completion(votes: DataFrame, roster: DataFrame, votes_per_pair: int, total: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """Rows per backend against what was asked for; with manifests, also the calls of the latest launch."""
     zero = F.lit(0).cast("long")
+    if manifests is not None:
+        calls = manifests.select("backend", F.col("health.calls_ok").alias("calls_ok"), F.col("health.calls_failed").alias("calls_failed"))
+        return completion(votes, roster, votes_per_pair, total).join(calls, "backend", "left")
     by = votes.groupBy("backend").agg(F.count("*").alias("n_rows"), F.count_distinct("pair_id").alias("n_pairs"))
     out = roster.join(by, "backend", "left").join(F.broadcast(total.agg(F.count("*").alias("total_pairs"))))
     return out.select("backend", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_pairs", zero).alias("n_pairs"), (F.col("total_pairs") * votes_per_pair).alias("expected_rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .guards import GuardError
 from .tally import tally
 
 
@@ -30,8 +31,16 @@ def cohens_kappa(rows: DataFrame, truth: str, predicted: str, keys: tuple[str, .
     return out.select(*keys, "n", kappa_of(F.col("same") / n, expected).alias("kappa"))
 
 
+def known_votes(votes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Votes of known pairs; an error if there are votes and none is of a known pair."""
+    known = votes.join(pairs.select(F.col("id").alias("pair_id")), "pair_id", "left_semi")
+    if not known.take(1) and votes.take(1):
+        raise GuardError("no vote is of a pair with ground truth")
+    return known
+
+
 def judged(votes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tallied votes of known pairs with their truth."""
+    """Tallied votes of known pairs with their truth; others are dropped (see known_votes)."""
     truth = pairs.select(F.col("id").alias("pair_id"), "pos", "ground_truth", F.col("reason").alias("true_reason"))
     return tally(votes).join(truth, "pair_id")
 

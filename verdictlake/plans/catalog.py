@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import agreement, bootstrap, guards, journal, reliability, score
+from ..operators import agreement, bootstrap, caveats, guards, journal, manifest, reliability, score
 from ..operators.tally import majority_first_seen, stability, tally, tally_any
 from ..sources import readers
 from ..sources.fixtures import table, view, with_views
@@ -19,8 +19,6 @@ from ..streaming import twins
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
-#: Of the bootstrap's SQL alone, which is too slow for more: the queries take all judged pairs and bootstrap.RESAMPLES, so it is not theirs.
-RESAMPLES, CALIBRATION_PAIRS = 200, 200
 
 
 def query(sql: str | None = None):
@@ -150,12 +148,13 @@ def items(spark, sf_dir):
     return rows.select("backend", "pos", F.col("ground_truth").alias("truth"), F.col("verdict").alias("predicted"))
 
 
-LO, HI = bootstrap.ends(RESAMPLES)
-BOOT = f"""{JUDGED}, it as (select backend, row_number() over (partition by backend order by pos) - 1 as i, case when ground_truth = 'approve' then 1 else 0 end as t, case when verdict = 'approve' then 1 else 0 end as p
-   from judged where verdict is not null and pos < {CALIBRATION_PAIRS} and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0),
- sz as (select backend, count(*) as n from it group by backend),
- dr as (select backend, n, r, ('0x' || substr(md5('{bootstrap.SEED}|' || r || '|' || j), 1, 8))::bigint % n as i from sz, range({RESAMPLES}) a(r), range({CALIBRATION_PAIRS}) b(j) where j < n),
- sm as (select d.backend, n, r, sum(t) as t, sum(p) as p, sum(case when t = p then 1 else 0 end) as same from dr d join it on it.backend = d.backend and it.i = d.i group by all),
+LO, HI = bootstrap.ends(bootstrap.RESAMPLES)
+BOOT = f"""{JUDGED}, it as (select backend, case when ground_truth = 'approve' then 1 else 0 end as t, case when verdict = 'approve' then 1 else 0 end as p
+   from judged where verdict is not null and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0),
+ sz as (select backend, count(*) as n, count(*) filter (t = 1 and p = 1) as a, count(*) filter (t = 1 and p = 0) as b, count(*) filter (t = 0 and p = 1) as d from it group by backend),
+ hs as (select r, q, md5('{bootstrap.SEED}|' || r || '|' || q) as h from range({bootstrap.RESAMPLES}) a(r), (select unnest(range((select max(n) from sz) // 4 + 1)) as q) b),
+ dr as (select backend, n, a, b, d, r, ('0x' || substr(h, 8 * s + 1, 8))::bigint % n as i from hs, range(4) c(s), sz where 4 * q + s < n),
+ sm as (select backend, n, r, count(*) filter (i < a + b) as t, count(*) filter (i < a or (i >= a + b and i < a + b + d)) as p, count(*) filter (i < a or i >= a + b + d) as same from dr group by backend, n, r),
  ks as (select backend, case when t * p + (n - t) * (n - p) = n * n then case when same = n then 1.0 else 0.0 end else (same / n - (t * p + (n - t) * (n - p)) / (n * n)) / (1 - (t * p + (n - t) * (n - p)) / (n * n)) end as kappa from sm),
  ci as (select backend, list_sort(list(kappa))[{LO + 1}] as lo, list_sort(list(kappa))[{HI + 1}] as hi from ks group by backend)"""
 
@@ -431,8 +430,8 @@ def merge_rulings(spark, sf_dir):
 
 @query("select distinct cast(l_partkey as bigint) as l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 4 > 0)")
 def unknown_rulings(spark, sf_dir):
-    known = table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").select("l_partkey").distinct().join(known, "l_partkey", "left_anti").select(F.col("l_partkey").cast("long").alias("l_partkey"))
+    known = table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").cast("long").alias("id"))
+    return journal.unknown_rulings(known, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("id"))).select(F.col("id").alias("l_partkey")).distinct()
 
 
 def records(spark, sf_dir):
@@ -450,7 +449,7 @@ def journal_replay(spark, sf_dir):
     return journal.replay(records(spark, sf_dir))
 
 
-RECORDS = """rec as (select conv_id as session, turn as seq, case when role = 'system' or turn % 5 = 4 then 'undo' when role = 'user' then 'rule' else 'note' end as action, 'p' || (length(text) % 3) as pair_id, length(text) * 10 as elapsed_ms, substr(text, 1, 20) as notes from conversations)"""
+RECORDS = """rec as (select conv_id as session, turn as seq, case when role = 'system' or turn % 5 = 4 then 'undo' when role = 'user' then 'rule' else 'note' end as action, 'p' || (length(text) % 3) as pair_id, length(text) * 10 as elapsed_ms, text as notes from conversations)"""
 
 
 @query(f"""with {RECORDS}, s as (select session, count(*) filter (action = 'rule') as ruled, cast(0 as bigint) as skipped, count(*) filter (action = 'undo') as undone, count(*) filter (action = 'note') as noted, cast(sum(elapsed_ms) as bigint) as elapsed_ms from rec group by session)
@@ -476,6 +475,120 @@ def word_diff(spark, sf_dir):
     return view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), text.word_diff("original", "enriched").alias("diff"))
 
 
+def manifests(spark, sf_dir):
+    """Manifests of the call log: m0 to m2 with their history, m3 as one written before there were histories, m4 without one."""
+    calls = view(spark, sf_dir, "calls").where("backend <> 'm4'")
+    last = calls.groupBy("backend").agg(F.max("launch").alias("launch"))
+    health = manifest.health(calls.join(last, ["backend", "launch"], "left_semi"))
+    launches = calls.groupBy("backend").agg(F.count_distinct("launch").alias("launches"))
+    whole = manifest.health(calls).withColumnRenamed("health", "h").join(launches, "backend")
+    cumulative = F.struct("launches", "h.calls_ok", "h.calls_failed", "h.error_kinds", F.lit(0).cast("long").alias("discarded_prior_launches"))
+    out = health.join(whole.select("backend", F.when(F.col("backend") != "m3", cumulative).alias("cumulative")), "backend")
+    return out.withColumn("base_url", F.concat(F.lit("https://manifest."), F.col("backend"), F.lit(".example/v1")))
+
+
+#: Counts as the manifests above have them.
+COUNTED = """last as (select backend, max(launch) as launch from calls group by backend), counted as (select c.backend, c.ok, c.error_kind from calls c join last l on l.backend = c.backend and (c.backend <> 'm3' or c.launch = l.launch) where c.backend <> 'm4'),
+ c as (select backend, count(*) filter (ok = 1) as ok, count(*) filter (ok = 0) as bad, count(*) filter (error_kind like '%Timeout') as t, count(*) filter (error_kind = 'JudgeResponseError') as j, count(*) filter (error_kind = 'QuotaExhausted') as q from counted group by backend)"""
+
+
+@query(f"""with {COUNTED}, v as (select backend, count(*) as rows_on_disk, count(distinct pair_id) as distinct_pairs from votes group by backend),
+ h as (select c.backend, quantile_cont(latency_s, 0.5) as med, quantile_disc(latency_s, 0.95) as p95 from calls c join last l on l.backend = c.backend and c.launch = l.launch where ok = 1 and c.backend <> 'm4' group by c.backend),
+ n as (select backend, count(distinct launch) as launches from calls where backend < 'm3' group by backend)
+ select coalesce(v.backend, c.backend) as backend, coalesce(rows_on_disk, 0) as rows_on_disk, coalesce(distinct_pairs, 0) as distinct_pairs, ok + bad as attempted, ok as succeeded, bad as failed, launches, case when c.backend is null then 'none' when c.backend = 'm3' then 'last-launch' else 'cumulative' end as scope,
+  coalesce(t, 0) as timeouts, coalesce(j, 0) as contract_failures, coalesce(q, 0) as quota_failures, round(bad / nullif(ok + bad, 0), 6) as failure_rate, round((ok + bad) / nullif(ok, 0), 6) as attempts_per_vote, round(med, 6) as latency_median, round(p95, 6) as latency_p95,
+  case when c.backend is null then null when q > 0 and q = bad then null when ok = 0 then true else (ok + bad) / nullif(ok, 0) >= 2 end as unusable_at_scale
+ from v full join c on c.backend = v.backend left join h on h.backend = c.backend left join n on n.backend = c.backend""")
+def manifest_reliability(spark, sf_dir):
+    r = reliability.manifest_reliability(view(spark, sf_dir, "votes"), manifests(spark, sf_dir))
+    names = ["backend", "rows_on_disk", "distinct_pairs", "attempted", "succeeded", "failed", "launches", "scope", "timeouts", "contract_failures", "quota_failures", "failure_rate", "attempts_per_vote", "latency_median", "latency_p95", "unusable_at_scale"]
+    return rounded(r, "failure_rate", "attempts_per_vote", "latency_median", "latency_p95").select(*names)
+
+
+@query(f"with {COUNTED} select backend, j as contract_failures, ok as succeeded from c where j > 0")
+def compliance(spark, sf_dir):
+    return caveats.compliance(reliability.manifest_counts(manifests(spark, sf_dir)))
+
+
+@query("""with last as (select backend, max(launch) as launch from calls group by backend), h as (select c.backend, count(*) filter (ok = 1) as calls_ok, count(*) filter (ok = 0) as calls_failed from calls c join last l on l.backend = c.backend and l.launch = c.launch where c.backend <> 'm4' group by c.backend),
+ d as (select roster.backend, count(pair_id) as n_rows, count(distinct pair_id) as n_pairs from roster left join votes on votes.backend = roster.backend group by roster.backend)
+ select d.backend, n_rows, n_pairs, 3 * (select count(*) from pairs ) as expected_rows, calls_ok, calls_failed from d left join h on h.backend = d.backend""")
+def completion_with_health(spark, sf_dir):
+    return reliability.completion(view(spark, sf_dir, "votes"), view(spark, sf_dir, "roster"), 3, view(spark, sf_dir, "pairs"), manifests(spark, sf_dir))
+
+
+@query("""with r as (select backend, min(base_url) as url from votes where backend in ('m0', 'm5') group by backend), m as (select distinct backend, 'https://manifest.' || backend || '.example/v1' as url from calls where backend <> 'm4'),
+ u as (select coalesce(r.backend, m.backend) as backend, coalesce(r.url, m.url) as url from r full join m on m.backend = r.backend)
+ select regexp_extract(url, '://([^/?#]*)', 1) as host, count(*) as backends, string_agg(backend, ',' order by backend) as names from u group by 1""")
+def hosts_with_manifests(spark, sf_dir):
+    return reliability.host_concentration(view(spark, sf_dir, "votes").where("backend in ('m0', 'm5')"), manifests(spark, sf_dir))
+
+
+RETIRED = "case when run_index = 2 and backend in ('m0', 'm2') and verdict = 'reject' then 'truncation_worse' else reason end"
+
+
+@query(f"select 'v' || run_index as prompt_version, count(*) as votes, string_agg(distinct backend, ',' order by backend) as backends from votes where {RETIRED} = 'truncation_worse' group by 1")
+def retired_votes(spark, sf_dir):
+    v = view(spark, sf_dir, "votes").withColumns({"reason": F.expr(RETIRED), "prompt_version": F.concat(F.lit("v"), F.col("run_index").cast("string"))})
+    return caveats.retired_votes(v)
+
+
+@query(f"""with {JUDGED}, cells as (select backend, case when true_reason = 'meaning_change' then 'truncation_worse' else true_reason end as true_reason, reason from judged where reason is not null)
+ select backend, true_reason, reason, count(*) as pairs from cells where true_reason = 'truncation_worse' group by all""")
+def confusion_on_retired_axis(spark, sf_dir):
+    pairs = view(spark, sf_dir, "pairs").withColumn("reason", F.when(F.col("reason") == "meaning_change", "truncation_worse").otherwise(F.col("reason")))
+    return caveats.on_retired_axis(score.reason_confusion(score.judged(view(spark, sf_dir, "votes"), pairs)))
+
+
+@query(f"""with {JUDGED}, j as (select backend, count(*) as judged, count(verdict) as n from judged group by backend), total as (select count(*) as total_pairs from pairs )
+ select roster.backend, coalesce(judged, 0) as judged, total_pairs, coalesce(judged, 0) = total_pairs and n > 0 as ranked from roster join total on true left join j on j.backend = roster.backend""")
+def full_coverage(spark, sf_dir):
+    s = score.score_models(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs"), view(spark, sf_dir, "roster"))
+    return caveats.full_coverage(s).select("backend", "judged", "total_pairs", (F.col("ranked") & (F.col("judged") > 0)).alias("ranked")).withColumn("ranked", F.when(F.col("judged") > 0, F.col("ranked")).otherwise(F.lit(False)))
+
+
+@query("select pair_id, 'approve ' || (n / 2) :: bigint || ' = reject ' || (n / 2) :: bigint as tie from (select pair_id, count(*) as n, count(*) filter (verdict = 'approve') as a from votes where backend = 'm0' group by pair_id) where 2 * a = n")
+def tied_pairs(spark, sf_dir):
+    return caveats.tied_pairs(tallied(spark, sf_dir).where("backend = 'm0'"))
+
+
+STATUS = "case when event_id % 3 = 0 then 200 else 429 end"
+HEADER = "case event_id % 7 when 0 then null when 1 then 'soon' when 2 then '-4' when 3 then '0' when 4 then '2.5' when 5 then '9999' else cast(event_id % 250 as string) end"
+
+
+@query(f"""select event_id, case when status = 429 then least(300.0, case when header is null or header = 'soon' or header = '-4' then 30.0 else cast(header as double) end) end as wait_s
+ from (select event_id, {STATUS} as status, {HEADER} as header from events)""")
+def retry_after(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(STATUS).alias("status"), F.expr(HEADER).alias("header"))
+    return e.select("event_id", text.retry_after(F.col("status"), F.col("header")).cast("double").alias("wait_s"))
+
+
+REFUSAL = """case event_id % 5 when 0 then concat('{"error": {"type": "insufficient_quota", "code": "c', event_id % 9, '", "message": "pay"}}') when 1 then '{"error": {"code": "billing_not_active"}}'
+ when 2 then '{"error": {"type": "rate_limit", "message": "insufficient_quota is what this is not"}}' when 3 then 'no json' else '{"error": "quota_exceeded"}' end"""
+
+
+@query(f"select event_id, case when {STATUS} = 429 then case event_id % 5 when 0 then 'pay [insufficient_quota/c' || (event_id % 9) || ']' when 1 then 'billing_not_active' end end as detail from events")
+def quota_failure(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(STATUS).alias("status"), F.expr(REFUSAL).alias("body"))
+    return e.select("event_id", text.quota_failure(F.col("status"), F.col("body")).alias("detail"))
+
+
+@query("select id, brand is null = (mpn is null) as whole, (ground_truth = 'approve') = (reason = 'ok') as consistent, ground_truth in ('approve', 'reject') and reason in ('ok', 'casing_error', 'overcorrection', 'meaning_change', 'truncation_worse') as in_domain from pairs ")
+def ruling_checks(spark, sf_dir):
+    p = view(spark, sf_dir, "pairs")
+    return p.select("id", guards.whole_ruling(F.col("brand"), F.col("mpn")).alias("whole"), guards.consistent_ruling(F.col("ground_truth"), F.col("reason")).alias("consistent"), guards.in_domain(F.col("ground_truth"), F.col("reason")).alias("in_domain"))
+
+
+@query("select o_custkey, max(o_orderkey) as o_orderkey, max_by(o_orderstatus, o_orderkey) as o_orderstatus from orders group by o_custkey")
+def last_per_id(spark, sf_dir):
+    return journal.last_per_id(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
+
+
+@query("select c_mktsegment as cohort, count(*) as rows from customer group by 1")
+def cohort_counts(spark, sf_dir):
+    return caveats.cohort_counts(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("cohort")))
+
+
 def _files(df: DataFrame, parts: int) -> tuple[str, str]:
     """The rows as several JSON files, to be streamed."""
     path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"

@@ -32,7 +32,8 @@ def section(title: str, *parts: str) -> str:
 
 
 def leaderboard(votes: DataFrame, pairs: DataFrame, roster: DataFrame, resamples: int = bootstrap.RESAMPLES) -> str:
-    """Ranked tiers of fully covered backends, unstable pairs, the others, confusion of reasons."""
+    """Ranked tiers of fully covered backends, unstable pairs, the others, confusion of reasons. Votes of unknown pairs alone are an error."""
+    votes = score.known_votes(votes, pairs)
     scores = caveats.full_coverage(score.score_models(votes, pairs, roster))
     judged = score.judged(votes, pairs)
     items = judged.where("verdict is not null").select("backend", "pos", F.col("ground_truth").alias("truth"), F.col("verdict").alias("predicted"))
@@ -46,7 +47,7 @@ def leaderboard(votes: DataFrame, pairs: DataFrame, roster: DataFrame, resamples
     head = ["Tier", "Backend", "Kappa", "95% interval", "Run sd", "Accuracy", "False approve", "Scored", "No verdict", "No reason"]
     out = ["# Leaderboard", table(head, body) if body else "No backend judged every pair."]
     unstable = score.unstable_pairs(judged).orderBy("backend").collect()
-    out.append(section("Unstable pairs", *[f"- {r['backend']}: {r['n']} ({r['pair_ids'][:200]})" for r in unstable]) if unstable else "")
+    out.append(section("Unstable pairs", *[f"- {r['backend']}: {r['n']} ({r['pair_ids']})" for r in unstable]) if unstable else "")
     rest = scores.where("not ranked").orderBy(F.col("coverage").desc(), "backend").collect()
     out.append(section("Not ranked", table(["Backend", "Pairs judged", "Coverage"], [[r["backend"], r["judged"], number(r["coverage"])] for r in rest])) if rest else "")
     cells = score.reason_confusion(judged).orderBy("backend", F.col("pairs").desc(), "true_reason", "reason").collect()
@@ -56,30 +57,45 @@ def leaderboard(votes: DataFrame, pairs: DataFrame, roster: DataFrame, resamples
     return "\n\n".join(p for p in out if p) + "\n"
 
 
-def scenario(votes: DataFrame, roster: DataFrame, calls: DataFrame, order: DataFrame, leg: str, queue: int = 40) -> str:
-    """What can be said without ground truth; warnings about the data come before the figures."""
+def scenario(votes: DataFrame, roster: DataFrame, calls: DataFrame | None, order: DataFrame, leg: str, queue: int = 40, manifests: DataFrame | None = None, votes_per_pair: int = 3) -> str:
+    """What can be said without ground truth; warnings about the data come before the figures.
+
+    How calls went comes from the call log, or where there is none from the manifests.
+    """
+    if (calls is None) == (manifests is None):
+        raise ValueError("either a call log or manifests")
     t = tally(votes).cache()
     try:
-        return "\n\n".join(p for p in _scenario(votes, t, roster, calls, order, leg, queue) if p) + "\n"
+        return "\n\n".join(p for p in _scenario(votes, t, roster, calls, order, leg, queue, manifests, votes_per_pair) if p) + "\n"
     finally:
         t.unpersist()
 
 
-def _scenario(votes, t, roster, calls, order, leg, queue) -> list[str]:
+def _scenario(votes, t, roster, calls, order, leg, queue, manifests, votes_per_pair) -> list[str]:
     out = [f"# Scenario {leg}"]
     cache = agreement.cache_findings(votes, t).orderBy("backend").collect()
     if any(r["repeated_pairs"] for r in cache):
         shown = [[r["backend"], r["status"], r["repeated_pairs"], number(r["verdict_flip"]), f"{r['hits']}/{r['measuring']}"] for r in cache]
         bad = [r["backend"] for r in cache if r["status"] == "collapse_suspected"]
         out.append(section("Are votes independent?", f"Answers look cached: {', '.join(bad)}." if bad else "No sign of cached answers.", table(["Backend", "Status", "Repeated pairs", "Flip rate", "Cache hits"], shown)))
-    ties = agreement.deadlocks(t, leg).orderBy("backend", "pair_id", "axis_order").collect()
+    tied = agreement.deadlocks(t, leg)
+    ties = tied.orderBy("backend", "pair_id", "axis_order").limit(queue).collect()
     if ties:
-        out.append(section("Deadlocks", table(["Backend", "Pair", "Axis", "Split"], [[r["backend"], r["pair_id"], r["kind"], r["split"]] for r in ties[:queue]]), f"{len(ties)} in all."))
-    rel = reliability.reliability(votes, calls).orderBy("backend").collect()
+        out.append(section("Deadlocks", table(["Backend", "Pair", "Axis", "Split"], [[r["backend"], r["pair_id"], r["kind"], r["split"]] for r in ties]), f"{tied.count()} in all."))
+    rel = (reliability.reliability(votes, calls) if manifests is None else reliability.manifest_reliability(votes, manifests)).orderBy("backend").collect()
     verdict = lambda r: "unknown" if r["unusable_at_scale"] is None else ("unusable" if r["unusable_at_scale"] else "usable")
     out.append(section("Reliability", table(["Backend", "Rows", "Attempts", "Failed", "Attempts per vote", "Timeouts", "At scale"], [[r["backend"], r["rows_on_disk"], r["attempted"] if r["attempted"] is not None else DASH, r["failed"] if r["failed"] is not None else DASH, number(r["attempts_per_vote"], 2), r["timeouts"], verdict(r)] for r in rel])))
     billed = [r["backend"] for r in rel if r["quota_failures"]]
     out.append(f"Could not bill at times: {', '.join(billed)}." if billed else "")
+    broke = [r for r in rel if r["contract_failures"]]
+    out.append(section("Replies that broke the contract", *[f"- {r['backend']}: {r['contract_failures']} beside {r['succeeded']} good ones" for r in broke]) if broke else "")
+    total = order.select("pair_id")
+    if manifests is not None:  # the run may have had more pairs than the file has now
+        asked = manifests.agg(caveats.manifest_pairs(manifests).alias("n")).first()["n"]
+        total = total.sparkSession.range(asked) if asked else total
+    done = reliability.completion(votes, roster, votes_per_pair, total, manifests).orderBy("backend").collect()
+    failed = lambda r: "" if manifests is None or r["calls_failed"] is None else f"{r['calls_failed']} of {r['calls_failed'] + (r['calls_ok'] or 0)}"
+    out.append(section("Completion", table(["Backend", "Rows", "Asked for", "Pairs", "Failed calls of the last launch"], [[r["backend"], r["n_rows"], r["expected_rows"], r["n_pairs"], failed(r) or DASH] for r in done])))
     shapes = [r for r in reliability.coverage_shapes(votes, order).orderBy("backend").collect() if r["shape"] != "complete"]
     if shapes:
         out.append(section("Coverage", "These backends' figures describe a part of the pairs only.", table(["Backend", "Pairs", "Of", "Reaches", "Shape"], [[r["backend"], r["distinct_pairs"], r["total_pairs"], r["span"], r["shape"]] for r in shapes])))
@@ -92,9 +108,13 @@ def _scenario(votes, t, roster, calls, order, leg, queue) -> list[str]:
     out.append(section("Reasons side by side", table(["Left", "Right", "Left reason", "Right reason", "Pairs"], [[r["left"], r["right"], r["left_reason"], r["right_reason"], r["pairs"]] for r in cross])))
     dist = agreement.reason_distribution(t).orderBy("backend", F.col("pairs").desc(), "reason").collect()
     out.append(section("Reasons", table(["Backend", "Reason", "Pairs"], [[r["backend"], r["reason"], r["pairs"]] for r in dist])))
-    health = reliability.health_summary(calls, "backend").orderBy("backend").collect()
+    if manifests is None:
+        health = reliability.health_summary(calls, "backend").orderBy("backend").collect()
+    else:
+        kinds = F.array_join(F.transform(F.array_sort(F.map_entries("health.error_kinds")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+        health = manifests.where("health is not null").select("backend", "health.*", kinds.alias("kinds")).drop("error_kinds").withColumnRenamed("kinds", "error_kinds").orderBy("backend").collect()
     out.append(section("Calls", table(["Backend", "Ok", "Failed", "Median", "p95", "Max", "Failed median", "Errors"], [[r["backend"], r["calls_ok"], r["calls_failed"], *[seconds(r[c]) for c in ("latency_median", "latency_p95", "latency_max", "failed_latency_median")], r["error_kinds"] or DASH] for r in health])))
-    hosts = reliability.host_concentration(votes).orderBy(F.col("backends").desc(), "names").collect()
+    hosts = reliability.host_concentration(votes, manifests).orderBy(F.col("backends").desc(), "names").collect()
     out.append(section("Hosts", f"{hosts[0]['names']} share {hosts[0]['host']}." if hosts and hosts[0]["backends"] > 1 else "No host is shared." if hosts else "Hosts are not known."))
     gone = caveats.retired_votes(votes).orderBy("prompt_version").collect()
     out.append(section("Retired reasons", *[f"- {r['prompt_version']}: {r['votes']} votes of {r['backends']}" for r in gone]) if gone else "")

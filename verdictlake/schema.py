@@ -25,6 +25,7 @@ VERDICT = _struct(
     ("pair_id", S), ("verdict", S), ("reason", S), ("model_id", S), ("prompt_version", S), ("temperature", D), ("run_index", L), ("reasoning_effort", S),
     ("usage", USAGE), ("base_url", S), ("config_digest", S), ("code_version", S),
 )
+VERDICT_KEYS = ("pair_id", "verdict", "reason", "model_id", "prompt_version", "temperature")  # those without a default
 HEALTH = _struct(
     ("calls_ok", L), ("calls_failed", L), ("latency_min", D), ("latency_median", D), ("latency_p95", D), ("latency_max", D),
     ("failed_latency_median", D), ("failed_latency_max", D), ("error_kinds", COUNTS),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators.guards import GuardError
-from ..schema import JOURNAL, MANIFEST, PAIR, VERDICT
+from ..operators.ranking import placed, ranges
+from ..schema import JOURNAL, MANIFEST, PAIR, REASONS, VERDICT, VERDICT_KEYS
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,10 +32,11 @@ def roster(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFram
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value) of a file that one task can read, such as a pairs file or a journal."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("seq", "value"))
-    return parts.where(strip(F.col("value")) != "")
+    """(seq, file, modified, value): lines that are not blank, numbered over all files by name and place. No file is read by one task alone."""
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_modification_time"].alias("modified"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+    rows = placed(rows, [("file", False), ("block", False)], ["id"], "seq").where(strip(F.col("value")) != "")
+    return rows.select((F.col("seq") - 1).alias("seq"), "file", "modified", "value")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -46,16 +48,31 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def pair_order(spark: SparkSession, path: str) -> DataFrame:
     """(pair_id, rank): nothing but ids is parsed."""
-    ids = _lines(spark, path).select("seq", F.get_json_object("value", "$.id").alias("pair_id"))
-    return ids.select("pair_id", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("rank"))
+    ids = _lines(spark, path).select("seq", F.get_json_object("value", "$.id").alias("pair_id")).withColumn("range", ranges("seq"))
+    return placed(ids, [("range", False)], ["seq"]).select("pair_id", (F.col("place") - 1).alias("rank"))
 
 
-def read_votes(spark: SparkSession, folder: str) -> DataFrame:
-    """All results files of a folder, strictly; backend is the file's stem. Keys that are not known are ignored."""
+def strict_verdict(line: Column) -> Column:
+    """A verdict row of a JSON line; a line with keys that are not known, without one that has no default, or with a reason that never was, is an error."""
+    keys = F.json_object_keys(line)
+    known, needed = (F.array(*[F.lit(k) for k in names]) for names in (VERDICT.fieldNames(), VERDICT_KEYS))
+    odd = F.array_join(F.concat(F.transform(F.array_except(keys, known), lambda k: F.concat(F.lit("unknown "), k)), F.transform(F.array_except(needed, keys), lambda k: F.concat(F.lit("missing "), k))), ", ")
+    row = F.from_json(line, VERDICT, {"mode": "FAILFAST"})
+    said = F.when(keys.isNull(), F.lit("no object")).when(odd != "", odd).when(~F.coalesce(row["reason"].isin(*REASONS), F.lit(False)), F.lit("reason"))
+    return F.when(said.isNotNull(), F.raise_error(F.concat(F.lit("verdict line: "), said, F.lit(" in "), F.substring(line, 1, 80))).cast(VERDICT)).otherwise(row)
+
+
+def read_votes(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
+    """All results files of a folder; backend is the file's stem. Not strictly: keys that are not known are ignored, missing ones null."""
     if not any(r for r in roster(spark, folder).take(1)):
-        return spark.createDataFrame([], T.StructType([*VERDICT.fields, T.StructField("backend", T.StringType())]))
-    rows = spark.read.schema(VERDICT).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(folder)
-    rows = rows.withColumn("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""))
+        empty = T.StructType([*VERDICT.fields, T.StructField("backend", T.StringType())])
+        return spark.createDataFrame([], empty).withColumn("cached_tokens", F.col("usage.cached_tokens"))
+    if strict:
+        lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).select("value", F.col("_metadata.file_name").alias("file")).where(strip(F.col("value")) != "")
+        rows = lines.select(strict_verdict(F.col("value")).alias("v"), "file").select("v.*", "file")
+    else:
+        rows = spark.read.schema(VERDICT).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(folder).withColumn("file", F.col("_metadata.file_name"))
+    rows = rows.withColumn("backend", F.regexp_replace("file", r"\.jsonl$", "")).drop("file")
     return rows.withColumns({"run_index": F.coalesce("run_index", F.lit(0).cast("long")), "cached_tokens": F.col("usage.cached_tokens")})
 
 
@@ -103,15 +120,33 @@ def read_qa_pack(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Journal records in line order. A torn last line is dropped, a bad line before it is an error, no file is empty."""
-    schema = T.StructType([T.StructField("seq", T.IntegerType()), *JOURNAL.fields])
+    """Journal records with `seq`, their order. A torn last line of a file is dropped, a bad line before it is an error, no file is empty.
+
+    Records that `append_journal` wrote carry their seq. Others follow each other by
+    file, oldest first, and line.
+    """
+    schema = T.StructType([T.StructField("seq", T.LongType()), *JOURNAL.fields])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = _lines(spark, path).withColumn("good", F.try_parse_json("value").isNotNull()).withColumn("last", F.max("seq").over(Window.partitionBy()))
-    bad = lines.where("not good and seq < last").limit(1).collect()
+    lines = _lines(spark, path).withColumn("good", F.try_parse_json("value").isNotNull())
+    files = lines.groupBy("file").agg(F.max("seq").alias("last"), F.min("seq").alias("first"), F.min("modified").alias("modified"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("modified", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.withColumn("size", F.col("last") - F.col("first") + 1).withColumn("start", before).select("file", "first", "last", "start")  # a row per file
+    lines = lines.join(starts, "file")
+    bad = lines.where("not good and seq < last").select((F.col("seq") - F.col("first") + 1).alias("n"), "value").limit(1).collect()
     if bad:
-        raise GuardError(f"journal line {bad[0]['seq'] + 1} cannot be read: {bad[0]['value'][:80]}")
-    return lines.where("good").select("seq", F.from_json("value", JOURNAL).alias("r")).select("seq", "r.*")
+        raise GuardError(f"journal line {bad[0]['n']} cannot be read: {bad[0]['value'][:80]}")
+    place = F.coalesce(F.get_json_object("value", "$.seq").try_cast("long"), F.col("seq") - F.col("first") + F.col("start"))
+    return lines.where("good").select(place.alias("seq"), F.from_json("value", JOURNAL).alias("r")).select("seq", "r.*")
+
+
+def manifest_beside(spark: SparkSession, results: str) -> DataFrame:
+    """The manifest beside one results file, as a row; no row if there is none or it cannot be read."""
+    path = results.removesuffix(".jsonl") + ".manifest.json"
+    if not exists(spark, path):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return rows.where(F.greatest(*[F.col(f.name).isNotNull().cast("int") for f in MANIFEST.fields]) > 0)
 
 
 # What a backend may say of itself, and what holds when it does not.

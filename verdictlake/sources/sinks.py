@@ -13,8 +13,23 @@ def append_votes(rows: DataFrame, folder: str) -> None:
     rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in VERDICT.fields], "backend").write.mode("append").partitionBy("backend").option("ignoreNullFields", True).json(folder)
 
 
-def append_journal(records: DataFrame, folder: str) -> None:
-    records.write.mode("append").option("ignoreNullFields", True).json(folder)
+def append_journal(records: DataFrame, folder: str, order: str = "seq") -> None:
+    """Records at the end of a journal, numbered on from its last one in order of the numeric column `order`.
+
+    A single record needs no such column. One writer at a time.
+    """
+    from ..operators.guards import GuardError
+    from ..operators.ranking import placed, ranges
+    from .readers import read_journal
+
+    if order not in records.columns:
+        if len(records.take(2)) > 1:
+            raise GuardError(f"several records need a column {order} to say their order")
+        records = records.withColumn(order, F.lit(0).cast("long"))
+    last = read_journal(records.sparkSession, folder).agg(F.max("seq")).first()[0]
+    rows = placed(records.withColumn("_range", ranges(order)), [("_range", False)], [order], "_place")
+    rows = rows.withColumn("seq", (F.col("_place") + (-1 if last is None else last)).cast("long"))
+    rows.drop("_range", "_place", *({order} - {"seq"})).write.mode("append").option("ignoreNullFields", True).json(folder)
 
 
 def template(rows: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
@@ -56,5 +71,19 @@ def pair_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("pos", F.to_json(fields, {"ignoreNullFields": "true"}).alias("value"))
 
 
+def write_manifests(runs: DataFrame, folder: str) -> None:
+    """Each backend's manifest, history and all, beside its results; a rewrite replaces the file whole. As many rows as backends."""
+    spark = runs.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in runs.select("backend", F.to_json(F.struct(*sorted(runs.columns))).alias("value")).toLocalIterator():
+        target, fresh = (fs_path(f"{folder}/{row['backend']}.manifest.json{end}") for end in ("", ".new"))
+        out = fs.create(fresh, True)
+        out.write(bytearray(row["value"], "utf-8"))
+        out.close()
+        fs.delete(target, False)
+        fs.rename(fresh, target)
+
+
 def manifest_line(run: DataFrame) -> DataFrame:
     return run.select(F.to_json(F.struct(*sorted(run.columns))).alias("value"))
