@@ -960,3 +960,59 @@ def test_stages_on_empty_and_null_rows(spark, sf):
         "4": lambda d: toxicity.score(d, spark.createDataFrame([(None, None, None), (5, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")),
     }.items():
         assert f(nulls).count() == 5 if name != "9" else f(nulls).count() >= 5, name
+
+
+def test_very_long_texts(spark):
+    """Whole texts of some megabytes, in every operator that has no such test of its own."""
+    random.seed(12)
+    vocabulary = [f"{random.choice('bdgkm')}{random.choice('aeiou')}{random.choice('lnrst')}{i}" for i in range(4000)]
+    long = " ".join(random.choices(vocabulary, k=300_000))
+    texts = [long, long, long + " mail joe@example.com", "short text here"]
+    d = extra_columns(docs(spark, texts))
+    assert len(long) > 2_000_000
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(d).collect()} == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1)}
+    near = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash_dedup.near_classes(d).collect()}
+    assert [near[i][0] for i in (0, 2)] == [brute_fingerprint(texts[i]) for i in (0, 2)] and near[2][1] == 0
+    assert all(r.lang_pred == "en" for r in langid.identify(d).collect())
+    pairs = {r.doc_id: r for r in doc_fingerprint.fingerprint_pairs(d).collect()}
+    assert pairs[2].n_chars == len(texts[2]) and pairs[1].near_next == 1.0 and pairs[2].edited_sha256 == hashlib.sha256((texts[2][: len(texts[2]) - len(texts[2]) // 2] + long[: len(texts[2]) // 2]).encode()).hexdigest()
+    assert {r.doc_id: r["size"] for r in mixing.mix(d).collect()} == {0: 300_000, 1: 300_000, 2: 300_002, 3: 3}
+    pieces = packing.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(pieces) == 4 and all(r.n == r["all"] for r in pieces)
+    hidden = {r.doc_id: r for r in pii.pseudonymize(d).collect()}
+    assert hidden[0].text == long and hidden[2].n_email == 1 and "joe@" not in hidden[2].text and hidden[2].text.startswith(long)
+
+
+def test_repeated_rows(spark, table):
+    rows = [(r.doc_id, r.text) for r in table.limit(25).collect()] + [(10**6, "x y " * 200 + "under the mit license joe@example.com")]
+    d = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    want = brute_cut([t for _, t in rows + rows], 400)
+    cut = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(d).collect())
+    assert cut == sorted((i, *want[k]) for k, (i, _) in enumerate(rows + rows))
+    for f in (license_scan.scan, packing.pack, pii.pseudonymize):
+        once, twice = ([str([v for k, v in r.asDict().items() if k != "sequence_id"]) for r in f(x).collect()] for x in (d.limit(0).union(spark.createDataFrame(rows, d.schema)), d))
+        assert sorted(twice) == sorted(once + once)
+
+
+def test_bits_of_half_the_hashes_are_not_set(spark):
+    """Two shingles: a bit that one of them has is a tie."""
+    text = "a b c d e"
+    both = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in ("a b c d", "b c d e")]
+    r = simhash_dedup.near_classes(docs(spark, [text])).first()
+    assert int(r.fingerprint, 16) == both[0] & both[1]
+    fp = doc_fingerprint.simhash(spark.createDataFrame([(1, "a b c")], "k long, t string"), ["k"], "t").first()
+    hashes = [r[0] for r in spark.createDataFrame([("a b c",)], "t string").select(F.explode(doc_fingerprint.terms(F.col("t"))).alias("x")).select(F.xxhash64("x", F.lit(0))).collect()]
+    assert len(hashes) == 2 and fp.fp0 == hashes[0] & hashes[1]
+
+
+def test_clashing_names_in_stages(spark, sf):
+    import corpus_pipeline
+    from verdictlake.llm.common import save
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name, stage in corpus_pipeline.STAGES:
+        plain, extra = save(stage(spark, d, sf), name), stage(spark, extra_columns(d), sf)
+        assert sorted(r.doc_id for r in extra.collect()) == sorted(r.doc_id for r in plain.collect())
+        if name != "packing":
+            assert set(extra.columns) == set(extra_columns(d).columns)
+        d = plain
