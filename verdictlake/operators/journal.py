@@ -2,41 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .guards import GuardError
 
-STATE = "array<struct<pair_id:string,history:array<struct<ground_truth:string,reason:string>>>>"
-EVENT = "struct<seq:bigint,action:string,pair_id:string,ground_truth:string,reason:string>"
+RULING = ("pair_id", "ground_truth", "reason")
+
+
+class Standing:
+    """Rulings of one journal that stand, last decided last.
+
+    A ruling moves its pair to the end; an undo takes back the last pair's latest ruling
+    and leaves that pair, if an older ruling stands, at the end. Every event takes the
+    same time, however long the journal.
+    """
+
+    def __init__(self, held: list | None = None):
+        self.past: dict[str, list] = {pair: past for pair, past in held or []}
+
+    def take(self, action: str, pair: str | None, truth: str | None, reason: str | None) -> None:
+        if action == "rule" and pair is not None:
+            past = self.past.pop(pair, [])
+            past.append([truth, reason])
+            self.past[pair] = past
+        elif action == "undo" and self.past:
+            pair, past = self.past.popitem()
+            past.pop()
+            if past:
+                self.past[pair] = past
+
+    def rows(self) -> list[tuple]:
+        return [(place, pair, *past[-1]) for place, (pair, past) in enumerate(self.past.items())]
+
+
+def _folded(kind: pa.DataType, name: str):
+    """Events sorted by journal and place in it -> what stands at each journal's end; of a journal only that is held."""
+    types = [kind, pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def batch(journal, standing: Standing) -> pa.RecordBatch:
+        rows = [(journal, *r) for r in standing.rows()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [name, "place", *RULING])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, standing = None, None
+        for events in batches:
+            for journal, _, *event in zip(*(c.to_pylist() for c in events.columns), strict=True):
+                if standing is None or journal != at:
+                    if standing is not None:
+                        yield batch(at, standing)
+                    at, standing = journal, Standing()
+                standing.take(*event)
+        if standing is not None:
+            yield batch(at, standing)
 
-def _step(state: Column, e: Column) -> Column:
-    """Standing rulings, last decided last. A ruling moves its pair to the end; an undo takes back the last pair's
-    latest ruling and leaves that pair, if an older ruling stands, at the end."""
-    same = F.filter(state, lambda x: x["pair_id"] == e["pair_id"])
-    rest = F.filter(state, lambda x: x["pair_id"] != e["pair_id"])
-    ruling = F.struct(e["ground_truth"].alias("ground_truth"), e["reason"].alias("reason"))
-    past = F.coalesce(F.get(same, F.lit(0))["history"], F.array().cast("array<struct<ground_truth:string,reason:string>>"))
-    ruled = F.concat(rest, F.array(F.struct(e["pair_id"].alias("pair_id"), F.concat(past, F.array(ruling)).alias("history"))))
-    last = F.get(state, F.size(state) - 1)
-    older = F.slice(last["history"], F.lit(1), F.greatest(F.size(last["history"]) - 1, F.lit(0)))
-    before = F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0)))
-    undone = F.when(F.size(state) == 0, state).when(F.size(older) == 0, before).otherwise(F.concat(before, F.array(F.struct(last["pair_id"].alias("pair_id"), older.alias("history")))))
-    return F.when((e["action"] == "rule") & e["pair_id"].isNotNull(), ruled).when(e["action"] == "undo", undone).otherwise(state).cast(STATE)
+    return run
 
 
 def replay(records: DataFrame, journal: str = "session") -> DataFrame:
     """(journal, seq, action, pair_id, ground_truth, reason) -> standing rulings: journal, place, pair_id, ground_truth, reason.
 
-    A journal is sequential, so it is folded whole; journals are independent and
-    run side by side. Only rulings and undos are gathered.
+    A journal is sequential, so its rulings and undos pass through one task, in order;
+    journals are independent and run side by side. Only rulings and undos move.
     """
-    e = records.where(F.col("action").isin("rule", "undo")).select(journal, F.struct("seq", "action", "pair_id", "ground_truth", "reason").cast(EVENT).alias("e"))
-    folded = e.groupBy(journal).agg(F.array_sort(F.collect_list("e")).alias("events"))
-    folded = folded.select(journal, F.aggregate("events", F.array().cast(STATE), _step).alias("state"))
-    out = folded.select(journal, F.posexplode("state").alias("place", "s"))
-    return out.select(journal, "place", "s.pair_id", F.element_at("s.history", -1).alias("r")).select(journal, "place", "pair_id", "r.ground_truth", "r.reason")
+    e = records.where(F.col("action").isin("rule", "undo")).select(journal, "seq", "action", *RULING)
+    key = T.StructType([e.schema[journal]])
+    schema = T.StructType([e.schema[journal], T.StructField("place", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in RULING]])
+    ordered = e.repartition(journal).sortWithinPartitions(journal, "seq", "action", *RULING)
+    return ordered.mapInArrow(_folded(to_arrow_schema(key).field(0).type, journal), schema)
 
 
 def notes(records: DataFrame, journal: str = "session") -> DataFrame:

@@ -10,16 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.journal import Standing
 from ..operators.tally import tally
+from ..sources.shared import shared_dir
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Read all that is there, then stop; the result as a table of the session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Read all that is there, then stop; the result as tables of the shared folder, batch by batch (complete: the last one)."""
+    folder, done = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{n}")
+        done.append(n)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
+    writer.option("checkpointLocation", checkpoint or f"{folder}/checkpoint").start().awaitTermination()
+    out = spark.createDataFrame([], stream.schema)
+    for n in done[-1:] if mode == "complete" else done:
+        out = out.union(spark.read.schema(stream.schema).parquet(f"{folder}/{n}"))
+    return out
 
 
 def stream_tally(votes: DataFrame, keys: tuple[str, ...] = ("backend", "pair_id")) -> DataFrame:
@@ -52,18 +61,11 @@ STANDING = "session string, place int, pair_id string, ground_truth string, reas
 
 def _replay(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Standing rulings of one journal after these records; state: [[pair, [[truth, reason], ...]], ...] as JSON."""
-    standing = json.loads(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for r in rows.itertuples(index=False):
-        if r.action == "rule" and r.pair_id is not None:
-            old = next((s for s in standing if s[0] == r.pair_id), [r.pair_id, []])
-            standing = [s for s in standing if s[0] != r.pair_id] + [[r.pair_id, [*old[1], [r.ground_truth, r.reason]]]]
-        elif r.action == "undo" and standing:
-            pair, past = standing.pop()
-            if past[:-1]:
-                standing.append([pair, past[:-1]])
-    state.update((json.dumps(standing),))
-    yield pd.DataFrame([(key[0], i, p, *h[-1]) for i, (p, h) in enumerate(standing)], columns=[c.split()[0] for c in STANDING.split(", ")])
+    standing = Standing(json.loads(state.get[0]) if state.exists else [])
+    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+        standing.take(r.action, r.pair_id, r.ground_truth, r.reason)
+    state.update((json.dumps(list(standing.past.items())),))
+    yield pd.DataFrame([(key[0], *r) for r in standing.rows()], columns=[c.split()[0] for c in STANDING.split(", ")])
 
 
 def stream_replay(records: DataFrame) -> DataFrame:
