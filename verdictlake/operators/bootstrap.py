@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .score import kappa_of
@@ -34,6 +36,26 @@ def kappa_statistic(values: list[tuple], counts: np.ndarray) -> float:
     return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else float((same - chance) / (1 - chance))
 
 
+def _drawn(seed: int, draws: int):
+    """(r, from, backends with their cells) -> backend, n, r and how many of these draws hit each label, and both alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r, begin, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                end = min(begin + draws, max(x["n"] for x in of))
+                digests = b"".join(hashlib.md5(f"{seed}|{r}|{q}".encode()).digest() for q in range(begin // 4, (end + 3) // 4))
+                numbers = np.frombuffer(digests, ">u4").astype(np.int64)
+                for x in of:
+                    n, a, b, d = x["n"], x["a"], x["b"], x["d"]
+                    below = [int((i < edge).sum()) for i in [numbers[: max(0, n - begin)] % n] for edge in (a, a + b, a + b + d, n)]
+                    rows.append((x["backend"], n, r, below[1], below[0] + below[2] - below[1], below[0] + below[3] - below[2]))
+            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["backend", "n", "r", "t", "p", "same"])
+
+    return run
+
+
 def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """(backend, truth, predicted) of two labels -> backend, lo, hi.
 
@@ -49,24 +71,13 @@ def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float =
     t, p = F.col("truth") == F.col("label"), F.col("predicted") == F.col("label")
     count = lambda x: F.coalesce(F.sum(F.when(x, F.col("c"))), F.lit(0).cast("long"))
     sizes = cells.groupBy("backend").agg(F.sum("c").alias("n"), count(t & p).alias("a"), count(t & ~p).alias("b"), count(~t & p).alias("d"))
-    rows = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
-    # few and small rows that become many: by number, so that they are not put together again
-    rows = rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "backend", "r", "from")
-    last = F.least(F.col("n"), F.col("from") + DRAWS) - 1
-    rows = rows.withColumn("j", F.explode(F.sequence("from", last, F.lit(4).cast("long"))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.floor(F.col("j") / 4).cast("string")))
-    rows = rows.withColumn("key", key)
-    draw = lambda s: F.when(F.col("j") + s < F.col("n"), F.conv(F.substring("key", 8 * s + 1, 8), 16, 10).cast("long") % F.col("n"))
-    rows = rows.select("backend", "n", "r", "a", "b", "d", *[draw(s).alias(f"i{s}") for s in range(4)])
-    a, ab, abd = F.col("a"), F.col("a") + F.col("b"), F.col("a") + F.col("b") + F.col("d")
-
-    def drawn(what: Callable[[Column], Column]) -> Column:
-        return F.sum(sum((F.coalesce(what(F.col(f"i{s}")).cast("int"), F.lit(0)) for s in range(4)), F.lit(0)))
-
-    sums = rows.groupBy("backend", "n", "r").agg(
-        drawn(lambda i: i < ab).alias("t"), drawn(lambda i: (i < a) | ((i >= ab) & (i < abd))).alias("p"), drawn(lambda i: (i < a) | (i >= abd)).alias("same")
-    )
+    # one row per backend goes along with each stretch of draws, so that the numbers are made once for all of them
+    rows = sizes.agg(F.max("n").alias("most"), F.collect_list(F.struct("backend", "n", "a", "b", "d")).alias("of")).where("most > 0")
+    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    rows = rows.select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1, F.lit(DRAWS).cast("long"))).alias("from"), "of")
+    # few and small rows that mean much work: by number, so that they are not put together again
+    rows = rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "from")
+    sums = rows.mapInArrow(_drawn(seed, DRAWS), "backend string, n long, r int, t long, p long, same long").groupBy("backend", "n", "r").agg(*[F.sum(c).alias(c) for c in ("t", "p", "same")])
     n = F.col("n")
     expected = (F.col("t") * F.col("p") + (n - F.col("t")) * (n - F.col("p"))) / (n * n)
     kappas = sums.select("backend", kappa_of(F.col("same") / n, expected).alias("kappa"))
