@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -435,6 +436,17 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_votes(v, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2 * len(EDGE)
+    # what is appended is read again, beside files of other backends
+    whole = v.limit(2).withColumns({"backend": F.lit("a/b 1"), "model_id": F.lit("m"), "prompt_version": F.lit("v3"), "run_index": F.lit(1).cast("long")})
+    folder = tmp_path / "results"
+    for _ in range(2):
+        sinks.append_votes(whole, str(folder))
+    (folder / "z.jsonl").write_text('{"pair_id": "p", "verdict": "approve", "reason": "ok", "model_id": "m", "prompt_version": "v3", "temperature": null}\n\n')
+    (folder / "empty.jsonl").write_text("")
+    assert [r.backend for r in readers.roster(spark, str(folder)).orderBy("backend").collect()] == ["a/b 1", "empty", "z"]
+    for strict in (True, False):
+        got = readers.read_votes(spark, str(folder), strict).collect()
+        assert Counter(r.backend for r in got) == {"a/b 1": 4, "z": 1} and {r.run_index for r in got if r.backend != "z"} == {1}
 
 
 def test_pair_lines_round_trip(spark, tmp_path):

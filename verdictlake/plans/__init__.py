@@ -1,0 +1 @@
+from . import catalog, file_queries  # noqa: F401  (both register queries)

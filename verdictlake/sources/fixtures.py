@@ -38,7 +38,7 @@ select cast(l_suppkey % 4 as string) as backend, cast(l_partkey as string) as pa
  case when l_returnflag <> 'R' then 'ok' when l_linestatus = 'O' then 'casing_error' else 'overcorrection' end as reason from lineitem
 """
 VIEWS = {"pairs": PAIRS, "votes": VOTES, "calls": CALLS, "roster": ROSTER, "line_votes": LINE_VOTES}
-TABLES = ("part", "events", "lineitem", "labels", "pages", "conversations", "orders", "customer")
+TABLES = ("part", "events", "lineitem", "labels", "pages", "conversations", "orders", "customer", "nation")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

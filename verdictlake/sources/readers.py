@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tomllib
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from ..operators.guards import GuardError
 from ..operators.ranking import placed, ranges
 from ..schema import JOURNAL, MANIFEST, PAIR, REASONS, VERDICT, VERDICT_KEYS
 
+#: Folders of a backend's votes begin so.
+PART = "backend="
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -24,11 +29,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def roster(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
-    """Backends by file stem, from a listing: files without rows count, and readers skip them."""
+def _listed(spark: SparkSession, folder: str, suffix: str) -> tuple[list[str], list[str]]:
+    """Backends that have a file of their own, and those that have a folder, as `append_votes` makes them."""
     fs, p = _fs(spark, folder)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName().endswith(suffix))
-    return spark.createDataFrame([(n.removesuffix(suffix),) for n in names], "backend string")
+    files, folders = [], []
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if s.isFile() and name.endswith(suffix):
+            files.append(name.removesuffix(suffix))
+        elif s.isDirectory() and name.startswith(PART):
+            folders.append(unquote(name.removeprefix(PART)))
+    return sorted(files), sorted(folders)
+
+
+def roster(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
+    """Backends by file stem or folder, from a listing: files without rows count, and readers skip them."""
+    files, folders = _listed(spark, folder, suffix)
+    return spark.createDataFrame([(n,) for n in sorted({*files, *folders})], "backend string")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -63,16 +80,24 @@ def strict_verdict(line: Column) -> Column:
 
 
 def read_votes(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """All results files of a folder; backend is the file's stem. Not strictly: keys that are not known are ignored, missing ones null."""
-    if not any(r for r in roster(spark, folder).take(1)):
-        empty = T.StructType([*VERDICT.fields, T.StructField("backend", T.StringType())])
-        return spark.createDataFrame([], empty).withColumn("cached_tokens", F.col("usage.cached_tokens"))
+    """All results of a folder: files, whose stem is the backend, and what `append_votes` wrote. Not strictly: keys that are not known are ignored, missing ones null."""
+    files, folders = _listed(spark, folder, ".jsonl")
+    schema = T.StructType([*VERDICT.fields, T.StructField("backend", T.StringType())])
+    plain = spark.read.schema(VERDICT).option("mode", "FAILFAST")
+    parts = []
+    if files:
+        beside = f"{folder}/*.jsonl"
+        source = spark.read.text(beside) if strict else plain.json(beside)
+        parts.append(source.withColumn("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "")))
+    if folders:
+        below = f"{folder}/{PART}*"
+        lines = spark.read.schema("value string, backend string").option("basePath", folder)
+        parts.append(lines.text(below) if strict else plain.schema(schema).option("basePath", folder).json(below))
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("cached_tokens", F.col("usage.cached_tokens"))
+    rows = reduce(DataFrame.unionByName, parts)
     if strict:
-        lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).select("value", F.col("_metadata.file_name").alias("file")).where(strip(F.col("value")) != "")
-        rows = lines.select(strict_verdict(F.col("value")).alias("v"), "file").select("v.*", "file")
-    else:
-        rows = spark.read.schema(VERDICT).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(folder).withColumn("file", F.col("_metadata.file_name"))
-    rows = rows.withColumn("backend", F.regexp_replace("file", r"\.jsonl$", "")).drop("file")
+        rows = rows.where(strip(F.col("value")) != "").select(strict_verdict(F.col("value")).alias("v"), "backend").select("v.*", "backend")
     return rows.withColumns({"run_index": F.coalesce("run_index", F.lit(0).cast("long")), "cached_tokens": F.col("usage.cached_tokens")})
 
 
@@ -95,7 +120,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """One row per `*.manifest.json`; what cannot be read is all null."""
-    if not roster(spark, folder, ".manifest.json").take(1):
+    if not _listed(spark, folder, ".manifest.json")[0]:
         return spark.createDataFrame([], MANIFEST)
     rows = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.manifest.json").json(folder)
     return rows.withColumn("backend", F.coalesce("backend", F.regexp_replace(F.col("_metadata.file_name"), r"\.manifest\.json$", "")))

@@ -9,8 +9,8 @@ from ..schema import VERDICT
 
 
 def append_votes(rows: DataFrame, folder: str) -> None:
-    """Verdict lines; a commit appears whole or not at all."""
-    rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in VERDICT.fields], "backend").write.mode("append").partitionBy("backend").option("ignoreNullFields", True).json(folder)
+    """Verdict lines; a commit appears whole or not at all. Nulls are spelled out: the strict reader asks for keys."""
+    rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in VERDICT.fields], "backend").write.mode("append").partitionBy("backend").option("ignoreNullFields", False).json(folder)
 
 
 def append_journal(records: DataFrame, folder: str, order: str = "seq") -> None:
