@@ -1 +1 @@
-from . import catalog, file_queries  # noqa: F401  (both register queries)
+from . import catalog, file_queries, report_queries  # noqa: F401  (they register queries)

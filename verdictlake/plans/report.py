@@ -15,11 +15,12 @@ DASH = "-"
 
 
 def number(x: float | None, digits: int = 3) -> str:
-    return DASH if x is None else f"{x:.{digits}f}"
+    """Rounded to six digits first, so that a sum's last bit, which depends on the order of rows, cannot show."""
+    return DASH if x is None else f"{round(x, 6):.{digits}f}"
 
 
 def seconds(x: float | None) -> str:
-    return DASH if x is None else f"{x:.2f}s"
+    return DASH if x is None else f"{number(x, 2)}s"
 
 
 def table(head: list[str], rows: list[list]) -> str:
