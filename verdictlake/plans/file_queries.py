@@ -13,6 +13,7 @@ from ..operators import agreement, caveats, guards, journal, manifest, records,
 from ..sources import judge, readers, sinks, slate
 from ..sources.fixtures import table, view
 from ..sources.shared import shared_dir
+from ..streaming import twins
 from .catalog import ORACLES, query, tallied
 
 
@@ -328,3 +329,13 @@ def journal_records(spark, sf_dir):
 def reason_keys(spark, sf_dir):
     rows = [(only, k, r) for only in (False, True) for k, r in records.reason_keys(only).items()]
     return spark.createDataFrame(rows, "reject_only boolean, key string, reason string")
+
+
+@query("select distinct backend, pair_id, run_index, verdict, reason from votes ")
+def stream_dedupe(spark, sf_dir):
+    """Every vote streamed twice is kept once."""
+    folder, votes = _folder(spark), view(spark, sf_dir, "votes").select("backend", "pair_id", F.col("run_index").cast("long").alias("run_index"), "verdict", "reason")
+    for _ in range(2):
+        votes.repartition(2).write.mode("append").json(folder)
+    stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 2).json(folder)
+    return twins.run_to_end(spark, twins.stream_dedupe(stream), "append").select(*votes.columns)

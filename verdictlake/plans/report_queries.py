@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import view
 from . import report
-from .catalog import ORACLES, query
+from .catalog import ORACLES, RETIRED, manifests, query
 
 LINES = "nth int, section string, place int, line string"
 
@@ -67,18 +67,39 @@ LEADERBOARD = {
     (3, "Not ranked"): f"select (-coverage, backend) as o, {row('backend', 'judged', number('coverage'))} as line from {SCORED} s where not ranked",
     (4, "Reasons"): f"select (backend, -pairs, true_reason, reason) as o, {row('backend', 'true_reason', 'reason', 'pairs')} as line from {of('reason_confusion')}",
 }
+#: What a report says of calls when manifests say it, and of reasons that are gone.
+FROM_MANIFESTS = {
+    (0, "Reliability"): SCENARIO[4, "Reliability"].replace(of("reliability_rows"), of("manifest_reliability")),
+    (0, "Replies that broke the contract"): SCENARIO[5, "Replies that broke the contract"].replace(of("reliability_rows"), of("manifest_reliability")),
+    (0, "Completion"): f"select backend as o, {row('backend', 'n_rows', '21', 'n_pairs', "coalesce(calls_failed || ' of ' || (calls_failed + calls_ok), '-')")} as line from {of('completion_with_health')}",
+    (0, "Hosts"): SCENARIO[13, "Hosts"],
+    (0, "Retired reasons"): f"select prompt_version as o, '- ' || prompt_version || ': ' || votes || ' votes of ' || backends as line from {of('retired_votes')}",
+}
+
+
+def _order(pairs: DataFrame) -> DataFrame:
+    first = pairs.agg(F.min("pos").alias("first"))  # positions of this file have no gaps
+    return pairs.join(F.broadcast(first)).select(F.col("id").alias("pair_id"), (F.col("pos") - F.col("first")).alias("rank"))
 
 
 @query()
 def scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the report without ground truth, in its order."""
-    pairs = view(spark, sf_dir, "pairs")
-    first = pairs.agg(F.min("pos").alias("first"))  # positions of this file have no gaps
-    order = pairs.join(F.broadcast(first)).select(F.col("id").alias("pair_id"), (F.col("pos") - F.col("first")).alias("rank"))
+    order = _order(view(spark, sf_dir, "pairs"))
     text = report.scenario(view(spark, sf_dir, "votes"), view(spark, sf_dir, "roster"), view(spark, sf_dir, "calls"), order, "s1")
     return spark.createDataFrame(lines(text), LINES)
 
 
+@query()
+def scenario_from_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those sections of the report that manifests and retired reasons change; the run had seven pairs."""
+    votes = view(spark, sf_dir, "votes").withColumns({"reason": F.expr(RETIRED), "prompt_version": F.concat(F.lit("v"), F.col("run_index").cast("string"))})
+    held = manifests(spark, sf_dir).withColumn("n_pairs", F.lit(7).cast("long"))
+    text = report.scenario(votes, view(spark, sf_dir, "roster"), None, _order(view(spark, sf_dir, "pairs")), "s1", manifests=held)
+    wanted = {title for _, title in FROM_MANIFESTS}
+    return spark.createDataFrame([(0, *x[1:]) for x in lines(text) if x[1] in wanted], LINES)
+
+
 @query()
 def leaderboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the leaderboard, in its order; of its first table without tiers, intervals and spread (see separability_tiers, kappa_spread)."""
@@ -94,3 +115,4 @@ def leaderboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["scenario_report"] = sections(SCENARIO)
 ORACLES["leaderboard_report"] = sections(LEADERBOARD)
+ORACLES["scenario_from_manifests"] = sections(FROM_MANIFESTS)
