@@ -31,15 +31,24 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     Cuts the lineage in a way that outlives any executor, and gives the
     optimizer the true size, so that it broadcasts only what is small.
+    With `free`, the shuffle files of the write go as soon as it has ended.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -4,15 +4,16 @@ Super-k-mer partitioning: a window of `window` words has `window - mer + 1` runs
 `mer` words, and the least of their hashes is its minimiser. Equal windows have equal
 minimisers, so a minimiser is the key by which windows meet; consecutive windows that
 share one travel as one packed string (their words, each sent once) rather than as so
-many windows. In a minimiser's bucket the windows are sorted, compared word by word,
-and each one's least doc_id is found; the other documents' windows are repeats.
+many windows; the strings of a stretch of the input that go to one bucket are compressed
+together. In a bucket the windows are sorted, compared word by word, and each one's
+least doc_id is found; the other documents' windows are repeats.
 
 Minimisers with very many strings (a line or a passage that a third of all documents
-have) are counted first and spread over salts, and a bucket is worked off in pieces of
-bounded size. Windows whose minimiser lies in several places stay open there: only the
-first document's window of each piece goes on to one more aggregation, by the window
-itself, which settles it exactly. So neither a bucket nor a salt has to fit in memory,
-and no result depends on the bounds.
+have) are counted first and spread over salts, and a bucket that is too large is worked
+off in pieces of bounded size. Windows that may lie in several salts or pieces stay open
+there: only the first document's window of each goes on to one more aggregation, by the
+window itself, which settles it exactly. So neither a bucket nor a salt has to fit in
+memory, and no result depends on the bounds.
 
 Defined results: a null text has no words; a null doc_id counts as larger than all
 others, and nulls as equal; rows that repeat a doc_id are one document when they are
@@ -32,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_keys, in_arrow, save, text_or_empty
+from .common import in_arrow, save, text_or_empty
 from .exact_dedup import repeated_fingerprints
 from .suffix_dedup import Hashes, _slide, mixed
 
 WINDOW, MER = 13, 3
-#: Bytes of text that are cut together, windows of a longer text cut at once, and bytes of strings sorted together.
-CHUNK, PIECE, SORTED = 1 << 20, 1 << 16, 1 << 23
+#: Bytes of text that are cut together, windows of a longer text cut at once, bytes of strings packed together, and most bytes sorted together.
+CHUNK, PIECE, FLUSH, SORTED = 1 << 20, 1 << 16, 1 << 25, 1 << 25
+#: Buckets are a power of two, by the size of the input as it is stored.
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 1 << 21, 6, 24
 #: Minimisers of more strings than HOT_ROWS are spread over SALTS; at most HOT_KEYS of them, those with most, so that they can be broadcast.
 HOT_ROWS, HOT_KEYS, SALTS = 2000, 50_000, 64
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
-_KEYS = "id long, none boolean, h long"
+_KEYS = "id long, none boolean, h int"
 
 
 def normalised(text: bytes, chunk: int = CHUNK) -> bytes:
@@ -139,15 +142,59 @@ def _minimisers(*how):
     return go
 
 
-def _strings(*how):
-    """(id, none, h, text) -> super-k-mers."""
+def _pack(keys: tuple[np.ndarray, ...], row: np.ndarray, first: np.ndarray, packed: list[bytes]) -> bytes:
+    """Super-k-mers of one bucket, compressed: the documents they come from, then document, first word and words of each."""
+    docs, of = np.unique(row, return_inverse=True)
+    head = np.array([docs.size, row.size], "<u4").tobytes()
+    columns = [k[docs].tobytes() for k in keys] + [of.astype("<u4").tobytes(), first.astype("<u4").tobytes()]
+    raw = b"".join([head, *columns, b"\n".join(packed)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n_docs, n = np.frombuffer(raw, "<u4", 2).tolist()
+    at, columns = 8, []
+    for kind, size in (("<i8", n_docs), ("?", n_docs), ("<i4", n_docs), ("<u4", n), ("<u4", n)):
+        columns.append(np.frombuffer(raw, kind, size, at))
+        at += columns[-1].nbytes
+    id_, none, h, of, first = columns
+    return id_[of], none[of], h[of], first.astype(np.int64), raw[at:].split(b"\n")
+
+
+def _strings(window: int, mer: int, hot: np.ndarray, buckets: int):
+    """(id, none, h, text) -> super-k-mers, those of one bucket and a stretch of the input together; the strings of hot minimisers are dealt over SALTS."""
+
+    def blobs(held: list[tuple]) -> pa.RecordBatch:
+        sizes = np.cumsum([0] + [t[0][0].size for t in held])
+        keys = tuple(np.concatenate([t[0][k] for t in held]) for k in range(3))
+        row = np.concatenate([t[1] + n for t, n in zip(held, sizes[:-1], strict=True)])
+        first, least = (np.concatenate([t[k] for t in held]) for k in (2, 3))
+        packed = [p for t in held for p in t[4]]
+        is_hot = np.isin(least, hot)
+        salt = np.where(is_hot, mixed(keys[0][row].view(np.uint64) ^ first.astype(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+        bucket = (mixed(least + salt) % np.uint64(buckets)).astype(np.int64) * 2 + is_hot
+        order = np.lexsort((least, bucket))  # like strings lie together
+        edges = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist(), order.size]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            i = order[a:b]
+            out.append(_pack(keys, row[i], first[i], [packed[k] for k in i.tolist()]))
+        at = order[np.array(edges[:-1], np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at] // 2), pa.array(is_hot[at]), pa.array(out, pa.binary())], ["bucket", "hot", "strings"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(*how)
+        cutter, held, size = Cutter(window, mer), [], 0
         for batch in batches:
+            keys = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             for row, first, least, packed in cutter(_texts(batch.column(3))):
-                keys = batch.select([0, 1, 2]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(first), pa.array(least.view(np.int64)), pa.array(packed, pa.binary())], ["id", "none", "h", "first", "least", "packed"])
+                held.append((keys, row, first, least, packed))
+                size += sum(map(len, packed))
+                if size >= FLUSH:
+                    yield blobs(held)
+                    held, size = [], 0
+        if held:
+            yield blobs(held)
 
     return go
 
@@ -180,13 +227,13 @@ def _classes(words: np.ndarray, at: np.ndarray, window: int, hashes: Hashes) ->
     return at, new
 
 
-def _repeats(window: int, least_bytes: int):
-    """Super-k-mers sorted by minimiser -> spans of repeated words (a, b), and open windows (a, b, their words)."""
+def _repeats(window: int, most_bytes: int):
+    """Super-k-mers sorted by bucket -> spans of repeated words (a, b), and open windows (a, b, their words)."""
 
-    def work(rows: pa.Table, spanning: int | None, hashes: Hashes) -> Iterator[pa.RecordBatch]:
-        ids, none, h, first, least, hot, packed = (c.combine_chunks() for c in rows.columns)
-        ids, none, first, least, hot = (c.to_numpy(zero_copy_only=False) for c in (ids, none, first, least, hot))
-        parts = packed.to_pylist()
+    def work(blobs: list[bytes], settled: bool, hashes: Hashes) -> Iterator[pa.RecordBatch]:
+        ids, none, h, first, packed = zip(*map(_unpack, blobs), strict=True)
+        ids, none, h, first = map(np.concatenate, (ids, none, h, first))
+        parts = [p for part in packed for p in part]
         raw = b" ".join(parts) + b" "
         start = np.r_[0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1]
         text = pa.Array.from_buffers(pa.large_binary(), start.size - 1, [None, pa.py_buffer(start.astype(np.int64).tobytes()), pa.py_buffer(raw)])
@@ -195,9 +242,10 @@ def _repeats(window: int, least_bytes: int):
         count = np.diff(at) - window + 1
         row = np.repeat(np.arange(count.size), count)
         place = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)  # of the window in its string
-        by_id = np.lexsort((ids, none))
+        known = np.where(none, 0, ids)
+        by_id = np.lexsort((known, none))
         rank = np.empty(ids.size, np.int64)
-        rank[by_id] = np.cumsum(np.r_[0, (ids[by_id[1:]] != ids[by_id[:-1]]) | (none[by_id[1:]] != none[by_id[:-1]])])
+        rank[by_id] = np.cumsum(np.r_[0, (known[by_id[1:]] != known[by_id[:-1]]) | (none[by_id[1:]] != none[by_id[:-1]])])
         number = np.full(words.size, -1, np.int64)  # of the window that starts at a word
         number[at[row] + place] = np.arange(row.size)
         sorted_at, new = _classes(words, at[row] + place, window, hashes)
@@ -208,7 +256,7 @@ def _repeats(window: int, least_bytes: int):
         repeat[of] = rank[row[of]] > earliest
 
         def out(i: np.ndarray, a: np.ndarray, b: np.ndarray, texts: list[bytes] | None) -> pa.RecordBatch:
-            cols = [pa.array(ids[i]), pa.array(none[i]), h.take(pa.array(i)), pa.array(a), pa.array(b), pa.array(texts, pa.binary()) if texts is not None else pa.nulls(i.size, pa.binary())]
+            cols = [pa.array(ids[i]), pa.array(none[i]), pa.array(h[i]), pa.array(a), pa.array(b), pa.array(texts, pa.binary()) if texts is not None else pa.nulls(i.size, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["id", "none", "h", "a", "b", "words"])
 
         hit = np.flatnonzero(repeat)
@@ -216,8 +264,7 @@ def _repeats(window: int, least_bytes: int):
             cut = np.r_[True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]
             x, y = hit[cut], hit[np.r_[np.flatnonzero(cut)[1:] - 1, hit.size - 1]]
             yield out(row[x], first[row[x]] + place[x], first[row[x]] + place[y] + window, None)
-        unsettled = hot if spanning is None else hot | (least == spanning)
-        left = np.flatnonzero(~repeat & unsettled[row])
+        left = np.flatnonzero(~repeat) if not settled else hit[:0]
         for k in range(0, left.size, 1 << 16):
             i = left[k : k + (1 << 16)]
             w = at[row[i]] + place[i]
@@ -225,22 +272,20 @@ def _repeats(window: int, least_bytes: int):
             yield out(row[i], first[row[i]] + place[i], first[row[i]] + place[i] + window, texts)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, spanning, hashes = 0, None, Hashes()
+        at, held, size, settled, hashes = None, [], 0, True, Hashes()
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= least_bytes:
-                rows = pa.Table.from_batches(held)
-                keys = rows.column("least").to_numpy()
-                end = int(np.searchsorted(keys, keys[-1]))  # the last minimiser may go on
-                if end == 0:  # all are of one: it is worked off in pieces
-                    spanning, end = int(keys[-1]), keys.size
-                yield from work(rows.slice(0, end), spanning, hashes)
-                held = rows.slice(end).to_batches()
-                size = sum(b.nbytes for b in held)
-        if held and sum(b.num_rows for b in held):
-            yield from work(pa.Table.from_batches(held), spanning, hashes)
+            for bucket, hot, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part, more = (bucket, hot), int.from_bytes(blob[:8], "little")
+                if part != at or size + more > most_bytes:
+                    settled &= part != at  # else the bucket goes on
+                    if held:
+                        yield from work(held, settled, hashes)
+                    settled = not hot if part != at else False
+                    at, held, size = part, [], 0
+                held.append(blob)
+                size += more
+        if held:
+            yield from work(held, settled, hashes)
 
     return go
 
@@ -273,29 +318,45 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_words(d: DataFrame, window: int = WINDOW, mer: int = MER, hot_rows: int = HOT_ROWS, sorted_bytes: int = SORTED) -> DataFrame:
+def buckets_for(docs: DataFrame) -> int:
+    """From the optimizer's estimate of the input's size, which costs no job; a wrong one only costs time."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 62
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_BUCKET).bit_length() if known else 0))
+
+
+def repeated_words(d: DataFrame, window: int = WINDOW, mer: int = MER, hot_rows: int = HOT_ROWS, sorted_bytes: int = SORTED, buckets: int | None = None) -> DataFrame:
     """(id, none, h, text) -> (id, none, h, spans): spans (a, b) of words that lie in windows an earlier document has."""
     if not 0 < mer <= window:
         raise ValueError("a minimiser has at least one word, and not more than a window")
+    buckets = buckets or buckets_for(d)
     long = d.where(F.octet_length("text") >= 2 * window - 1)
     often = repeated_fingerprints(in_arrow(long.select("text"), _minimisers(window, mer), "least long"), least=hot_rows + 1)
-    hot = save(often.orderBy(F.desc("n")).limit(HOT_KEYS).select(F.col("fp").alias("least"), F.lit(True).alias("hot")), "skm-hot")
-    strings = in_arrow(long, _strings(window, mer), f"{_KEYS}, first long, least long, packed binary")
-    strings = strings.join(F.broadcast(hot), "least", "left").select("id", "none", "h", "first", "least", F.coalesce("hot", F.lit(False)).alias("hot"), "packed")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "h", "first"), F.lit(SALTS))).otherwise(0)
-    met = strings.repartition("least", salt).sortWithinPartitions("least")
-    found = save(in_arrow(met, _repeats(window, sorted_bytes), f"{_KEYS}, a long, b long, words binary"), "skm-found")
+    often = save(often, "skm-often", free=True).orderBy(F.desc("n")).limit(HOT_KEYS)
+    hot = np.sort(np.array([r.fp for r in often.select("fp").collect()], np.int64)).view(np.uint64)  # at most HOT_KEYS
+    strings = in_arrow(long, _strings(window, mer, hot, buckets), "bucket long, hot boolean, strings binary")
+    met = strings.repartition("bucket", "hot").sortWithinPartitions("bucket", "hot")
+    found = save(in_arrow(met, _repeats(window, sorted_bytes), f"{_KEYS}, a long, b long, words binary"), "skm-found", free=True)
     open_ = found.where("words is not null")
-    earliest = open_.groupBy("words").agg(F.min(F.struct("none", "id")).alias("earliest"), F.max(F.struct("none", "id")).alias("latest")).where("latest > earliest")
-    later = open_.join(earliest, "words").where(F.struct("none", "id") > F.col("earliest")).select("id", "none", "h", "a", "b")
+    known = F.struct("none", F.when(~F.col("none"), F.col("id")).alias("id"))
+    earliest = open_.groupBy("words").agg(F.min(known).alias("earliest"), F.max(known).alias("latest")).where("latest > earliest")
+    later = open_.join(earliest, "words").where(known > F.col("earliest")).select("id", "none", "h", "a", "b")
     spans = found.where("words is null").select("id", "none", "h", "a", "b").union(later).distinct()
     return spans.groupBy("id", "none", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def super_kmer_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_rows: int = HOT_ROWS, sorted_bytes: int = SORTED) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, none, h, text): rows are told apart by doc_id and 32 bits of the text's hash, those without doc_id by 96 bits."""
+    text = docs.select("doc_id", text_or_empty().alias("text"))
+    none = F.col("doc_id").isNull()
+    id_ = F.when(none, F.xxhash64(F.lit("none"), "text")).otherwise(F.col("doc_id").cast("long"))
+    return text.select("doc_id", id_.alias("id"), none.alias("none"), F.hash("text").alias("h"), "text")
+
+
+def super_kmer_dedup(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_rows: int = HOT_ROWS, sorted_bytes: int = SORTED, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    d = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", *id_keys(), F.xxhash64("text").alias("h"), "text")
-    spans = save(repeated_words(d.drop("doc_id"), window, mer, hot_rows, sorted_bytes), "skm-spans")
+    d = _keyed(docs)
+    spans = save(repeated_words(d.drop("doc_id"), window, mer, hot_rows, sorted_bytes, buckets), "skm-spans", free=True)
     rows = d.join(spans, ["id", "none", "h"], "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return in_arrow(rows, _kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
