@@ -39,9 +39,9 @@ from .suffix_dedup import Hashes, _slide, mixed
 
 WINDOW, MER = 13, 3
 #: Bytes of text that are cut together, windows of a longer text cut at once, bytes of strings packed together, and most bytes sorted together.
-CHUNK, PIECE, FLUSH, SORTED = 1 << 20, 1 << 16, 1 << 25, 1 << 25
+CHUNK, PIECE, FLUSH, SORTED = 1 << 20, 1 << 16, 1 << 25, 3 << 22
 #: Buckets are a power of two, by the size of the input as it is stored.
-BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 1 << 21, 6, 24
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 1 << 20, 6, 24
 #: Minimisers of more strings than HOT_ROWS are spread over SALTS; at most HOT_KEYS of them, those with most, so that they can be broadcast.
 HOT_ROWS, HOT_KEYS, SALTS = 2000, 50_000, 64
 
