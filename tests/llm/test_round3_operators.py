@@ -85,9 +85,9 @@ def test_long_texts_are_cut_alike():
     found = []
     for piece in (64, 1 << 20):
         cutter, windows = super_kmer_dedup.Cutter(13, 3, chunk=500, piece=piece), []
-        for _, first, _, packed in cutter([text]):
-            for a, p in zip(first.tolist(), packed):
-                w = p.split()
+        for _, first, _, begin, end, raw in cutter([text]):
+            for a, x, y in zip(first.tolist(), begin.tolist(), end.tolist()):
+                w = raw[x:y].split()
                 windows += [(a + k, tuple(w[k : k + 13])) for k in range(len(w) - 12)]
         found.append(sorted(windows))
     assert found[0] == found[1]

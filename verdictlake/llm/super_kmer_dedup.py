@@ -39,9 +39,9 @@ from .suffix_dedup import Hashes, _slide, mixed
 
 WINDOW, MER = 13, 3
 #: Bytes of text that are cut together, windows of a longer text cut at once, bytes of strings packed together, and most bytes sorted together.
-CHUNK, PIECE, FLUSH, SORTED = 1 << 20, 1 << 16, 1 << 25, 3 << 22
+CHUNK, PIECE, FLUSH, SORTED = 1 << 19, 1 << 16, 1 << 25, 1 << 23
 #: Buckets are a power of two, by the size of the input as it is stored.
-BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 1 << 20, 6, 24
+BYTES_A_BUCKET, LEAST_BITS, MOST_BITS = 1 << 19, 6, 24
 #: Minimisers of more strings than HOT_ROWS are spread over SALTS; at most HOT_KEYS of them, those with most, so that they can be broadcast.
 HOT_ROWS, HOT_KEYS, SALTS = 2000, 50_000, 64
 
@@ -104,7 +104,7 @@ class Cutter:
             yield held
 
     def __call__(self, texts: list[bytes], strings: bool = True) -> Iterator[tuple]:
-        """(text number, first word, minimiser, packed words) of each super-k-mer, or minimisers alone."""
+        """(text number, first word, minimiser, begin, end) of each super-k-mer and the words they lie in, or minimisers alone."""
         for group in self._pieces(texts):
             raw = b" ".join(g[2] for g in group)
             data = np.frombuffer(raw, np.uint8)
@@ -124,8 +124,7 @@ class Cutter:
                 continue
             of = piece[first]
             offset = np.array([g[1] for g in group])
-            packed = [raw[a:b] for a, b in zip(start[first].tolist(), end[last + self.window - 1].tolist(), strict=True)]
-            yield np.array([g[0] for g in group])[of], first - at[of] + offset[of], least[first], packed
+            yield np.array([g[0] for g in group])[of], first - at[of] + offset[of], least[first], start[first], end[last + self.window - 1], raw
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -170,7 +169,9 @@ def _strings(window: int, mer: int, hot: np.ndarray, buckets: int):
         keys = tuple(np.concatenate([t[0][k] for t in held]) for k in range(3))
         row = np.concatenate([t[1] + n for t, n in zip(held, sizes[:-1], strict=True)])
         first, least = (np.concatenate([t[k] for t in held]) for k in (2, 3))
-        packed = [p for t in held for p in t[4]]
+        raw = b"".join(t[6] for t in held)
+        shift = np.cumsum([0] + [len(t[6]) for t in held])
+        begin, end = (np.concatenate([t[k] + n for t, n in zip(held, shift[:-1], strict=True)]) for k in (4, 5))
         is_hot = np.isin(least, hot)
         salt = np.where(is_hot, mixed(keys[0][row].view(np.uint64) ^ first.astype(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
         bucket = (mixed(least + salt) % np.uint64(buckets)).astype(np.int64) * 2 + is_hot
@@ -179,7 +180,7 @@ def _strings(window: int, mer: int, hot: np.ndarray, buckets: int):
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             i = order[a:b]
-            out.append(_pack(keys, row[i], first[i], [packed[k] for k in i.tolist()]))
+            out.append(_pack(keys, row[i], first[i], [raw[x:y] for x, y in zip(begin[i].tolist(), end[i].tolist(), strict=True)]))
         at = order[np.array(edges[:-1], np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[at] // 2), pa.array(is_hot[at]), pa.array(out, pa.binary())], ["bucket", "hot", "strings"])
 
@@ -187,9 +188,9 @@ def _strings(window: int, mer: int, hot: np.ndarray, buckets: int):
         cutter, held, size = Cutter(window, mer), [], 0
         for batch in batches:
             keys = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for row, first, least, packed in cutter(_texts(batch.column(3))):
-                held.append((keys, row, first, least, packed))
-                size += sum(map(len, packed))
+            for found in cutter(_texts(batch.column(3))):
+                held.append((keys, *found))
+                size += int((found[4] - found[3]).sum())
                 if size >= FLUSH:
                     yield blobs(held)
                     held, size = [], 0
