@@ -4,6 +4,9 @@ import hashlib
 import itertools
 import random
 from collections import Counter
+from fractions import Fraction
+from itertools import accumulate
+from math import comb
 
 import duckdb
 import numpy as np
@@ -65,24 +68,67 @@ def test_words_of_the_twister_are_randrange(n):
     assert got.tolist() == [draw.randrange(n) for _ in range(got.size)]
 
 
-def test_bootstraps_take_every_judged_pair_and_1000_resamples(spark, sf, monkeypatch):
+def plain_resamples(counts, resamples, seed=20260806):
+    """Multinomial numbers of the counts, value by value and bit by bit, from tables of exact binomials."""
+    n, out = sum(counts), []
+    tables = {}
+    for r in range(resamples):
+        left, of, drawn = n, n, []
+        for k, c in enumerate(counts, 1):
+            x = 0
+            for j in range(n.bit_length()):
+                u = int(hashlib.md5(f"{seed}|{r}|{k}|{j}".encode()).hexdigest()[:13], 16) / 2**52
+                if (k, j) not in tables:
+                    p = Fraction(c, of)
+                    pmf = [comb(1 << j, x) * p**x * (1 - p) ** ((1 << j) - x) for x in range((1 << j) + 1)]
+                    tables[k, j] = [float(v) for v in accumulate(pmf)]
+                if left >> j & 1:
+                    x += sum(edge <= u for edge in tables[k, j][:-1])
+            drawn.append(x)
+            left, of = left - x, of - c
+        out.append(drawn)
+    return out
+
+
+def test_resamples_are_those_of_exact_tables(spark):
+    """Against binomials in fractions; also where one value is all there is."""
+    counts = {"a": [3, 40, 1, 60], "b": [5], "c": [1, 1]}
+    items = spark.createDataFrame([(b, x) for b, cs in counts.items() for x, c in enumerate(cs) for _ in range(c)], "backend string, x int").repartition(3)
+    rows = catalog.bootstrap.resampled(items, ["x"], 60).collect()
+    for b, cs in counts.items():
+        got = {r.r: list(r.drawn) for r in rows if r.backend == b}
+        assert [got[r] for r in range(60)] == plain_resamples(cs, 60)
+    assert all(sum(r.drawn) == r.n for r in rows)
+
+
+def test_resamples_are_multinomial(spark):
+    """Means and spreads of 3,000 resamples of a million items, of which 20 are of one value."""
+    counts = np.array([20, 300_000, 699_980])
+    items = spark.range(int(counts.sum())).select(F.lit("a").alias("backend"), F.when(F.col("id") < 20, 0).when(F.col("id") < 300_020, 1).otherwise(2).alias("x"))
+    drawn = np.array([r.drawn for r in catalog.bootstrap.resampled(items, ["x"], 3000, seed=3).collect()])
+    n, p = counts.sum(), counts / counts.sum()
+    assert (drawn.sum(axis=1) == n).all()
+    assert np.abs(drawn.mean(axis=0) - counts).max() < 4 * np.sqrt(n * p * (1 - p) / 3000).max()
+    assert drawn.var(axis=0) == pytest.approx(n * p * (1 - p), rel=0.12)
+    assert np.corrcoef(drawn[:, 1], drawn[:, 2])[0, 1] == pytest.approx(-1, abs=0.01)
+
+
+def test_bootstraps_take_every_judged_pair_and_1000_resamples(spark, sf):
     judged = catalog.QUERIES["score_models"](spark, sf).where("n > 0").collect()
     items = catalog.items(spark, sf).collect()
     assert {r.backend: r.n for r in judged} == Counter(r.backend for r in items)
     assert catalog.items(spark, "/root/testdata/sf0.01").where("pos >= 200").count() > 0
-    want, cells = {}, [("approve", "approve"), ("approve", "reject"), ("reject", "approve"), ("reject", "reject")]
-    for b in ("m0", "m3"):
-        data = sorted(((r.truth, r.predicted) for r in items if r.backend == b), key=cells.index)
-        n, seed = len(data), 20260806
-        draw = lambda r, j, n=n: int(hashlib.md5(f"{seed}|{r}|{j // 4}".encode()).hexdigest()[8 * (j % 4) :][:8], 16) % n
-        found = sorted(plain_kappa([data[draw(r, j)] for j in range(n)]) for r in range(1000))
-        want[b] = (found[25], found[975])
-    for name in ("bootstrap_kappa_ci", "separability_tiers"):
-        got = {r.backend: (r.lo, r.hi) for r in catalog.QUERIES[name](spark, sf).collect()}
-        for b, ends in want.items():
-            assert got[b] == pytest.approx(ends, abs=1e-6)
-    monkeypatch.setattr(catalog.bootstrap, "DRAWS", 32)
-    assert {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_kappa_ci"](spark, sf).collect()} == got
+    got = {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_kappa_ci"](spark, sf).collect()}
+    exact = {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["bootstrap_exact_ci"](spark, sf).collect()}
+    assert got.keys() == exact.keys()
+    for b, ends in exact.items():
+        assert got[b] == pytest.approx(ends, abs=0.15 * (ends[1] - ends[0]) + 1e-9)
+    known = [("approve", "approve"), ("approve", "reject"), ("reject", "approve"), ("reject", "reject")]
+    data = Counter((r.truth, r.predicted) for r in items if r.backend == "m0")
+    cells = [c for c in known if data[c]]
+    found = sorted(plain_kappa([c for c, k in zip(cells, drawn) for _ in range(k)]) for drawn in plain_resamples([data[c] for c in cells], 1000))
+    assert got["m0"] == pytest.approx((found[25], found[975]), abs=1e-6)
+    assert {r.backend: (r.lo, r.hi) for r in catalog.QUERIES["separability_tiers"](spark, sf).collect()} == got
 
 
 def test_bootstrap_of_any_statistic(spark):

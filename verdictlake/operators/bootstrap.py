@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .score import kappa_of
 
 SEED, RESAMPLES, ALPHA = 20260806, 1000, 0.05
-#: Draws that one row makes.
-DRAWS = 65_536
+#: Standard deviations on either side that a table of a binomial holds, and numbers beyond them; what is left out has a chance below 1e-18.
+REACH, LEAST_HALF = 9.5, 40
 #: (distinct values, how often each was drawn) -> a number
 Statistic = Callable[[list[tuple], np.ndarray], float]
 
@@ -36,54 +35,73 @@ def kappa_statistic(values: list[tuple], counts: np.ndarray) -> float:
     return (1.0 if same == 1.0 else 0.0) if chance == 1.0 else float((same - chance) / (1 - chance))
 
 
-def _drawn(seed: int, draws: int):
-    """(r, from, backends with their cells) -> backend, n, r and how many of these draws hit each label, and both alike."""
+def accuracy_statistic(values: list[tuple], counts: np.ndarray) -> float:
+    return float(sum(c for (t, p), c in zip(values, counts) if t == p) / counts.sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r, begin, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                end = min(begin + draws, max(x["n"] for x in of))
-                digests = b"".join(hashlib.md5(f"{seed}|{r}|{q}".encode()).digest() for q in range(begin // 4, (end + 3) // 4))
-                numbers = np.frombuffer(digests, ">u4").astype(np.int64)
-                for x in of:
-                    n, a, b, d = x["n"], x["a"], x["b"], x["d"]
-                    below = [int((i < edge).sum()) for i in [numbers[: max(0, n - begin)] % n] for edge in (a, a + b, a + b + d, n)]
-                    rows.append((x["backend"], n, r, below[1], below[0] + below[2] - below[1], below[0] + below[3] - below[2]))
-            kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["backend", "n", "r", "t", "p", "same"])
 
-    return run
+def resampled(items: DataFrame, values: list[str], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """How often n draws with replacement hit each distinct value -> backend, n, r, known (structs of `values`, in their order), drawn (as many longs).
 
+    The numbers are multinomial, drawn value by value: of the m draws that are left, the
+    next value takes a binomial number. A binomial of m is the sum of one of 2^j for each
+    bit j of m, so each value needs a table of the distribution for each power of two,
+    whatever is left in a resample, and all draws are made at once: the number of table
+    edges at or below a uniform number, which is 52 bits of md5(seed|r|value's place|j).
+    Any engine repeats it, in any order. Items are counted first and never move; tables
+    hold REACH standard deviations, so the cost grows with the root of n.
+    """
+    by = Window.partitionBy("backend")
+    in_order = by.orderBy(*[F.asc_nulls_first(v) for v in values])
+    cells = items.groupBy("backend", *values).agg(F.count("*").alias("c"))
+    cells = cells.select("backend", F.struct(*values).alias("value"), F.row_number().over(in_order).alias("k"), "c", F.sum("c").over(by).alias("n"), F.sum("c").over(in_order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("left"))
+    cells = cells.withColumn("share", F.col("c") / F.col("left"))
+    powers = cells.select("backend", "k", "n", "share", (F.col("c") == F.col("left")).alias("rest"), F.posexplode(F.array(*[F.lit(1 << j).cast("long") for j in range(62)])).alias("j", "m")).where("m <= n")
+    half = F.ceil(REACH * F.sqrt(F.col("m") * F.col("share") * (1 - F.col("share")))) + LEAST_HALF
+    middle = F.floor(F.col("m") * F.col("share"))
+    powers = powers.withColumns({"low": F.when(F.col("rest"), F.col("m")).otherwise(F.greatest(F.lit(0).cast("long"), middle - half)), "high": F.least("m", middle + half)})
+    one = ["backend", "k", "j"]
+    table = Window.partitionBy(*one)
+    up_to = table.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = powers.where("not rest").withColumn("x", F.explode(F.sequence("low", "high")))
+    step = F.when(F.col("x") == F.col("low"), 0.0).otherwise(F.ln((F.col("m") - F.col("x") + 1) / F.col("x") * (F.col("share") / (1 - F.col("share")))))
+    edges = edges.withColumn("w", F.sum(step).over(up_to)).withColumn("w", F.exp(F.col("w") - F.max("w").over(table)))
+    edges = edges.withColumn("at", F.sum("w").over(up_to) / F.sum("w").over(table)).where("x < high")
+    draws = powers.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "k", "j").cast("binary")), 1, 13)
+    draws = draws.select(*one, (F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))).alias("at"), "r", "low")
+    # edges and draws in one order: no draw is compared with a whole table
+    both = edges.select(*one, "at", F.lit(None).cast("int").alias("r"), F.lit(None).cast("long").alias("low")).union(draws)
+    below = F.count(F.when(F.col("r").isNull(), 1)).over(table.orderBy("at", F.asc_nulls_first("r")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hits = both.withColumn("x", F.col("low") + below).where("r is not null")
+    by_power = F.sort_array(F.collect_list(F.struct("j", "x")))
+    by_value = hits.groupBy("backend", "r", "k").agg(F.transform(by_power, lambda h: h["x"]).alias("powers"))
+    known = cells.groupBy("backend", "n").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("known"))
+    rows = by_value.groupBy("backend", "r").agg(F.sort_array(F.collect_list(F.struct("k", "powers"))).alias("powers")).join(known, "backend")
+    drawn = """aggregate(powers, struct(n as m, cast(array() as array<bigint>) as out), (a, v) -> transform(array(
+      aggregate(zip_with(v.powers, sequence(0, size(v.powers) - 1), (x, j) -> x * (shiftright(a.m, j) & 1)), 0L, (s, x) -> s + x)), x -> struct(a.m - x as m, concat(a.out, array(x)) as out))[0], a -> a.out)"""
+    return rows.select("backend", "n", "r", F.transform("known", lambda v: v["value"]).alias("known"), F.expr(drawn).alias("drawn"))
+
+
+def _ends_of(found: DataFrame, resamples: int, alpha: float) -> DataFrame:
+    """(backend, statistic) -> backend, lo, hi: as many numbers a backend as resamples."""
+    lo, hi = ends(resamples, alpha)
+    held = found.groupBy("backend").agg(F.sort_array(F.collect_list("statistic")).alias("s"))
+    return held.select("backend", F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(hi)).alias("hi"))
 
-def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(backend, truth, predicted) of two labels -> backend, lo, hi.
 
-    Kappa depends on how often each of the four cells of the confusion table is drawn,
-    so items are counted by cell first and never move. Draw j of resample r is item
-    h mod n, items in order of their cells, with h from eight hex digits of
-    md5(seed|r|j div 4): any engine repeats it, in any order. What is shuffled is a row
-    of three sums for each resample and DRAWS draws.
-    """
+def bootstrap_kappa(items: DataFrame, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(backend, truth, predicted) of two labels -> backend, lo, hi: from the drawn numbers of the confusion table's four cells alone."""
     label = F.least("truth", "predicted")
     labels = items.groupBy("backend").agg(F.min(label).alias("label"))
-    cells = items.groupBy("backend", "truth", "predicted").agg(F.count("*").alias("c")).join(labels, "backend")
-    t, p = F.col("truth") == F.col("label"), F.col("predicted") == F.col("label")
-    count = lambda x: F.coalesce(F.sum(F.when(x, F.col("c"))), F.lit(0).cast("long"))
-    sizes = cells.groupBy("backend").agg(F.sum("c").alias("n"), count(t & p).alias("a"), count(t & ~p).alias("b"), count(~t & p).alias("d"))
-    # one row per backend goes along with each stretch of draws, so that the numbers are made once for all of them
-    rows = sizes.agg(F.max("n").alias("most"), F.collect_list(F.struct("backend", "n", "a", "b", "d")).alias("of")).where("most > 0")
-    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    rows = rows.select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1, F.lit(DRAWS).cast("long"))).alias("from"), "of")
-    # few and small rows that mean much work: by number, so that they are not put together again
-    rows = rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "from")
-    sums = rows.mapInArrow(_drawn(seed, DRAWS), "backend string, n long, r int, t long, p long, same long").groupBy("backend", "n", "r").agg(*[F.sum(c).alias(c) for c in ("t", "p", "same")])
+    rows = resampled(items, ["truth", "predicted"], resamples, seed).join(labels, "backend")
+
+    def count(of: str) -> Column:
+        return F.expr(f"aggregate(zip_with(known, drawn, (v, c) -> if({of}, c, 0L)), 0L, (s, c) -> s + c)")
+
+    rows = rows.select("backend", "n", count("v.truth = label").alias("t"), count("v.predicted = label").alias("p"), count("v.truth = v.predicted").alias("same"))
     n = F.col("n")
     expected = (F.col("t") * F.col("p") + (n - F.col("t")) * (n - F.col("p"))) / (n * n)
-    kappas = sums.select("backend", kappa_of(F.col("same") / n, expected).alias("kappa"))
-    held = kappas.groupBy("backend").agg(F.sort_array(F.collect_list("kappa")).alias("k"))
-    lo, hi = ends(resamples, alpha)
-    return held.select("backend", F.get("k", F.lit(lo)).alias("lo"), F.get("k", F.lit(hi)).alias("hi"))
+    return _ends_of(rows.select("backend", kappa_of(F.col("same") / n, expected).alias("statistic")), resamples, alpha)
 
 
 def _interval(found: list[float], resamples: int, alpha: float) -> tuple[float, float]:
@@ -93,22 +111,16 @@ def _interval(found: list[float], resamples: int, alpha: float) -> tuple[float,
 
 
 def bootstrap_ci(items: DataFrame, values: list[str], statistic: Statistic = kappa_statistic, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """Any statistic of the columns `values` -> backend, lo, hi.
-
-    n draws with replacement hit the distinct values in multinomial numbers. Those are
-    drawn at once from the values' counts, so the cost grows with the number of distinct
-    values and not with that of the items.
-    """
+    """Any statistic of the columns `values` -> backend, lo, hi; the cost grows with the number of distinct values, not with that of the items."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(values)
-        counts = rows["_n"].to_numpy()
-        known = list(rows[values].itertuples(index=False, name=None))
-        drawn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), size=resamples)
-        lo, hi = _interval([statistic(known, c) for c in drawn], resamples, alpha)
-        return pd.DataFrame({"backend": [rows["backend"].iloc[0]], "lo": [lo], "hi": [hi]})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, drawn = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [statistic([tuple(v.values()) for v in k], np.array(d)) for k, d in zip(known, drawn, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["backend", "statistic"])
 
-    return items.groupBy("backend", *values).agg(F.count("*").alias("_n")).groupBy("backend").applyInPandas(one, "backend string, lo double, hi double")
+    rows = resampled(items, values, resamples, seed).select("backend", "known", "drawn")
+    return _ends_of(rows.mapInArrow(each, "backend string, statistic double"), resamples, alpha)
 
 
 def _below(n: int, seed: int, block: int = 1 << 20):

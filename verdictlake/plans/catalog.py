@@ -151,12 +151,24 @@ def items(spark, sf_dir):
 LO, HI = bootstrap.ends(bootstrap.RESAMPLES)
 BOOT = f"""{JUDGED}, it as (select backend, case when ground_truth = 'approve' then 1 else 0 end as t, case when verdict = 'approve' then 1 else 0 end as p
    from judged where verdict is not null and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0),
- sz as (select backend, count(*) as n, count(*) filter (t = 1 and p = 1) as a, count(*) filter (t = 1 and p = 0) as b, count(*) filter (t = 0 and p = 1) as d from it group by backend),
- hs as (select r, q, md5('{bootstrap.SEED}|' || r || '|' || q) as h from range({bootstrap.RESAMPLES}) a(r), (select unnest(range((select max(n) from sz) // 4 + 1)) as q) b),
- dr as (select backend, n, a, b, d, r, ('0x' || substr(h, 8 * s + 1, 8))::bigint % n as i from hs, range(4) c(s), sz where 4 * q + s < n),
- sm as (select backend, n, r, count(*) filter (i < a + b) as t, count(*) filter (i < a or (i >= a + b and i < a + b + d)) as p, count(*) filter (i < a or i >= a + b + d) as same from dr group by backend, n, r),
- ks as (select backend, case when t * p + (n - t) * (n - p) = n * n then case when same = n then 1.0 else 0.0 end else (same / n - (t * p + (n - t) * (n - p)) / (n * n)) / (1 - (t * p + (n - t) * (n - p)) / (n * n)) end as kappa from sm),
- ci as (select backend, list_sort(list(kappa))[{LO + 1}] as lo, list_sort(list(kappa))[{HI + 1}] as hi from ks group by backend)"""
+ cl as (select backend, t, p, count(*) as c from it group by all),
+ cn as (select *, row_number() over w as k, cast(sum(c) over (partition by backend) as bigint) as n, sum(c) over (w rows between current row and unbounded following) as rem from cl window w as (partition by backend order by t desc, p desc)),
+ pw as (select backend, k, n, c = rem as rest, c / rem as q, j, 1::bigint << j as m from cn, range(62) a(j) where 1::bigint << j <= n),
+ tb as (select *, cast(case when rest then m else greatest(0, floor(m * q) - half) end as bigint) as low, cast(least(m, floor(m * q) + half) as bigint) as high from (select *, ceil({bootstrap.REACH} * sqrt(m * q * (1 - q))) + {bootstrap.LEAST_HALF} as half from pw)),
+ ex as (select *, unnest(range(low, high + 1)) as x from tb where not rest),
+ lw as (select *, sum(case when x = low then 0 else ln((m - x + 1) / x * (q / (1 - q))) end) over (partition by backend, k, j order by x rows unbounded preceding) as w from ex),
+ ew as (select *, exp(w - max(w) over (partition by backend, k, j)) as e from lw),
+ ed as (select backend, k, j, x, high, sum(e) over (partition by backend, k, j order by x rows unbounded preceding) / sum(e) over (partition by backend, k, j) as edge from ew),
+ un as (select backend, k, j, edge, null::bigint as r, null::bigint as low from ed where x < high union all
+   select backend, k, j, ('0x' || substr(md5('{bootstrap.SEED}|' || r || '|' || k || '|' || j), 1, 13))::bigint / {1 << 52} as edge, r, low from tb, range({bootstrap.RESAMPLES}) b(r)),
+ dr as (select backend, k, j, r, low + below as x from (select *, count(*) filter (r is null) over (partition by backend, k, j order by edge, r nulls first rows unbounded preceding) as below from un) where r is not null),
+ s1 as (select backend, r, n, cast(sum(x * ((n >> j) & 1)) as bigint) as x1 from dr join (select distinct backend, n from cn) using (backend) where k = 1 group by all),
+ s2 as (select s1.*, cast(coalesce(sum(x * (((n - x1) >> j) & 1)), 0) as bigint) as x2 from s1 left join dr on dr.backend = s1.backend and dr.r = s1.r and k = 2 group by all),
+ s3 as (select s2.*, cast(coalesce(sum(x * (((n - x1 - x2) >> j) & 1)), 0) as bigint) as x3 from s2 left join dr on dr.backend = s2.backend and dr.r = s2.r and k = 3 group by all),
+ sm as (select backend, s3.n, r, sum(v) filter (t = 1) as t, sum(v) filter (p = 1) as p, sum(v) filter (t = p) as same from (select backend, n, r, unnest([1, 2, 3, 4]) as k, unnest([x1, x2, x3, n - x1 - x2 - x3]) as v from s3) s3 join cn using (backend, k) group by all),
+ sn as (select backend, n, r, coalesce(t, 0) as t, coalesce(p, 0) as p, coalesce(same, 0) as same from sm),
+ ks as (select backend, same / n as accuracy, case when t * p + (n - t) * (n - p) = n * n then case when same = n then 1.0 else 0.0 end else (same / n - (t * p + (n - t) * (n - p)) / (n * n)) / (1 - (t * p + (n - t) * (n - p)) / (n * n)) end as kappa from sn),
+ ci as (select backend, list_sort(list(kappa))[{LO + 1}] as lo, list_sort(list(kappa))[{HI + 1}] as hi, list_sort(list(accuracy))[{LO + 1}] as lo_accuracy, list_sort(list(accuracy))[{HI + 1}] as hi_accuracy from ks group by backend)"""
 
 
 @query(f"with {BOOT} select backend, round(lo, 6) as lo, round(hi, 6) as hi from ci")
@@ -164,6 +176,12 @@ def bootstrap_kappa_ci(spark, sf_dir):
     return rounded(bootstrap.bootstrap_kappa(items(spark, sf_dir)), "lo", "hi")
 
 
+@query(f"with {BOOT} select backend, round(lo_accuracy, 6) as lo, round(hi_accuracy, 6) as hi from ci")
+def bootstrap_accuracy_ci(spark, sf_dir):
+    """Another statistic of the same resamples."""
+    return rounded(bootstrap.bootstrap_ci(items(spark, sf_dir), ["truth", "predicted"], bootstrap.accuracy_statistic), "lo", "hi")
+
+
 def scores(spark, sf_dir):
     rows = items(spark, sf_dir)
     kappas = score.cohens_kappa(rows, "truth", "predicted", ("backend",)).drop("n")
