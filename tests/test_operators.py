@@ -557,29 +557,15 @@ def test_billing_refusals():
     assert not any(map(judge.billing_refusal, (error(type="rate_limit", message="insufficient_quota"), "insufficient_quota", '{"error": "insufficient_quota"}', "[]", "")))
 
 
-def test_judge_in_rounds(spark, tmp_path):
-    (tmp_path / "slate.toml").write_text(SLATE)
-    s = readers.read_slate(spark, str(tmp_path / "slate.toml"))
-    todo = spark.createDataFrame([(f"p{i}", 0, "a", "A", None, None, i) for i in range(10)], "pair_id string, run_index int, original string, enriched string, brand string, mpn string, pos long")
-    asked = tmp_path / "asked"
-    asked.mkdir()
+def todo_of(spark, n):
+    return spark.createDataFrame([(f"p{i}", 0, "a", "A", None, None, i) for i in range(n)], "pair_id string, run_index int, original string, enriched string, brand string, mpn string, pos long").coalesce(1)
 
-    def fake(backend, body):
-        import tempfile
 
-        tempfile.mkstemp(dir=str(asked))
-        if backend["backend"] == "y":
-            return 429, '{"error": {"type": "insufficient_quota"}}'
-        return 200, json.dumps({"choices": [{"message": {"content": '{"verdict": "approve", "reason": "ok"}'}}]})
-
-    log = str(tmp_path / "log")
-    assert judge.judge_in_rounds(todo, s, fake, log, round_pairs=4, concurrency=3) == 3
-    rows = spark.read.schema(judge.LOG).json(log)
-    assert rows.where("ok = 1").count() == 10 and rows.where("backend = 'y'").count() == 10 and {r.error_kind for r in rows.where("ok = 0").collect()} == {"QuotaExhausted"}
-    n = len(list(asked.iterdir()))
-    assert judge.judge_in_rounds(todo, s.where("name = 'x-1'"), fake, log) == 0 and len(list(asked.iterdir())) == n
-    assert judge.judge_in_rounds(todo, s, fake, str(tmp_path / "other"), stop=lambda: True) == 0
-    only = todo.withColumn("backend", F.lit("x-1"))
+def test_judge_of_one_backend_and_stop(spark, tmp_path):
+    (tmp_path / "slate.toml").write_text(SLATE)
+    s = readers.read_slate(spark, str(tmp_path / "slate.toml"))
+    fake = lambda backend, body: (200, json.dumps({"choices": [{"message": {"content": "x"}}]}))
+    only = todo_of(spark, 3).withColumn("backend", F.lit("x-1"))
     assert {r.backend for r in judge.judge(only, s, fake).collect()} == {"x-1"}
     assert judge.judge(only, s, fake, stop=lambda: True).count() == 0
 

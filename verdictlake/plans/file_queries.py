@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import agreement, caveats, guards, journal, manifest, records, reliability, score
-from ..sources import judge, readers, sinks, slate
+from ..sources import judge, producer, readers, sinks, slate
 from ..sources.fixtures import table, view
 from ..sources.shared import shared_dir
 from ..streaming import twins
@@ -288,16 +288,22 @@ def echo(backend: dict, body: str) -> tuple[int, str]:
     return 200, json.dumps({"content": [{"type": "text", "text": reply}]} if backend["api"] == "anthropic" else {"choices": [{"message": {"content": reply}}]})
 
 
-def _log(spark, sf_dir) -> DataFrame:
+def _runs(spark) -> DataFrame:
     fast = {"rpm": 60_000_000, "eval_only": False, "model_id": "m"}
     backends = [
         {"name": "a", "base_url": "https://one.example/v1", "temperature": 0.5, "structured_output": True},
         {"name": "b", "base_url": "https://two.example/v1", "api": "anthropic", "reasoning_effort": "none"},
         {"name": "c", "base_url": "https://two.example/v1", "api": "anthropic", "reasoning_effort": "low", "structured_output": True},
     ]
-    runs = spark.createDataFrame([readers._backend(b | fast) for b in backends], readers.SLATE)
-    todo = view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), F.lit(0).alias("run_index"), "original", "enriched", "brand", "mpn", "pos")
-    return judge.judge(todo, runs, echo, concurrency=4)
+    return spark.createDataFrame([readers._backend(b | fast) for b in backends], readers.SLATE)
+
+
+def _todo(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), F.lit(0).alias("run_index"), "original", "enriched", "brand", "mpn", "pos")
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    return judge.judge(_todo(spark, sf_dir), _runs(spark), echo, concurrency=4)
 
 
 LOG = """asked as (select id as pair_id, length(case when brand <> '' then 'BRAND: ' || brand || chr(10) else '' end || case when mpn <> '' then 'MPN: ' || mpn || chr(10) else '' end || 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched) as n from pairs ),
@@ -316,6 +322,22 @@ def judge_verdicts(spark, sf_dir):
     return judge.verdicts(_log(spark, sf_dir))
 
 
+@query(f"""with {LOG} select backend, pair_id, 0 as run_index, cast(case when n % 7 > 1 then 1 else 0 end as bigint) as answers, cast(case when n % 7 > 1 then 0 when backend = 'b' then 1 else 2 end as bigint) as failures,
+ cast(case when backend = 'b' then 1 else 0 end as bigint) as held from asked, runs""")
+def judge_resumed(spark, sf_dir):
+    """Two launches by the durable producer, the first with a backend held: the second asks only for what has no answer."""
+    folder, runs = _folder(spark), _runs(spark)
+    producer.hold(spark, folder, "b")
+    for launch in range(2):
+        if launch:
+            producer.release(spark, folder, "b")
+        producer.enqueue(_todo(spark, sf_dir), runs, folder, batch=100_000)
+        if failed := producer.run(runs, echo, folder, concurrency=4):
+            raise RuntimeError(str(failed))
+    held = F.col("error_kind").eqNullSafe("Held")
+    return producer.read_log(spark, folder).groupBy(*producer.KEYS).agg(F.count_if(F.col("ok") == 1).alias("answers"), F.count_if((F.col("ok") == 0) & ~held).alias("failures"), F.count_if(held).alias("held"))
+
+
 @query("select 'rule' as action, id as pair_id, ground_truth, reason, null :: varchar as notes, pos % 2 = 0 as auto, pos * 7 as elapsed_ms, true as stamped from pairs p union all select 'skip', id, null, null, null, false, null, true from pairs p union all select 'note', id, null, null, original, false, null, true from pairs p union all select 'undo', null, null, null, null, false, null, true")
 def journal_records(spark, sf_dir):
     p, s = view(spark, sf_dir, "pairs"), F.lit("s")
