@@ -404,6 +404,20 @@ def test_manifests_beside_results(spark, tmp_path):
     assert readers.manifest_beside(spark, str(tmp_path / "c.jsonl")).count() == 0
 
 
+@pytest.mark.parametrize("sketch", [20, 100, 50_000])
+def test_order_statistics_of_close_values(spark, sketch):
+    """Values within a tenth of a second, ties, and groups about as large as the sketch: exact by sketch and bracket."""
+    rng = random.Random(sketch)
+    groups = {"close": [rng.random() / 10 for _ in range(5000)], "ties": [rng.choice([0.01, 0.02, 0.02, 0.03]) for _ in range(3000)], "one": [0.5], "two": [0.1, 0.9], "same": [0.25] * 999}
+    groups |= {f"n{n}": [rng.gauss(0, 1) for _ in range(n)] for n in (sketch - 1, sketch, sketch + 1, sketch + 2) if n < 1000}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("close", None)] * 5
+    rng.shuffle(rows)
+    got = {r.g: r for r in reliability.order_statistics(spark.createDataFrame(rows, "g string, v double").repartition(7), ["g"], "v", sketch).collect()}
+    for g, vs in groups.items():
+        v, n = sorted(vs), len(vs)
+        assert (got[g].n, got[g].low, got[g].high, got[g].tail) == (n, v[(n + 1) // 2 - 1], v[n // 2], v[-(-19 * n // 20) - 1])
+
+
 def test_latencies_are_exact(spark):
     rng = random.Random(2)
     rows = [(b, int(rng.random() < 0.7), rng.choice([0.1, 0.1, 3.0, round(rng.expovariate(0.3), 3)])) for b in "abc" for _ in range(rng.choice([1, 40, 301]))] + [("d", 0, 2.5), ("e", 1, None)]

@@ -23,33 +23,55 @@ def shown(kind: str, count: str) -> Column:
     return F.array_join(F.transform(pairs, lambda x: F.concat_ws("=", x[kind], x[count].cast("string"))), ",")
 
 
-def latencies(calls: DataFrame, *keys: str) -> DataFrame:
-    """Counts and exact order statistics of the latencies of good and failed calls.
-
-    Latencies are counted by value, dealt by backend and quarter of a second, and only
-    the quarters' sizes are added up backend by backend; the value at a rank is then
-    looked for in its quarter. No task and no aggregate holds all values of a backend.
+#: Values of one group that may meet in one task as they are; above that, a sketch says between which values a rank lies.
+SKETCH = 50_000
+#: Ranks from 1 among n values: both middles of the median, and the nearest rank of the tail.
+_RANKS = {
+    "low": (0.5, lambda n: F.floor((n + 1) / 2)),
+    "high": (0.5, lambda n: F.floor(n / 2) + 1),
+    "tail": (0.95, lambda n: F.ceil(n * F.lit(19) / F.lit(20))),
+}
+
+
+def order_statistics(rows: DataFrame, keys: list[str], value: str, sketch: int = SKETCH) -> DataFrame:
+    """Per group: n, and the exact values at the ranks `low`, `high` (the middles) and `tail`.
+
+    A mergeable quantile summary of each group, wrong by at most 1 / sketch of its ranks,
+    brackets each wanted rank between two values. Then the values below the bracket are
+    only counted, and those inside are counted by value, summed up and looked through:
+    6 / sketch of a group at most, however close together its values lie. Groups of
+    `sketch` values or fewer need no bracket.
     """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    at = sorted({max(0.0, min(1.0, q + side * 3 / sketch)) for q, _ in _RANKS.values() for side in (-1, 1)})
+    place = {(q, side): at.index(max(0.0, min(1.0, q + side * 3 / sketch))) for q, _ in _RANKS.values() for side in (-1, 1)}
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_value", at, sketch).alias("_at"))
+    few, inf = F.col("n") <= sketch, float("inf")
+    edge = lambda q, side: F.when(few, F.lit(side * inf)).otherwise(F.col("_at")[place[q, side]].cast("double"))
+    wanted = [F.struct(F.lit(k).alias("what"), rank(F.col("n")).cast("long").alias("rank"), edge(q, -1).alias("low"), edge(q, 1).alias("high")) for k, (q, rank) in _RANKS.items()]
+    brackets = sizes.select(*keys, F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_w.*")
+    # counted by value where several brackets or calls share it; of what lies below only a number is left
+    of = [*keys, "what", "rank"]
+    near = known.join(brackets, keys).where(F.col("_value") <= F.col("high"))
+    inside = F.when(F.col("_value") >= F.col("low"), F.col("_value"))
+    counts = near.groupBy(*of, inside.alias("_in")).agg(F.count("*").alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy(*of).orderBy(F.asc_nulls_first("_in")))
+    hit = counts.withColumn("_to", up_to).where((F.col("rank") <= F.col("_to")) & (F.col("rank") > F.col("_to") - F.col("_c")))
+    found = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == k, F.col("_in"))).alias(k) for k in _RANKS])
+    return sizes.select(*keys, "n").join(found, keys, "left")
+
+
+def latencies(calls: DataFrame, *keys: str, sketch: int = SKETCH) -> DataFrame:
+    """Counts and exact order statistics of the latencies of good and failed calls. No task and no aggregate holds all values of a backend."""
     good, bad = F.when(F.col("ok") == 1, F.col("latency_s")), F.when(F.col("ok") == 0, F.col("latency_s"))
     main = calls.groupBy(*keys).agg(
         F.count_if(F.col("ok") == 1).alias("calls_ok"), F.count_if(F.col("ok") == 0).alias("calls_failed"), F.min(good).alias("latency_min"),
-        F.max(good).alias("latency_max"), F.max(bad).alias("failed_latency_max"), F.count(good).alias("_good"), F.count(bad).alias("_bad"),
+        F.max(good).alias("latency_max"), F.max(bad).alias("failed_latency_max"),
     )
-    quarter = F.floor(F.col("latency_s") * 4)
-    values = calls.where("latency_s is not null and ok in (0, 1)").groupBy(*keys, "ok", quarter.alias("_quarter"), F.col("latency_s").alias("_value")).agg(F.count("*").alias("_c"))
-    sizes = values.groupBy(*keys, "ok", "_quarter").agg(F.sum("_c").alias("_size"))
-    before = Window.partitionBy(*keys, "ok").orderBy("_quarter").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    # ranks from 1: both middles of the median, and the nearest rank of the tail
-    n = F.when(F.col("ok") == 1, F.col("_good")).otherwise(F.col("_bad"))
-    ranks = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "tail": F.ceil(n * F.lit(19) / F.lit(20))}
-    wanted = sizes.join(main.select(*keys, "_good", "_bad"), list(keys)).select(*keys, "ok", "_quarter", "_size", "_before", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("_w"))
-    wanted = wanted.where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_size"))).select(*keys, "ok", "_quarter", "_before", "_w.what", "_w.rank")
-    within = Window.partitionBy(*keys, "ok", "_quarter").orderBy("_value")
-    placed = values.join(wanted.select(*keys, "ok", "_quarter").distinct(), [*keys, "ok", "_quarter"], "left_semi").withColumn("_to", F.sum("_c").over(within))
-    found = placed.join(wanted, [*keys, "ok", "_quarter"]).where((F.col("rank") > F.col("_before") + F.col("_to") - F.col("_c")) & (F.col("rank") <= F.col("_before") + F.col("_to")))
-    pick = lambda ok, what: F.max(F.when((F.col("ok") == ok) & (F.col("what") == what), F.col("_value")))
-    at = found.groupBy(*keys).agg(((pick(1, "low") + pick(1, "high")) / 2).alias("latency_median"), pick(1, "tail").alias("latency_p95"), ((pick(0, "low") + pick(0, "high")) / 2).alias("failed_latency_median"))
+    found = order_statistics(calls.where(F.col("ok").isin(0, 1)), [*keys, "ok"], "latency_s", sketch)
+    pick = lambda ok, c: F.max(F.when(F.col("ok") == ok, c))
+    middle = (F.col("low") + F.col("high")) / 2
+    at = found.groupBy(*keys).agg(pick(1, middle).alias("latency_median"), pick(1, F.col("tail")).alias("latency_p95"), pick(0, middle).alias("failed_latency_median"))
     names = ("calls_ok", "calls_failed", "latency_min", "latency_median", "latency_p95", "latency_max", "failed_latency_median", "failed_latency_max")
     return main.join(at, list(keys), "left").select(*keys, *names)
 
