@@ -95,8 +95,8 @@ def deadlocks(tallied: DataFrame, leg: str) -> DataFrame:
 
 
 def unsettled_reason_pairs(tallied: DataFrame) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.collect_list("pair_id")), ",")
-    return tallied.where("reason is null").groupBy("backend").agg(F.count("*").alias("n"), ids.alias("pair_ids"))
+    """Pairs without a settled reason, a row each, with the number of votes that could not settle it."""
+    return tallied.where("reason is null").select("backend", "pair_id", "n_votes")
 
 
 def cache_findings(votes: DataFrame, tallied: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .guards import GuardError
+from .ranking import placed, ranges
 from .tally import tally
 
 
@@ -80,7 +81,6 @@ def score_models(votes: DataFrame, pairs: DataFrame, roster: DataFrame) -> DataF
 
 
 def unstable_pairs(scored: DataFrame) -> DataFrame:
-    """Ids of settled pairs with any flip, in pairs order."""
-    rows = scored.where("verdict is not null and (verdict_flip_rate > 0 or reason_flip_rate > 0)")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "pair_id"))), lambda x: x["pair_id"])
-    return rows.groupBy("backend").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("pair_ids"))
+    """Settled pairs with any flip, a row each: backend, pair_id, its place among the backend's in pairs order, and their number n."""
+    rows = scored.where("verdict is not null and (verdict_flip_rate > 0 or reason_flip_rate > 0)").select("backend", "pair_id", "pos")
+    return placed(rows.withColumn("range", ranges("pos")), [("range", False)], ["pos", "pair_id"], keys=("backend",), total="n").select("backend", "pair_id", "place", "n")

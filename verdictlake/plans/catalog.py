@@ -137,8 +137,8 @@ def reason_confusion(spark, sf_dir):
     return score.reason_confusion(score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")))
 
 
-@query(f"""with {JUDGED} select backend, count(*) as n, string_agg(pair_id, ',' order by pos) as pair_ids from judged where verdict is not null and (vf > 0 or rf > 0)
- and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0 group by backend""")
+@query(f"""with {JUDGED} select backend, pair_id, row_number() over (partition by backend order by pos) as place, count(*) over (partition by backend) as n from judged where verdict is not null and (vf > 0 or rf > 0)
+ and (select count(*) from votes ) > 0 and (select count(*) from pairs ) > 0""")
 def unstable_pairs(spark, sf_dir):
     return score.unstable_pairs(score.judged(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")))
 
@@ -276,7 +276,7 @@ def backend_deadlocks(spark, sf_dir):
     return agreement.deadlocks(tallied(spark, sf_dir), "s1")
 
 
-@query(with_tally(f"select backend, count(*) as n, string_agg(pair_id, ',' order by pair_id) as pair_ids from tally where reason is null and {USED} group by backend"))
+@query(with_tally(f"select backend, pair_id, n_votes from tally where reason is null and {USED}"))
 def unsettled_reason_pairs(spark, sf_dir):
     return agreement.unsettled_reason_pairs(tallied(spark, sf_dir))
 

@@ -14,6 +14,10 @@ from ..operators.tally import stability, tally
 DASH = "-"
 
 
+#: Ids of a list that a report shows; the whole list is a query's.
+PAGE = 40
+
+
 def number(x: float | None, digits: int = 3) -> str:
     """Rounded to six digits first, so that a sum's last bit, which depends on the order of rows, cannot show."""
     return DASH if x is None else f"{round(x, 6):.{digits}f}"
@@ -47,8 +51,9 @@ def leaderboard(votes: DataFrame, pairs: DataFrame, roster: DataFrame, resamples
     body = [[place(r), r["backend"], number(r["kappa"]), f"{number(r['lo'])} to {number(r['hi'])}", f"{number(r['sd'])} (n={r['n_runs']})", number(r["accuracy"]), number(r["false_approve_rate"]), r["n"], r["unsettled_verdict"], r["unsettled_reason"]] for r in rows]
     head = ["Tier", "Backend", "Kappa", "95% interval", "Run sd", "Accuracy", "False approve", "Scored", "No verdict", "No reason"]
     out = ["# Leaderboard", table(head, body) if body else "No backend judged every pair."]
-    unstable = score.unstable_pairs(judged).orderBy("backend").collect()
-    out.append(section("Unstable pairs", *[f"- {r['backend']}: {r['n']} ({r['pair_ids']})" for r in unstable]) if unstable else "")
+    page = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "pair_id"))), lambda x: x["pair_id"]), ",")
+    unstable = score.unstable_pairs(judged).where(F.col("place") <= PAGE).groupBy("backend", "n").agg(page.alias("first")).orderBy("backend").collect()
+    out.append(section("Unstable pairs", *[f"- {r['backend']}: {r['n']} ({r['first']}{', ...' if r['n'] > PAGE else ''})" for r in unstable]) if unstable else "")
     rest = scores.where("not ranked").orderBy(F.col("coverage").desc(), "backend").collect()
     out.append(section("Not ranked", table(["Backend", "Pairs judged", "Coverage"], [[r["backend"], r["judged"], number(r["coverage"])] for r in rest])) if rest else "")
     cells = score.reason_confusion(judged).orderBy("backend", F.col("pairs").desc(), "true_reason", "reason").collect()

@@ -63,7 +63,7 @@ SCENARIO[2, "Are votes independent?"] = f"select (o0, o) as o, line from ({SCENA
 SCORED = f"(select s.*, f.ranked from {of('score_models')[:-len('score_models_')]} s join {of('full_coverage')[:-len('full_coverage_')]} f on f.backend = s.backend)"
 LEADERBOARD = {
     (1, "Leaderboard"): f"select (-kappa, s.backend) as o, {row('s.backend', number('kappa'), number('accuracy'), 's.n', 'unsettled_verdict', 'unsettled_reason')} as line from {SCORED} s join {of('kappa_majority')} on kappa_majority_.backend = s.backend where ranked",
-    (2, "Unstable pairs"): f"select backend as o, '- ' || backend || ': ' || n || ' (' || pair_ids || ')' as line from {of('unstable_pairs')}",
+    (2, "Unstable pairs"): f"select backend as o, '- ' || backend || ': ' || n || ' (' || string_agg(pair_id, ',' order by place) filter (place <= {report.PAGE}) || case when n > {report.PAGE} then ', ...' else '' end || ')' as line from {of('unstable_pairs')} group by backend, n",
     (3, "Not ranked"): f"select (-coverage, backend) as o, {row('backend', 'judged', number('coverage'))} as line from {SCORED} s where not ranked",
     (4, "Reasons"): f"select (backend, -pairs, true_reason, reason) as o, {row('backend', 'true_reason', 'reason', 'pairs')} as line from {of('reason_confusion')}",
 }
