@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -461,12 +461,36 @@ def records(spark, sf_dir):
     return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), action.alias("action"), key.alias("pair_id"), F.when(F.length("text") % 2 == 0, "approve").otherwise("reject").alias("ground_truth"), F.when(F.length("text") % 2 == 0, "ok").otherwise("casing_error").alias("reason"), F.col("text").alias("notes"), (F.length("text") * 10).cast("long").alias("elapsed_ms"))
 
 
-@query()
+#: The fold event by event: what stands is a list of pairs, each with its rulings.
+REPLAY = """with recursive ev as (select conv_id as session, case when role = 'system' or turn % 5 = 4 then 'undo' else 'rule' end as action, 'p' || (length(text) % 3) as pair_id,
+   {'t': case when length(text) % 2 = 0 then 'approve' else 'reject' end, 'r': case when length(text) % 2 = 0 then 'ok' else 'casing_error' end} as ruling, row_number() over (partition by conv_id order by turn) as i
+   from conversations where role in ('system', 'user') or turn % 5 = 4),
+ st as (select distinct session, 0 :: bigint as i, [] :: struct(p varchar, past struct(t varchar, r varchar)[])[] as s from ev
+   union all select st.session, ev.i, case when action = 'rule' then list_append(list_filter(s, lambda x: x.p <> pair_id), {'p': pair_id, 'past': list_append(coalesce(list_filter(s, lambda x: x.p = pair_id)[1].past, []), ruling)})
+     when len(s) = 0 then s when len(s[-1].past) > 1 then list_append(s[1 : -2], {'p': s[-1].p, 'past': s[-1].past[1 : -2]}) else s[1 : -2] end as s
+   from st join ev on ev.session = st.session and ev.i = st.i + 1),
+ ends as (select session, max_by(s, i) as s from st group by session),
+ stands as (select session, unnest(s) as x, unnest(range(len(s))) as place from ends)
+ select session, cast(place as integer) as place, x.p as pair_id, x.past[-1].t as ground_truth, x.past[-1].r as reason from stands"""
+
+
+@query(REPLAY)
 def journal_replay(spark, sf_dir):
-    """A fold that SQL cannot express; tests hold it against a plain replay."""
     return journal.replay(records(spark, sf_dir))
 
 
+@query(REPLAY)
+def stream_replay(spark, sf_dir):
+    """The journals read in two batches, with keyed state between them."""
+    folder, rows = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}", records(spark, sf_dir).select("session", "seq", "action", "pair_id", "ground_truth", "reason")
+    for part in ("seq < 3", "seq >= 3"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stands = twins.standing(twins.run_to_end(spark, twins.stream_replay(stream), "append"))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("place")) - 1
+    return stands.select(F.col("session").cast("long").alias("session"), place.alias("place"), "pair_id", "ground_truth", "reason")
+
+
 RECORDS = """rec as (select conv_id as session, turn as seq, case when role = 'system' or turn % 5 = 4 then 'undo' when role = 'user' then 'rule' else 'note' end as action, 'p' || (length(text) % 3) as pair_id, length(text) * 10 as elapsed_ms, text as notes from conversations)"""
 
 
