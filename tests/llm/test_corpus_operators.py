@@ -726,6 +726,33 @@ def test_pseudonyms_are_permutations(spark):
         assert len({r.p for r in rows}) == len(rows) and all(pii.FIRST_DAY <= r.p < pii.END_DAY for r in rows)
 
 
+#: Country calling codes of one and two digits.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def test_phones_keep_their_country_and_stay_linked(spark):
+    """All codes, with and without separators: the code stays, no 0 comes to the front, each pseudonym is a phone number again, spellings are linked."""
+    rng = random.Random(12)
+    codes = [c for c in map(str, range(1, 1000)) if c in CALLING or len(c) == 3 and c[0] not in "17" and c[:2] not in CALLING]
+    numbers = [(c, rng.choice("123456789") + "".join(rng.choice(pii.DIGITS) for _ in range(rng.randrange(8, 10)))) for c in codes for _ in range(2)]
+    numbers += [("1", f"{rng.randrange(200, 1000)}{rng.randrange(200, 1000)}{rng.randrange(10_000):04}") for _ in range(3000)] + [("39", "0612345678"), ("1", "0551234567")]
+    spell = [lambda c, r: f"+{c}{r}", lambda c, r: f"+{c} {r[:3]} {r[3:6]} {r[6:]}", lambda c, r: f"+{c}-{r[:3]}-{r[3:6]}-{r[6:]}", lambda c, r: f"+{c} ({r[:3]}) {r[3:6]} {r[6:]}"]
+    texts = [" ; ".join(f(c, r) for f in spell) + (f" ; ({r[:3]}) {r[3:6]}-{r[6:]}" if c == "1" and r[0] > "1" and r[3] > "1" and len(r) == 10 else "") for c, r in numbers]
+    bare = lambda x: re.sub("[^0-9]", "", x)
+    seen = {}
+    for row in pii.pseudonymize(docs(spark, texts), "key").collect():
+        c, r = numbers[row.doc_id]
+        found = [f for f in row.found if f.kind == "phone"]
+        assert len(found) == len(texts[row.doc_id].split(";")), row
+        news = {bare(f.pseudonym) if f.pseudonym[0] == "+" else "1" + bare(f.pseudonym) for f in found}
+        assert len(news) == 1
+        new = news.pop()
+        assert new.startswith(c) and len(new) == len(c + r) and (new[len(c)] == "0") == (r[0] == "0") and new != c + r
+        assert seen.setdefault(new, c + r) == c + r
+    again = pii.pseudonymize(docs(spark, ["+" + n for n in seen]), "key").collect()
+    assert all(r.n_phone == 1 for r in again)
+
+
 class PlainPii:
     """Finder and permuter in plain Python."""
 
@@ -849,9 +876,12 @@ class PlainPii:
             v = self.number((areas.index(a) * 99 + b - 1) * 9999 + c - 1, kind, 898 * 99, 9999)
             return f"{areas[v // 9999 // 99]:03}-{v // 9999 % 99 + 1:02}-{v % 9999 + 1:04}"
         if hit[0] == "+":
-            lead = re.match(r"\+[0-9]+", hit).end()
-            rest = re.sub("[^A-Za-z0-9]", "", hit[lead:])
-            return hit[:lead] + refill(hit[lead:], self.text(rest, kind, digits)) if len(rest) > 6 else refill(hit, self.text(bare, kind, digits))
+            code = next(bare[:n] for n in (1, 2, 3) if bare[:n] in CALLING or n == 3)
+            if not (code == "1" and len(bare) == 11 and bare[1] > "1" and bare[4] > "1"):
+                rest = bare[len(code) :]
+                coded = rest[0].translate(str.maketrans("1234567890", "abcdefghiz")) + rest[1:]
+                return refill(hit, code + self.text(coded, kind, digits, "abcdefghi", "z").translate(str.maketrans("abcdefghiz", "1234567890")))
+            return refill(hit, "1" + re.sub("[^0-9]", "", self.new(kind, bare[1:])))
         v = self.number(((int(bare[:3]) - 200) * 800 + int(bare[3:6]) - 200) * 10_000 + int(bare[6:]), kind, 640_000, 10_000)
         return refill(hit, f"{v // 8_000_000 + 200}{v // 10_000 % 800 + 200}{v % 10_000:04}")
 

@@ -5,12 +5,12 @@ calendar, issued social-security numbers, phone numbers by length or, without a
 country, by area and exchange) and replaced by a keyed permutation within their
 format:
 
-* strings (mail names, cards, accounts, phones with a country, secrets): a Feistel
+* strings (mail names, cards, accounts, phones of other countries, secrets): a Feistel
   network over the two halves of the characters; each character moves within its own
   alphabet (digits, lower, upper case, or hex digits) by a key stream derived from
   the other half. Check digits are computed anew;
-* addresses, social-security and national phone numbers: a Feistel network over the
-  places of the valid ones;
+* addresses, social-security numbers, phone numbers of code 1 or no code: a Feistel
+  network over the places of the valid ones. A country's calling code always stays;
 * dates: a Feistel network over day numbers, within spans of 73,000 days from 1900 on
   and back; the first span begins on 0001-01-01 and the last one ends on 9999-12-31,
   both shorter. What only reads as month first stays so: such dates are permuted
@@ -64,6 +64,9 @@ IBAN_SIZES = {
     }.items()
     for country in countries.split()
 }
+# Calling codes of one and two digits, and that all others have three; area and exchange of code 1.
+CALLING_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+HOME = "[2-9][0-9]{2}[2-9][0-9]{6}"
 DAYS = (250, 292)  # a span of 73,000 days
 #: From 1900-01-01: first day, last day + 1, and the spans at both ends, of 36,595 and 38,464 days.
 FIRST_DAY, END_DAY, FIRST_DAYS, LAST_DAYS = -693_595, 2_958_464, (65, 563), (64, 601)
@@ -239,17 +242,29 @@ def _ssn(hit: Column, key: str) -> tuple[Column, Column]:
     return valid, F.get(F.transform(F.array(moved), shown), F.lit(0))
 
 
-def _phone(hit: Column, key: str) -> tuple[Column, Column]:
-    """With a country: 8 to 15 digits, of which the country's stay. Without: area and exchange do not begin with 0 or 1."""
-    bare = _bare(hit)
-    lead = F.length(F.regexp_extract(hit, r"^\+[0-9]+", 0))
-    rest = F.substring(hit, lead + 1, F.length(hit))
-    abroad = F.when(F.length(_bare(rest)) > 6, F.concat(F.substring(hit, F.lit(1), lead), refill(rest, permuted(_bare(rest), key, "phone", DIGITS)))).otherwise(refill(hit, permuted(bare, key, "phone", DIGITS)))
+def _abroad(bare: Column, key: str) -> Column:
+    """Digits of a number with its country's code, which stays; of what follows, a first 0 stays a 0 and any other digit does not become one."""
+    lead = F.length(F.regexp_extract(bare, "^(?:" + CALLING_CODE + ")", 0))
+    rest = F.substring(bare, lead + 1, F.length(bare))
+    coded = F.concat(F.translate(F.substring(rest, F.lit(1), F.lit(1)), "1234567890", "abcdefghiz"), F.substring(rest, F.lit(2), F.length(rest)))
+    moved = permuted(coded, key, "phone", DIGITS, "abcdefghi", "z")
+    return F.concat(F.substring(bare, F.lit(1), lead), F.translate(moved, "abcdefghiz", "1234567890"))
+
+
+def _home(bare: Column, key: str) -> Column:
+    """Ten digits; area and exchange do not begin with 0 or 1."""
     area, exchange, line = (F.substring(bare, a, n).try_cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
     moved = permuted_number(((area - 200) * 800 + exchange - 200) * 10_000 + line, key, "phone", 800 * 800, 10_000)
-    home = F.get(F.transform(F.array(moved), lambda v: refill(hit, F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0")))), F.lit(0))
-    valid = F.when(hit.startswith("+"), bare.rlike("^[1-9][0-9]{7,14}$")).otherwise(bare.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
-    return valid, F.when(hit.startswith("+"), abroad).otherwise(home)
+    return F.get(F.transform(F.array(moved), lambda v: F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))), F.lit(0))
+
+
+def _phone(hit: Column, key: str) -> tuple[Column, Column]:
+    """With a country: 8 to 15 digits. Without, it is that of code 1: the same number is linked with and without it, however it is spaced."""
+    bare = _bare(hit)
+    valid = F.when(hit.startswith("+"), bare.rlike("^[1-9][0-9]{7,14}$")).otherwise(bare.rlike(f"^{HOME}$"))
+    code = F.when(bare.rlike(f"^1{HOME}$"), F.lit("1")).otherwise(F.lit(""))
+    of_home = F.concat(code, _home(F.substring(bare, F.length(code) + 1, F.lit(10)), key))
+    return valid, refill(hit, F.when((code == "1") | ~hit.startswith("+"), of_home).otherwise(_abroad(bare, key)))
 
 
 def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
@@ -277,7 +292,7 @@ KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "card", "secret")
 
 def _ends(hit: Column, key: str) -> Column:
     """The hit, or where a card's or account's number fails, its longest valid beginning before a blank or hyphen."""
-    likes = {name: (like, valid) for name, like, valid, _ in _kinds(hit, key)}
+    like = lambda kind: hit.rlike("^(?:" + PATTERNS[kind] + ")$")
 
     def longest(valid) -> Column:
         begins = F.transform(F.sequence(F.lit(1), F.length(hit)), lambda i: F.substring(hit, F.lit(1), i))
@@ -292,8 +307,8 @@ def _ends(hit: Column, key: str) -> Column:
 
     # the order of the kinds: no hit is of two of these
     out = hit
-    for name, valid in (("card", card), ("iban", iban)):
-        out = F.when(likes[name][0] & ~likes["secret"][0] & ~likes[name][1], longest(valid)).otherwise(out)
+    for name, of, valid in (("card", _card, card), ("iban", _iban, iban)):
+        out = F.when(like(name) & ~like("secret") & ~of(hit, key)[0], longest(valid)).otherwise(out)
     return out
 
 
@@ -302,11 +317,18 @@ def found(text: Column, key: str = DEMO_KEY) -> Column:
     is null where validation fails. `at` is the text from there to the next place: values may go beyond it."""
 
     def one(hit: Column, at: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), hit
-        for name, like, valid, pseudonym in reversed(_kinds(hit, key)):
+        rows = _kinds(hit, key)
+        kind = F.lit(None).cast("string")
+        for name, like, valid, _ in reversed(rows):
             kind = F.when(like, F.when(valid, F.lit(name))).otherwise(kind)
-            new = F.when(like, F.when(valid, pseudonym).otherwise(hit)).otherwise(new)
-        return F.struct(hit.alias("value"), kind.alias("kind"), new.alias("pseudonym"), at.alias("at"))
+
+        def row(k: Column) -> Column:  # the kind is bound, so that it is found once
+            new = hit
+            for name, _, _, pseudonym in rows:
+                new = F.when(k == name, pseudonym).otherwise(new)
+            return F.struct(hit.alias("value"), k.alias("kind"), new.alias("pseudonym"), at.alias("at"))
+
+        return F.get(F.transform(F.array(kind), row), F.lit(0))
 
     hits = F.transform(F.regexp_extract_all(text, F.lit(f"(?=({ANY}))"), F.lit(1)), lambda h: _ends(h, key))
     return F.zip_with(hits, F.slice(_places(text), 2, F.length(text) + 1), one)
