@@ -27,6 +27,8 @@ passed through, unless they clash with the result's names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,34 +170,46 @@ def _bare(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^A-Za-z0-9]", "")
 
 
-def _card(hit: Column, key: str) -> tuple[Column, Column]:
+#: A pseudonym's expression is made where it is used: making one takes a hundred times as long as a look at a column.
+Made = Callable[[], Column]
+
+
+def _card(hit: Column, key: str) -> tuple[Column, Made]:
     bare = _bare(hit)
     n = F.length(bare)
     valid = luhn_sum(bare, n) % 10 == 0
-    body = permuted(F.substring(bare, F.lit(1), n - 1), key, "card", DIGITS)
-    digit = F.aggregate(F.array(F.concat(body, F.lit("0"))), F.lit(""), lambda _, b: F.concat(F.substring(b, F.lit(1), n - 1), ((10 - luhn_sum(b, n) % 10) % 10).cast("string")))
-    return valid, refill(hit, digit)
+
+    def made() -> Column:
+        body = permuted(F.substring(bare, F.lit(1), n - 1), key, "card", DIGITS)
+        digit = F.aggregate(F.array(F.concat(body, F.lit("0"))), F.lit(""), lambda _, b: F.concat(F.substring(b, F.lit(1), n - 1), ((10 - luhn_sum(b, n) % 10) % 10).cast("string")))
+        return refill(hit, digit)
+
+    return valid, made
 
 
-def _iban(hit: Column, key: str) -> tuple[Column, Column]:
+def _iban(hit: Column, key: str) -> tuple[Column, Made]:
     bare = _bare(hit)
     country = F.substring(bare, F.lit(1), F.lit(2))
     bban = F.substring(bare, F.lit(5), F.length(bare))
     valid = iban_rest(F.concat(bban, country, F.substring(bare, F.lit(3), F.lit(2)))) == 1
-    moved = permuted(bban, key, "iban", DIGITS, UPPER)
-    whole = F.aggregate(F.array(moved), F.lit(""), lambda _, m: F.concat(country, F.lpad((98 - iban_rest(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m))
-    return valid, refill(hit, whole)
 
+    def made() -> Column:
+        moved = permuted(bban, key, "iban", DIGITS, UPPER)
+        whole = F.aggregate(F.array(moved), F.lit(""), lambda _, m: F.concat(country, F.lpad((98 - iban_rest(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m))
+        return refill(hit, whole)
 
-def _ip(hit: Column, key: str) -> tuple[Column, Column]:
+    return valid, made
+
+
+def _ip(hit: Column, key: str) -> tuple[Column, Made]:
     octets = F.transform(F.split(hit, r"\."), lambda x: x.cast("long"))
     valid = F.forall(octets, lambda x: x <= 255)
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     moved = F.transform(F.array(permuted_number(value, key, "ip", 1 << 16, 1 << 16)), lambda v: F.array_join(F.array(*[(F.floor(v / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)]), "."))
-    return valid, F.get(moved, F.lit(0))
+    return valid, lambda: F.get(moved, F.lit(0))
 
 
-def _date(hit: Column, key: str) -> tuple[Column, Column]:
+def _date(hit: Column, key: str) -> tuple[Column, Made]:
     form = F.when(hit.contains("-"), F.lit("yyyy-MM-dd")).when(hit.contains("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
     # day first, or month first where only that is a date
     other = F.when(hit.contains("/"), F.lit("MM/dd/yyyy")).otherwise(form)
@@ -213,7 +227,7 @@ def _date(hit: Column, key: str) -> tuple[Column, Column]:
     iso = F.get(F.transform(F.array(new), lambda v: F.date_format(F.date_add(epoch, v.cast("int")), "yyyyMMdd")), F.lit(0))
     y, m, d = F.substring(iso, 1, 4), F.substring(iso, 5, 2), F.substring(iso, 7, 2)
     text = F.when(hit.contains("-"), F.concat_ws("-", y, m, d)).when(hit.contains("/"), F.when(day.isNotNull(), F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))).otherwise(F.concat_ws(".", d, m, y))
-    return number.isNotNull(), text
+    return number.isNotNull(), lambda: text
 
 
 def _moved_day(number: Column, key: str) -> Column:
@@ -227,7 +241,7 @@ def _moved_day(number: Column, key: str) -> Column:
     return F.when(number < first, low).when(number >= last, high).otherwise(inner)
 
 
-def _ssn(hit: Column, key: str) -> tuple[Column, Column]:
+def _ssn(hit: Column, key: str) -> tuple[Column, Made]:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     valid = hit.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
     area, group, serial = (F.substring(hit, a, n).try_cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
@@ -239,7 +253,7 @@ def _ssn(hit: Column, key: str) -> tuple[Column, Column]:
         parts = ((area + F.when(area > 665, 1).otherwise(0), 3), (F.floor(v / 9999) % 99 + 1, 2), (v % 9999 + 1, 4))
         return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
 
-    return valid, F.get(F.transform(F.array(moved), shown), F.lit(0))
+    return valid, lambda: F.get(F.transform(F.array(moved), shown), F.lit(0))
 
 
 def _abroad(bare: Column, key: str) -> Column:
@@ -258,16 +272,20 @@ def _home(bare: Column, key: str) -> Column:
     return F.get(F.transform(F.array(moved), lambda v: F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v / 10_000) % 800 + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))), F.lit(0))
 
 
-def _phone(hit: Column, key: str) -> tuple[Column, Column]:
+def _phone(hit: Column, key: str) -> tuple[Column, Made]:
     """With a country: 8 to 15 digits. Without, it is that of code 1: the same number is linked with and without it, however it is spaced."""
     bare = _bare(hit)
     valid = F.when(hit.startswith("+"), bare.rlike("^[1-9][0-9]{7,14}$")).otherwise(bare.rlike(f"^{HOME}$"))
     code = F.when(bare.rlike(f"^1{HOME}$"), F.lit("1")).otherwise(F.lit(""))
-    of_home = F.concat(code, _home(F.substring(bare, F.length(code) + 1, F.lit(10)), key))
-    return valid, refill(hit, F.when((code == "1") | ~hit.startswith("+"), of_home).otherwise(_abroad(bare, key)))
+
+    def made() -> Column:
+        of_home = F.concat(code, _home(F.substring(bare, F.length(code) + 1, F.lit(10)), key))
+        return refill(hit, F.when((code == "1") | ~hit.startswith("+"), of_home).otherwise(_abroad(bare, key)))
+
+    return valid, made
 
 
-def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
+def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Made]]:
     """(kind, is of this kind, is valid, pseudonym), in the order of the pattern."""
     true = F.lit(True)
     at = F.instr(hit, "@")
@@ -276,7 +294,7 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
     told = F.substring(hit, lead + 1, F.length(hit))
     secret = F.concat(F.substring(hit, F.lit(1), lead), F.when(told.rlike("^[0-9a-f]+$"), permuted(told, key, "secret", HEX)).otherwise(permuted(told, key, "secret", DIGITS, LOWER, UPPER)))
     rows = [
-        ("email", hit.rlike("^(?:" + PATTERNS["email"] + ")$"), true, mail),
+        ("email", hit.rlike("^(?:" + PATTERNS["email"] + ")$"), true, lambda: mail),
         ("iban", hit.rlike("^(?:" + PATTERNS["iban"] + ")$"), *_iban(hit, key)),
         ("date", hit.rlike("^(?:" + PATTERNS["date"] + ")$"), *_date(hit, key)),
         ("ip", hit.rlike("^(?:" + PATTERNS["ip"] + ")$"), *_ip(hit, key)),
@@ -284,7 +302,7 @@ def _kinds(hit: Column, key: str) -> list[tuple[str, Column, Column, Column]]:
         ("ssn", hit.rlike("^(?:" + PATTERNS["ssn"] + ")$"), *_ssn(hit, key)),
         ("card", hit.rlike("^(?:" + PATTERNS["card"] + ")$"), *_card(hit, key)),
     ]
-    return [("secret", hit.rlike("^(?:" + PATTERNS["secret"] + ")$"), true, secret), *rows]
+    return [("secret", hit.rlike("^(?:" + PATTERNS["secret"] + ")$"), true, lambda: secret), *rows]
 
 
 KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "card", "secret")
@@ -325,7 +343,7 @@ def found(text: Column, key: str = DEMO_KEY) -> Column:
         def row(k: Column) -> Column:  # the kind is bound, so that it is found once
             new = hit
             for name, _, _, pseudonym in rows:
-                new = F.when(k == name, pseudonym).otherwise(new)
+                new = F.when(k == name, pseudonym()).otherwise(new)
             return F.struct(hit.alias("value"), k.alias("kind"), new.alias("pseudonym"), at.alias("at"))
 
         return F.get(F.transform(F.array(kind), row), F.lit(0))
