@@ -726,6 +726,34 @@ def test_pseudonyms_are_permutations(spark):
         assert len({r.p for r in rows}) == len(rows) and all(pii.FIRST_DAY <= r.p < pii.END_DAY for r in rows)
 
 
+def test_languages_without_bound(spark):
+    """A thousand made-up languages: sample and machines keep their bounds, and what is learned is told apart."""
+    rng = random.Random(8)
+    alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyzåäöøæß", 6) for _ in range(1000)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k]) for _ in range(6)) for _ in range(40))
+    rows = [(i, text(i % 1000 if i < 3000 else i % 20), f"x{i % 1000 if i < 3000 else i % 20:03d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    learned = [x for f in model.families.values() for x in f]
+    assert len(learned) == langid.MOST_LANGS and max(map(len, model.families.values())) <= langid.FAMILY_SIZE and len(model.pairs) < 500
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    held = [i for i, _, _ in rows if got[i].held_out and i >= 3000]
+    assert np.mean([got[i].lang_pred == rows[i][2] for i in held]) > 0.9
+    assert langid.families_of({"de", "qq", "rr"}) == {"de": "germanic", "qq": "only qq", "rr": "only rr"}
+
+
+@pytest.mark.parametrize("copies", [2, 2000])
+def test_copies_without_an_id_add_no_spans(spark, copies):
+    """Rows that repeat a null id and a text are one document's spans, however many."""
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1500))
+    df = spark.createDataFrame([(None, text)] * copies + [(1, text)], "doc_id long, text string").repartition(6)
+    d = suffix_dedup._keyed(df).select("k", "h", "text")
+    spans = suffix_dedup.repeated_spans(d, 400, 16, 128, suffix_dedup.CHUNK, suffix_dedup.ENTRIES, suffix_dedup.BROADCAST_IDS)
+    assert max(len(r.spans) for r in spans.collect()) <= 1101  # the strings of one copy
+    got = suffix_dedup.suffix_dedup(df).collect()
+    assert len(got) == copies + 1 and {(r.n_bytes, r.n_removed, r.n_spans) for r in got} == {(1500, 1500, 1)}
+
+
 #: Country calling codes of one and two digits.
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 

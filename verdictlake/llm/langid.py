@@ -6,8 +6,12 @@ support vector machine for each pair of families votes on the family; one for
 each pair of languages of that family votes on the language. Scoring is one pass
 without a shuffle: weights are gathered per n-gram and summed per document.
 
-The machines are fitted on the driver, on at most `sample_rows` labelled rows
-(about equally many of each language, taken by a hash of the id; whole texts).
+The machines are fitted on the driver, on at most `sample_rows` labelled rows of up to
+SAMPLE_CHARS characters (about equally many of each language, taken by a hash of the
+id; whole texts). At most MOST_LANGS languages are learned, those with most rows; where
+more than FAMILY_SIZE of them are of no known family, families of FAMILY_SIZE are made of
+those in the order of their codes. So neither the sample nor the number of machines grows
+with what `lang` holds.
 
 Defined results: a null text or one without a letter is `und` with score 0; with
 no labelled row at all every text is `und`; repeated rows get equal results; an
@@ -39,7 +43,8 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 DIM = 1 << 12
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS, SAMPLE_CHARS = 2400, 200_000
+MOST_LANGS, FAMILY_SIZE = 100, 8
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -88,6 +93,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 200.0, steps: int = 150) ->
     return w, float(b - x.mean(axis=0) @ w)
 
 
+def families_of(langs: set[str]) -> dict[str, str]:
+    """Family of each language; one of no known family is its own, unless there are many."""
+    others = sorted(x for x in langs if x not in FAMILY_OF)
+    few = len(others) <= FAMILY_SIZE
+    return {x: FAMILY_OF[x] for x in langs if x in FAMILY_OF} | {x: f"only {x}" if few else f"others {i // FAMILY_SIZE:03d}" for i, x in enumerate(others)}
+
+
 @dataclass
 class LanguageModel:
     """pairs: (group, negative class, positive class); weights: DIM x pairs. group is "" for families."""
@@ -100,9 +112,10 @@ class LanguageModel:
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> LanguageModel:
         families: dict[str, list[str]] = {}
+        family_of = families_of(set(langs))
         for lang in sorted(set(langs)):
-            families.setdefault(FAMILY_OF.get(lang, f"only {lang}"), []).append(lang)
-        family = np.array([FAMILY_OF.get(x, f"only {x}") for x in langs], dtype=object)
+            families.setdefault(family_of[lang], []).append(lang)
+        family = np.array([family_of[x] for x in langs], dtype=object)
         lang = np.array(langs, dtype=object)
         names = sorted(families)
         pairs = [("", a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -150,12 +163,13 @@ class LanguageModel:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Fit on labelled rows outside the held-out fold; None if there are none."""
-    rows = docs.where((fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where((fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(MOST_LANGS, sample_rows))
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
-    each = max(8, sample_rows // len(counts))
-    share = F.lit(1.0)
+    each = sample_rows // len(counts)
+    share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.15 * each / n))).otherwise(share)
     place = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)

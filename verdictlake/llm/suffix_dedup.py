@@ -506,7 +506,7 @@ def repeated_spans(d: DataFrame, match: int, gram: int, run: int, chunk: int, en
         others = rows.join(several, entry).where("first <> entry").select("k", "h", "entry", "first")
         moved = found.join(others, ["k", "h", "entry"]).select("k", "h", "entry", (F.col("span") + (F.col("first") - F.col("entry")) * _PACK).alias("span"))
         found = found.union(moved)
-    return spans.union(found.select("k", "h", "span")).groupBy("k", "h").agg(F.collect_list("span").alias("spans"))
+    return spans.union(found.select("k", "h", "span")).groupBy("k", "h").agg(F.collect_set("span").alias("spans"))  # copies of a row add nothing
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
