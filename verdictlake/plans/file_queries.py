@@ -50,7 +50,7 @@ def votes_on_disk(spark, sf_dir):
 @query("select v.backend from (select distinct backend from votes) v")
 def roster_on_disk(spark, sf_dir):
     folder = _folder(spark)
-    sinks.append_votes(view(spark, sf_dir, "votes").where("run_index = 0"), folder)
+    sinks.append_votes(view(spark, sf_dir, "votes"), folder)
     return readers.roster(spark, folder)
 
 
@@ -347,10 +347,12 @@ def journal_records(spark, sf_dir):
     return rows.select("action", "pair_id", "ground_truth", "reason", "notes", "auto", "elapsed_ms", F.col("ts").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))
 
 
-@query("select * from (values (false, '1', 'ok'), (false, '2', 'casing_error'), (false, '3', 'overcorrection'), (false, '4', 'meaning_change'), (true, '1', 'casing_error'), (true, '2', 'overcorrection'), (true, '3', 'meaning_change')) t(reject_only, key, reason)")
+@query("select t.*, (select count(*) from votes v where v.reason = t.reason) as votes from (values (false, '1', 'ok'), (false, '2', 'casing_error'), (false, '3', 'overcorrection'), (false, '4', 'meaning_change'), (true, '1', 'casing_error'), (true, '2', 'overcorrection'), (true, '3', 'meaning_change')) t(reject_only, key, reason)")
 def reason_keys(spark, sf_dir):
     rows = [(only, k, r) for only in (False, True) for k, r in records.reason_keys(only).items()]
-    return spark.createDataFrame(rows, "reject_only boolean, key string, reason string")
+    given = view(spark, sf_dir, "votes").groupBy("reason").agg(F.count("*").alias("votes"))
+    keys = spark.createDataFrame(rows, "reject_only boolean, key string, reason string").join(given, "reason", "left")
+    return keys.select("reject_only", "key", "reason", F.coalesce("votes", F.lit(0).cast("long")).alias("votes"))
 
 
 @query("select distinct backend, pair_id, run_index, verdict, reason from votes ")
