@@ -1,17 +1,17 @@
 """License scans with an exact set-similarity join, with DataFrame functions only.
 
 Texts are reduced to their words. Phrases are found where their words stand in a
-row. Templates, the sentences of license notices, are found by containment: a block
-of `block` words (every `step` words another begins, so that any block - step + 1
-words in a row lie whole in one) belongs to a template if it holds at least
-`threshold` of the template's words.
+row. Templates, the sentences of license notices, are found by containment: any
+`block` words in a row, wherever they begin, belong to a template if they hold at
+least `threshold` of the template's words.
 
 Words are ordered by how many documents of the corpus hold them, rare ones first. A
 block that reaches the threshold, alpha of the template's m words, must hold one of
 its m - alpha + 1 rarest (prefix filter) and at least alpha words of any template
 (length filter), and behind their first common word both must have enough left
-(positional filter). What passes is verified by intersection, so nothing that meets
-the threshold is missed.
+(positional filter). The filters work on documents first and then around each place
+of a template's prefix words; what passes is verified by intersection with every
+block there, so nothing that meets the threshold is missed.
 
 Texts are read once: that pass finds the phrases, notes which of the templates' words
 a document holds, and keeps the words of a document only where it holds enough of
@@ -65,7 +65,7 @@ TEMPLATES = {
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
-BLOCK, STEP, THRESHOLD = 64, 8, 0.8
+BLOCK, THRESHOLD = 64, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,8 +99,14 @@ def _words(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def template_matches(candidates: DataFrame, held: DataFrame, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, step: int = STEP, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, h, words) of candidates, (held) vocabulary of every document -> (doc_id, h, start, label, containment) of every block that meets the threshold."""
+def template_matches(candidates: DataFrame, held: DataFrame, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, words) of candidates, (held) vocabulary of every document -> (doc_id, h, start, label, containment).
+
+    A row for the best block around each place of a prefix word from where the
+    threshold is met. The best block of a template starts at one of its words: one
+    that starts earlier holds no more of them. Per place, at most `block` words before
+    and behind it are looked at, so work and memory follow the text's words.
+    """
     spark = candidates.sparkSession
     counts = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # words of the templates alone
     known = sentences(templates, threshold)
@@ -112,20 +118,34 @@ def template_matches(candidates: DataFrame, held: DataFrame, templates: dict[str
     names = ("word", "label", "at", "m", "need")
     rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r[:5], strict=True)], _words(r[5]).alias("tokens")) for r in index]
     prefixes = spark.range(1).select(F.inline(F.array(*rows)))  # as many rows as the templates have prefix words
-    least = min(r[4] for r in index)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - block) / F.lit(step)).cast("int") * step), F.lit(step))
-    blocks = candidates.select("doc_id", "h", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(block)).alias("of")))).alias("b"))
-    blocks = blocks.select("doc_id", "h", "b.start", F.array_intersect(_words(ranked), F.col("b.of")).alias("held"))  # in corpus order
-    blocks = blocks.where(F.size("held") >= least)
-    each = blocks.select("*", F.posexplode("held").alias("place", "word"))
+
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(ranked))
+    of = candidates.select("doc_id", "h", spots.alias("spots"), F.array_intersect(_words(ranked), F.col("words")).alias("held"))  # in corpus order
+    each = of.select("*", F.posexplode("held").alias("place", "word"))
     left = F.least(F.col("m") - F.col("at"), F.size("held") - F.col("place"))
     pairs = each.join(F.broadcast(prefixes), "word").where((F.size("held") >= F.col("need")) & (left >= F.col("need")))
-    both = F.size(F.array_intersect("held", "tokens"))
-    first = F.get(F.array_intersect("held", "tokens"), F.lit(0)) == F.col("word")  # a pair once: at its first common word
-    return pairs.where(first & (both >= F.col("need"))).select("doc_id", "h", "start", "label", (both / F.col("m")).alias("containment"))
+    common = F.array_intersect("held", "tokens")
+    pairs = pairs.where((F.get(common, F.lit(0)) == F.col("word")) & (F.size(common) >= F.col("need")))  # a document and a template once
+
+    # Places of the template's words, as (word number in the text, rank of the word in the template).
+    hits = F.transform(F.filter("spots", lambda x: F.array_contains("tokens", x["w"])), lambda x: F.struct(x["i"].alias("i"), F.array_position("tokens", x["w"]).cast("int").alias("rank")))
+    prefix = lambda x: x["rank"] <= F.col("m") - F.col("need") + 1
+
+    def around(all_hits: Column) -> Column:
+        """Per place of a prefix word, the hits that some block shares with it."""
+        at = F.filter(F.transform(all_hits, lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"), x["rank"].alias("rank"))), prefix)
+        return F.transform(at, lambda a: F.struct(a["i"].alias("i"), a["rank"].alias("rank"), F.filter(F.slice(all_hits, F.greatest(F.lit(1), a["k"] + 2 - block), F.lit(2 * block - 1)), lambda y: F.abs(y["i"] - a["i"]) < block).alias("near")))
+
+    ranks = lambda of, keep: F.size(F.array_distinct(F.transform(F.filter(of, keep), lambda y: y["rank"])))
+    enough = F.filter(F.get(F.transform(F.array(hits), around), F.lit(0)), lambda a: ranks(a["near"], lambda y: y["rank"] >= a["rank"]) >= F.col("need"))  # the rarest common word of a block finds it
+    found = pairs.select("doc_id", "h", "label", "m", "need", F.explode(enough).alias("a"))
+    starts = F.filter("a.near", lambda x: x["i"] <= F.col("a.i"))
+    blocks = F.transform(starts, lambda x: F.struct(ranks(F.col("a.near"), lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + block)).alias("n"), (-x["i"]).alias("before")))
+    best = found.select("doc_id", "h", "label", "m", "need", F.array_max(blocks).alias("best")).where(F.col("best.n") >= F.col("need"))
+    return best.select("doc_id", "h", (-F.col("best.before")).alias("start"), "label", (F.col("best.n") / F.col("m")).alias("containment"))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, step: int = STEP, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, list[str]] = TEMPLATES, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     d = docs.select("doc_id", text_or_empty().alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("spaced"))
@@ -151,7 +171,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         enough = enough | (F.size(F.array_intersect("held", _words(words))) >= need)
     words = F.when((F.size("held") >= min(n for _, _, n in known)) & enough, F.split(F.trim("spaced"), " "))
     base = save(base.withColumn("words", words).drop("spaced"), "license-base")
-    matches = template_matches(base.where("words is not null").select("doc_id", "h", "words"), base.select("held"), templates, block, step, threshold)
+    matches = template_matches(base.where("words is not null").select("doc_id", "h", "words"), base.select("held"), templates, block, threshold)
     best = matches.groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     out = base.join(best.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     found = F.coalesce("found", F.array().cast("array<string>"))

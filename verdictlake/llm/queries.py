@@ -87,18 +87,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _license_sql() -> str:
+    """Every block that starts at a word of the template: no other holds more of its words."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license_scan.PHRASES.items())
     templates = ", ".join(f"('{label}', {quoted(dict.fromkeys(t.split()))})" for label, texts in license_scan.TEMPLATES.items() for t in texts)
     upper, lower = (f"'{''.join(map(chr, range(a, a + 26)))}'" for a in (65, 97))
-    block, step = license_scan.BLOCK, license_scan.STEP
+    block = license_scan.BLOCK
     return f"""
         with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
         p as (select * from (values {phrases}) p(phrase, label)), t as (select * from (values {templates}) t(label, tokens)),
         place as (select doc_id, label, i from (select doc_id, w, unnest(range(len(w))) as i from w) w, p where w[i + 1 : i + len(phrase)] = phrase),
         base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_distinct(list(label)) as labels from place group by doc_id),
-        b as (select doc_id, w[s + 1 : s + {block}] as b from (select doc_id, w, unnest(range(0, greatest(0, cast(ceil((len(w) - {block}) / {step}) as bigint) * {step}) + 1, {step})) as s from w)),
-        hit as (select doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) as c from b, t where len(list_intersect(list_distinct(b), tokens)) >= {license_scan.THRESHOLD} * len(tokens) - 1e-9),
+        spot as (select doc_id, label, tokens, word, i from (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from w) w, t where list_contains(tokens, word)),
+        b as (select doc_id, label, tokens, count(distinct word) over (partition by doc_id, label, tokens order by i range between current row and {block - 1} following) as n from spot),
+        hit as (select doc_id, label, n / len(tokens) as c from b where n >= {license_scan.THRESHOLD} * len(tokens) - 1e-9),
         more as (select doc_id, list_distinct(list(label)) as labels, max(c) as best from hit group by doc_id)
         select w.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') as labels,
