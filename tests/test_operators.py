@@ -10,6 +10,7 @@ from verdictlake.operators import agreement, bootstrap, caveats, guards, journal
 from verdictlake.operators.guards import GuardError
 from verdictlake.operators.tally import majority_first_seen, stability, tally, tally_any
 from verdictlake.plans import report
+from verdictlake.schema import REASONS, VERDICTS
 from verdictlake.sources import fixtures, judge, readers, sinks, slate
 from verdictlake.streaming import twins
 
@@ -80,6 +81,25 @@ def test_agreement_without_overlap_is_null(spark):
     assert got["a", "b"] is None and got["a", "c"] == got["c", "a"] == got["b", "b"] == 1.0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packed_agreement_is_the_count_over_pairs(spark, monkeypatch, parts):
+    """Several words of 64 pairs in a part, backends that skip pairs, missing rulings, null keys and repeated rows."""
+    monkeypatch.setattr(agreement, "PARTS", parts)
+    rng = random.Random(parts)
+    rows = [(b, f"p{i}", rng.choice([*VERDICTS, None]), rng.choice([*REASONS, None])) for b in ("a", "b", "c", "d") for i in range(300) if rng.random() < 0.8]
+    table = spark.createDataFrame([*rows, rows[0], (None, "p1", "approve", "ok"), ("a", None, "approve", "ok"), ("b", None, "approve", "ok")], "backend string, pair_id string, verdict string, reason string")
+    by = {(b, p): (v, r) for b, p, v, r in rows}
+    roster = spark.createDataFrame([(b,) for b in "abcde"], "backend string")
+    for k, axis in enumerate(("verdict", "reason")):
+        for r in agreement.agreement_matrix(table, roster, axis).collect():
+            both = [(v[k], by[r.other, p][k]) for (b, p), v in by.items() if b == r.backend and (r.other, p) in by]
+            both = [x == y for x, y in both if x is not None and y is not None]
+            assert r.shared == len(both) and r.agreement == (pytest.approx(sum(both) / len(both)) if both else None)
+    want = Counter((b, o, v[1], by[o, p][1]) for (b, p), v in by.items() for o in "abcd" if b < o and (o, p) in by and v[1] and by[o, p][1])
+    assert {tuple(r)[:4]: r.pairs for r in agreement.reason_cross_tab(table).collect()} == want
+    assert agreement.reason_cross_tab(table.limit(0)).count() == 0 and {r.shared for r in agreement.agreement_matrix(table.limit(0), roster).collect()} == {0}
+
+
 def test_unsettled_never_agrees(spark):
     rows = [(b, "p", i, v, "ok") for b in "ab" for i, v in enumerate(["approve", "reject"])]
     roster = spark.createDataFrame([("a",), ("b",)], "backend string")

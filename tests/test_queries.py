@@ -1,7 +1,6 @@
 """Every query against its SQL, and the rest against plain Python."""
 
 import hashlib
-import itertools
 import random
 from collections import Counter
 from fractions import Fraction
@@ -189,15 +188,26 @@ def test_word_diff_query(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count()
     assert diff_words("a b", "a b") == "  (no change)" and diff_words("", "x") == "  - \n  + [x]"
     rng = random.Random(4)
-    for _ in range(300):  # as many words side by side as any alignment has
-        a, b = ([rng.choice("aAbBcd") for _ in range(rng.randint(0, 6))] for _ in range(2))
-        most = max(k for k in range(7) for x in itertools.combinations(a, k) for y in itertools.combinations(b, k) if [*map(str.lower, x)] == [*map(str.lower, y)])
-        for line, words in zip(diff_words(" ".join(a) + " |", " ".join(b) + " !").splitlines(), (a, b)):
+
+    def blocks(a, b, lo_a=0, lo_b=0):
+        """The longest run of both sides, of several the first in a, then in b; the same on either side of it."""
+        runs = [(i, j, k) for i in range(len(a)) for j in range(len(b)) for k in range(1, 1 + min(len(a) - i, len(b) - j)) if a[i : i + k] == b[j : j + k]]
+        if not runs:
+            return []
+        i, j, k = min(runs, key=lambda r: (-r[2], r[0], r[1]))
+        return [*blocks(a[:i], b[:j], lo_a, lo_b), *[(lo_a + i + x, lo_b + j + x) for x in range(k)], *blocks(a[i + k :], b[j + k :], lo_a + i + k, lo_b + j + k)]
+
+    for _ in range(300):
+        a, b = ([rng.choice("aAbBcd") for _ in range(rng.randint(0, 7))] for _ in range(2))
+        places = blocks([w.lower() for w in a], [w.lower() for w in b])
+        for line, words, kept in zip(diff_words(" ".join(a) + " |", " ".join(b) + " !").splitlines(), (a, b), zip(*places) if places else ((), ())):
             marks = line[4:]
             flat = marks.replace("[", "").replace("]", "").replace("~", "").split()
             assert flat[:-1] == words and "] [" not in marks
-            kept = "".join(part.split("]")[-1] for part in marks.split("[")).split()
-            assert len(kept) == most
+            assert [w.strip("~") for part in marks.split("[") for w in part.split("]")[-1].split()] == [words[i] for i in kept]
+    long = [str(rng.randint(0, 5_000)) for _ in range(20_000)]
+    changed = [w if i % 50 else "new" for i, w in enumerate(long)]
+    assert diff_words(" ".join(long), " ".join(changed)).splitlines()[1].count("[new]") == 400
     assert diff_words("red SHOE box", "Red shoe crate") == "  - ~red~ ~SHOE~ [box]\n  + ~Red~ ~shoe~ [crate]"
 
 

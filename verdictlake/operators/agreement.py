@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import AXES, REASONS
 from .ranking import placed, ranges
 from .tally import tally
 
+#: Parts of the pairs; 64 pairs of a part share a word of bits, and a billion pairs sort in parts of some 250,000.
+PARTS = 1 << 12
+
+
+def _packed(tallied: DataFrame, axis: str) -> DataFrame:
+    """(left, right) of two backends for each 64 pairs, in both orders: backend and `bits`, a long per value with a bit for each pair so ruled.
+
+    Pairs are numbered within their part, so that one shuffle by part numbers them, packs
+    them and brings backends together; no pair meets another backend's row by itself.
+    A missing ruling has no bit: two missing rulings must never meet as agreement.
+    """
+    s = tallied.where(F.col(axis).isNotNull() & F.col("pair_id").isNotNull() & F.col("backend").isNotNull())
+    s = s.select("backend", F.col(axis).alias("v"), "pair_id", F.pmod(F.xxhash64("pair_id"), F.lit(PARTS)).alias("part"))
+    nth = F.dense_rank().over(Window.partitionBy("part").orderBy("pair_id")) - 1
+    bit = F.expr("shiftleft(1L, n % 64)")
+    bits = F.array(*[F.coalesce(F.bit_or(F.when(F.col("v") == v, bit)), F.lit(0).cast("long")) for v in AXES[axis]])
+    packed = s.withColumn("n", nth).groupBy("part", F.floor(F.col("n") / 64).alias("word"), "backend").agg(bits.alias("bits"))
+    together = packed.groupBy("part", "word").agg(F.collect_list(F.struct("backend", "bits")).alias("all"))  # a roster at most
+    return together.select("all", F.explode("all").alias("left")).select("left", F.explode("all").alias("right"))
+
 
-def _settled(tallied: DataFrame, axis: str) -> DataFrame:
-    """Pairs with a ruling; two missing rulings must never meet as agreement."""
-    return tallied.where(F.col(axis).isNotNull()).select("backend", "pair_id", F.col(axis).alias("v"))
+def _both(a: int, b: int) -> Column:
+    """Pairs for which the left backend ruled value number a and the right one value number b."""
+    return F.bit_count(F.get("left.bits", F.lit(a)).bitwiseAND(F.get("right.bits", F.lit(b))))
 
 
 def agreement_matrix(tallied: DataFrame, roster: DataFrame, axis: str = "verdict") -> DataFrame:
     """Share of equal rulings for every ordered pair of backends; null where no pair is settled in both.
 
-    Each backend joins the others once per pair_id: work grows with pairs times
-    backends squared, the size of the question, and the grid is roster by roster.
+    Rulings are packed, 64 pairs to a word, and counted by AND: the tally is shuffled
+    once, and what two backends share is summed up before it moves. The grid is roster
+    by roster.
     """
-    s = _settled(tallied, axis)
-    other = s.select(F.col("backend").alias("other"), "pair_id", F.col("v").alias("w"))
-    found = s.join(other, "pair_id").groupBy("backend", "other").agg(F.count("*").alias("shared"), F.avg((F.col("v") == F.col("w")).cast("int")).alias("agreement"))
+    n = len(AXES[axis])
+    equal = sum((_both(k, k) for k in range(n)), F.lit(0))
+    settled = [reduce(lambda x, y: x.bitwiseOR(y), [F.get(f"{side}.bits", F.lit(k)) for k in range(n)]) for side in ("left", "right")]
+    words = _packed(tallied, axis).select(F.col("left.backend").alias("backend"), F.col("right.backend").alias("other"), F.bit_count(settled[0].bitwiseAND(settled[1])).alias("shared"), equal.alias("equal"))
+    found = words.groupBy("backend", "other").agg(F.sum("shared").alias("shared"), F.sum("equal").alias("equal")).where("shared > 0")
     grid = roster.crossJoin(roster.select(F.col("backend").alias("other")))
-    return grid.join(found, ["backend", "other"], "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    return grid.join(found, ["backend", "other"], "left").select("backend", "other", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), (F.col("equal") / F.col("shared")).alias("agreement"))
 
 
 def reason_distribution(tallied: DataFrame) -> DataFrame:
@@ -32,18 +58,16 @@ def reason_distribution(tallied: DataFrame) -> DataFrame:
 
 
 def reason_cross_tab(tallied: DataFrame) -> DataFrame:
-    """Settled reasons of two backends on the same pair, each two backends once."""
-    s = _settled(tallied, "reason")
-    left = s.select(F.col("backend").alias("left"), "pair_id", F.col("v").alias("left_reason"))
-    right = s.select(F.col("backend").alias("right"), "pair_id", F.col("v").alias("right_reason"))
-    both = left.join(right, "pair_id").where(F.col("left") < F.col("right"))
-    return both.groupBy("left", "right", "left_reason", "right_reason").agg(F.count("*").alias("pairs"))
+    """Settled reasons of two backends on the same pair, each two backends once; packed as in `agreement_matrix`."""
+    both = {(x, y): _both(i, j) for i, x in enumerate(REASONS) for j, y in enumerate(REASONS)}
+    words = _packed(tallied, "reason").where("left.backend < right.backend").select(F.col("left.backend").alias("left"), F.col("right.backend").alias("right"), *[n.alias(f"{x} {y}") for (x, y), n in both.items()])
+    summed = words.groupBy("left", "right").agg(*[F.sum(f"{x} {y}").alias(f"{x} {y}") for x, y in both])
+    cells = F.array(*[F.struct(F.lit(x).alias("left_reason"), F.lit(y).alias("right_reason"), F.col(f"{x} {y}").alias("pairs")) for x, y in both])
+    return summed.select("left", "right", F.inline(cells)).where("pairs > 0")
 
 
 def contention(tallied: DataFrame) -> DataFrame:
     """Per pair over all backends: disagreement between settled rulings, mean flips, unsettled backends, score."""
-    from ..schema import AXES
-
     across = {}
     for axis, domain in AXES.items():
         counts = [F.count_if(F.col(axis) == v) for v in domain]
@@ -83,8 +107,6 @@ def operator_queue(pairs: DataFrame, flips: DataFrame) -> DataFrame:
 
 def deadlocks(tallied: DataFrame, leg: str) -> DataFrame:
     """Ties of two votes or more, per axis, with the split as text in value order."""
-    from ..schema import AXES
-
     parts = []
     for place, (axis, domain) in enumerate(AXES.items()):
         shown = [F.when(F.col(f"n_{axis}_{v}") > 0, F.concat_ws("=", F.lit(v), F.col(f"n_{axis}_{v}").cast("string"))) for v in sorted(domain)]
