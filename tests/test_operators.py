@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdictlake.functions import text
-from verdictlake.operators import agreement, bootstrap, caveats, guards, journal, records, reliability, score
+from verdictlake.operators import agreement, bootstrap, caveats, guards, journal, kept_tally, records, reliability, score
 from verdictlake.operators.guards import GuardError
 from verdictlake.operators.tally import majority_first_seen, stability, tally, tally_any
 from verdictlake.plans import report
@@ -81,6 +81,46 @@ def test_agreement_without_overlap_is_null(spark):
     assert got["a", "b"] is None and got["a", "c"] == got["c", "a"] == got["b", "b"] == 1.0
 
 
+def same_rows(a, b):
+    return sorted(map(repr, (tuple(r) for r in a.collect()))) == sorted(map(repr, (tuple(r) for r in b.select(*a.columns).collect())))
+
+
+def test_kept_tally_equals_the_tally_after_every_batch(spark, tmp_path):
+    folder, rng, rows = str(tmp_path / "kept"), random.Random(7), []
+    assert kept_tally.read_tally(spark, folder).count() == 0
+    for n in range(6):
+        new = [(rng.choice(["a", "b", None]), rng.choice(["p", "q", "r", None]), i, rng.choice(["approve", "reject", "odd", None]), rng.choice([*REASONS, None])) for i in range(0 if n == 2 else 9)]
+        rows += new
+        assert kept_tally.add_votes(votes(spark, new).withColumn("n_votes", F.lit(5)), folder, n)
+        assert not kept_tally.add_votes(votes(spark, [("x", "x", 0, "approve", "ok")]), folder, n)  # a batch that comes again
+        assert same_rows(kept_tally.read_tally(spark, folder), tally(votes(spark, rows)))
+        keys = {r[:2] for r in new}
+        got = kept_tally.changed(spark, folder, n)
+        assert {(r.backend, r.pair_id): r.n_votes for r in got.collect()} == Counter(r[:2] for r in rows if r[:2] in keys)
+        if n in (1, 3, 4):
+            before = kept_tally.read_tally(spark, folder)
+            kept_tally.fold(spark, folder)
+            assert same_rows(before, tally(votes(spark, rows))) and same_rows(kept_tally.read_tally(spark, folder), tally(votes(spark, rows)))
+            assert not kept_tally.add_votes(votes(spark, EDGE), folder, n)
+    (tmp_path / "kept" / "batch-5" / "_SUCCESS").unlink()  # a write that was cut off does not count, and is made again
+    assert kept_tally.read_tally(spark, folder).agg(F.sum("n_votes")).first()[0] == len(rows) - 9
+    assert kept_tally.add_votes(votes(spark, rows[-9:]), folder, 5) and same_rows(kept_tally.read_tally(spark, folder), tally(votes(spark, rows)))
+    kept_tally.add_votes(votes(spark, EDGE), folder, 8)
+    with pytest.raises(GuardError):
+        kept_tally.add_votes(votes(spark, EDGE), folder, 7)
+
+
+def test_kept_tally_of_a_stream_that_starts_over(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "kept")
+    for k in range(3):
+        votes(spark, EDGE[k::3]).coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(VOTES).option("maxFilesPerTrigger", 1).json(source)
+        kept_tally.keep(stream, folder, str(tmp_path / "checkpoint")).awaitTermination()
+        assert same_rows(kept_tally.read_tally(spark, folder), tally(votes(spark, [r for j in range(k + 1) for r in EDGE[j::3]])))
+    kept_tally.keep(spark.readStream.schema(VOTES).option("maxFilesPerTrigger", 1).json(source), folder, str(tmp_path / "new")).awaitTermination()  # without its checkpoint
+    assert same_rows(kept_tally.read_tally(spark, folder), tally(votes(spark, EDGE)))
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_packed_agreement_is_the_count_over_pairs(spark, monkeypatch, parts):
     """Several words of 64 pairs in a part, backends that skip pairs, missing rulings, null keys and repeated rows."""

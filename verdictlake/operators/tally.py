@@ -19,7 +19,28 @@ def _axis(axis: str, domain: tuple[str, ...], n: Column) -> dict[str, Column]:
     return {axis: F.when((at_most == 1) & (most > 0), winner), f"{axis}_flip_rate": F.when(most > 0, 1 - most / n).otherwise(0.0)}
 
 
-def tally(votes: DataFrame, keys: tuple[str, ...] = ("backend", "pair_id"), axes: dict[str, tuple[str, ...]] = AXES, dedupe: bool = False) -> DataFrame:
+KEYS = ("backend", "pair_id")
+
+
+def counters(axes: dict[str, tuple[str, ...]] = AXES) -> list[str]:
+    """Names of a tally's counters: of all votes, and of each value."""
+    return ["n_votes", *[f"n_{a}_{v}" for a, domain in axes.items() for v in domain]]
+
+
+def counted(votes: DataFrame, keys: tuple[str, ...] = KEYS, axes: dict[str, tuple[str, ...]] = AXES) -> DataFrame:
+    """One row of counters per key."""
+    values = [F.count_if(F.col(a) == v).alias(f"n_{a}_{v}") for a, domain in axes.items() for v in domain]
+    return votes.groupBy(*keys).agg(F.count("*").alias("n_votes"), *values)
+
+
+def ruled(counts: DataFrame, axes: dict[str, tuple[str, ...]] = AXES) -> DataFrame:
+    """Counters with the ruling and flip rate of each axis."""
+    for axis, domain in axes.items():
+        counts = counts.withColumns(_axis(axis, domain, F.col("n_votes")))
+    return counts
+
+
+def tally(votes: DataFrame, keys: tuple[str, ...] = KEYS, axes: dict[str, tuple[str, ...]] = AXES, dedupe: bool = False) -> DataFrame:
     """One row per key: n_votes, a count per value, and the ruling and flip rate of each axis.
 
     One shuffle: values have a fixed domain, so each is a counter of one partial
@@ -28,11 +49,7 @@ def tally(votes: DataFrame, keys: tuple[str, ...] = ("backend", "pair_id"), axes
     """
     if dedupe:
         votes = votes.dropDuplicates([*keys, "run_index"])
-    counters = [F.count_if(F.col(a) == v).alias(f"n_{a}_{v}") for a, domain in axes.items() for v in domain]
-    counted = votes.groupBy(*keys).agg(F.count("*").alias("n_votes"), *counters)
-    for axis, domain in axes.items():
-        counted = counted.withColumns(_axis(axis, domain, F.col("n_votes")))
-    return counted
+    return ruled(counted(votes, keys, axes), axes)
 
 
 def tally_any(votes: DataFrame, value: str, keys: tuple[str, ...] = ("backend", "pair_id")) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import agreement, caveats, guards, journal, manifest, records, reliability, score
+from ..operators import agreement, caveats, guards, journal, kept_tally, manifest, records, reliability, score
 from ..sources import judge, producer, readers, sinks, slate
 from ..sources.fixtures import table, view
 from ..sources.shared import shared_dir
@@ -47,6 +47,22 @@ def votes_on_disk(spark, sf_dir):
     return readers.read_votes(spark, folder).select(*names)
 
 
+@query()
+def kept_tally_votes(spark, sf_dir):
+    """Votes added run by run, a batch repeated, the counters folded before the last run comes."""
+    folder, votes = _folder(spark), view(spark, sf_dir, "votes")
+    for run in (0, 1, 1, 2):
+        if run == 2:
+            kept_tally.fold(spark, folder)
+        kept_tally.add_votes(votes.where(F.col("run_index") == run), folder, run)
+    kept_tally.add_votes(votes.where("run_index > 2"), folder, 3)
+    names = ("verdict_flip_rate", "reason_flip_rate")
+    return kept_tally.read_tally(spark, folder).select("backend", "pair_id", "n_votes", "verdict", "reason", *[F.round(n, 6).alias(n) for n in names])
+
+
+ORACLES["kept_tally_votes"] = ORACLES["tally_votes"]
+
+
 @query("select v.backend from (select distinct backend from votes) v")
 def roster_on_disk(spark, sf_dir):
     folder = _folder(spark)

@@ -14,16 +14,12 @@ from ..functions.text import strip
 from ..operators.guards import GuardError
 from ..operators.ranking import placed, ranges
 from ..schema import JOURNAL, MANIFEST, PAIR, REASONS, VERDICT, VERDICT_KEYS
+from .files import _fs
 
 #: Folders of a backend's votes begin so.
 PART = "backend="
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
