@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..operators import agreement, caveats, guards, journal, kept_tally, manifes
 from ..sources import judge, producer, readers, sinks, slate
 from ..sources.fixtures import table, view
 from ..sources.shared import shared_dir
-from ..streaming import twins
+from ..streaming import tail, twins
 from .catalog import ORACLES, query, tallied
 
 
@@ -47,6 +48,43 @@ def votes_on_disk(spark, sf_dir):
     return readers.read_votes(spark, folder).select(*names)
 
 
+def _grown(spark, whole: str, folder: str, share: float) -> None:
+    """Files of `folder` as a writer leaves them that is stopped at this share of the bytes of those in `whole`; a task for each file at a time."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(whole).select("path", "length")
+
+    def copy(batches):
+        for batch in batches:
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, source = files.FileSystem.from_uri(path)
+                target = files.FileSystem.from_uri(folder)[1] + source[source.index(mark) + len(mark) :]
+                fresh, left = f"{target[: target.rindex('/')]}/_{uuid.uuid4().hex}", int(size * share)
+                fs.create_dir(target[: target.rindex("/")], recursive=True)
+                with fs.open_input_stream(source) as f, fs.open_output_stream(fresh) as out:
+                    while left > 0:
+                        block = f.read(min(left, 1 << 20))
+                        out.write(block)
+                        left -= len(block)
+                fs.move(fresh, target)
+            yield batch
+
+    mark = f"/{whole.rstrip('/').rsplit('/', 1)[1]}"
+    listed.repartition(8, "path").mapInArrow(copy, listed.schema).write.format("noop").mode("overwrite").save()
+
+
+@query("select backend, pair_id, run_index, verdict, reason, model_id, prompt_version, temperature, base_url, cached_tokens from votes ")
+def tailed_votes(spark, sf_dir):
+    """Result files read while they grow, with writers that stop anywhere in a line, by a query that starts again each time."""
+    whole, folder = _folder(spark), _folder(spark)
+    rows = view(spark, sf_dir, "votes").withColumns({"run_index": F.col("run_index").cast("long"), "usage": F.when(F.col("cached_tokens").isNotNull(), F.struct(*[F.lit(None).cast("long").alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")], "cached_tokens", F.lit(None).cast("long").alias("reasoning_tokens")))})
+    sinks.append_votes(rows, whole)
+    names = ["backend", "pair_id", "run_index", "verdict", "reason", "model_id", "prompt_version", "temperature", "base_url", "cached_tokens"]
+    parts = []
+    for share in (0.37, 0.71, 1.0):
+        _grown(spark, whole, folder, share)
+        parts.append(twins.run_to_end(spark, tail.tail_votes(spark, folder, ".json").select(*names), "append", f"{folder}-places"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query()
 def kept_tally_votes(spark, sf_dir):
     """Votes added run by run, a batch repeated, the counters folded before the last run comes."""
