@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -392,6 +393,31 @@ def judge_resumed(spark, sf_dir):
     return producer.read_log(spark, folder).groupBy(*producer.KEYS).agg(F.count_if(F.col("ok") == 1).alias("answers"), F.count_if((F.col("ok") == 0) & ~held).alias("failures"), F.count_if(held).alias("held"))
 
 
+def digest(settings: dict, body: str) -> tuple[int, str]:
+    """A judge that replies with the digest of all that it is asked."""
+    whole = json.dumps(json.loads(body), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    reply = hashlib.sha256(whole.encode()).hexdigest()
+    return 200, json.dumps({"content": [{"type": "text", "text": reply}]} if settings["api"] == "anthropic" else {"choices": [{"message": {"content": reply}}]})
+
+
+BODIES = """with told as (select id as pair_id, concat_ws(' and ', case when brand <> '' then 'BRAND' end, case when mpn <> '' then 'MPN (manufacturer part number)' end) as known,
+  case when brand <> '' then 'BRAND: ' || brand || chr(10) else '' end || case when mpn <> '' then 'MPN: ' || mpn || chr(10) else '' end || 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched as u from pairs),
+ said as (select pair_id, to_json('$INPUTS' || case when known <> '' then ',' || chr(10) || 'plus the product''s known ' || known else '' end || '.' || chr(10) || '$CRITERIA') as s, to_json(u) as u from told),
+ schema as (select '{"additionalProperties":false,"properties":{"reason":{"enum":["ok","casing_error","overcorrection","meaning_change"],"type":"string"},"verdict":{"enum":["approve","reject"],"type":"string"}},"required":["verdict","reason"],"type":"object"}' as schema),
+ asked as (select 'a' as backend, pair_id, '{"messages":[{"content":' || s || ',"role":"system"},{"content":' || u || ',"role":"user"}],"model":"m","response_format":{"json_schema":{"name":"judge_verdict","schema":' || schema || ',"strict":true},"type":"json_schema"},"temperature":0.5}' as body from said, schema
+  union all select 'b', pair_id, '{"max_tokens":256,"messages":[{"content":' || u || ',"role":"user"}],"model":"m","system":' || s || ',"thinking":{"type":"disabled"}}' from said
+  union all select 'c', pair_id, '{"max_tokens":256,"messages":[{"content":' || u || ',"role":"user"}],"model":"m","output_config":{"effort":"low","format":{"schema":' || schema || ',"type":"json_schema"}},"system":' || s || '}' from said, schema)
+ select backend, pair_id, 0 as run_index, 1 as ok, sha256(body) as reply from asked""".replace("$INPUTS", text.INTRO + text.INPUTS).replace("$CRITERIA", text.CRITERIA)
+
+
+@query(BODIES)
+def judge_in_lanes(spark, sf_dir):
+    """Each host's calls from three tasks that keep its one rate; replies are digests of whole bodies, prompts and schema included."""
+    keeping = judge.Keeping(f"{_folder(spark)}/answers", None, f"{_folder(spark)}/bars")
+    log = judge.judge(_todo(spark, sf_dir), _runs(spark), digest, concurrency=4, keeping=keeping, lanes=3)
+    return log.select("backend", "pair_id", "run_index", "ok", "reply")
+
+
 @query("select 'rule' as action, id as pair_id, ground_truth, reason, null :: varchar as notes, pos % 2 = 0 as auto, pos * 7 as elapsed_ms, true as stamped from pairs p union all select 'skip', id, null, null, null, false, null, true from pairs p union all select 'note', id, null, null, original, false, null, true from pairs p union all select 'undo', null, null, null, null, false, null, true")
 def journal_records(spark, sf_dir):
     p, s = view(spark, sf_dir, "pairs"), F.lit("s")

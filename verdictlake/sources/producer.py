@@ -9,7 +9,8 @@ that starts again goes on with the batch that it was in.
 
 Within a batch each answer is written as soon as it comes, and a task that is tried
 again, in the same run or in the next, asks only for what has no answer yet. At most the
-calls under way are paid twice.
+calls under way are paid twice. A host's batch may be worked off in several lanes, tasks
+that keep the host's one rate together (`judge.Slots`).
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def release(spark: SparkSession, folder: str, backend: str) -> None:
     _delete(spark, f"{folder}/held/{quote(backend, safe='')}")
 
 
-def start(slate: DataFrame, transport: judge.Transport, folder: str, concurrency: int = 1, stop: Callable[[], bool] | None = None) -> dict[str, StreamingQuery]:
+def start(slate: DataFrame, transport: judge.Transport, folder: str, concurrency: int = 1, stop: Callable[[], bool] | None = None, lanes: int = 1) -> dict[str, StreamingQuery]:
     """Queries, by host, that work the latest launch off and end; those of an earlier start must have ended."""
     spark = slate.sparkSession
     launch = (_names(spark, f"{folder}/launches") or [None])[-1]
@@ -97,7 +98,7 @@ def start(slate: DataFrame, transport: judge.Transport, folder: str, concurrency
     def one(name: str) -> StreamingQuery:
         def take(rows: DataFrame, n: int) -> None:
             answers = f"{folder}/answers/{launch}/{name}/{n:09d}"
-            calls = judge.judge(rows, slate, transport, concurrency, stop, judge.Keeping(answers, f"{folder}/held"), rested=n == 0)
+            calls = judge.judge(rows, slate, transport, concurrency, stop, judge.Keeping(answers, f"{folder}/held", f"{folder}/bars"), n == 0, lanes)
             calls.write.mode("overwrite").json(f"{folder}/log/{launch}/{name}/{n:09d}")
             _delete(spark, answers)
 
@@ -108,10 +109,10 @@ def start(slate: DataFrame, transport: judge.Transport, folder: str, concurrency
     return {unquote(h.removeprefix("host=")): one(h) for h in _names(spark, f"{folder}/launches/{launch}") if h.startswith("host=")}
 
 
-def run(slate: DataFrame, transport: judge.Transport, folder: str, concurrency: int = 1, stop: Callable[[], bool] | None = None) -> dict[str, str]:
+def run(slate: DataFrame, transport: judge.Transport, folder: str, concurrency: int = 1, stop: Callable[[], bool] | None = None, lanes: int = 1) -> dict[str, str]:
     """Work the latest launch off, all hosts side by side; what ended badly, by host. A failing host leaves the others alone."""
     failed = {}
-    for host, query in start(slate, transport, folder, concurrency, stop).items():
+    for host, query in start(slate, transport, folder, concurrency, stop, lanes).items():
         try:
             query.awaitTermination()
         except StreamingQueryException as e:
