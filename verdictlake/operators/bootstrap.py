@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import overlapping
 from .score import kappa_of
 
 SEED, RESAMPLES, ALPHA = 20260806, 1000, 0.05
@@ -174,6 +175,5 @@ def tiers(scores: DataFrame) -> DataFrame:
 
 
 def tiers_theta(scores: DataFrame) -> DataFrame:
-    """Overlapping pairs of backends, by the theta join that `tiers` does without."""
-    a, b = scores.select("backend", "lo", "hi"), scores.select(F.col("backend").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return a.join(b, (F.col("backend") < F.col("other")) & (F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi"))).select("backend", "other")
+    """Overlapping pairs of backends, of which `tiers` needs none."""
+    return overlapping(scores)
