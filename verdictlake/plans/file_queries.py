@@ -357,8 +357,13 @@ def _todo(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "pairs").select(F.col("id").alias("pair_id"), F.lit(0).alias("run_index"), "original", "enriched", "brand", "mpn", "pos")
 
 
+#: Tasks that a host's calls are dealt to; they keep its one rate.
+LANES = 12
+
+
 def _log(spark, sf_dir) -> DataFrame:
-    return judge.judge(_todo(spark, sf_dir), _runs(spark), echo, concurrency=4)
+    keeping = judge.Keeping(None, None, f"{_folder(spark)}/bars")
+    return judge.judge(_todo(spark, sf_dir), _runs(spark), echo, concurrency=4, keeping=keeping, lanes=LANES)
 
 
 LOG = """asked as (select id as pair_id, length(case when brand <> '' then 'BRAND: ' || brand || chr(10) else '' end || case when mpn <> '' then 'MPN: ' || mpn || chr(10) else '' end || 'ORIGINAL: ' || original || chr(10) || 'ENRICHED: ' || enriched) as n from pairs ),
@@ -387,7 +392,7 @@ def judge_resumed(spark, sf_dir):
         if launch:
             producer.release(spark, folder, "b")
         producer.enqueue(_todo(spark, sf_dir), runs, folder, batch=100_000)
-        if failed := producer.run(runs, echo, folder, concurrency=4):
+        if failed := producer.run(runs, echo, folder, concurrency=4, lanes=LANES):
             raise RuntimeError(str(failed))
     held = F.col("error_kind").eqNullSafe("Held")
     return producer.read_log(spark, folder).groupBy(*producer.KEYS).agg(F.count_if(F.col("ok") == 1).alias("answers"), F.count_if((F.col("ok") == 0) & ~held).alias("failures"), F.count_if(held).alias("held"))
@@ -412,9 +417,9 @@ BODIES = """with told as (select id as pair_id, concat_ws(' and ', case when bra
 
 @query(BODIES)
 def judge_in_lanes(spark, sf_dir):
-    """Each host's calls from three tasks that keep its one rate; replies are digests of whole bodies, prompts and schema included."""
+    """Each host's calls from several tasks that keep its one rate; replies are digests of whole bodies, prompts and schema included."""
     keeping = judge.Keeping(f"{_folder(spark)}/answers", None, f"{_folder(spark)}/bars")
-    log = judge.judge(_todo(spark, sf_dir), _runs(spark), digest, concurrency=4, keeping=keeping, lanes=3)
+    log = judge.judge(_todo(spark, sf_dir), _runs(spark), digest, concurrency=4, keeping=keeping, lanes=LANES)
     return log.select("backend", "pair_id", "run_index", "ok", "reply")
 
 

@@ -7,7 +7,7 @@ earlier try of the same batch left. So hosts run side by side, fail alone and ar
 cancelled alone (`StreamingQuery.stop` cancels the job group of its batch), and a driver
 that starts again goes on with the batch that it was in.
 
-Within a batch each answer is written as soon as it comes, and a task that is tried
+Within a batch each answer is written as soon as it comes, a line of its lane's file, and a task that is tried
 again, in the same run or in the next, asks only for what has no answer yet. At most the
 calls under way are paid twice. A host's batch may be worked off in several lanes, tasks
 that keep the host's one rate together (`judge.Slots`).
@@ -56,8 +56,8 @@ def gather(spark: SparkSession, folder: str) -> None:
     """Move answers of batches that never ended into the log."""
     left = f"{folder}/answers"
     if _names(spark, left):
-        rows = spark.read.schema(judge.LOG).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(left)
-        rows.write.json(f"{folder}/log/gathered-{uuid.uuid4().hex}")
+        rows = spark.read.schema(judge.LOG).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(left)
+        rows.where("ok = 1").write.json(f"{folder}/log/gathered-{uuid.uuid4().hex}")
         _delete(spark, left)
 
 
