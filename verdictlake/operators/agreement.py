@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AXES, REASONS
-from .ranking import placed, ranges
+from .ranking import id_ranges, placed, ranges
 from .tally import tally
 
 #: Parts of the pairs; 64 pairs of a part share a word of bits, and a billion pairs sort in parts of some 250,000.
@@ -117,8 +117,9 @@ def deadlocks(tallied: DataFrame, leg: str) -> DataFrame:
 
 
 def unsettled_reason_pairs(tallied: DataFrame) -> DataFrame:
-    """Pairs without a settled reason, a row each, with the number of votes that could not settle it."""
-    return tallied.where("reason is null").select("backend", "pair_id", "n_votes")
+    """Pairs without a settled reason, a row each: the number of votes that could not settle it, its place among the backend's by id, and their number n."""
+    rows = tallied.where("reason is null").select("backend", "pair_id", "n_votes")
+    return placed(rows.withColumn("range", id_ranges("pair_id")), [("range", False)], ["pair_id"], keys=("backend",), total="n").select("backend", "pair_id", "n_votes", "place", "n")
 
 
 def cache_findings(votes: DataFrame, tallied: DataFrame) -> DataFrame:

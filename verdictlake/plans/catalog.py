@@ -276,7 +276,7 @@ def backend_deadlocks(spark, sf_dir):
     return agreement.deadlocks(tallied(spark, sf_dir), "s1")
 
 
-@query(with_tally(f"select backend, pair_id, n_votes from tally where reason is null and {USED}"))
+@query(with_tally(f"select backend, pair_id, n_votes, row_number() over (partition by backend order by pair_id nulls first) as place, count(*) over (partition by backend) as n from tally where reason is null and {USED}"))
 def unsettled_reason_pairs(spark, sf_dir):
     return agreement.unsettled_reason_pairs(tallied(spark, sf_dir))
 
