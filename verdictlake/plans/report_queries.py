@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import score
 from ..sources.fixtures import view
 from . import report
 from .catalog import ORACLES, RETIRED, manifests, query
 
+UNSTABLE = "Unstable pairs"
 LINES = "nth int, section string, place int, line string"
 
 
@@ -63,7 +67,7 @@ SCENARIO[2, "Are votes independent?"] = f"select (o0, o) as o, line from ({SCENA
 SCORED = f"(select s.*, f.ranked from {of('score_models')[:-len('score_models_')]} s join {of('full_coverage')[:-len('full_coverage_')]} f on f.backend = s.backend)"
 LEADERBOARD = {
     (1, "Leaderboard"): f"select (-kappa, s.backend) as o, {row('s.backend', number('kappa'), number('accuracy'), 's.n', 'unsettled_verdict', 'unsettled_reason')} as line from {SCORED} s join {of('kappa_majority')} on kappa_majority_.backend = s.backend where ranked",
-    (2, "Unstable pairs"): f"select backend as o, '- ' || backend || ': ' || n || ' (' || string_agg(pair_id, ',' order by place) filter (place <= {report.PAGE}) || case when n > {report.PAGE} then ', ...' else '' end || ')' as line from {of('unstable_pairs')} group by backend, n",
+    (2, "Unstable pairs"): f"select (backend, page) as o, case when page = 0 then '- ' || backend || ': ' || n || ' (' || ids || case when n > {report.PAGE} then ', ...' else '' end || ')' else '- ' || backend || ', from ' || (page * {report.PAGE} + 1) || ': ' || ids end as line from (select backend, n, (place - 1) // {report.PAGE} as page, string_agg(pair_id, ',' order by place) as ids from {of('unstable_pairs')} group by all) pages",
     (3, "Not ranked"): f"select (-coverage, backend) as o, {row('backend', 'judged', number('coverage'))} as line from {SCORED} s where not ranked",
     (4, "Reasons"): f"select (backend, -pairs, true_reason, reason) as o, {row('backend', 'true_reason', 'reason', 'pairs')} as line from {of('reason_confusion')}",
 }
@@ -102,15 +106,26 @@ def scenario_from_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leaderboard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of the leaderboard, in its order; of its first table without tiers, intervals and spread (see separability_tiers, kappa_spread)."""
-    text = report.leaderboard(view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs"), view(spark, sf_dir, "roster"))
-    out = []
+    """Every line of the leaderboard, in its order, and the pages of unstable pairs that follow each first one; of its first table without tiers, intervals and spread (see separability_tiers, kappa_spread)."""
+    votes, pairs = view(spark, sf_dir, "votes"), view(spark, sf_dir, "pairs")
+    text = report.leaderboard(votes, pairs, view(spark, sf_dir, "roster"))
+    out, starts, before = [], [], {}
     for nth, section, place, line in lines(text):
         if nth == 1:
             cells = line.strip("| ").split(" | ")
             line = "| " + " | ".join(cells[i] for i in (1, 2, 5, 7, 8, 9)) + " |"
+        elif section == UNSTABLE:  # the first page of a backend comes after all pages of those before it
+            backend, n = re.match(r"- (.*?): (\d+) \(", line).groups()
+            place, before[backend] = 1 + sum(before.values()), -(-int(n) // report.PAGE)
+            starts.append((nth, backend, place))
         out.append((nth, section, place, line))
-    return spark.createDataFrame(out, LINES)
+    if not starts:
+        return spark.createDataFrame(out, LINES)
+    first = F.broadcast(spark.createDataFrame(starts, "nth int, backend string, first int"))  # a row for each backend
+    pages = report.unstable_pages(score.judged(votes, pairs)).where("page > 0").join(first, "backend")
+    line = F.concat(F.lit("- "), "backend", F.lit(", from "), (F.col("page") * report.PAGE + 1).cast("string"), F.lit(": "), "ids")
+    more = pages.select("nth", F.lit(UNSTABLE).alias("section"), (F.col("first") + F.col("page")).cast("int").alias("place"), line.alias("line"))
+    return spark.createDataFrame(out, LINES).union(more)
 
 
 ORACLES["scenario_report"] = sections(SCENARIO)
