@@ -1,7 +1,9 @@
 """Views of a small table that becomes many rows are made by several tasks."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from verdictlake.plans import catalog
 from verdictlake.sources import fixtures
 
 
@@ -23,3 +25,25 @@ def test_view_is_spread(spark, tmp_path, monkeypatch):
 
 def test_few_parts_stay(spark, sf):
     assert fixtures.view(spark, sf, "votes").rdd.getNumPartitions() == 1
+
+
+@pytest.fixture
+def parts(spark, tmp_path, monkeypatch):
+    """A folder whose 1,000 parts are dealt to ten tasks; the session's shuffles have four."""
+    monkeypatch.setattr(fixtures, "PARTS", 100)
+    key = F.col("id")
+    part = spark.range(1, 1001).select(key.alias("p_partkey"), F.concat(F.lit("name "), key).alias("p_name"), F.lit("type").alias("p_type"), F.lit("brand").alias("p_brand"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def whole(query, spark, parts, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(fixtures, "PARTS", 10_000)
+        return query(spark, parts)
+
+
+def test_contention_stays_in_the_tasks_of_the_votes(spark, parts, monkeypatch):
+    got = catalog.contention_ranking(spark, parts)
+    assert got.rdd.getNumPartitions() == 10
+    assert got.count() == 1000 and got.exceptAll(whole(catalog.contention_ranking, spark, parts, monkeypatch)).isEmpty()

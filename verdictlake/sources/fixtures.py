@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAIRS = """
 select concat('p', lpad(cast(p_partkey as string), 7, '0')) as id, cast(p_partkey as bigint) as pos, p_name as original,
@@ -37,6 +38,8 @@ LINE_VOTES = """
 select cast(l_suppkey % 4 as string) as backend, cast(l_partkey as string) as pair_id, case when l_returnflag = 'R' then 'reject' else 'approve' end as verdict,
  case when l_returnflag <> 'R' then 'ok' when l_linestatus = 'O' then 'casing_error' else 'overcorrection' end as reason from lineitem
 """
+#: As the views have it.
+PAIR_ID = "concat('p', lpad(cast(p_partkey as string), 7, '0'))"
 #: Parts in a task: a part gives up to 18 votes, so its table is small for what is made of it, a file that one task reads.
 PARTS = 32_768
 VIEWS = {"pairs": PAIRS, "votes": VOTES, "calls": CALLS, "roster": ROSTER, "line_votes": LINE_VOTES}
@@ -44,9 +47,17 @@ TABLES = ("part", "events", "lineitem", "labels", "pages", "conversations", "ord
 
 
 def spread(part: DataFrame) -> DataFrame:
-    """The parts dealt by key to as many tasks as there are `PARTS`; few stay where they are."""
+    """The parts dealt by the id of their pair to as many tasks as there are `PARTS`; few stay where they are.
+
+    Votes, pairs and what is grouped or joined by pair then stand in these tasks already.
+    """
     n = -(-part.count() // PARTS)
-    return part.repartition(n, "p_partkey") if n > 1 else part
+    return part.repartition(n, F.expr(PAIR_ID)) if n > 1 else part
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """The tasks that votes and pairs stand in."""
+    return max(1, -(-table(spark, sf_dir, "part").count() // PARTS))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
