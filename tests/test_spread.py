@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from verdictlake.operators import kept_tally
 from verdictlake.operators.ranking import placed
+from verdictlake.operators.tally import tally
 from verdictlake.plans import catalog
 from verdictlake.sources import fixtures
 
@@ -61,3 +63,17 @@ def test_places_of_null_groups(spark):
     for tasks in (None, 3):
         got = placed(rows, [("g", False)], ["v"], keys=("k",), total="n", tasks=tasks)
         assert {(r["v"], r["place"], r["n"]) for r in got.collect()} == {(1, 1, 3), (2, 2, 3), (3, 3, 3), (4, 1, 2), (5, 2, 2)}
+
+
+def test_kept_counters_are_added_by_their_number_of_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept_tally, "ROWS", 50)
+    votes = lambda run: spark.range(300).select(F.concat(F.lit("m"), F.col("id") % 2).alias("backend"), F.concat(F.lit("p"), F.col("id")).alias("pair_id"), F.lit("approve").alias("verdict"), F.lit("ok").alias("reason"), F.lit(run).alias("run_index"))
+    folder = f"{tmp_path}/kept"
+    for run in (0, 1):
+        kept_tally.add_votes(votes(run), folder, run)
+    want = tally(votes(0).union(votes(1)))
+    got = kept_tally.read_tally(spark, folder)
+    assert got.rdd.getNumPartitions() == 12 and got.count() == 300 and got.exceptAll(want).isEmpty()
+    kept_tally.fold(spark, folder)
+    got = kept_tally.read_tally(spark, folder)
+    assert got.rdd.getNumPartitions() == 6 and got.count() == 300 and got.exceptAll(want).isEmpty()

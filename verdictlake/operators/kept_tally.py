@@ -25,6 +25,8 @@ from .guards import GuardError
 from .tally import KEYS, counted, counters, ruled
 
 DONE = "_SUCCESS"
+#: Rows of counters in a task that adds them.
+ROWS = 196_608
 
 
 def _standing(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
@@ -41,7 +43,10 @@ def _parts(spark: SparkSession, folder: str, keys: tuple[str, ...], until: int |
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _summed(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _summed(parts: DataFrame, keys: tuple[str, ...], rows: int) -> DataFrame:
+    """The counters by key, in as many tasks as that number of rows needs; a key has a row for each batch at most."""
+    if rows > ROWS:
+        parts = parts.repartition(-(-rows // ROWS), *keys)
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters(AXES)])
 
 
@@ -58,7 +63,8 @@ def add_votes(votes: DataFrame, folder: str, batch: int, keys: tuple[str, ...] =
 
 def read_tally(spark: SparkSession, folder: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """What `tally` gives for all votes added so far: one shuffle of counters."""
-    return ruled(_summed(_parts(spark, folder, keys), keys))
+    parts = _parts(spark, folder, keys)
+    return ruled(_summed(parts, keys, parts.count()))
 
 
 def changed(spark: SparkSession, folder: str, batch: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -68,7 +74,7 @@ def changed(spark: SparkSession, folder: str, batch: int, keys: tuple[str, ...]
     parts = _parts(spark, folder, keys)
     touched = spark.read.schema(parts.schema).parquet(f"{folder}/batch-{batch}").select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return ruled(_summed(parts.join(touched, same, "left_semi"), keys))
+    return ruled(_summed(parts.join(touched, same, "left_semi"), keys, parts.count()))
 
 
 def fold(spark: SparkSession, folder: str, keys: tuple[str, ...] = KEYS) -> None:
@@ -80,7 +86,8 @@ def fold(spark: SparkSession, folder: str, keys: tuple[str, ...] = KEYS) -> None
     base, batches = _standing(spark, folder)
     if not batches:
         return
-    _summed(_parts(spark, folder, keys, batches[-1]), keys).write.mode("overwrite").parquet(f"{folder}/base-{batches[-1]}")
+    parts = _parts(spark, folder, keys, batches[-1])
+    _summed(parts, keys, parts.count()).write.mode("overwrite").parquet(f"{folder}/base-{batches[-1]}")
     for kind, last in (("base-", base - 1), ("batch-", base)):
         for name in named(spark, folder, kind):
             if int(name.removeprefix(kind)) <= last:
