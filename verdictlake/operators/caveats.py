@@ -9,10 +9,10 @@ from ..schema import RETIRED_REASONS
 from .reliability import CONTRACT
 
 
-def retired_votes(votes: DataFrame) -> DataFrame:
-    """Raw votes with a reason that is no longer offered, by prompt version."""
+def retired_votes(votes: DataFrame, n: Column | int = 1) -> DataFrame:
+    """Raw votes with a reason that is no longer offered, by prompt version; `n`: the votes that a row stands for."""
     rows = votes.where(F.col("reason").isin(*RETIRED_REASONS))
-    return rows.groupBy("prompt_version").agg(F.count("*").alias("votes"), F.array_join(F.array_sort(F.collect_set("backend")), ",").alias("backends"))
+    return rows.groupBy("prompt_version").agg(F.sum(n if isinstance(n, Column) else F.lit(n)).alias("votes"), F.array_join(F.array_sort(F.collect_set("backend")), ",").alias("backends"))
 
 
 def on_retired_axis(confusion: DataFrame) -> DataFrame:

@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from ..schema import AXES
 from ..sources.files import delete, named
 from .guards import GuardError
-from .tally import KEYS, counted, counters, ruled
+from .tally import KEYS, ROWS, counted, counters, ruled
 
 DONE = "_SUCCESS"
-#: Rows of counters in a task that adds them.
-ROWS = 196_608
 
 
 def _standing(spark: SparkSession, folder: str) -> tuple[int, list[int]]:

@@ -150,9 +150,16 @@ def judged_reliability(counts: DataFrame) -> DataFrame:
     return c.withColumn("unusable_at_scale", unusable.when(F.col("succeeded") == 0, True).otherwise(F.col("attempts_per_vote") >= UNUSABLE))
 
 
-def reliability(votes: DataFrame, calls: DataFrame) -> DataFrame:
+def row_counts(votes: DataFrame, tallied: DataFrame | None = None) -> DataFrame:
+    """Rows and distinct pairs of each backend; from the votes' tally by backend and pair, if it is there already."""
+    if tallied is None:
+        return votes.groupBy("backend").agg(F.count("*").alias("rows_on_disk"), F.count_distinct("pair_id").alias("distinct_pairs"))
+    return tallied.groupBy("backend").agg(F.sum("n_votes").alias("rows_on_disk"), F.count("pair_id").alias("distinct_pairs"))
+
+
+def reliability(votes: DataFrame, calls: DataFrame, tallied: DataFrame | None = None) -> DataFrame:
     """Backends with rows or with a call log, never only those with both."""
-    rows = votes.groupBy("backend").agg(F.count("*").alias("rows_on_disk"), F.count_distinct("pair_id").alias("distinct_pairs"))
+    rows = row_counts(votes, tallied)
     kinds = error_kinds(calls, "backend").groupBy("backend").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_kind", "calls")))).alias("error_kinds"))
     log = calls.groupBy("backend").agg(F.count_if(F.col("ok") == 1).alias("succeeded"), F.count_if(F.col("ok") == 0).alias("failed"), F.count_distinct("launch").alias("launches")).join(kinds, "backend", "left").withColumn("scope", F.lit("cumulative"))
     both = rows.join(log, "backend", "full_outer")
@@ -169,9 +176,9 @@ def manifest_counts(manifests: DataFrame) -> DataFrame:
     return manifests.select("backend", scope.alias("scope"), pick("calls_ok").alias("succeeded"), pick("calls_failed").alias("failed"), pick("error_kinds").alias("error_kinds"), F.when(has("cumulative"), F.col("cumulative.launches")).alias("launches"), "health.latency_median", "health.latency_p95")
 
 
-def manifest_reliability(votes: DataFrame, manifests: DataFrame) -> DataFrame:
+def manifest_reliability(votes: DataFrame, manifests: DataFrame, tallied: DataFrame | None = None) -> DataFrame:
     """`reliability` where the counts come from manifests: backends with rows or with a manifest. Latencies are those of the latest launch."""
-    rows = votes.groupBy("backend").agg(F.count("*").alias("rows_on_disk"), F.count_distinct("pair_id").alias("distinct_pairs"))
+    rows = row_counts(votes, tallied)
     both = rows.join(manifest_counts(manifests), "backend", "full_outer")
     zero = F.lit(0).cast("long")
     return judged_reliability(both.withColumns({"rows_on_disk": F.coalesce("rows_on_disk", zero), "distinct_pairs": F.coalesce("distinct_pairs", zero), "scope": F.coalesce("scope", F.lit("none"))}))
@@ -189,7 +196,8 @@ def coverage_shapes(votes: DataFrame, order: DataFrame | None = None, total_pair
     tail = placed(extra, [("b", False)], ["pair_id"]).join(F.broadcast(known)).select("pair_id", (F.col("place") - 1 + F.col("n_order")).alias("rank"))
     ranked = order.select("pair_id", F.col("rank").cast("long").alias("rank")).unionByName(tail)
     size = ranked.agg(F.greatest(F.count("*"), F.lit(total_pairs or 0)).alias("total_pairs"))
-    by = seen.join(ranked, "pair_id").groupBy("backend").agg(F.count("*").alias("distinct_pairs"), (F.max("rank") + 1).alias("span")).join(F.broadcast(size))
+    ranks = seen.join(order, "pair_id").select("backend", F.col("rank").cast("long").alias("rank")).unionByName(seen.join(tail, "pair_id").select("backend", "rank"))
+    by = ranks.groupBy("backend").agg(F.count("*").alias("distinct_pairs"), (F.max("rank") + 1).alias("span")).join(F.broadcast(size))
     short = F.col("distinct_pairs") < F.col("total_pairs")
     prefix = short & (F.col("span") < F.col("total_pairs")) & (F.col("span") <= F.col("distinct_pairs") * PREFIX_SLACK)
     shape = F.when(~short, "complete").when(prefix, "prefix").when(F.col("span") < F.col("total_pairs"), "spread, stopped early").otherwise("scattered gaps")
@@ -223,12 +231,12 @@ def host_concentration(votes: DataFrame, manifests: DataFrame | None = None) ->
     return hosts
 
 
-def completion(votes: DataFrame, roster: DataFrame, votes_per_pair: int, total: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+def completion(votes: DataFrame, roster: DataFrame, votes_per_pair: int, total: DataFrame, manifests: DataFrame | None = None, tallied: DataFrame | None = None) -> DataFrame:
     """Rows per backend against what was asked for; with manifests, also the calls of the latest launch."""
     zero = F.lit(0).cast("long")
     if manifests is not None:
         calls = manifests.select("backend", F.col("health.calls_ok").alias("calls_ok"), F.col("health.calls_failed").alias("calls_failed"))
-        return completion(votes, roster, votes_per_pair, total).join(calls, "backend", "left")
-    by = votes.groupBy("backend").agg(F.count("*").alias("n_rows"), F.count_distinct("pair_id").alias("n_pairs"))
+        return completion(votes, roster, votes_per_pair, total, tallied=tallied).join(calls, "backend", "left")
+    by = row_counts(votes, tallied).withColumnsRenamed({"rows_on_disk": "n_rows", "distinct_pairs": "n_pairs"})
     out = roster.join(by, "backend", "left").join(F.broadcast(total.agg(F.count("*").alias("total_pairs"))))
     return out.select("backend", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_pairs", zero).alias("n_pairs"), (F.col("total_pairs") * votes_per_pair).alias("expected_rows"))

@@ -20,6 +20,8 @@ def _axis(axis: str, domain: tuple[str, ...], n: Column) -> dict[str, Column]:
 
 
 KEYS = ("backend", "pair_id")
+#: Rows of a tally in a task.
+ROWS = 196_608
 
 
 def counters(axes: dict[str, tuple[str, ...]] = AXES) -> list[str]:
